@@ -4,14 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, quality
 from .chat import fold_conversations, format_chats, loss_text, parse_chats
 from .common import table
 from .decontaminate import find_contained
+from .jaccard import jaccard_join
 from .licenses import scan_licenses
+from .nearest import nearest
+from .pieces import encode_pieces
 from .secrets import KINDS, listing, scan_secrets
+from .substrings import remove_repeats
+
+
+def _crc(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(_crc("doc_id") % 5 != 0))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (F.coalesce(_crc("doc_id") % 5, F.lit(1)) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(_crc("doc_id") % 4 != 2))
+    found = quality.score_quality(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (F.coalesce(_crc("doc_id") % 4, F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))[0]
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +117,13 @@ from o group by conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_nearest": op2_nearest,
     "op3_decontaminate": op3_decontaminate,
+    "op4_quality": op4_quality,
+    "op5_jaccard": op5_jaccard,
+    "op6_pieces": op6_pieces,
+    "op7_substrings": op7_substrings,
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
