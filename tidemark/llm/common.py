@@ -90,4 +90,5 @@ def row_key(text: str = "text") -> list[Column]:
 def join_rows(left: DataFrame, right: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
     """Join on id and row_key, where null ids meet null ids; right's keys go."""
     r = right.withColumnsRenamed({id_col: "_rid", "_h": "_rh", "_n": "_rn"})
-    return left.join(r, left[id_col].eqNullSafe(r["_rid"]) & (left["_h"] == r["_rh"]) & (left["_n"] == r["_rn"]), how).drop("_rid", "_rh", "_rn")
+    out = left.join(r, left[id_col].eqNullSafe(r["_rid"]) & (left["_h"] == r["_rh"]) & (left["_n"] == r["_rn"]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop("_rid", "_rh", "_rn")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, shingle_keys, shingle_texts, words_of
+from .common import join_rows, row_key, shingle_keys, shingle_texts, words_of
 
 
 def item_sketches(items: DataFrame, id_col: str, text: str, k: int, least: float) -> DataFrame:
@@ -34,13 +34,8 @@ def bounded(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", k: int = 5, least: float = 0.75, broadcast_rows: int = 500_000) -> DataFrame:
-    """Pairs of a document and an item that it contains: ``id_col, item_col, n_item, n_common, containment``.
-
-    Null and empty texts hold nothing and are held by nothing. A text of fewer than k words is one run.
-    Documents that repeat give one row for each id and text. Sketches of up to ``broadcast_rows`` hashes are
-    broadcast, more are joined by a shuffle.
-    """
+def contained_rows(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, text: str, k: int, least: float, broadcast_rows: int) -> DataFrame:
+    """``_id, _h, _n, item, n_item, n_common`` of rows and the items that they contain; the first three are the row's keys."""
     sketch = item_sketches(items, item_col, text, k, least)
     small = bounded(sketch, broadcast_rows)
     near = F.broadcast if small else lambda x: x
@@ -54,9 +49,25 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
     sets = items.select(F.col(item_col).alias("item"), shingle_texts(words, k).alias("item_runs"))
     p = pairs.withColumnsRenamed({"_id": "_pid", "_h": "_ph", "_n": "_pn"})
     held = keyed.join(p, keyed["_id"].eqNullSafe(p["_pid"]) & (keyed["_h"] == p["_ph"]) & (keyed["_n"] == p["_pn"]))
-    runs = held.select("_id", "item", shingle_texts(words_of(F.lower(F.col("_text"))), k).alias("runs"))
+    runs = held.select("_id", "_h", "_n", "item", shingle_texts(words_of(F.lower(F.col("_text"))), k).alias("runs"))
     checked = runs.join(near(sets), "item").select(
-        F.col("_id").alias(id_col), F.col("item").alias(item_col), F.size("item_runs").cast("long").alias("n_item"),
-        F.size(F.array_intersect("runs", "item_runs")).cast("long").alias("n_common"))
-    share = F.col("n_common") / F.col("n_item")
-    return checked.withColumn("containment", share).filter(F.col("n_common") * 1000 >= F.col("n_item") * round(least * 1000))
+        "_id", "_h", "_n", "item", F.size("item_runs").cast("long").alias("n_item"), F.size(F.array_intersect("runs", "item_runs")).cast("long").alias("n_common"))
+    return checked.filter(F.col("n_common") * 1000 >= F.col("n_item") * round(least * 1000))
+
+
+def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", k: int = 5, least: float = 0.75, broadcast_rows: int = 500_000) -> DataFrame:
+    """Pairs of a document and an item that it contains: ``id_col, item_col, n_item, n_common, containment``.
+
+    Null and empty texts hold nothing and are held by nothing. A text of fewer than k words is one run.
+    Documents that repeat give one row for each id and text. Sketches of up to ``broadcast_rows`` hashes are
+    broadcast, more are joined by a shuffle.
+    """
+    found = contained_rows(docs, items, id_col, item_col, text, k, least, broadcast_rows)
+    return found.select(F.col("_id").alias(id_col), F.col("item").alias(item_col), "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))
+
+
+def drop_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", k: int = 5, least: float = 0.75, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs that contain no item."""
+    rows = contained_rows(docs, items, id_col, item_col, text, k, least, broadcast_rows).select(F.col("_id").alias(id_col), "_h", "_n").distinct()
+    keyed = docs.withColumns({"_h": row_key(text)[0], "_n": row_key(text)[1]})
+    return join_rows(keyed, rows, "left_anti", id_col).select(*docs.columns)
