@@ -45,6 +45,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Let the session send Python at most so many rows, and about so many bytes, at once: texts can be long.
+
+    A smaller limit that the session has already set stays.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or (isinstance(most, int) and not 0 < int(now) <= most):
+            spark.conf.set(key, most)
+
+
 def splits(spark: SparkSession, docs: DataFrame) -> int:
     """Input splits of a table; their number follows its size, so work dealt by it keeps a bounded share a task."""
     return max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 LINKS, BREADTH_BUILD, BREADTH_SEARCH = 12, 64, 96
 
@@ -184,6 +184,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
     count once. ``shard_rows`` and ``block_rows`` bound what a task holds; each block of queries meets each shard.
     """
     spark = vectors.sparkSession
+    small_batches(spark, 8)  # a row can be a whole shard
     scratch = Scratch(spark, "nearest")
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("q"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .text import Rolling, mix, pieces
 
 MODEL = os.environ.get("TIDEMARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -255,6 +256,7 @@ def encode_pieces(docs: DataFrame, model: dict | None = None, text: str = "text"
     n_bytes counts byte pieces; exact says whether decoding gives back the text, byte for byte. A null or
     empty text has no ids. The model has a fixed size, the vocabulary's, and is broadcast.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or load_pieces())
     kept = docs.select(*(keep if keep is not None else docs.columns))
     source = docs.select(*kept.columns, F.col(text).cast("string").alias("_text"))
@@ -278,6 +280,7 @@ def _decode(shared, keep: int):
 
 def decode_pieces(encoded: DataFrame, model: dict | None = None, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of every row and ``decoded``, the text of its ids; null ids decode to an empty text."""
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(model or load_pieces())
     kept = encoded.select(*(keep if keep is not None else encoded.columns))
     source = encoded.select(*kept.columns, F.col(ids).alias("_ids"))
