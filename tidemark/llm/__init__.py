@@ -1,8 +1 @@
 """Training-data operators: language id, similarity search, deduplication, scans and formatting."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions sent to executors travel with their code: executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
