@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, splits
+from .common import Scratch, small_batches, splits
 from .text import Rolling, Words, mix, pieces, window_ids
 
 FIRST, SPAN = 9, 35
-FLUSH = 400_000
+FLUSH = 200_000
 TWIST = 0xD6E8FEB86659FD93
 
 
@@ -261,6 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not 1 <= 3 * first - 1 <= span:
         raise ValueError("first must be at most (span + 1) / 3")
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "substrings")
     buckets = buckets or 2 * splits(spark, docs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text)).alias("rid"), F.col(text).cast("string").alias("text"))
