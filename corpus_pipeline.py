@@ -22,7 +22,7 @@ LEAST_QUALITY = 0.5
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.score_quality(docs, model, name="_quality").filter(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

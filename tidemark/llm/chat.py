@@ -42,13 +42,10 @@ def fold_events(events: DataFrame) -> DataFrame:
     order = F.expr("case kind when 'edit' then 1 when 'regenerate' then 2 when 'delta' then 3 else 0 end")
     kept = events.select("conv_id", "msg", "seq", F.struct("seq", order.alias("o"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role")).alias("e"))
     log = kept.groupBy("conv_id", "msg").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list("e")).alias("log"))
-    pieces = F.aggregate(
-        F.col("log"),
-        F.array().cast("array<string>"),
-        lambda acc, e: F.when(e["o"] == 3, F.concat(acc, F.array(e["text"]))).otherwise(F.array(e["text"])),
-        lambda acc: F.array_join(acc, ""),
-    )
-    return log.select("conv_id", "msg", "seq", F.element_at("log", -1)["role"].alias("role"), pieces.alias("text"))
+    # what stands before the last event that sets the text has no part in it
+    last = F.array_max(F.transform("log", lambda e, i: F.when(e["o"] == 3, 0).otherwise(i)))
+    pieces = F.transform(F.slice("log", last + 1, F.size("log")), lambda e: e["text"])
+    return log.select("conv_id", "msg", "seq", F.element_at("log", -1)["role"].alias("role"), F.array_join(pieces, "").alias("text"))
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
@@ -57,24 +54,15 @@ def format_chats(messages: DataFrame) -> DataFrame:
     Messages stand in order of seq, then msg. ``loss_spans`` are the half-open code point ranges of the
     escaped assistant texts in ``formatted``.
     """
-    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "msg", "role", "text"))).alias("turns"))
-    parts = F.transform("turns", lambda t: F.struct(
-        (t["role"] == "assistant").alias("loss"),
-        F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"),
-        escape(t["text"]).alias("body")))
-    sized = turns.select("conv_id", parts.alias("p")).withColumn(
-        "sizes", F.transform("p", lambda t: F.struct(t["loss"].alias("loss"), F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"))))
-    tail = len(END) + 1
-    spans = F.aggregate(
-        F.col("sizes"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["head"] + t["body"] + tail).alias("at"),
-            F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["head"]).alias("start"), (acc["at"] + t["head"] + t["body"]).alias("end"))))).otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"],
-    )
-    text = F.array_join(F.transform("p", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
-    return sized.select("conv_id", F.size("p").cast("long").alias("n_turns"), text.alias("formatted"), spans.alias("loss_spans"))
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
+    parts = messages.select("conv_id", "seq", "msg", (F.col("role") == "assistant").alias("loss"), head.alias("head"), escape(F.col("text")).alias("body"))
+    # where a turn ends is a running sum within its conversation
+    end = F.sum(F.length("head") + F.length("body") + F.lit(len(END) + 1)).over(Window.partitionBy("conv_id").orderBy("seq", "msg").rowsBetween(Window.unboundedPreceding, 0))
+    placed = parts.withColumn("end", end - F.lit(len(END) + 1))
+    turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "msg", "head", "body", "loss", "end"))).alias("turns"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct((t["end"] - F.length(t["body"])).cast("int").alias("start"), t["end"].cast("int").alias("end")))
+    return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:

@@ -56,6 +56,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
             spark.conf.set(key, most)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def splits(spark: SparkSession, docs: DataFrame) -> int:
     """Input splits of a table; their number follows its size, so work dealt by it keeps a bounded share a task."""
     return max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -68,6 +68,6 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
 
 def drop_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", k: int = 5, least: float = 0.75, broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of docs that contain no item."""
-    rows = contained_rows(docs, items, id_col, item_col, text, k, least, broadcast_rows).select(F.col("_id").alias(id_col), "_h", "_n").distinct()
-    keyed = docs.withColumns({"_h": row_key(text)[0], "_n": row_key(text)[1]})
-    return join_rows(keyed, rows, "left_anti", id_col).select(*docs.columns)
+    rows = contained_rows(docs, items, id_col, item_col, text, k, least, broadcast_rows).select("_id", "_h", "_n").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), *row_key(text))
+    return join_rows(keyed, rows, "left_anti", "_id").select(*(F.col(f"_row.`{c}`") for c in docs.columns))

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, small_batches
 from .text import Rolling, mix, pieces
 
 MODEL = os.environ.get("TIDEMARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -231,20 +232,28 @@ class Encoder:
         return data[~drop], edges - gone[edges]
 
 
+#: What encode_pieces adds.
+ENCODED = T.StructType([
+    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()),
+    T.StructField("score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
+
+
 def _encode(shared, keep: int):
     def run(batches):
         encoder = Encoder(shared.value)
         byte_piece = np.zeros(len(encoder.model["scores"]), bool)
         byte_piece[encoder.model["byte_ids"]] = True
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "_text", CHUNK):
-                ids, at, score = encoder.encode(data, offsets)
-                back, edges = encoder.decode(ids, at)
+            at = 0
+            for part, data, offsets in pieces(pa.RecordBatch.from_arrays([batch.column(keep)], names=["text"]), "text", CHUNK):
+                rows, at = batch.slice(at, part.num_rows), at + part.num_rows
+                ids, cuts, score = encoder.encode(data, offsets)
+                back, edges = encoder.decode(ids, cuts)
                 same = np.concatenate([[0], np.cumsum(data != back)]) if len(data) == len(back) else None
                 exact = (same[offsets[1:]] == same[offsets[:-1]]) & (edges[1:] == offsets[1:]) if same is not None else np.array([data[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets, offsets[1:], edges, edges[1:], strict=False)])
                 fell = np.concatenate([[0], np.cumsum(byte_piece[ids])])
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(i) for i in range(keep)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(np.diff(at)), pa.array(fell[at[1:]] - fell[at[:-1]]), pa.array(score), pa.array(exact)],
+                    [*(rows.column(i) for i in range(keep)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), pa.array(np.diff(cuts)), pa.array(fell[cuts[1:]] - fell[cuts[:-1]]), pa.array(score), pa.array(exact)],
                     names=[*rows.schema.names[:keep], "ids", "n_tokens", "n_bytes", "score", "exact"])
 
     return run
@@ -254,21 +263,21 @@ def encode_pieces(docs: DataFrame, model: dict | None = None, text: str = "text"
     """The columns ``keep`` of every row (all by default), with ``ids array<int>, n_tokens, n_bytes, score, exact``.
 
     n_bytes counts byte pieces; exact says whether decoding gives back the text, byte for byte. A null or
-    empty text has no ids. The model has a fixed size, the vocabulary's, and is broadcast.
+    empty text has no ids. A kept column with the name of an added one is replaced. The model has a fixed size,
+    the vocabulary's, and is broadcast.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or load_pieces())
-    kept = docs.select(*(keep if keep is not None else docs.columns))
-    source = docs.select(*kept.columns, F.col(text).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", ids array<int>, n_tokens long, n_bytes long, score double, exact boolean"
-    return source.mapInArrow(_encode(shared, len(kept.columns)), schema)
+    kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c not in ENCODED.names))
+    source = docs.select(*kept.columns, F.col(text).cast("string").alias(fresh("_text", kept.columns)))
+    return source.mapInArrow(_encode(shared, len(kept.columns)), T.StructType([*kept.schema.fields, *ENCODED.fields]))
 
 
 def _decode(shared, keep: int):
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("_ids"))
+            column = batch.column(keep)
             column = column.fill_null([]) if column.null_count else column
             at = np.concatenate([[0], np.cumsum(np.array(column.value_lengths(), np.int64))]) if len(column) else np.zeros(1, np.int64)
             data, edges = encoder.decode(np.asarray(column.flatten(), np.int32), at)
@@ -282,7 +291,6 @@ def decode_pieces(encoded: DataFrame, model: dict | None = None, ids: str = "ids
     """The columns ``keep`` of every row and ``decoded``, the text of its ids; null ids decode to an empty text."""
     small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(model or load_pieces())
-    kept = encoded.select(*(keep if keep is not None else encoded.columns))
-    source = encoded.select(*kept.columns, F.col(ids).alias("_ids"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", decoded string"
-    return source.mapInArrow(_decode(shared, len(kept.columns)), schema)
+    kept = encoded.select(*(c for c in (keep if keep is not None else encoded.columns) if c != "decoded"))
+    source = encoded.select(*kept.columns, F.col(ids).cast("array<int>").alias(fresh("_ids", kept.columns)))
+    return source.mapInArrow(_decode(shared, len(kept.columns)), T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, small_batches
 from .text import Rolling, mix, pieces
 
 BUCKETS, SIZE, MARKS = 1 << 14, 24, 2
@@ -139,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     if n > sample_rows:
         known = known.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(0.9 * sample_rows / n * 1_000_000))
     # at most sample_rows ids and labels are broadcast
-    rows = docs.join(F.broadcast(known.limit(sample_rows)), docs[id_col] == F.col("_id")).select("label", F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).alias("_doc"), F.col(text).cast("string").alias("text"))
+    rows = source.join(F.broadcast(known.limit(sample_rows)), F.col("_doc") == F.col("_id")).select("label", "text")
     shared = spark.sparkContext.broadcast(vectors)
     data = rows.mapInArrow(_features(shared), "label int, x array<float>").toPandas()
     width = 3 * SIZE
@@ -180,28 +182,29 @@ def probability(model: QualityModel, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((np.tanh(z @ model.w1 + model.b1) @ model.w2 + model.b2) / model.temperature, -40, 40)))
 
 
-def _score(shared, at: int):
+def _score(shared, at: int, name: str):
     def run(batches):
         tokens, model = Tokens(), QualityModel(**shared.value)
         for batch in batches:
             out = []
-            for _, data, offsets in pieces(batch.select(["_text"]), "_text", PIECE):
+            for _, data, offsets in pieces(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), "text", PIECE):
                 out.append(probability(model, pool(*tokens(data, offsets), model.vectors)))
             score = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             columns = [batch.column(i) for i in range(at)] + [score]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], name])
 
     return run
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of every row of docs (all by default) and ``score``, the probability of label 1.
+def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row of docs (all by default) and ``name``, the probability of label 1.
 
-    A null or empty text is scored as one without tokens. The model has a fixed size and is broadcast.
+    A null or empty text is scored as one without tokens. A kept column of that name is replaced. The model
+    has a fixed size and is broadcast.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    kept = docs.select(*(keep if keep is not None else docs.columns))
-    source = docs.select(*kept.columns, F.col(text).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double"
-    return source.mapInArrow(_score(shared, len(kept.columns)), schema)
+    kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c != name))
+    source = docs.select(*kept.columns, F.col(text).cast("string").alias(fresh("_text", kept.columns)))
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
+    return source.mapInArrow(_score(shared, len(kept.columns), name), schema)

@@ -163,7 +163,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", rate: float = 0.01, alpha:
     kind is an index into KINDS; places are in code points, end exclusive. ``rate`` bounds the share of false
     discoveries among random tokens, ``alpha`` is the level at which one of the three tests calls a token
     not random. A random token within a base span is not listed again. A null or empty text has no spans.
+    A column of docs named ``secret_spans`` is replaced.
     """
+    kept = [c for c in docs.columns if c != "secret_spans"]
     limits = evidence_limits(docs, text, rate)
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(spans(body, ASSIGN, "assign", 2, 12), spans(body, ACCESS, "access"), spans(body, HEX, "hex"))
@@ -177,9 +179,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", rate: float = 0.01, alpha:
             least = F.when(length_class(t["n"]) == c, F.lit(b)).otherwise(least)
         return (t["p_uniform"] >= alpha) & (t["p_runs"] >= alpha) & (t["p_serial"] >= alpha) & (evidence_bin(t["log_ratio"]) >= least)
 
-    listed = docs.select("*", base.alias("_base"), spans(body, CANDIDATE, "random").alias("_long"))
+    listed = docs.select(F.struct(*docs.columns).alias("_row"), base.alias("_base"), spans(body, CANDIDATE, "random").alias("_long"))
     new = F.filter("_long", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])) & taken(s["value"])) if limits else F.slice("_long", 1, 0)
-    return listed.select(*docs.columns, F.array_sort(F.concat("_base", new)).alias("secret_spans"))
+    return listed.select(*(F.col(f"_row.`{c}`") for c in kept), F.array_sort(F.concat("_base", new)).alias("secret_spans"))
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
