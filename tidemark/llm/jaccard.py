@@ -7,8 +7,9 @@ token within their prefixes, the first ``n - ceil(t n) + 1`` tokens, under every
 2. The first order puts tokens that many documents share last, by classes of their count, and the others in
    the order of a hash. Prefix tokens are dealt out by token; those of very common tokens, by token and
    document. A token's documents give candidate pairs: all pairs of up to ``SMALL`` documents, else a star.
-3. Candidates whose sizes allow the similarity are checked for shared prefix tokens under two further
-   orders, and only those that share some under each are verified on the sets.
+3. Candidates whose sizes allow the similarity are checked by parity bits of their sets, which bound from below
+   how many tokens they do not share, then for shared prefix tokens under two further orders; only those that
+   share some under each are verified on the sets.
 4. Of tokens with more documents, those whose documents are not yet all linked give all pairs across the
    components so far, which are checked likewise. So no link between components is missed.
 5. Components of all links.
@@ -24,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, splits
+from .common import Scratch, small_batches, splits
 from .components import connected_components
 from .text import Words, mix, pieces, shingle_sets
 
 SMALL = 8  # documents of one token that give all their pairs at once
-COMMON = 4  # documents of one chunk that share a token, for it to be counted as common
+COMMON = 3  # documents of one chunk that share a token, for it to be counted as common
 TABLE = 1 << 16  # common tokens that the first order knows of; only the order depends on it
 SALT = 20_000  # documents of a common token that go to one task
-FLUSH = 1_000_000
+FLUSH = 400_000
 ORDERS = (0x51ED270B, 0xA24BAED4963EE407 & (1 << 63) - 1, 0x9FB21C651E98DF25 & (1 << 63) - 1)
 
 
@@ -59,16 +60,38 @@ def _sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Rec
             yield rows, *shingle_sets(hashes, at, k)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """For each of 2 ** m places, at least as many as tokens, whether an odd number of tokens falls there."""
+    places = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
+    """False only where the parity bits differ at more places than similar sets have tokens of their own."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    size, least = 8 * max(len(x), len(y)), 8 * min(len(x), len(y))
+    while size > least:  # the larger one folded to the size of the other
+        size //= 2
+        if len(x) > len(y):
+            a = (a >> size) ^ (a & ((1 << size) - 1))
+        else:
+            b = (b >> size) ^ (b & ((1 << size) - 1))
+    return (a ^ b).bit_count() * (100 + percent) <= (nx + ny) * (100 - percent)
+
+
 def _describe(k: int):
     def run(batches):
         for rows, tokens, at in _sets_of(batches, k):
             one, two = _signatures(tokens, at)
             n = len(one)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), rows.column(0), pa.array(np.diff(at)), pa.array(one), pa.array(two)], names=["kind", "id", "n", "s1", "s2"])
+            bits = pa.array([parity_bits(tokens[at[i] : at[i + 1]]) if at[i + 1] > at[i] else b"" for i in range(n)], pa.binary())
+            names = ["kind", "id", "n", "s1", "s2", "bits"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), rows.column(0), pa.array(np.diff(at)), pa.array(one), pa.array(two), bits], names=names)
             keys, counts = np.unique(tokens, return_counts=True)
             keys, counts = keys[counts >= COMMON].view(np.int64), counts[counts >= COMMON]
             m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys), pa.array(counts.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=["kind", "id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys), pa.array(counts.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=names)
 
     return run
 
@@ -199,6 +222,23 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _plausible(percent: int):
+    def run(batches):
+        for batch in batches:
+            x, y, nx, ny = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("xa", "xb", "na", "nb"))
+            ok = [may_be_similar(p, q, m, n, percent) for p, q, m, n in zip(x, y, nx, ny, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the parity bits leave."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return met.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_plausible(percent), "a long, b long").distinct()
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     with_a = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
@@ -214,10 +254,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     ``buckets`` deals out the prefix tokens; by default it follows the input splits.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     buckets = buckets or 2 * splits(spark, docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    schema = "kind int, id long, n long, s1 long, s2 long"
+    schema = "kind int, id long, n long, s1 long, s2 long, bits binary"
     described = scratch.save(texts.mapInArrow(_describe(k), schema), "sets")
     sets = described.filter("kind = 0").select("id", "n", "s1", "s2")
     top = described.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(TABLE).toPandas()
@@ -226,6 +267,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     common, counts = common[by_token], top["n"].to_numpy(np.int64)[by_token]
 
     usable = sets.filter("id is not null and n > 0")
+    bits = described.filter("kind = 0 and id is not null and n > 0").select("id", "n", "bits")
     firsts = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     reps = scratch.save(usable.join(firsts, ["n", "s1", "s2"]).select("id", "n", "rep").distinct(), "reps")
     same_id = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
@@ -240,7 +282,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
         .join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
         .filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     )
-    tried = scratch.save(pairs, "pairs")
+    tried = scratch.save(_likely(pairs, bits, percent), "pairs")
     usable_texts = texts.filter("id is not null and text is not null")
     links = scratch.save(_linked(tried, usable_texts, k, percent).union(again).distinct(), "links")
     comps = connected_components(links, scratch, "first")
@@ -257,7 +299,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     across = x.join(y, (x["token"] == y["token"]) & fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    across = scratch.save(across, "across")
+    across = scratch.save(_likely(across, bits, percent), "across")
     if not across.isEmpty():
         more = scratch.save(_linked(across, usable_texts, k, percent), "more")
         links = links.union(more)
