@@ -86,3 +86,21 @@ def test_log_rotation(spark):
     marks = spark.createDataFrame([("p", 10)], "peer string, last_sync long")
     assert [r["uuid"] for r in logset.prune_tombstones(second, deletes, marks).select("uuid").collect()] == ["2"]
     assert rows.agg(F.count("*")).first()[0] == 3
+
+
+def test_rotation_and_ids(spark):
+    from tidemark.operators.rotation import id3_size, resolve_ids, root_snapshot, rotate
+
+    log = spark.createDataFrame([("o1", 5), ("o2", 5)], "op string, segment long")
+    now = spark.createDataFrame([("1", 7, True)], "uuid string, updated long, deleted boolean")
+    before = spark.createDataFrame([("1", 3, False), ("2", 1, False)], "uuid string, updated long, deleted boolean")
+    _, snap, closed = rotate(log, now, before, 9, 10)
+    assert closed and plain(snap.collect()) == [("1", 7, True), ("2", 1, False)]
+    assert rotate(log, now, before, 9, 1000)[2] is False
+    tree = spark.createDataFrame([("r", None, "a"), ("s", "r", "b"), ("t", "s", "c.txt")], "id string, parent string, name string")
+    assert plain(resolve_ids(tree).collect()) == [("r", "a"), ("s", "a/b"), ("t", "a/b/c.txt")]
+    files = spark.createDataFrame([("x", 3)], "path string, size long")
+    entries = spark.createDataFrame([(False, None), (True, None), (False, "1")], "deleted boolean, conflict_of string")
+    assert tuple(root_snapshot(files, entries).first()) == (1, 3, 2, 1, 1)
+    tags = spark.createDataFrame([(bytearray(b"ID3\x04\x00\x00\x00\x00\x02\x01rest"),), (bytearray(b"none"),)], "c binary")
+    assert [r[0] for r in tags.select(id3_size(F.col("c"))).collect()] == [267, 0]
