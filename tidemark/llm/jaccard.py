@@ -4,8 +4,8 @@ Sets are the distinct runs of five words of a text. Two sets with a Jaccard simi
 token within their prefixes, the first ``n - ceil(t n) + 1`` tokens, under every global order of all tokens.
 
 1. Documents with equal sets form a class, which its smallest id stands for.
-2. The first order puts tokens that many documents share last, by classes of their count, and the others in
-   the order of a hash. Prefix tokens are dealt out by token; those of very common tokens, by token and
+2. All tokens are counted by 32-bit fingerprints within hashed buckets. The first order puts tokens that many
+   documents share last, by classes of their count, and the others in the order of a hash. Prefix tokens are dealt out by token; those of very common tokens, by token and
    document. A token's documents give candidate pairs: all pairs of up to ``SMALL`` documents, else a star.
 3. Candidates whose sizes allow the similarity are checked by parity bits of their sets, which bound from below
    how many tokens they do not share, then for shared prefix tokens under two further orders; only those that
@@ -30,8 +30,8 @@ from .components import connected_components
 from .text import Words, mix, pieces, shingle_sets
 
 SMALL = 8  # documents of one token that give all their pairs at once
-COMMON = 3  # documents of one chunk that share a token, for it to be counted as common
-TABLE = 1 << 16  # common tokens that the first order knows of; only the order depends on it
+COMMON = 8  # documents that share a token, beyond which it is counted as common
+TABLE = 1 << 20  # most common tokens that the first order knows of; only the order depends on it
 SALT = 20_000  # documents of a common token that go to one task
 FLUSH = 400_000
 ORDERS = (0x51ED270B, 0xA24BAED4963EE407 & (1 << 63) - 1, 0x9FB21C651E98DF25 & (1 << 63) - 1)
@@ -86,21 +86,65 @@ def _describe(k: int):
             one, two = _signatures(tokens, at)
             n = len(one)
             bits = pa.array([parity_bits(tokens[at[i] : at[i + 1]]) if at[i + 1] > at[i] else b"" for i in range(n)], pa.binary())
-            names = ["kind", "id", "n", "s1", "s2", "bits"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), rows.column(0), pa.array(np.diff(at)), pa.array(one), pa.array(two), bits], names=names)
-            keys, counts = np.unique(tokens, return_counts=True)
-            keys, counts = keys[counts >= COMMON].view(np.int64), counts[counts >= COMMON]
-            m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys), pa.array(counts.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=names)
+            names = ["id", "n", "s1", "s2", "bits"]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(one), pa.array(two), bits], names=names)
 
     return run
 
 
-def _common_counts(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def counting_key(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket that counts a token, and its fingerprint there."""
+    h = mix(tokens ^ np.uint64(0x5DEECE66D))
+    return h % np.uint64(buckets), ((h >> np.uint64(32)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _fingerprints(k: int, buckets: int):
+    """All tokens of all sets, dealt out to be counted: ``bucket, prints, counts``; a task's repeats are one print."""
+
+    def flush(held):
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        bucket, mark = counting_key(token, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        mark, count = mark[order], np.minimum(count[order], 255).astype(np.uint8)
+        full = np.flatnonzero(np.diff(bounds))
+        cut = lambda x: pa.array([x[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), cut(mark), cut(count)], names=["bucket", "prints", "counts"])
+
+    def run(batches):
+        held, n = [], 0
+        for _, tokens, _ in _sets_of(batches, k):
+            held.append(tokens)
+            n += len(tokens)
+            if n >= 2 * FLUSH:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return run
+
+
+def _count_prints(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Prints of one bucket that stand in more than COMMON documents, a bucket's place in the upper half of the key."""
+    mark, count = np.frombuffer(b"".join(pdf["prints"]), np.uint32), np.frombuffer(b"".join(pdf["counts"]), np.uint8)
+    order = np.argsort(mark, kind="stable")
+    mark = mark[order]
+    first = np.ones(len(mark), bool)
+    first[1:] = mark[1:] != mark[:-1]
+    at = np.flatnonzero(first)
+    total = np.add.reduceat(count[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    many = total > COMMON
+    return pd.DataFrame({"print": mark[at][many].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32), "n": total[many]})
+
+
+def _common_counts(tokens: np.ndarray, buckets: int, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not len(common):
         return np.zeros(len(tokens), np.int64)
-    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-    return np.where(common[at] == tokens, counts[at], 0)
+    bucket, mark = counting_key(tokens, buckets)
+    key = (bucket << np.uint64(32)).view(np.int64) | mark.astype(np.int64)
+    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+    return np.where(common[at] == key, counts[at], 0)
 
 
 def _postings(k: int, percent: int, buckets: int, common: np.ndarray, counts: np.ndarray):
@@ -108,7 +152,7 @@ def _postings(k: int, percent: int, buckets: int, common: np.ndarray, counts: np
 
     def flush(held):
         token, doc, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        many = _common_counts(token, common, counts)
+        many = _common_counts(token, buckets, common, counts)
         salts = np.maximum(1, -(-many // SALT)).astype(np.uint64)
         salt = mix(doc.view(np.uint64) ^ token) % salts
         bucket = (mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
@@ -133,7 +177,7 @@ def _postings(k: int, percent: int, buckets: int, common: np.ndarray, counts: np
             own = np.repeat(np.arange(len(n)), n)
             picked = keep[own]
             token, own = tokens[picked], own[picked]
-            level = np.ceil(np.log2(_common_counts(token, common, counts) + 1)).astype(np.uint64)
+            level = np.ceil(np.log2(_common_counts(token, buckets, common, counts) + 1)).astype(np.uint64)
             rank = (level << np.uint64(58)) | (mix(token ^ np.uint64(ORDERS[0])) >> np.uint64(6))
             order = np.lexsort((token, rank, own))
             token, own = token[order], own[order]
@@ -151,10 +195,8 @@ def _postings(k: int, percent: int, buckets: int, common: np.ndarray, counts: np
     return run
 
 
-def _candidates(percent: int, common: np.ndarray, counts: np.ndarray):
+def _candidates(percent: int, buckets: int, common: np.ndarray, counts: np.ndarray):
     """Pairs (kind 0: a, b) and members of tokens with many documents (kind 1: token, doc, size) of one bucket."""
-    salted = common[counts > SALT]
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         token, doc, size = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", np.uint64), ("doc", np.int64), ("size", np.int32)))
         order = np.lexsort((doc, token))
@@ -167,7 +209,7 @@ def _candidates(percent: int, common: np.ndarray, counts: np.ndarray):
         run_at = np.flatnonzero(start)
         group = np.cumsum(start) - 1
         width = np.diff(np.append(run_at, len(token)))[group] if len(token) else np.zeros(0, int)
-        many = (width > SMALL) | (np.isin(token, salted) if len(salted) else False)
+        many = (width > SMALL) | (_common_counts(token, buckets, common, counts) > SALT)
         left, right = [], []
         for d in range(1, SMALL):
             i = np.flatnonzero((group[d:] == group[:-d]) & (width[d:] <= SMALL)) if len(token) > d else np.zeros(0, int)
@@ -258,23 +300,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     scratch = Scratch(spark, "jaccard")
     buckets = buckets or 2 * splits(spark, docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    schema = "kind int, id long, n long, s1 long, s2 long, bits binary"
-    described = scratch.save(texts.mapInArrow(_describe(k), schema), "sets")
-    sets = described.filter("kind = 0").select("id", "n", "s1", "s2")
-    top = described.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(TABLE).toPandas()
-    common = top["id"].to_numpy(np.int64).view(np.uint64)
-    by_token = np.argsort(common)
-    common, counts = common[by_token], top["n"].to_numpy(np.int64)[by_token]
+    described = scratch.save(texts.mapInArrow(_describe(k), "id long, n long, s1 long, s2 long, bits binary"), "sets")
+    sets = described.select("id", "n", "s1", "s2")
+    prints = texts.filter("id is not null").mapInArrow(_fingerprints(k, buckets), "bucket long, prints binary, counts binary")
+    counted = prints.groupBy("bucket").applyInPandas(_count_prints, "print long, n long")
+    top = counted.orderBy(F.desc("n"), "print").limit(TABLE).toPandas().sort_values("print")
+    common, counts = top["print"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
     usable = sets.filter("id is not null and n > 0")
-    bits = described.filter("kind = 0 and id is not null and n > 0").select("id", "n", "bits")
+    bits = described.filter("id is not null and n > 0").select("id", "n", "bits")
     firsts = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     reps = scratch.save(usable.join(firsts, ["n", "s1", "s2"]).select("id", "n", "rep").distinct(), "reps")
     same_id = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
     again = reps.join(same_id, "id").select("a", F.col("rep").alias("b"))
 
     posted = texts.filter("id is not null").mapInArrow(_postings(k, percent, buckets, common, counts), "bucket long, token binary, doc binary, size binary")
-    found = scratch.save(posted.groupBy("bucket").applyInPandas(_candidates(percent, common, counts), "kind int, a long, b long, n long"), "found")
+    found = scratch.save(posted.groupBy("bucket").applyInPandas(_candidates(percent, buckets, common, counts), "kind int, a long, b long, n long"), "found")
     rep = reps.select("id", "rep")
     pairs = (
         found.filter("kind = 0").select("a", "b").distinct()
