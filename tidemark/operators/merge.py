@@ -55,6 +55,7 @@ def pair_by_path(pairs: DataFrame, known_a: DataFrame, known_b: DataFrame) -> Da
     known_a and known_b hold the uuids that each side has met. The pair has the smaller uuid. At most one row a side
     and path takes part: the smallest uuid of a, the largest of b.
     """
+    pairs = keep(pairs, "by-uuid")  # read six times
     both = pairs.filter("a is not null and b is not null")
     only_a, only_b = pairs.filter("b is null"), pairs.filter("a is null")
     loose_a = only_a.filter(~F.col("a.deleted")).join(known_b.select("uuid").distinct(), "uuid", "left_anti")
