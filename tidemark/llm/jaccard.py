@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, splits
@@ -34,6 +34,7 @@ COMMON = 8  # documents that share a token, beyond which it is counted as common
 TABLE = 1 << 20  # most common tokens that the first order knows of; only the order depends on it
 SALT = 20_000  # documents of a common token that go to one task
 FLUSH = 400_000
+WORDS = 16  # 64-bit words of parity that joins compare
 ORDERS = (0x51ED270B, 0xA24BAED4963EE407 & (1 << 63) - 1, 0x9FB21C651E98DF25 & (1 << 63) - 1)
 
 
@@ -67,6 +68,12 @@ def parity_bits(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def parity_words(tokens: np.ndarray) -> np.ndarray:
+    """The same over 64 * WORDS places for sets of any size, as integers that SQL can count the bits of."""
+    odd = np.bincount((tokens & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def may_be_similar(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
     """False only where the parity bits differ at more places than similar sets have tokens of their own."""
     a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
@@ -86,8 +93,9 @@ def _describe(k: int):
             one, two = _signatures(tokens, at)
             n = len(one)
             bits = pa.array([parity_bits(tokens[at[i] : at[i + 1]]) if at[i + 1] > at[i] else b"" for i in range(n)], pa.binary())
-            names = ["id", "n", "s1", "s2", "bits"]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(one), pa.array(two), bits], names=names)
+            words = pa.array([parity_words(tokens[at[i] : at[i + 1]]) for i in range(n)], pa.list_(pa.int64()))
+            names = ["id", "n", "s1", "s2", "bits", "words"]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(one), pa.array(two), bits, words], names=names)
 
     return run
 
@@ -274,10 +282,19 @@ def _plausible(percent: int):
     return run
 
 
+def _words_allow(percent: int) -> Column:
+    """Sizes na, nb and parity words wa, wb of two sets that may be similar."""
+    apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WORDS)), F.lit(0))
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return fits & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that the parity bits leave."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"), F.col("words").alias(f"w{c}"))
+    right = side("b").withColumnRenamed("b", "_b")
+    left = pairs.join(side("a"), "a")
+    met = left.join(right, (left["b"] == right["_b"]) & _words_allow(percent))
     return met.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_plausible(percent), "a long, b long").distinct()
 
 
@@ -300,7 +317,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     scratch = Scratch(spark, "jaccard")
     buckets = buckets or 2 * splits(spark, docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    described = scratch.save(texts.mapInArrow(_describe(k), "id long, n long, s1 long, s2 long, bits binary"), "sets")
+    described = scratch.save(texts.mapInArrow(_describe(k), "id long, n long, s1 long, s2 long, bits binary, words array<long>"), "sets")
     sets = described.select("id", "n", "s1", "s2")
     prints = texts.filter("id is not null").mapInArrow(_fingerprints(k, buckets), "bucket long, prints binary, counts binary")
     counted = prints.groupBy("bucket").applyInPandas(_count_prints, "print long, n long")
@@ -308,7 +325,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     common, counts = top["print"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
     usable = sets.filter("id is not null and n > 0")
-    bits = described.filter("id is not null and n > 0").select("id", "n", "bits")
+    bits = described.filter("id is not null and n > 0").select("id", "n", "bits", "words")
     firsts = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     reps = scratch.save(usable.join(firsts, ["n", "s1", "s2"]).select("id", "n", "rep").distinct(), "reps")
     same_id = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
@@ -329,16 +346,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     comps = connected_components(links, scratch, "first")
 
     members = (
-        found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"), "n").join(rep, "id")
-        .select("token", "n", F.col("rep").alias("node")).distinct()
+        found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id")).join(rep, "id")
+        .select("token", F.col("rep").alias("node")).distinct()
         .join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     )
     members = scratch.save(members, "members")
     split = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    facts = bits.select(F.col("id").alias("node"), "n", "words")
     open_ = members.join(split, "token", "left_semi")
-    x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    # a pair that shares many tokens is made at the smallest of them alone
+    shared = open_.groupBy("node").agg(F.collect_set("token").alias("tokens"))
+    open_ = open_.join(shared.join(facts, "node"), "node")
+    x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("words").alias("wa"), F.col("tokens").alias("ta"))
+    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("words").alias("wb"), F.col("tokens").alias("tb"))
+    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _words_allow(percent)
+    fits = fits & (F.array_min(F.array_intersect("ta", "tb")) == x["token"])
     across = x.join(y, (x["token"] == y["token"]) & fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     across = scratch.save(_likely(across, bits, percent), "across")
     if not across.isEmpty():
