@@ -44,7 +44,7 @@ def test_redaction_and_listing(spark):
     rows = documents(spark, [(1, "é token=abcdefghijkl0123456789abcdef end", "en"), (2, "clean", "en"), (3, None, "en")])
     out = {r["doc_id"]: r for r in scan_secrets(rows).select("doc_id", redact(F.col("text"), F.col("secret_spans")).alias("t"), listing(F.col("secret_spans")).alias("l")).collect()}
     assert out[1]["t"] == "é [SECRET] end" and out[2]["t"] == "clean" and out[3]["t"] is None
-    assert out[1]["l"] == "assign:2:36"
+    assert out[1]["l"] == "assign:2:36,hex:20:36"  # kinds are listed each for itself
 
 
 def test_secrets_of_nothing(spark):
