@@ -6,7 +6,7 @@ from plain import documents, ordered
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import fold_conversations, fold_events, format_chats, loss_text, parse_chats
-from tidemark.llm.licenses import PHRASES, scan_licenses
+from tidemark.llm.licenses import PHRASES, TEMPLATES, index_words, scan_licenses
 from tidemark.llm.secrets import KINDS, listing, redact, scan_secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -69,6 +69,24 @@ def test_licenses(spark):
     assert scan_licenses(documents(spark, [])).count() == 0
 
 
+def test_files_of_several_notices(spark):
+    notices = {label: body for label, _, body in TEMPLATES if label in ("bsd", "isc", "mpl-2") or body.startswith("permission is")}
+    groups = [["bsd", "isc"], ["bsd", "isc", "mit", "mpl-2"], ["mit"]]
+    rows = [(i, " filler ".join(notices[x] for x in g), "en") for i, g in enumerate(groups)]
+    rows += [(9, " . ".join(body for _, _, body in TEMPLATES) + " word" * 500, "en")]
+    out = {r["doc_id"]: r for r in scan_licenses(documents(spark, rows)).collect()}
+    for i, g in enumerate(groups):
+        assert out[i]["labels"] == g and out[i]["score"] == 1.0
+    assert out[9]["labels"] == sorted({label for label, _, _ in TEMPLATES})
+
+
+def test_index_words_miss_no_match():
+    for weights in ([1] * 9, [1, 2, 3, 4, 5], [7, 1, 1], [1]):
+        idf = {f"w{i}": float(x) for i, x in enumerate(weights)}
+        index = index_words(list(idf), idf, 0.6)
+        assert index and sum(x for w, x in idf.items() if w not in index) < 0.6 * sum(idf.values())
+
+
 def test_chats(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<\\|x|> <\\\\| <|", "", None, "a\nb\n", "😀é"]
     rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"])]

@@ -2,11 +2,12 @@
 
 Base: places where the words of fixed phrases stand consecutively.
 
-Index: every template word has postings (template, position). A file looks up its highest-IDF licence
-words, the IDF coming from counts over all files, and intersects the postings by relative position:
-words that belong to one copy of a template agree in file position minus template position. A template
-whose index words agree at one offset with enough of their IDF weight is labelled once its mandatory key
-phrase is found in the file.
+Index: a template's words of highest IDF have postings (template, position), the IDF coming from counts over
+all files; so many words that those left out cannot reach the required share without one of them. A file looks
+up every index word that it holds. Words that belong to one copy of a template agree in file position minus
+template position, which gives candidate offsets; at each, the share counts all words of the template. A
+template with enough of its IDF weight at one offset is labelled once its mandatory key phrase is found in the
+file.
 """
 
 from __future__ import annotations
@@ -87,13 +88,22 @@ def word_idf(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict
     return {w: math.log(1 + (1 + n) / (1 + df.get(w, 0))) for w in vocabulary}  # above 0, also for a word of every file
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lookup: int = 16, agree: float = 0.6) -> DataFrame:
+def index_words(words: list[str], idf: dict[str, float], agree: float) -> list[str]:
+    """The words of highest IDF, one at least, without any of which the others weigh less than the required share."""
+    ranked = sorted(words, key=lambda w: (-idf[w], w))
+    least = agree * sum(idf[w] for w in words) * (1 - 1e-9)
+    rest = 0.0
+    while len(ranked) > 1 and rest + idf[ranked[-1]] < least:
+        rest += idf[ranked.pop()]
+    return ranked
+
+
+def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", agree: float = 0.6) -> DataFrame:
     """Every row of docs with its licence places and labels.
 
     Adds ``n_words, base_places array<struct<word, label>>, labels array<string>, matches
-    array<struct<label, word, score>>, score``. ``lookup`` is how many licence words
-    of highest IDF a file is looked up by; ``agree`` the share of a template's heaviest words' IDF that must agree at one offset. A null text
-    counts as empty; a file without any licence word has no match and score 0. Rows that repeat get equal results.
+    array<struct<label, word, score>>, score``. ``agree`` is the share of the IDF of all words of a template that
+    must agree at one offset. A null text counts as empty; a file without any licence word has no match and score 0. Rows that repeat get equal results.
     A column of docs that has the name of an added one is replaced.
     """
     spark = docs.sparkSession
@@ -104,18 +114,23 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
     vocabulary = sorted({w for _, _, t in TEMPLATES for w in t.split()})
     idf = word_idf(docs, vocabulary, text)
     bodies = [list(dict.fromkeys(body.split())) for _, _, body in TEMPLATES]
-    weight = [sum(sorted((idf[w] for w in words), reverse=True)[:lookup]) for words in bodies]
-    postings = [(w, t, TEMPLATES[t][2].split().index(w), idf[w], weight[t]) for t, words in enumerate(bodies) for w in words]
-    index = spark.createDataFrame(postings, "word string, tid int, tpos int, idf double, weight double")
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
-    ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    by_rank = F.array(*(F.lit(w) for w in rank))
-
-    def looked_up(words: Column) -> Column:
-        """The places of a file's licence words of highest IDF."""
-        own = F.slice(F.array_sort(F.transform(F.array_intersect(words, by_rank), lambda w: F.element_at(ranks, w))), 1, lookup)
-        best = F.transform(own, lambda r: F.element_at(by_rank, r + 1))
-        return let(best, lambda top: F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.array_contains(top, x["word"])))
+    postings = [(w, t, words.index(w)) for t, words in enumerate(body.split() for _, _, body in TEMPLATES) for w in index_words(bodies[t], idf, agree)]
+    index = spark.createDataFrame(postings, "word string, tid int, tpos int")
+    looked_up = F.array(*(F.lit(w) for w in sorted({w for w, _, _ in postings})))
+
+    def placed_words(words: Column) -> Column:
+        """The places of all index words of a file."""
+        return F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.array_contains(looked_up, x["word"]))
+
+    def share(words: Column, tid: Column, off: Column) -> Column:
+        """The share of a template's IDF whose words stand at their places from an offset on."""
+
+        def of(t: int) -> Column:
+            own = [(w, TEMPLATES[t][2].split().index(w)) for w in bodies[t]]
+            held = sum((F.when(F.get(words, off + at) == w, idf[w]).otherwise(0.0) for w, at in own), F.lit(0.0))
+            return F.least(held / sum(idf[w] for w in bodies[t]), F.lit(1.0))
+
+        return reduce(lambda other, t: F.when(tid == t, of(t)).otherwise(other), range(len(TEMPLATES)), F.lit(0.0))
 
     # files that cannot hold a licence are finished without a join; their texts are not shuffled
     likely = may_hold_license(F.col(text))
@@ -123,15 +138,15 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
     plain = docs.filter(~likely).select(
         "_row", count_words(F.col(text)).alias("n_words"), F.array().cast("array<struct<word:bigint,label:string>>").alias("base_places"), none.alias("matches"))
     keyed = docs.filter(likely).withColumns({"_h": row_key(text)[0], "_n": row_key(text)[1], "_w": license_words(F.col(text))})
-    hits = keyed.select(id_col, "_h", "_n", F.explode_outer(let(F.col("_w"), looked_up)).alias("x")).select(id_col, "_h", "_n", "x.pos", "x.word")
+    # only templates whose key phrase the file holds have candidates
+    joined_text = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
+    tids = let(joined_text, lambda body: F.filter(F.array(*(F.when(F.contains(body, F.lit(f" {key} ")), t) for t, (_, key, _) in enumerate(TEMPLATES))), lambda t: t.isNotNull()))
+    open_ = keyed.withColumn("_tids", tids).filter(F.size("_tids") > 0)
+    hits = open_.select(id_col, "_h", "_n", "_tids", F.explode(placed_words(F.col("_w"))).alias("x")).select(id_col, "_h", "_n", "_tids", "x.pos", "x.word")
     # the index is fixed by the templates: a few dozen rows
     found = (
-        hits.join(F.broadcast(index), "word")
-        .groupBy(id_col, "_h", "_n", "tid", (F.col("pos") - F.col("tpos")).alias("off"), "word").agg(F.first("idf").alias("idf"), F.first("weight").alias("weight"))
-        .groupBy(id_col, "_h", "_n", "tid", "off").agg((F.sum("idf") / F.first("weight")).alias("share"))
-        .filter(F.col("share") >= agree)
-        .groupBy(id_col, "_h", "_n")
-        .agg(F.collect_list(F.struct("tid", F.col("off").cast("long").alias("off"), F.least("share", F.lit(1.0)).alias("share"))).alias("_found"))
+        hits.join(F.broadcast(index), "word").filter(F.array_contains("_tids", F.col("tid")))
+        .groupBy(id_col, "_h", "_n").agg(F.collect_set(F.struct("tid", (F.col("pos") - F.col("tpos")).alias("off"))).alias("_found"))
     )
     joined = join_rows(keyed, found, "left", id_col)
     words = F.col("_w")
@@ -140,11 +155,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
         return F.transform(places(words, phrase), lambda i: F.struct(i.cast("long").alias("word"), F.lit(label).alias("label")))
 
     base = F.concat(*(placed(p, label) for p, label in PHRASES.items()))
-    labels, keys = (F.array(*(F.lit(t[i]) for t in TEMPLATES)) for i in (0, 1))
-    joined_text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    verified = F.filter("_found", lambda m: F.contains(F.col("_joined"), F.concat(F.lit(" "), F.element_at(keys, m["tid"] + 1), F.lit(" "))))
-    matches = F.transform(verified, lambda m: F.struct(F.element_at(labels, m["tid"] + 1).alias("label"), m["off"].alias("word"), m["share"].alias("score")))
-    held = joined.withColumn("_joined", F.when(F.col("_found").isNotNull(), joined_text)).select(
+    labels = F.array(*(F.lit(label) for label, _, _ in TEMPLATES))
+    scored = F.transform("_found", lambda m: F.struct(F.element_at(labels, m["tid"] + 1).alias("label"), m["off"].cast("long").alias("word"), share(words, m["tid"], m["off"]).alias("score")))
+    matches = F.filter(scored, lambda m: m["score"] >= agree)
+    held = joined.select(
         "_row", F.size("_w").cast("long").alias("n_words"), F.array_sort(base).alias("base_places"),
         F.when(F.col("_found").isNotNull(), F.array_sort(matches)).otherwise(none).alias("matches"))
     out = plain.unionByName(held).select(*(F.col(f"_row.`{c}`") for c in kept), "n_words", "base_places", "matches")
