@@ -5,6 +5,7 @@ import string
 from plain import documents, ordered
 from pyspark.sql import functions as F
 
+from tidemark.llm import licenses
 from tidemark.llm.chat import fold_conversations, fold_events, format_chats, loss_text, parse_chats
 from tidemark.llm.licenses import PHRASES, TEMPLATES, index_words, scan_licenses
 from tidemark.llm.secrets import KINDS, listing, redact, scan_secrets
@@ -80,6 +81,16 @@ def test_files_of_several_notices(spark):
     assert out[9]["labels"] == sorted({label for label, _, _ in TEMPLATES})
 
 
+def test_files_without_a_key_phrase_alone_are_left_out(spark, monkeypatch):
+    rows = [(0, "Text: CC BY-SA 4.0", "en"), (1, "photo, cc--BY\nsa 4 0", "en"), (2, "a license", "en"), (3, None, "en")]
+    rows += [(10 + i, key.replace(" ", " - "), "en") for i, key in enumerate([*PHRASES, *(key for _, key, _ in TEMPLATES)])]
+    pick = lambda: {r["doc_id"]: (r["labels"], round(r["score"], 9), r["n_words"], r["base_places"]) for r in scan_licenses(documents(spark, rows)).collect()}
+    out = pick()
+    assert out[0][0] == out[1][0] == ["cc-by-sa"] and out[2][0] == out[3][0] == []
+    monkeypatch.setattr(licenses, "may_hold_license", lambda text: F.lit(True))
+    assert pick() == out
+
+
 def test_index_words_miss_no_match():
     for weights in ([1] * 9, [1, 2, 3, 4, 5], [7, 1, 1], [1]):
         idf = {f"w{i}": float(x) for i, x in enumerate(weights)}

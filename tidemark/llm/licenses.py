@@ -59,11 +59,19 @@ def count_words(text: Column) -> Column:
 
 
 def may_hold_license(text: Column) -> Column:
-    """False only for files that hold neither a phrase nor a word of every template: a quick search for parts of words."""
+    """True for all files that hold a phrase or a template's key phrase, without one of which no label is given.
+
+    Each is searched for only where its longest word stands.
+    """
+    keys = sorted({*PHRASES, *(key for _, key, _ in TEMPLATES)})
+    gates = {k: max(k.split(), key=len) for k in keys}
 
     def found(low: Column) -> Column:
-        part = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ("licen", "permission", "redistribution", "unencumbered")))
-        return part | (F.contains(low, F.lit("nc")) & F.rlike(low, F.lit(f"cc{BETWEEN}by{BETWEEN}nc")))
+        def held(gate: str) -> Column:
+            own = "|".join(BETWEEN.join(k.split()) for k in keys if gates[k] == gate)
+            return F.contains(low, F.lit(gate)) & F.rlike(low, F.lit(own))
+
+        return reduce(lambda a, b: a | b, map(held, sorted(set(gates.values()))))
 
     return F.coalesce(let(F.lower(text), found), F.lit(False))
 
@@ -132,7 +140,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id", a
 
         return reduce(lambda other, t: F.when(tid == t, of(t)).otherwise(other), range(len(TEMPLATES)), F.lit(0.0))
 
-    # files that cannot hold a licence are finished without a join; their texts are not shuffled
+    # files without any key phrase get no label and are finished without a join; their texts are not shuffled
     likely = may_hold_license(F.col(text))
     none = F.array().cast("array<struct<label:string,word:bigint,score:double>>")
     plain = docs.filter(~likely).select(
