@@ -23,6 +23,25 @@ def test_jaccard_join_with_many_documents_a_token(spark, monkeypatch, small, sal
     assert ordered(out.collect()) == ordered(components(texts()))
 
 
+@pytest.mark.parametrize(("small", "salt", "paired"), [(8, 20_000, 500), (2, 2, 3)])
+def test_links_are_the_whole_join(spark, monkeypatch, small, salt, paired):
+    """A family of near copies that share their prefix tokens: all its pairs are links."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "SALT", salt)
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    body = " ".join(f"w{i}" for i in range(60))
+    family = [f"{body} end{i} of{i} it{i}" for i in range(20)] + [" ".join(f"w{i}" for i in range(9, 60 + j)) for j in range(6)]
+    rows = [(i, t, "en") for i, t in enumerate(family)] + [(100, family[3], "en"), (101, "some other text that is like none of these", "en"), (102, "", "en")]
+    sets = {i: set(shingles(t)) for i, t, _ in rows if t and i != 100}
+    wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(wanted) > 190
+    _, links = jaccard.jaccard_join(documents(spark, rows))
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == sorted(wanted)
+    counts = {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(documents(spark, rows)).collect()}
+    of = {i: sum(i in pair for pair in wanted) for i in sets}
+    assert counts == of | {100: of[3]}
+
+
 def test_similar_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(300):

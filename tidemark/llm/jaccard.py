@@ -13,6 +13,8 @@ token within their prefixes, the first ``n - ceil(t n) + 1`` tokens, under every
 4. Of tokens with more documents, those whose documents are not yet all linked give all pairs across the
    components so far, which are checked likewise. So no link between components is missed.
 5. Components of all links.
+6. Pairs within a component that share a token with more documents are checked where the links themselves are
+   read; components do not need them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from .text import Words, mix, pieces, shingle_sets
 SMALL = 8  # documents of one token that give all their pairs at once
 COMMON = 8  # documents that share a token, beyond which it is counted as common
 TABLE = 1 << 20  # most common tokens that the first order knows of; only the order depends on it
+PAIRED = 500  # documents of a token that one task pairs with all others of it
 SALT = 20_000  # documents of a common token that go to one task
 FLUSH = 400_000
 WORDS = 16  # 64-bit words of parity that joins compare
@@ -305,13 +308,43 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Classes and links: ``(id_col, n_shingles, component_id)`` for each row, and verified links ``a, b``.
+    """Classes and links: ``(id_col, n_shingles, component_id)`` for each row, and all verified links ``a, b``, a < b.
 
-    component_id is the smallest id that links reach, the row's own included. Links join representatives of
-    classes of equal sets. Rows with a null id or without words are linked with nothing; a null id gives a
-    null component. Rows that repeat an id are one document that links where one of its texts does.
+    component_id is the smallest id that links reach, the row's own included. Links join all representatives of
+    classes of equal sets that reach the similarity, and the classes of an id that repeats; those within components
+    are checked when the links are read. Rows with a null id or without words are linked with nothing; a null id
+    gives a null component. Rows that repeat an id are one document that links where one of its texts does.
     ``buckets`` deals out the prefix tokens; by default it follows the input splits.
     """
+    out, links, again, _ = _join(docs, id_col, text, k, percent, buckets)
+    return out, links.union(again).distinct()
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
+    """``(id_col, n_links)`` for each id with words: how many classes of other sets reach the similarity with its own."""
+    _, links, _, reps = _join(docs, id_col, text, k, percent, buckets)
+    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
+    own = reps.select("id", F.col("rep").alias("other"))
+    met = reps.select("id", "rep").join(ends, "rep").select("id", "other").distinct().join(own, ["id", "other"], "left_anti")
+    counts = met.groupBy("id").agg(F.count("*").alias("n"))
+    return reps.select("id").distinct().join(counts, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _within(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one component that share a token with many documents, each made at the smallest of them."""
+    many = members.groupBy("token").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("salts"))
+    shared = members.groupBy("node").agg(F.collect_set("token").alias("tokens"))
+    full = members.join(shared.join(facts, "node"), "node").join(many, "token")
+    side = lambda c: (F.col("token").alias(f"token{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}"), F.col("words").alias(f"w{c}"), F.col("tokens").alias(f"t{c}"))
+    x = full.select(*side("a"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("sa"))
+    y = full.select(*side("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("sb"))
+    fits = (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _words_allow(percent)
+    fits = fits & (F.array_min(F.array_intersect("ta", "tb")) == F.col("tokena"))
+    return x.join(y, (F.col("tokena") == F.col("tokenb")) & (F.col("sa") == F.col("sb")) & fits).select("a", "b").distinct()
+
+
+def _join(docs: DataFrame, id_col: str, text: str, k: int, percent: int, buckets: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with components, links by similarity, links of repeated ids, and ``id, n, rep`` of all documents with words."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
@@ -329,7 +362,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     firsts = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     reps = scratch.save(usable.join(firsts, ["n", "s1", "s2"]).select("id", "n", "rep").distinct(), "reps")
     same_id = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
-    again = reps.join(same_id, "id").select("a", F.col("rep").alias("b"))
+    again = reps.join(same_id, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
 
     posted = texts.filter("id is not null").mapInArrow(_postings(k, percent, buckets, common, counts), "bucket long, token binary, doc binary, size binary")
     found = scratch.save(posted.groupBy("bucket").applyInPandas(_candidates(percent, buckets, common, counts), "kind int, a long, b long, n long"), "found")
@@ -342,8 +375,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     )
     tried = scratch.save(_likely(pairs, bits, percent), "pairs")
     usable_texts = texts.filter("id is not null and text is not null")
-    links = scratch.save(_linked(tried, usable_texts, k, percent).union(again).distinct(), "links")
-    comps = connected_components(links, scratch, "first")
+    links = scratch.save(_linked(tried, usable_texts, k, percent).distinct(), "links")
+    comps = connected_components(links.union(again), scratch, "first")
 
     members = (
         found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id")).join(rep, "id")
@@ -366,10 +399,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     if not across.isEmpty():
         more = scratch.save(_linked(across, usable_texts, k, percent), "more")
         links = links.union(more)
-        comps = connected_components(links, scratch, "second")
+        comps = connected_components(links.union(again), scratch, "second")
     own = reps.groupBy("id").agg(F.min("rep").alias("rep"))
     out = (
         sets.join(own, "id", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "id").alias("component_id"))
     )
-    return out, links
+    within = _within(members, facts, percent).join(tried, ["a", "b"], "left_anti")
+    return out, links.union(_linked(_likely(within, bits, percent), usable_texts, k, percent)).distinct(), again, reps
