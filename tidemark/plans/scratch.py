@@ -7,14 +7,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only where both are one process may it be left unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return _local[0]
+
+
+class Scratch:
+    """Tables of one run in a folder of its own; each is removed once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self.names.remove(name)
+
+    def last(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Save what a run returns and remove all other tables of the run."""
+        out = self.save(df, name)
+        self.drop(*(n for n in list(self.names) if n != name))
+        return out
+
 
 def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a DataFrame and read it back."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).save(df, "t")
