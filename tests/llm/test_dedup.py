@@ -12,22 +12,19 @@ def test_jaccard_join(spark):
     assert all(r["a"] < r["b"] for r in links.collect())
 
 
-@pytest.mark.parametrize(("small", "salt", "table"), [(1, 3, 1 << 16), (2, 2, 0)])
-def test_jaccard_join_with_many_documents_a_token(spark, monkeypatch, small, salt, table):
-    """The ways for common tokens: stars, salted tokens, pairs across components, or an order that knows no common token."""
+@pytest.mark.parametrize(("small", "paired", "flush", "buckets"), [(1, 3, 500, 3), (2, 2, 1 << 20, 40)])
+def test_jaccard_join_with_many_documents_a_token(spark, monkeypatch, small, paired, flush, buckets):
+    """The ways for common tokens: stars and salted pairs across components; small and large flushes."""
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "SALT", salt)
-    monkeypatch.setattr(jaccard, "TABLE", table)
-    monkeypatch.setattr(jaccard, "COMMON", 1)
-    out, _ = jaccard.jaccard_join(documents(spark))
-    assert ordered(out.collect()) == ordered(components(texts()))
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "FLUSH", flush)
+    assert ordered(jaccard.jaccard_groups(documents(spark), buckets=buckets).collect()) == ordered(components(texts()))
 
 
-@pytest.mark.parametrize(("small", "salt", "paired"), [(8, 20_000, 500), (2, 2, 3)])
-def test_links_are_the_whole_join(spark, monkeypatch, small, salt, paired):
+@pytest.mark.parametrize(("small", "paired"), [(8, 500), (2, 3)])
+def test_links_are_the_whole_join(spark, monkeypatch, small, paired):
     """A family of near copies that share their prefix tokens: all its pairs are links."""
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "SALT", salt)
     monkeypatch.setattr(jaccard, "PAIRED", paired)
     body = " ".join(f"w{i}" for i in range(60))
     family = [f"{body} end{i} of{i} it{i}" for i in range(20)] + [" ".join(f"w{i}" for i in range(9, 60 + j)) for j in range(6)]
@@ -42,20 +39,6 @@ def test_links_are_the_whole_join(spark, monkeypatch, small, salt, paired):
     assert counts == of | {100: of[3]}
 
 
-def test_similar_is_exact():
-    rng = np.random.default_rng(3)
-    for _ in range(300):
-        n = int(rng.integers(1, 60))
-        x = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
-        keep = x[rng.random(len(x)) < rng.uniform(0.6, 1)]
-        y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, int(rng.integers(0, 12)), dtype=np.uint64)]))
-        both = len(np.intersect1d(x, y))
-        wanted = bool(len(x) and len(y)) and 100 * both >= 75 * (len(x) + len(y) - both)
-        assert jaccard.similar(x, y, 75) == wanted
-        if wanted:
-            assert jaccard.may_be_similar(jaccard.parity_bits(x), jaccard.parity_bits(y), len(x), len(y), 75)
-
-
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_join(documents(spark, []))[0].count() == 0
 

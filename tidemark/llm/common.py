@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch, shared_dir  # noqa: F401
+
 #: Words as the contracts define them: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -17,45 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and outlive a lost executor."""
-
-    def __init__(self, spark: SparkSession, tag: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Let the session send Python at most so many rows, and about so many bytes, at once: texts can be long.
-
-    A smaller limit that the session has already set stays.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(key, None)
-        if now is None or (isinstance(most, int) and not 0 < int(now) <= most):
-            spark.conf.set(key, most)
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that is not taken."""
     while name in taken:
@@ -63,9 +23,8 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def splits(spark: SparkSession, docs: DataFrame) -> int:
-    """Input splits of a table; their number follows its size, so work dealt by it keeps a bounded share a task."""
-    return max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parallelism(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def words_of(text: Column) -> Column:

@@ -3,18 +3,18 @@
 Sets are the distinct runs of five words of a text. Two sets with a Jaccard similarity of t or more share a
 token within their prefixes, the first ``n - ceil(t n) + 1`` tokens, under every global order of all tokens.
 
-1. Documents with equal sets form a class, which its smallest id stands for.
-2. All tokens are counted by 32-bit fingerprints within hashed buckets. The first order puts tokens that many
-   documents share last, by classes of their count, and the others in the order of a hash. Prefix tokens are dealt out by token; those of very common tokens, by token and
-   document. A token's documents give candidate pairs: all pairs of up to ``SMALL`` documents, else a star.
-3. Candidates whose sizes allow the similarity are checked by parity bits of their sets, which bound from below
-   how many tokens they do not share, then for shared prefix tokens under two further orders; only those that
-   share some under each are verified on the sets.
-4. Of tokens with more documents, those whose documents are not yet all linked give all pairs across the
-   components so far, which are checked likewise. So no link between components is missed.
-5. Components of all links.
-6. Pairs within a component that share a token with more documents are checked where the links themselves are
-   read; components do not need them.
+1. A task gathers sets into a flush and deals their tokens out by hash; what a flush holds several times goes as
+   one count. Where a token's counts meet, the number of sets that hold it is known; it goes back to the flushes.
+   This join carries the counts to the sets: no table of tokens reaches the driver or all tasks.
+2. Tokens that one set alone holds come first in all three orders; the others by classes of their count, finer or
+   coarser, and by a hash that each order has of its own. A set whose prefix holds only tokens of its own is done.
+3. Sets that are equal form a class, which its smallest id stands for. Prefix tokens of classes under the first
+   order are joined: all pairs of up to ``SMALL`` classes of one token, else a star around one of them.
+4. Candidates must fit in size and share prefix tokens under the second and under the third order, and parity bits
+   of their sets must leave it open that they are similar. Only what passes all of it is verified on the sets.
+5. Components of all links. Tokens with more classes, where not all are in one component yet, give all pairs
+   across components, which go through the same filters. So no link between components is missed.
+6. Pairs within a component that share a token with more classes are made only where links are asked for.
 """
 
 from __future__ import annotations
@@ -22,23 +22,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, splits
+from .common import Scratch, parallelism
 from .components import connected_components
 from .text import Words, mix, pieces, shingle_sets
 
-SMALL = 8  # documents of one token that give all their pairs at once
-COMMON = 8  # documents that share a token, beyond which it is counted as common
-TABLE = 1 << 20  # most common tokens that the first order knows of; only the order depends on it
-PAIRED = 500  # documents of a token that one task pairs with all others of it
-SALT = 20_000  # documents of a common token that go to one task
-FLUSH = 400_000
-WORDS = 16  # 64-bit words of parity that joins compare
-ORDERS = (0x51ED270B, 0xA24BAED4963EE407 & (1 << 63) - 1, 0x9FB21C651E98DF25 & (1 << 63) - 1)
+SMALL = 8  # classes of one token that give all their pairs at once
+PAIRED = 500  # classes of a token that one task pairs with all others of it
+FLUSH = 400_000  # tokens that a task gathers at least before it deals them out
+BUCKET_BYTES = 24_000_000  # tokens and owners that one task counts
+WORDS = 16  # 64-bit words of parity
+ORDERS = (0x51ED270B, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
+CLASS = ["n", "s1", "s2"]
+DEALT = {"bucket": "bigint", "flush": "bigint", "token": "binary", "own": "binary", "many": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
+COUNTED = {"flush": "bigint", "token": "binary", "own": "binary", "level": "binary", "many": "binary", "many_level": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
+SETS = {"id": "bigint", "n": "bigint", "s1": "bigint", "s2": "bigint", "open": "boolean", "own": "bigint", "words": "array<bigint>", "shared": "array<bigint>", "p1": "array<bigint>", "p2": "array<bigint>", "p3": "array<bigint>"}
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{k} {v}" for k, v in columns.items())
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -64,346 +70,310 @@ def _sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Rec
             yield rows, *shingle_sets(hashes, at, k)
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """For each of 2 ** m places, at least as many as tokens, whether an odd number of tokens falls there."""
-    places = max(64, 1 << (len(tokens) - 1).bit_length())
-    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def parity_words(tokens: np.ndarray) -> np.ndarray:
-    """The same over 64 * WORDS places for sets of any size, as integers that SQL can count the bits of."""
-    odd = np.bincount((tokens & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def may_be_similar(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
-    """False only where the parity bits differ at more places than similar sets have tokens of their own."""
-    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
-    size, least = 8 * max(len(x), len(y)), 8 * min(len(x), len(y))
-    while size > least:  # the larger one folded to the size of the other
-        size //= 2
-        if len(x) > len(y):
-            a = (a >> size) ^ (a & ((1 << size) - 1))
-        else:
-            b = (b >> size) ^ (b & ((1 << size) - 1))
-    return (a ^ b).bit_count() * (100 + percent) <= (nx + ny) * (100 - percent)
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Rows in the order of keys (the last one counts most), and whether each then starts a run of equal ones."""
+    order = np.lexsort(keys)
+    start = np.ones(len(order), bool)
+    if len(order):
+        start[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, start
 
 
-def _describe(k: int):
-    def run(batches):
-        for rows, tokens, at in _sets_of(batches, k):
-            one, two = _signatures(tokens, at)
-            n = len(one)
-            bits = pa.array([parity_bits(tokens[at[i] : at[i + 1]]) if at[i + 1] > at[i] else b"" for i in range(n)], pa.binary())
-            words = pa.array([parity_words(tokens[at[i] : at[i + 1]]) for i in range(n)], pa.list_(pa.int64()))
-            names = ["id", "n", "s1", "s2", "bits", "words"]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(one), pa.array(two), bits, words], names=names)
-
-    return run
+def cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def counting_key(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket that counts a token, and its fingerprint there."""
-    h = mix(tokens ^ np.uint64(0x5DEECE66D))
-    return h % np.uint64(buckets), ((h >> np.uint64(32)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def join_cells(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Binary values as one array, and how many items each has; nulls have none."""
+    cells = [x or b"" for x in column.to_pylist()]
+    return np.frombuffer(b"".join(cells), kind), np.array([len(x) for x in cells], np.int64) // np.dtype(kind).itemsize
 
 
-def _fingerprints(k: int, buckets: int):
-    """All tokens of all sets, dealt out to be counted: ``bucket, prints, counts``; a task's repeats are one print."""
+def table_of(columns: dict, kinds: dict[str, str], n: int) -> pa.Table:
+    types = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "boolean": pa.bool_()}
+    return pa.table({k: (columns[k] if isinstance(columns[k], pa.Array) else pa.array(columns[k], types[t])) if k in columns else pa.nulls(n, types[t]) for k, t in kinds.items()})
 
-    def flush(held):
-        token, count = np.unique(np.concatenate(held), return_counts=True)
-        bucket, mark = counting_key(token, buckets)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        mark, count = mark[order], np.minimum(count[order], 255).astype(np.uint8)
-        full = np.flatnonzero(np.diff(bounds))
-        cut = lambda x: pa.array([x[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), cut(mark), cut(count)], names=["bucket", "prints", "counts"])
 
-    def run(batches):
-        held, n = [], 0
-        for _, tokens, _ in _sets_of(batches, k):
-            held.append(tokens)
-            n += len(tokens)
-            if n >= 2 * FLUSH:
-                yield flush(held)
-                held, n = [], 0
-        if n:
-            yield flush(held)
+def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so tokens in order are in order of buckets, too."""
+    return ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
-    return run
 
+def _deal(k: int, buckets: int, flush: int):
+    """Tokens by bucket, and one row with the ids, sizes, signatures and repeated tokens of each flush."""
 
-def _count_prints(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Prints of one bucket that stand in more than COMMON documents, a bucket's place in the upper half of the key."""
-    mark, count = np.frombuffer(b"".join(pdf["prints"]), np.uint32), np.frombuffer(b"".join(pdf["counts"]), np.uint8)
-    order = np.argsort(mark, kind="stable")
-    mark = mark[order]
-    first = np.ones(len(mark), bool)
-    first[1:] = mark[1:] != mark[:-1]
-    at = np.flatnonzero(first)
-    total = np.add.reduceat(count[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    many = total > COMMON
-    return pd.DataFrame({"print": mark[at][many].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32), "n": total[many]})
-
-
-def _common_counts(tokens: np.ndarray, buckets: int, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(common):
-        return np.zeros(len(tokens), np.int64)
-    bucket, mark = counting_key(tokens, buckets)
-    key = (bucket << np.uint64(32)).view(np.int64) | mark.astype(np.int64)
-    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-    return np.where(common[at] == key, counts[at], 0)
-
-
-def _postings(k: int, percent: int, buckets: int, common: np.ndarray, counts: np.ndarray):
-    """Prefix tokens under the first order, by bucket: ``bucket, token, doc, size`` as arrays of bytes."""
-
-    def flush(held):
-        token, doc, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        many = _common_counts(token, buckets, common, counts)
-        salts = np.maximum(1, -(-many // SALT)).astype(np.uint64)
-        salt = mix(doc.view(np.uint64) ^ token) % salts
-        bucket = (mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        token, doc, size = token[order], doc[order], size[order]
-        full = np.flatnonzero(np.diff(bounds))
-        cut = lambda x: [x[bounds[b] : bounds[b + 1]].tobytes() for b in full]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(cut(token), pa.binary()), pa.array(cut(doc), pa.binary()), pa.array(cut(size), pa.binary())], names=["bucket", "token", "doc", "size"])
+    def emit(number: int, held: list) -> pa.RecordBatch:
+        ids = pa.concat_arrays([h[0] for h in held])
+        n, one, two = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        tokens = np.concatenate([h[4] for h in held])
+        named = np.asarray(ids.is_valid()) & (n > 0)
+        # of equal sets of a flush, that of the smallest id holds the tokens
+        plain = np.asarray(ids.fill_null(0), np.int64)
+        order, start = _firsts(two, one, n, ~named)
+        order = np.lexsort((plain, two, one, n, ~named))
+        holder = np.zeros(len(n), bool)
+        holder[order[start]] = True
+        holder &= named
+        own = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        picked = holder[own]
+        token, own = tokens[picked], own[picked]
+        order = np.argsort(token, kind="stable")
+        token, own = token[order], own[order]
+        start = np.ones(len(token), bool)
+        start[1:] = token[1:] != token[:-1]
+        at = np.flatnonzero(start)
+        size = np.diff(np.append(at, len(token)))
+        lone = at[size == 1]
+        many, count = token[at[size > 1]], size[size > 1].astype(np.uint32)
+        owners = own[np.repeat(size > 1, size)]
+        edges = np.arange(buckets + 1, dtype=np.uint64)
+        by_lone, by_many = (np.searchsorted(bucket_of(t, buckets), edges) for t in (token[lone], many))
+        cells = {"bucket": np.arange(buckets), "flush": np.full(buckets, number), "token": cut(token[lone], by_lone), "own": cut(own[lone], by_lone), "many": cut(many, by_many), "count": cut(count, by_many)}
+        full = np.flatnonzero((np.diff(by_lone) > 0) | (np.diff(by_many) > 0))
+        facts = np.stack([n, one, two, holder.astype(np.int64)], axis=1)
+        head = {
+            "bucket": [number % buckets], "flush": [number], "many": [many.tobytes()], "count": [count.tobytes()], "owners": [owners.tobytes()],
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "facts": [facts.tobytes()]}
+        both = pa.concat_tables([table_of(cells, DEALT, buckets).take(pa.array(full)), table_of(head, DEALT, 1)])
+        return both.combine_chunks().to_batches()[0]
 
     def run(batches):
-        seen, held, n_held = set(), [], 0
+        number, held, total = TaskContext.get().partitionId() << 32, [], 0
         for rows, tokens, at in _sets_of(batches, k):
-            n = np.diff(at)
-            ids = rows.column(0).to_numpy(zero_copy_only=False)
-            one, two = _signatures(tokens, at)
-            keep = np.zeros(len(n), bool)
-            for i, key in enumerate(zip(n.tolist(), one.tolist(), two.tolist(), strict=True)):
-                if key[0] and key not in seen:  # one document of each class and task
-                    seen.add(key)
-                    keep[i] = True
-            own = np.repeat(np.arange(len(n)), n)
-            picked = keep[own]
-            token, own = tokens[picked], own[picked]
-            level = np.ceil(np.log2(_common_counts(token, buckets, common, counts) + 1)).astype(np.uint64)
-            rank = (level << np.uint64(58)) | (mix(token ^ np.uint64(ORDERS[0])) >> np.uint64(6))
-            order = np.lexsort((token, rank, own))
-            token, own = token[order], own[order]
-            first = np.searchsorted(own, np.arange(len(n)))
-            within = np.arange(len(own)) - first[own] < need(n, percent)[own]
-            token, own = token[within], own[within]
-            held.append((token, ids[own].astype(np.int64), n[own].astype(np.int32)))
-            n_held += len(token)
-            if n_held >= FLUSH:
-                yield flush(held)
-                held, n_held = [], 0
-        if n_held:
-            yield flush(held)
+            held.append((rows.column(0), np.diff(at), *_signatures(tokens, at), tokens))
+            total += len(tokens) + 8 * rows.num_rows
+            if total >= flush:
+                yield emit(number, held)
+                number, held, total = number + 1, [], 0
+        if held:
+            yield emit(number, held)
 
     return run
 
 
-def _candidates(percent: int, buckets: int, common: np.ndarray, counts: np.ndarray):
-    """Pairs (kind 0: a, b) and members of tokens with many documents (kind 1: token, doc, size) of one bucket."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, doc, size = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", np.uint64), ("doc", np.int64), ("size", np.int32)))
-        order = np.lexsort((doc, token))
-        token, doc, size = token[order], doc[order], size[order].astype(np.int64)
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        token, doc, size = token[fresh], doc[fresh], size[fresh]
-        start = np.ones(len(token), bool)
-        start[1:] = token[1:] != token[:-1]
-        run_at = np.flatnonzero(start)
-        group = np.cumsum(start) - 1
-        width = np.diff(np.append(run_at, len(token)))[group] if len(token) else np.zeros(0, int)
-        many = (width > SMALL) | (_common_counts(token, buckets, common, counts) > SALT)
-        left, right = [], []
-        for d in range(1, SMALL):
-            i = np.flatnonzero((group[d:] == group[:-d]) & (width[d:] <= SMALL)) if len(token) > d else np.zeros(0, int)
-            left.append(i)
-            right.append(i + d)
-        star = np.flatnonzero((width > SMALL) & ~start)
-        left.append(run_at[group[star]])
-        right.append(star)
-        a, b = np.concatenate(left), np.concatenate(right)
-        ok = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
-        pairs = np.unique(np.stack([doc[a[ok]], doc[b[ok]]], axis=1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
-        m = np.flatnonzero(many)
-        kind = np.repeat([0, 1], [len(pairs), len(m)]).astype(np.int32)
-        return pd.DataFrame({
-            "kind": kind, "a": np.concatenate([pairs[:, 0], token[m].view(np.int64)]), "b": np.concatenate([pairs[:, 1], doc[m]]),
-            "n": np.concatenate([np.zeros(len(pairs), np.int64), size[m]])})
+def _count(table: pa.Table) -> pa.Table:
+    """How many sets hold the tokens of one bucket, for those that two or more hold; what belongs to a flush passes."""
+    head = table.filter(pa.compute.is_valid(table["facts"]))
+    cells = table.filter(pa.compute.is_null(table["facts"]))
+    token, by_token = join_cells(cells["token"], np.uint64)
+    own, _ = join_cells(cells["own"], np.uint32)
+    many, by_many = join_cells(cells["many"], np.uint64)
+    count, _ = join_cells(cells["count"], np.uint32)
+    every, weight = np.concatenate([token, many]), np.concatenate([np.ones(len(token), np.int64), count])
+    order = np.argsort(every, kind="stable")
+    start = np.ones(len(every), bool)
+    start[1:] = every[order][1:] != every[order][:-1]
+    at = np.flatnonzero(start)
+    total = np.add.reduceat(weight[order], at) if len(at) else np.zeros(0, np.int64)
+    level = np.zeros(len(every), np.uint8)
+    level[order] = np.ceil(np.log2(total)).astype(np.uint8)[np.cumsum(start) - 1]
+    one, more = level[: len(token)], level[len(token) :]
+    kept = one > 0
+    bounds = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(by_token)])]
+    by_many = np.concatenate([[0], np.cumsum(by_many)])
+    back = table_of({
+        "flush": cells["flush"].combine_chunks(), "token": cut(token[kept], bounds), "own": cut(own[kept], bounds), "level": cut(one[kept], bounds),
+        "many": cut(many, by_many), "many_level": cut(more, by_many)}, COUNTED, cells.num_rows)
+    passed = table_of({c: head[c].combine_chunks() for c in ("flush", "many", "count", "owners", "ids", "facts")}, COUNTED, head.num_rows)
+    return pa.concat_tables([back, passed])
+
+
+def parity_words(tokens: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets and 64 * WORDS places, whether an odd number of its tokens falls there, as n x WORDS integers."""
+    out = np.zeros((n, WORDS), np.int64)
+    bounds = np.searchsorted(own, np.arange(0, n + 2000, 2000))
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        rows = min(2000, n - 2000 * i)
+        place = (own[a:b] - 2000 * i) * (64 * WORDS) + (tokens[a:b] & np.uint64(64 * WORDS - 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=rows * 64 * WORDS) & 1
+        out[2000 * i : 2000 * i + rows] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(rows, WORDS)
+    return out
+
+
+def _assemble(percent: int):
+    """All rows of a flush; those that may be similar to others with their shared tokens and prefixes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        head = table.filter(pa.compute.is_valid(table["facts"]))
+        cells = table.filter(pa.compute.is_null(table["facts"]))
+        ids = head["ids"].combine_chunks().flatten()
+        n, one, two, holder = np.frombuffer(head["facts"][0].as_py(), np.int64).reshape(-1, 4).T
+        token, own, level = (join_cells(cells[c], t)[0] for c, t in (("token", np.uint64), ("own", np.uint32), ("level", np.uint8)))
+        many, count, owners = (join_cells(head[c], t)[0] for c, t in (("many", np.uint64), ("count", np.uint32), ("owners", np.uint32)))
+        met, met_level = join_cells(cells["many"], np.uint64)[0], join_cells(cells["many_level"], np.uint8)[0]
+        known = np.zeros(len(many), np.uint8)
+        known[np.searchsorted(many, met)] = met_level
+        token, own, level = np.concatenate([token, np.repeat(many, count)]), np.concatenate([own, owners]).astype(np.int64), np.concatenate([level, np.repeat(known, count)]).astype(np.uint64)
+        shared = np.bincount(own, minlength=len(n))
+        free = need(n, percent) - (n - shared)  # places in the prefix that tokens of other sets, too, can take
+        open_ = (holder > 0) & (free > 0) & (shared > 0)
+        own, token, level = (x[open_[own]] for x in (own, token, level))
+        order = np.lexsort((token, own))
+        own, token, level = own[order], token[order], level[order]
+        size = np.bincount(own, minlength=len(n))
+        first = np.concatenate([[0], np.cumsum(size)])
+        lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+
+        def prefix(seed: int, rank: np.ndarray) -> pa.Array:
+            order = np.lexsort((mix(token ^ np.uint64(seed)), rank, own))
+            within = np.arange(len(own)) - first[own] < free[own]
+            return lists(token[order][within], np.minimum(size, np.maximum(free, 0)))
+
+        which = np.flatnonzero(open_)
+        words = parity_words(token, np.searchsorted(which, own), len(which))
+        return table_of({
+            "id": ids, "n": n, "s1": one, "s2": two, "open": open_, "own": n - shared, "words": lists(words.reshape(-1), np.where(open_, WORDS, 0)), "shared": lists(token, size),
+            "p1": prefix(ORDERS[0], level), "p2": prefix(ORDERS[1], (level + np.uint64(1)) // np.uint64(2)), "p3": prefix(ORDERS[2], level > 3)}, SETS, len(n))
 
     return run
 
 
-def _prefix(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    ranks = np.sort(mix(tokens ^ np.uint64(seed)))
-    return ranks[: int(need(np.int64(len(tokens)), percent))]
-
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the similarity: size, prefixes under the further orders, then the sets."""
-    if not len(x) or not len(y) or min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
-        return False
-    for seed in ORDERS[1:]:
-        if not len(np.intersect1d(_prefix(x, seed, percent), _prefix(y, seed, percent), assume_unique=True)):
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
-def _verify(k: int, percent: int):
-    def run(batches):
-        words = Words(lower=True)
-        for batch in batches:
-            for rows, data, offsets in pieces(batch, "ta"):
-                _, _, h, at = words(data, offsets)
-                x, xs = shingle_sets(h, at, k)
-                ys = []
-                for part, other, cuts in pieces(rows.select(["tb"]), "tb"):
-                    _, _, h, at = words(other, cuts)
-                    y, at = shingle_sets(h, at, k)
-                    ys += [y[at[i] : at[i + 1]] for i in range(part.num_rows)]
-                ok = [similar(x[xs[i] : xs[i + 1]], ys[i], percent) for i in range(rows.num_rows)]
-                yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _plausible(percent: int):
-    def run(batches):
-        for batch in batches:
-            x, y, nx, ny = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("xa", "xb", "na", "nb"))
-            ok = [may_be_similar(p, q, m, n, percent) for p, q, m, n in zip(x, y, nx, ny, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
+def _fits(percent: int, left: str = "a", right: str = "b") -> Column:
+    """Sizes that allow the similarity."""
+    x, y = F.col(f"n{left}"), F.col(f"n{right}")
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
 def _words_allow(percent: int) -> Column:
-    """Sizes na, nb and parity words wa, wb of two sets that may be similar."""
-    apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WORDS)), F.lit(0))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return fits & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    """Whether own tokens and parity words of two sets leave it open that they are similar: they bound from below how many tokens the two do not share."""
+    apart = sum((F.bit_count(F.col("wordsa")[i].bitwiseXOR(F.col("wordsb")[i])) for i in range(WORDS)), F.col("owna") + F.col("ownb"))
+    return _fits(percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the parity bits leave."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"), F.col("words").alias(f"w{c}"))
+def _sides(pairs: DataFrame, nodes: DataFrame, columns: list[str], condition: Column) -> DataFrame:
+    """Pairs a, b whose nodes' columns, named with a or b at the end, meet the condition."""
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in columns))
     right = side("b").withColumnRenamed("b", "_b")
     left = pairs.join(side("a"), "a")
-    met = left.join(right, (left["b"] == right["_b"]) & _words_allow(percent))
-    return met.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_plausible(percent), "a long, b long").distinct()
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    with_a = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
-    both = with_a.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(k, percent), "a long, b long")
+    return left.join(right, (left["b"] == right["_b"]) & condition).select("a", "b").distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Classes and links: ``(id_col, n_shingles, component_id)`` for each row, and all verified links ``a, b``, a < b.
+def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that all filters leave: size, parity, and shared prefix tokens under the second and the third order."""
+    met = F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")
+    return _sides(pairs, nodes, ["n", "own", "words", "p2", "p3"], _words_allow(percent) & met)
 
-    component_id is the smallest id that links reach, the row's own included. Links join all representatives of
-    classes of equal sets that reach the similarity, and the classes of an id that repeats; those within components
-    are checked when the links are read. Rows with a null id or without words are linked with nothing; a null id
-    gives a null component. Rows that repeat an id are one document that links where one of its texts does.
-    ``buckets`` deals out the prefix tokens; by default it follows the input splits.
-    """
-    out, links, again, _ = _join(docs, id_col, text, k, percent, buckets)
-    return out, links.union(again).distinct()
 
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that reach the similarity; tokens that one set alone holds are in no intersection."""
+    both = F.size(F.array_intersect("shareda", "sharedb"))
+    return _sides(pairs, nodes, ["n", "shared"], both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
 
-def link_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
-    """``(id_col, n_links)`` for each id with words: how many classes of other sets reach the similarity with its own."""
-    _, links, _, reps = _join(docs, id_col, text, k, percent, buckets)
-    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
-    own = reps.select("id", F.col("rep").alias("other"))
-    met = reps.select("id", "rep").join(ends, "rep").select("id", "other").distinct().join(own, ["id", "other"], "left_anti")
-    counts = met.groupBy("id").agg(F.count("*").alias("n"))
-    return reps.select("id").distinct().join(counts, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
+def _paired(members: DataFrame, facts: DataFrame, percent: int, same: bool) -> DataFrame:
+    """Pairs of one component, or of different ones, that share a token, each made at the smallest of them.
 
-def _within(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one component that share a token with many documents, each made at the smallest of them."""
+    A token's members are dealt out in parts of about ``PAIRED``, each of which meets all of them.
+    """
     many = members.groupBy("token").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("salts"))
     shared = members.groupBy("node").agg(F.collect_set("token").alias("tokens"))
     full = members.join(shared.join(facts, "node"), "node").join(many, "token")
-    side = lambda c: (F.col("token").alias(f"token{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}"), F.col("words").alias(f"w{c}"), F.col("tokens").alias(f"t{c}"))
+    names = ("token", "comp", "tokens", "n", "own", "words")
+    side = lambda c: (F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in names))
     x = full.select(*side("a"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("sa"))
     y = full.select(*side("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("sb"))
-    fits = (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _words_allow(percent)
-    fits = fits & (F.array_min(F.array_intersect("ta", "tb")) == F.col("tokena"))
+    apart = (F.col("compa") == F.col("compb")) if same else (F.col("compa") != F.col("compb"))
+    fits = apart & (F.col("a") < F.col("b")) & _words_allow(percent) & (F.array_min(F.array_intersect("tokensa", "tokensb")) == F.col("tokena"))
     return x.join(y, (F.col("tokena") == F.col("tokenb")) & (F.col("sa") == F.col("sb")) & fits).select("a", "b").distinct()
 
 
-def _join(docs: DataFrame, id_col: str, text: str, k: int, percent: int, buckets: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows with components, links by similarity, links of repeated ids, and ``id, n, rep`` of all documents with words."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "jaccard")
-    buckets = buckets or 2 * splits(spark, docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    described = scratch.save(texts.mapInArrow(_describe(k), "id long, n long, s1 long, s2 long, bits binary, words array<long>"), "sets")
-    sets = described.select("id", "n", "s1", "s2")
-    prints = texts.filter("id is not null").mapInArrow(_fingerprints(k, buckets), "bucket long, prints binary, counts binary")
-    counted = prints.groupBy("bucket").applyInPandas(_count_prints, "print long, n long")
-    top = counted.orderBy(F.desc("n"), "print").limit(TABLE).toPandas().sort_values("print")
-    common, counts = top["print"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-
-    usable = sets.filter("id is not null and n > 0")
-    bits = described.filter("id is not null and n > 0").select("id", "n", "bits", "words")
-    firsts = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    reps = scratch.save(usable.join(firsts, ["n", "s1", "s2"]).select("id", "n", "rep").distinct(), "reps")
-    same_id = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
-    again = reps.join(same_id, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-
-    posted = texts.filter("id is not null").mapInArrow(_postings(k, percent, buckets, common, counts), "bucket long, token binary, doc binary, size binary")
-    found = scratch.save(posted.groupBy("bucket").applyInPandas(_candidates(percent, buckets, common, counts), "kind int, a long, b long, n long"), "found")
-    rep = reps.select("id", "rep")
-    pairs = (
-        found.filter("kind = 0").select("a", "b").distinct()
-        .join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a")
-        .join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-        .filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    )
-    tried = scratch.save(_likely(pairs, bits, percent), "pairs")
-    usable_texts = texts.filter("id is not null and text is not null")
-    links = scratch.save(_linked(tried, usable_texts, k, percent).distinct(), "links")
-    comps = connected_components(links.union(again), scratch, "first")
-
-    members = (
-        found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id")).join(rep, "id")
-        .select("token", F.col("rep").alias("node")).distinct()
-        .join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    )
-    members = scratch.save(members, "members")
-    split = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    facts = bits.select(F.col("id").alias("node"), "n", "words")
-    open_ = members.join(split, "token", "left_semi")
-    # a pair that shares many tokens is made at the smallest of them alone
-    shared = open_.groupBy("node").agg(F.collect_set("token").alias("tokens"))
-    open_ = open_.join(shared.join(facts, "node"), "node")
-    x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("words").alias("wa"), F.col("tokens").alias("ta"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("words").alias("wb"), F.col("tokens").alias("tb"))
-    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _words_allow(percent)
-    fits = fits & (F.array_min(F.array_intersect("ta", "tb")) == x["token"])
-    across = x.join(y, (x["token"] == y["token"]) & fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    across = scratch.save(_likely(across, bits, percent), "across")
-    if not across.isEmpty():
-        more = scratch.save(_linked(across, usable_texts, k, percent), "more")
-        links = links.union(more)
-        comps = connected_components(links.union(again), scratch, "second")
-    own = reps.groupBy("id").agg(F.min("rep").alias("rep"))
-    out = (
-        sets.join(own, "id", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "id").alias("component_id"))
-    )
-    within = _within(members, facts, percent).join(tried, ["a", "b"], "left_anti")
-    return out, links.union(_linked(_likely(within, bits, percent), usable_texts, k, percent)).distinct(), again, reps
+class _Join:
+    """The steps of one join; tables of a step stay until ``scratch.last``."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text: str, k: int, percent: int, buckets: int | None) -> None:
+        self.id_col, self.percent = id_col, percent
+        self.scratch = scratch = Scratch(docs.sparkSession, "jaccard")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+        if buckets is None:  # a token takes about 10 bytes where a word with its gap takes 6
+            size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+            buckets = max(parallelism(docs.sparkSession), int(size * 10 / 6 / BUCKET_BYTES) + 1)
+        flush = max(FLUSH, min(20 * FLUSH, 16 * buckets))
+        dealt = texts.mapInArrow(_deal(k, buckets, flush), ddl(DEALT)).repartition(buckets, "bucket")
+        counted = dealt.groupBy("bucket").applyInArrow(_count, ddl(COUNTED)).repartition(buckets, "flush")
+        self.sets = scratch.save(counted.groupBy("flush").applyInArrow(_assemble(percent), ddl(SETS)), "sets")
+
+        named = self.sets.filter("id is not null")
+        # written, so that what joins it is dealt anew and large classes can be split
+        self.classes = scratch.save(named.filter("n > 0").groupBy(*CLASS).agg(F.min("id").alias("rep")), "classes")
+        holders = self.sets.filter("open").withColumnRenamed("id", "rep").join(self.classes, ["rep", *CLASS], "left_semi")
+        self.nodes = scratch.save(holders.select(F.col("rep").alias("node"), "n", "own", "words", "shared", "p1", "p2", "p3"), "nodes")
+        key = F.struct(*CLASS)
+        self.repeated = named.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("x <> y").select("id")
+        self.of_id = scratch.save(named.filter("n > 0").join(self.repeated, "id").join(self.classes, CLASS).select("id", "rep").distinct(), "repeated")
+        least = self.of_id.groupBy("id").agg(F.min("rep").alias("a"))
+        self.again = self.of_id.join(least, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+        posts = self.nodes.select("node", "n", F.explode("p1").alias("token"))
+        tokens = scratch.save(posts.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("c")).filter("m > 1"), "tokens")
+        self.posts = scratch.save(posts.join(tokens, "token"), "posts")
+        few = self.posts.filter(F.col("m") <= SMALL)
+        x, y = (few.select("token", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+        close = x.join(y, "token").filter((F.col("a") < F.col("b")) & _fits(percent)).select("a", "b")
+        star = self.posts.filter(F.col("m") > SMALL).select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
+        star = star.filter((F.col("a") < F.col("b")) & _fits(percent)).select("a", "b")
+        self.tried = scratch.save(close.union(star).distinct(), "pairs")
+        left = scratch.save(_filtered(self.tried, self.nodes, percent), "left")
+        self.links = scratch.save(_verified(left, self.nodes, percent), "links")
+        comps = connected_components(self.links.union(self.again), scratch, "first")
+
+        self.facts = self.nodes.select("node", "n", "own", "words")
+        members = self.posts.filter(F.col("m") > SMALL).select("token", "node").distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        self.members = scratch.save(members, "members")
+        split = self.members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+        open_ = scratch.save(self.members.join(split, "token", "left_semi"), "open")
+        across = scratch.save(_paired(open_, self.facts, percent, same=False).join(self.tried, ["a", "b"], "left_anti"), "across")
+        if not across.isEmpty():
+            more = scratch.save(_verified(_filtered(across, self.nodes, percent), self.nodes, percent), "more")
+            self.links = self.links.union(more)
+            comps = connected_components(self.links.union(self.again), scratch, "second")
+        self.comps = comps.withColumnRenamed("node", "rep")
+
+    def groups(self) -> DataFrame:
+        of_class = self.classes.join(self.comps, "rep", "left").select(*CLASS, F.coalesce("comp", "rep").alias("_comp"))
+        of_id = self.of_id.join(self.comps, "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("_again"))
+        of_class = self.scratch.save(of_class, "components")
+        found = self.sets.select("id", *CLASS).join(of_class, CLASS, "left").join(of_id, "id", "left")
+        comp = F.when(F.col("id").isNotNull(), F.coalesce("_again", "_comp", "id"))
+        return found.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"))
+
+    def all_links(self) -> DataFrame:
+        """Links, those within components included."""
+        within = _paired(self.members, self.facts, self.percent, same=True).join(self.tried, ["a", "b"], "left_anti")
+        return self.links.union(_verified(_filtered(within, self.nodes, self.percent), self.nodes, self.percent)).distinct()
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
+    """``(id_col, n_shingles, component_id)`` for each row of docs; component_id is the smallest id that links reach.
+
+    Rows with a null id or without words are linked with nothing; a null id gives a null component. Rows that
+    repeat an id are one document that links where one of its texts does. Texts of fewer than k words are one run.
+    Columns besides id and text are ignored; an empty table gives no rows. A long text takes about ten times its
+    size in one task. ``buckets`` deals out the tokens; by default it follows the bytes of text. Rows must come in
+    the same order when a task runs again, as from files. The result is a table in the shared folder; all others
+    that the join wrote are removed.
+    """
+    join = _Join(docs, id_col, text, k, percent, buckets)
+    return join.scratch.last(join.groups())
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What jaccard_groups gives, and all links ``a, b``, a < b: of all representatives of classes of equal sets that
+    reach the similarity, and of the classes of an id that repeats."""
+    join = _Join(docs, id_col, text, k, percent, buckets)
+    out = join.scratch.save(join.groups(), "groups")
+    links = join.scratch.save(join.all_links().union(join.again).distinct(), "all-links")
+    join.scratch.drop(*(n for n in list(join.scratch.names) if n not in ("groups", "all-links")))
+    return out, links
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
+    """``(id_col, n_links)`` for each id with words: how many classes of other sets reach the similarity with its own."""
+    join = _Join(docs, id_col, text, k, percent, buckets)
+    links = join.all_links()
+    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
+    reps = join.sets.filter("id is not null").join(join.classes, CLASS).select("id", "rep").distinct()
+    own = join.of_id.select("id", F.col("rep").alias("other"))
+    met = reps.join(ends, "rep").select("id", "other").distinct().join(own, ["id", "other"], "left_anti")
+    counts = met.groupBy("id").agg(F.count("*").alias("n"))
+    return join.scratch.last(reps.select("id").distinct().join(counts, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")))

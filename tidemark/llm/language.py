@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .text import pieces
 
 BUCKETS = 1 << 14
@@ -93,7 +92,6 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text: str = "text", sample_rows: int = 2000, size: int = 16, epochs: int = 12, rate: float = 2.0, reject: float = 0.002, seed: int = 7) -> LanguageModel:
     """Learn from at most ``sample_rows`` rows with a label, chosen by a hash of their id; only text and label are inputs."""
-    small_batches(docs.sparkSession)
     usable = docs.filter(F.col(label).isNotNull())
     n = usable.count()
     share = min(1.0, 0.9 * sample_rows / max(1, n))
@@ -165,7 +163,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     ``rejected`` marks these and texts whose calibrated score is below the model's limit. The model is of a
     fixed size and is broadcast.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.rlike(F.col(text), F.lit(r"\p{L}")), F.lit(False)).alias("letters"))

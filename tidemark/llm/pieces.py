@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches
+from .common import fresh
 from .text import Rolling, mix, pieces
 
 MODEL = os.environ.get("TIDEMARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -266,7 +266,6 @@ def encode_pieces(docs: DataFrame, model: dict | None = None, text: str = "text"
     empty text has no ids. A kept column with the name of an added one is replaced. The model has a fixed size,
     the vocabulary's, and is broadcast.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or load_pieces())
     kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c not in ENCODED.names))
     source = docs.select(*kept.columns, F.col(text).cast("string").alias(fresh("_text", kept.columns)))
@@ -289,7 +288,6 @@ def _decode(shared, keep: int):
 
 def decode_pieces(encoded: DataFrame, model: dict | None = None, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of every row and ``decoded``, the text of its ids; null ids decode to an empty text."""
-    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(model or load_pieces())
     kept = encoded.select(*(c for c in (keep if keep is not None else encoded.columns) if c != "decoded"))
     source = encoded.select(*kept.columns, F.col(ids).cast("array<int>").alias(fresh("_ids", kept.columns)))

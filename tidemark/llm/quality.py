@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches
+from .common import fresh
 from .text import Rolling, mix, pieces
 
 BUCKETS, SIZE, MARKS = 1 << 14, 24, 2
@@ -91,7 +91,6 @@ def _contexts(batches):
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Context vectors of all buckets over every row of docs, at length 1: BUCKETS x SIZE, whatever the corpus."""
-    small_batches(docs.sparkSession)
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_contexts, "bucket long, " + ", ".join(f"v{j} double" for j in range(SIZE)))
     rows = parts.groupBy("bucket").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(SIZE))).toPandas()
     table = np.zeros((BUCKETS, SIZE))
@@ -202,7 +201,6 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", keep
     A null or empty text is scored as one without tokens. A kept column of that name is replaced. The model
     has a fixed size and is broadcast.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c != name))
     source = docs.select(*kept.columns, F.col(text).cast("string").alias(fresh("_text", kept.columns)))

@@ -11,7 +11,7 @@ from . import language, quality
 from .chat import fold_conversations, format_chats, loss_text, parse_chats
 from .common import table
 from .decontaminate import find_contained
-from .jaccard import jaccard_join
+from .jaccard import jaccard_groups
 from .licenses import scan_licenses
 from .nearest import nearest
 from .pieces import encode_pieces
@@ -42,7 +42,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))[0]
+    return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

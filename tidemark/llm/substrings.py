@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, splits
+from .common import Scratch, parallelism
 from .text import Rolling, Words, mix, pieces, window_ids
 
 FIRST, SPAN = 9, 35
@@ -261,9 +261,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not 1 <= 3 * first - 1 <= span:
         raise ValueError("first must be at most (span + 1) / 3")
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "substrings")
-    buckets = buckets or 2 * splits(spark, docs)
+    buckets = buckets or 2 * parallelism(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text)).alias("rid"), F.col(text).cast("string").alias("text"))
     dealt = source.select("rid", "text").mapInArrow(_find_anchors(buckets, first, span), "bucket long, " + ", ".join(f"{c} binary" for c in DEALT))
     found = scratch.save(dealt.groupBy("bucket").applyInPandas(_match_anchors, "rid long, kind int, lo int, hi int"), "anchors")

@@ -35,6 +35,31 @@ def pieces(batch: pa.RecordBatch, text: str, size: int = CHUNK) -> Iterator[tupl
         at = to
 
 
+def parts(batch: pa.RecordBatch, text: str, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A batch's texts in runs of at most about ``size`` bytes: the row of each part, the bytes, and offsets.
+
+    A text of more bytes comes in several parts, cut after a space or line end where one stands in the last
+    tenth of a part, else between two characters.
+    """
+    first = 0
+    for rows, data, offsets in pieces(batch, text, size):
+        n = rows.num_rows
+        if n > 1 or len(data) <= size:
+            yield np.arange(first, first + n), data, offsets
+        else:
+            at = 0
+            while at < len(data):
+                to = min(len(data), at + size)
+                if to < len(data):
+                    near = np.flatnonzero((data[to - size // 10 : to] == 32) | (data[to - size // 10 : to] == 10))
+                    to = to - size // 10 + int(near[-1]) + 1 if len(near) else to
+                    while to > at + 1 and to < len(data) and data[to] & 0xC0 == 0x80:
+                        to -= 1
+                yield np.array([first]), data[at:to], np.array([0, to - at], np.int64)
+                at = to
+        first += n
+
+
 def byte_table(members: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(members)] = True
@@ -81,27 +106,53 @@ class Rolling:
 
 
 class Words:
-    """Words of texts: places in the bytes, the text each belongs to, and a 64-bit hash of each."""
+    """Words of texts: places in the bytes, the text each belongs to, and a 64-bit hash of each.
+
+    Bytes are worked on ``CHUNK`` at a time, so that a long text takes little more than its own room; a word
+    that stands in several chunks is put together again.
+    """
 
     def __init__(self, gaps: bytes = b" \t\n\x0b\x0c\r", lower: bool = False) -> None:
         self.gap, self.lower, self.rolling = byte_table(gaps), lower_table() if lower else None, Rolling(_BASE)
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """starts, ends, hashes, and the n + 1 offsets of the texts into them."""
+    def _chunk(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and sums of the words of a chunk; ``begins`` are the places where texts begin."""
         if self.lower is not None:
             data = self.lower[data]
         n = len(data)
-        if not n:
-            z = np.zeros(0, np.int64)
-            return z, z, z.astype(np.uint64), np.zeros(len(offsets), np.int64)
         gap = self.gap[data]
         edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
+        edge[begins] = True
+        edge[0] = edge[n] = True
         before, after = edge[:n].copy(), edge[1:].copy()
         before[1:] |= gap[:-1]
         after[:-1] |= gap[1:]
         starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
-        hashes = mix(self.rolling(data, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(_MIX))
+        return starts, ends, self.rolling(data, starts, ends)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """starts, ends, hashes, and the n + 1 offsets of the texts into them."""
+        n = len(data)
+        if not n:
+            z = np.zeros(0, np.int64)
+            return z, z, z.astype(np.uint64), np.zeros(len(offsets), np.int64)
+        parts: list[list[np.ndarray]] = []
+        for at in range(0, n, CHUNK):
+            to = min(n, at + CHUNK)
+            lo, hi = np.searchsorted(offsets, [at, to])
+            starts, ends, sums = self._chunk(data[at:to], offsets[lo:hi] - at)
+            starts, ends = starts + at, ends + at
+            last = next((p for p in reversed(parts) if len(p[0])), None)
+            whole = lo < len(offsets) and offsets[lo] == at
+            if last is not None and len(starts) and last[1][-1] == at == starts[0] and not whole:
+                # one word: what follows is shifted by the length of what stands before
+                shift = pow(_BASE, int(at - last[0][-1]), 1 << 64)
+                last[1][-1] = ends[0]
+                last[2][-1] = np.uint64((int(last[2][-1]) + int(sums[0]) * shift) % (1 << 64))
+                starts, ends, sums = starts[1:], ends[1:], sums[1:]
+            parts.append([starts, ends, sums])
+        starts, ends, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hashes = mix(sums + (ends - starts).astype(np.uint64) * np.uint64(_MIX))
         return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
