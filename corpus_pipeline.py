@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import quality
 from tidemark.llm.common import Scratch, table
 from tidemark.llm.decontaminate import drop_contained
-from tidemark.llm.jaccard import jaccard_join
+from tidemark.llm.jaccard import jaccard_groups
 from tidemark.llm.pieces import encode_pieces
 from tidemark.llm.secrets import redact, scan_secrets
 
@@ -27,7 +27,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of Jaccard similarity join, the one with the smallest id stays; rows of one id stay together."""
-    groups, _ = jaccard_join(docs)
+    groups = jaccard_groups(docs)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -62,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), str(k))
+        if k:
+            scratch.drop(str(k - 1))
     return docs
