@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from plain import components, documents, lower, ordered, shingles, texts, without_repeats
 
-from tidemark.llm import jaccard, substrings
+from tidemark.llm import jaccard, substrings, text
 from tidemark.llm.decontaminate import drop_contained, find_contained
 
 
@@ -43,12 +43,24 @@ def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_join(documents(spark, []))[0].count() == 0
 
 
-@pytest.mark.parametrize("flush", [10, 200_000])
-def test_remove_repeats(spark, monkeypatch, flush):
-    monkeypatch.setattr(substrings, "FLUSH", flush)
+@pytest.mark.parametrize(("run", "chunk"), [(50, 100), (1_000_000, 1_000_000)])
+def test_remove_repeats(spark, monkeypatch, run, chunk):
+    monkeypatch.setattr(substrings, "RUN", run)
+    monkeypatch.setattr(text, "CHUNK", chunk)
     assert ordered(substrings.remove_repeats(documents(spark)).collect()) == ordered(without_repeats(texts()))
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
+def test_words_in_chunks(monkeypatch, chunk):
+    data = ["", "one", "two words", " x  yy\tzzz ", "ends", "starts", "é" * 9, " "]
+    raw = [t.encode() for t in data]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    whole = text.Words(lower=True)(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    monkeypatch.setattr(text, "CHUNK", chunk)
+    parts = text.Words(lower=True)(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, parts, strict=True)) and len(whole[0]) == 9
+
+
 def test_remove_repeats_of_nothing(spark):
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
 

@@ -2,16 +2,19 @@
 
 A window of ``SPAN`` words is repeated when its word sequence starts at two places or more of the corpus.
 Every window is represented by one short run in it, its anchor: the ``FIRST``-word run of smallest hash.
-Equal windows have equal anchors at equal places, so only anchors are counted at first.
-
-Level 1: anchors that stand at one place alone are dropped with all their windows.
-Level 2: survivors are extended to twice the length, to the left and to the right; one of the two lies
-within any window of theirs, so an anchor with neither repeated is dropped.
-Level 3: the stretch of all windows of an anchor; where it is repeated, all its windows are.
-Level 4: the windows themselves, for the anchors whose stretch is not repeated as a whole.
-
-Within a task, what repeats is settled at once and only one copy of it is sent on, so a passage in a third
-of all texts sends a few rows a task.
+Equal windows have equal anchors at equal places, so only anchors are counted at first, one row for all
+windows that follow each other and have the same anchor.
+
+Level 1 (9 words): anchors are counted; those that stand at one place alone go, with all their windows.
+Level 2 (18 words): what survived is extended to twice the length, to the left and to the right. One of the two
+lies within any window of an anchor, so an anchor with neither repeated goes.
+Level 3 (35 words and more): the stretch of all windows of an anchor is counted; where it is repeated, all its
+windows are. Of the other survivors the windows themselves are counted, with one copy of each repeated stretch
+of the same anchor to compare with.
+
+Each level is a count by key that combines before the shuffle, and a semi-join with the keys that stand twice or
+more; what a level leaves is written and is all that the next one reads. The keys are written first, so that a
+join meets two freshly dealt tables and a passage of a third of all texts can be split among tasks.
 """
 
 from __future__ import annotations
@@ -19,34 +22,31 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, parallelism
+from .common import Scratch
 from .text import Rolling, Words, mix, pieces, window_ids
 
 FIRST, SPAN = 9, 35
-FLUSH = 200_000
+RUN = 1_000_000  # words whose anchors are found at once
 TWIST = 0xD6E8FEB86659FD93
 
 
-def anchors(hashes: np.ndarray, offsets: np.ndarray, first: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling]:
+def anchors(hashes: np.ndarray, offsets: np.ndarray, first: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor places of all windows, and the first and last window of each: ``at, lo, hi``, all by word."""
-    rolling = Rolling(TWIST)
     starts = window_ids(offsets, span)
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z, z, z, rolling
-    n, width = len(hashes), span - first + 1
-    runs = np.arange(n - first + 1)
-    value = mix(rolling(hashes, runs, runs + first))
-    place = runs.copy()
+        return z, z, z
+    width = span - first + 1
+    value = mix(Rolling(TWIST)(hashes, runs := np.arange(len(hashes) - first + 1), runs + first))
+    place = runs
     reach = 1
     while reach < width:
         step = min(reach, width - reach)
-        left, right = value[:-step] if step else value, value[step:]
+        left, right = value[:-step], value[step:]
         take = left <= right
         value, place = np.where(take, left, right), np.where(take, place[:-step], place[step:])
         reach += step
@@ -56,221 +56,132 @@ def anchors(hashes: np.ndarray, offsets: np.ndarray, first: int, span: int) -> t
     new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
     lo = starts[new]
     hi = starts[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-    return at[new], lo, hi, rolling
-
-
-def _repeats(*keys: np.ndarray) -> np.ndarray:
-    """Whether each row's keys stand in two rows or more."""
-    order = np.lexsort(keys)
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in keys:
-        s = k[order]
-        same &= s[1:] == s[:-1]
-    out = np.zeros(len(order), bool)
-    out[order[1:]] |= same
-    out[order[:-1]] |= same
-    return out
-
-
-def _firsts(*keys: np.ndarray) -> np.ndarray:
-    """Whether each row is the first of its keys."""
-    order = np.lexsort(keys)
-    new = np.ones(len(order), bool)
-    if len(order) > 1:
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    out = np.zeros(len(order), bool)
-    out[order[new]] = True
-    return out
+    return at[new], lo, hi
 
 
-#: Columns of dealt rows: run hash, stretch hash, left and right double, row, windows, and whether only a copy to compare with.
-DEALT = {"g": np.uint64, "u": np.uint64, "l": np.uint32, "r": np.uint32, "rid": np.int64, "lo": np.int32, "hi": np.int32, "copy": np.uint8}
-SETTLED, OPEN, POSTER = 0, 1, 2
-
-
-def _deal(columns: dict[str, np.ndarray], bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(bounds))
-    arrays = [pa.array(full.astype(np.int64))]
-    for c in columns.values():
-        c = c[order]
-        arrays.append(pa.array([c[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
-
-
-def _find_anchors(buckets: int, first: int, span: int):
-    def flush(held):
-        c = {k: np.concatenate([h[k] for h in held]) for k in DEALT}
-        known = _repeats(c["g"], c["u"])
-        copy = known & _firsts(c["g"], c["u"])
-        send = ~known | copy
-        # settled rows are dealt by row, so that they spread; of each, one copy goes to the run's own bucket
-        out = {k: np.concatenate([v[send], v[known]]) for k, v in c.items()}
-        n = int(send.sum())
-        out["copy"] = np.concatenate([copy[send].astype(np.uint8), np.full(int(known.sum()), 2, np.uint8)])
-        bucket = np.concatenate([mix(out["g"][:n]), mix(out["rid"][n:].view(np.uint64))]) % np.uint64(buckets)
-        return _deal(out, bucket.astype(np.int64), buckets)
+def _find_anchors(first: int, span: int):
+    """Hashes of each anchor's run ``g``, its doubles ``l`` and ``r`` (0 where the text ends before) and its stretch ``u``."""
 
     def run(batches):
-        words, held, count = Words(), [], 0
+        words = Words()
         for batch in batches:
             for rows, data, offsets in pieces(batch, "text"):
                 _, _, h, at = words(data, offsets)
-                a, lo, hi, rolling = anchors(h, at, first, span)
-                if not len(a):
-                    continue
-                own = np.searchsorted(at, lo, "right") - 1
-                base, end = at[own], at[own + 1]
-                left, right = np.maximum(a - first, base), np.minimum(a + 2 * first, end)
-                held.append({
-                    "g": mix(rolling(h, a, a + first)), "u": mix(rolling(h, lo, hi + span) + (hi - lo).astype(np.uint64)),
-                    "l": np.where(a - first >= base, mix(rolling(h, left, a + first)) >> np.uint64(32) | np.uint64(1), 0).astype(np.uint32),
-                    "r": np.where(a + 2 * first <= end, mix(rolling(h, a, right)) >> np.uint64(32) | np.uint64(1), 0).astype(np.uint32),
-                    "rid": rows.column(0).to_numpy(zero_copy_only=False)[own].astype(np.int64),
-                    "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "copy": np.zeros(len(a), np.uint8)})
-                count += len(a)
-                if count >= FLUSH:
-                    yield flush(held)
-                    held, count = [], 0
-        if count:
-            yield flush(held)
+                ids = rows.column(0).to_numpy(zero_copy_only=False)
+                for begin in range(0, max(1, len(h)), RUN):
+                    end = min(len(h), begin + RUN + span - 1)
+                    own, edges = h[begin:end], np.clip(at, begin, end) - begin
+                    a, lo, hi = anchors(own, edges, first, span)
+                    if not len(a):
+                        continue
+                    rolling = Rolling(TWIST)
+                    row = np.searchsorted(edges, lo, "right") - 1
+                    base, last = edges[row], edges[row + 1]
+                    left, right = np.maximum(a - first, base), np.minimum(a + 2 * first, last)
+                    twice = lambda x, y, fits: np.where(fits, mix(rolling(own, x, y)) | np.uint64(1), 0).view(np.int64)
+                    shift = begin - at[row]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[row]), pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32)), pa.array(mix(rolling(own, a, a + first)).view(np.int64)),
+                         pa.array(twice(left, a + first, a - first >= base)), pa.array(twice(a, right, a + 2 * first <= last)),
+                         pa.array(mix(rolling(own, lo, hi + span) + (hi - lo).astype(np.uint64)).view(np.int64))], names=["rid", "lo", "hi", "g", "l", "r", "u"])
 
     return run
 
 
-def _match_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    c = {k: np.frombuffer(b"".join(pdf[k]), t) for k, t in DEALT.items()}
-    passed = c["copy"] == 2
-    settled_rid, settled_lo, settled_hi = (c[k][passed] for k in ("rid", "lo", "hi"))
-    c = {k: v[~passed] for k, v in c.items()}
-    copy = c["copy"] == 1
-    whole = copy | _repeats(c["g"], c["u"])
-    half = (_repeats(c["g"], c["l"]) & (c["l"] != 0)) | (_repeats(c["g"], c["r"]) & (c["r"] != 0))
-    open_ = ~whole & half
-    asked = np.isin(c["g"], c["g"][open_])
-    poster = whole & asked & _firsts(c["g"], c["u"])
-    mine = whole & ~copy
-    parts = [(settled_rid, settled_lo, settled_hi, SETTLED), *((c["rid"][m], c["lo"][m], c["hi"][m], kind) for m, kind in ((mine, SETTLED), (open_, OPEN), (poster, POSTER)))]
-    return pd.DataFrame({
-        "rid": np.concatenate([p[0] for p in parts]), "kind": np.repeat([p[3] for p in parts], [len(p[0]) for p in parts]).astype(np.int32),
-        "lo": np.concatenate([p[1] for p in parts]), "hi": np.concatenate([p[2] for p in parts])})
-
-
-def _kept(text: str | None, cuts: list[tuple[int, int]], span: int) -> tuple[int, int, str]:
-    """Words, removed words and the kept text's SHA-256; cuts are ranges of first words of repeated windows."""
-    words = (text or "").encode().split()
-    if not cuts:
-        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
-    change = np.zeros(len(words) + 1, np.int64)
-    lo, hi = np.array(cuts, np.int64).T
-    np.add.at(change, lo, 1)
-    np.add.at(change, hi + span, -1)
-    keep = np.cumsum(change)[:-1] == 0
-    return len(words), int((~keep).sum()), hashlib.sha256(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])).hexdigest()
-
-
-DOCUMENT = "kind int, id long, rid long, n_words long, n_removed long, kept_sha256 string, text string, cuts array<struct<lo:int,hi:int>>"
-WINDOWS = "bucket long, h binary, row binary, start binary"
-
-
-def _windows(buckets: int, span: int):
-    """Documents: finished where nothing is open; else with their text, and their open windows dealt out by hash."""
-    names = [*(x.split()[0] for x in DOCUMENT.split(", ")), *(x.split()[0] for x in WINDOWS.split(", "))]
-    cut_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), cut_type, pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-    def batch_of(columns: dict) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, types, strict=True)], names=names)
-
-    def flush(held):
-        h, row, start, copy = (np.concatenate(x) for x in zip(*held, strict=True))
-        known = _repeats(h)
-        first = _firsts(h)
-        mine = known & ~copy
-        send = ~known | first
-        start = np.where(send & (known | copy), -1 - start, start)  # below zero: only to compare with
-        bucket = (mix(h[send]) % np.uint64(buckets)).astype(np.int64)
-        dealt = _deal({"h": h[send], "row": row[send], "start": start[send].astype(np.int32)}, bucket, buckets)
-        out = [batch_of({"kind": np.full(dealt.num_rows, 2, np.int32), **{k: dealt.column(i) for i, k in enumerate(dealt.schema.names)}})]
-        if mine.any():
-            at = np.where(start[mine] < 0, -1 - start[mine], start[mine]).astype(np.int32)
-            out.append(batch_of({"kind": np.full(int(mine.sum()), 3, np.int32), "rid": row[mine], "n_words": at.astype(np.int64)}))
-        return out
+def _hash_windows(span: int):
+    """``rid, start, h, copy`` of all windows of the items of a text."""
 
     def run(batches):
-        words, rolling, held, count = Words(), Rolling(TWIST), [], 0
+        words, rolling = Words(), Rolling(TWIST)
         for batch in batches:
+            items, rids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("items", "rid"))
+            k = 0
             for rows, data, offsets in pieces(batch, "text"):
-                items = rows.column(rows.schema.get_field_index("items")).to_pylist()
-                ids, rids, texts = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("id", "rid", "text"))
-                asked = [i for i, x in enumerate(items) if x and any(y["kind"] != SETTLED for y in x)]
-                if asked:
-                    _, _, h, at = words(data, offsets)
-                    for i in asked:
-                        for kind in (OPEN, POSTER):
-                            s = [np.arange(y["lo"], y["hi"] + 1) for y in items[i] if y["kind"] == kind]
-                            if s:
-                                s = np.concatenate(s)
-                                own = h[at[i] : at[i + 1]]
-                                held.append((mix(rolling(own, s, s + span)), np.full(len(s), rids[i], np.int64), s, np.full(len(s), kind == POSTER)))
-                                count += len(s)
-                out = {k: [] for k in ("kind", "id", "rid", "n_words", "n_removed", "kept_sha256", "text", "cuts")}
-                for i, x in enumerate(items):
-                    cuts = [(y["lo"], y["hi"]) for y in x or () if y["kind"] == SETTLED]
-                    pending = any(y["kind"] == OPEN for y in x or ())
-                    n, gone, sha = (None, None, None) if pending else _kept(texts[i], cuts, span)
-                    for k, v in zip(out, (1 if pending else 0, ids[i], rids[i], n, gone, sha, texts[i] if pending else None, [{"lo": a, "hi": b} for a, b in cuts] if pending else None), strict=True):
-                        out[k].append(v)
-                yield batch_of(out)
-                if count >= FLUSH:
-                    yield from flush(held)
-                    held, count = [], 0
-        if held:
-            yield from flush(held)
+                _, _, h, at = words(data, offsets)
+                for i in range(rows.num_rows):
+                    own = h[at[i] : at[i + 1]]
+                    for item in items[k + i]:
+                        s = np.arange(item["lo"], item["hi"] + 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(s), rids[k + i], np.int64)), pa.array(s.astype(np.int32)), pa.array(mix(rolling(own, s, s + span)).view(np.int64)), pa.array(np.full(len(s), item["copy"]))],
+                            names=["rid", "start", "h", "copy"])
+                k += rows.num_rows
 
     return run
 
 
-def _match_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    h, row, start = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.uint64), ("row", np.int64), ("start", np.int32)))
-    found = _repeats(h) & (start >= 0)
-    return pd.DataFrame({"rid": row[found], "start": start[found]})
+def kept_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> bytes:
+    """The kept words of a text, joined by one space."""
+    starts, ends = starts[keep], ends[keep]
+    if not len(starts):
+        return b""
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts] += 1
+    change[ends] -= 1
+    inside = np.cumsum(change[:-1], dtype=np.int8) > 0
+    out = data.copy()
+    out[ends[:-1]] = 32  # a gap follows every word but a text's last
+    inside[ends[:-1]] = True
+    return out[inside].tobytes()
 
 
 def _finish(span: int):
     def run(batches):
+        words = Words()
         for batch in batches:
-            out = []
-            for id_, text, cuts, starts in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "text", "cuts", "starts")), strict=True):
-                out.append((id_, *_kept(text, [(c["lo"], c["hi"]) for c in cuts] + [(s, s) for s in starts or ()], span)))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["id", "n_words", "n_removed", "kept_sha256"])
+            cuts = batch.column(batch.schema.get_field_index("cuts")).to_pylist()
+            k = 0
+            for rows, data, offsets in pieces(batch, "text"):
+                starts, ends, _, at = words(data, offsets)
+                gone, digest = [], []
+                for i in range(rows.num_rows):
+                    change = np.zeros(at[i + 1] - at[i] + 1, np.int64)
+                    for c in cuts[k + i] or ():
+                        change[c["lo"]] += 1
+                        change[c["hi"] + span] -= 1
+                    keep = np.cumsum(change)[:-1] == 0
+                    own = slice(at[i], at[i + 1])
+                    gone.append(int((~keep).sum()))
+                    digest.append(hashlib.sha256(kept_bytes(data[offsets[i] : offsets[i + 1]], starts[own] - offsets[i], ends[own] - offsets[i], keep)).hexdigest())
+                k += rows.num_rows
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(digest)], names=["id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, first: int = FIRST, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, first: int = FIRST) -> DataFrame:
     """``id_col, n_words, n_removed, kept_sha256`` for every row of docs.
 
     A word goes if a window of ``span`` words that covers it stands anywhere else too, in the same row or
-    another; all windows are judged on the input. A null text has no words. Rows that repeat are copies of
-    each other. Extra columns are ignored. ``first`` is the anchors' length, at most (span + 1) / 3.
+    another; all windows are judged on the input. A null or empty text has no words. Rows that repeat are copies
+    of each other. Columns besides id and text are ignored; an empty table gives no rows. A long text takes about
+    ten times its size in one task. ``first`` is the anchors' length, at most (span + 1) / 3. The result is a
+    table in the shared folder; all others that the levels wrote are removed.
     """
     if not 1 <= 3 * first - 1 <= span:
         raise ValueError("first must be at most (span + 1) / 3")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
-    buckets = buckets or 2 * parallelism(spark)
+    scratch = Scratch(docs.sparkSession, "substrings")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text)).alias("rid"), F.col(text).cast("string").alias("text"))
-    dealt = source.select("rid", "text").mapInArrow(_find_anchors(buckets, first, span), "bucket long, " + ", ".join(f"{c} binary" for c in DEALT))
-    found = scratch.save(dealt.groupBy("bucket").applyInPandas(_match_anchors, "rid long, kind int, lo int, hi int"), "anchors")
-    items = found.groupBy("rid").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("items"))
-    level = scratch.save(source.join(items, "rid", "left").select("id", "rid", "text", "items").mapInArrow(_windows(buckets, span), f"{DOCUMENT}, {WINDOWS}"), "windows")
-    more = level.filter("kind = 2").select("bucket", "h", "row", "start").groupBy("bucket").applyInPandas(_match_windows, "rid long, start int")
-    starts = more.union(level.filter("kind = 3").select("rid", F.col("n_words").cast("int").alias("start"))).groupBy("rid").agg(F.collect_set("start").alias("starts"))
-    pending = level.filter("kind = 1").select("id", "rid", "text", "cuts").join(starts, "rid", "left").select("id", "text", "cuts", "starts")
-    last = pending.mapInArrow(_finish(span), "id long, n_words long, n_removed long, kept_sha256 string")
-    done = level.filter("kind = 0").select("id", "n_words", "n_removed", "kept_sha256").union(last)
-    return done.withColumnRenamed("id", id_col)
+    twice = lambda rows, key, name: scratch.save(rows.groupBy(key).agg(F.count("*").alias("m")).filter("m > 1").select(key), name)
+
+    found = scratch.save(source.select("rid", "text").mapInArrow(_find_anchors(first, span), "rid long, lo int, hi int, g long, l long, r long, u long"), "anchors")
+    one = scratch.save(found.join(twice(found, "g", "runs"), "g", "left_semi"), "level-1")
+    left = twice(one.filter("l <> 0"), "l", "left").withColumn("_l", F.lit(True))
+    right = twice(one.filter("r <> 0"), "r", "right").withColumn("_r", F.lit(True))
+    two = scratch.save(one.join(left, "l", "left").join(right, "r", "left").filter("_l or _r").select("rid", "lo", "hi", "g", "u"), "level-2")
+    whole = twice(two, "u", "stretches").withColumn("_u", F.lit(True))
+    three = scratch.save(two.join(whole, "u", "left").select("rid", "lo", "hi", "g", "u", F.col("_u").isNotNull().alias("whole")), "level-3")
+
+    marks = three.filter("whole").select("rid", "lo", "hi")
+    open_ = three.filter("not whole")
+    if not open_.isEmpty():
+        asked = scratch.save(open_.select("g").distinct(), "open-runs")
+        copies = three.filter("whole").join(asked, "g", "left_semi").dropDuplicates(["u"])
+        items = open_.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
+        items = items.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "copy")).alias("items"))
+        windows = scratch.save(source.select("rid", "text").join(items, "rid").mapInArrow(_hash_windows(span), "rid long, start int, h long, copy boolean"), "windows")
+        starts = windows.filter("not copy").join(twice(windows, "h", "window-keys"), "h", "left_semi")
+        marks = marks.union(starts.select("rid", F.col("start").alias("lo"), F.col("start").alias("hi")))
+    cuts = scratch.save(marks.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "cuts")
+    last = source.join(cuts, "rid", "left").select("id", "text", "cuts").mapInArrow(_finish(span), "id long, n_words long, n_removed long, kept_sha256 string")
+    return scratch.last(last.withColumnRenamed("id", id_col))
