@@ -33,14 +33,15 @@ from .text import Words, mix, pieces, shingle_sets
 
 SMALL = 8  # classes of one token that give all their pairs at once
 PAIRED = 500  # classes of a token that one task pairs with all others of it
-FLUSH = 400_000  # tokens that a task gathers at least before it deals them out
+FLUSH = 1_200_000  # tokens that a task gathers at least before it deals them out
 BUCKET_BYTES = 24_000_000  # tokens and owners that one task counts
 WORDS = 16  # 64-bit words of parity
 ORDERS = (0x51ED270B, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 CLASS = ["n", "s1", "s2"]
-DEALT = {"bucket": "bigint", "flush": "bigint", "token": "binary", "own": "binary", "many": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
+OWNERS = 1 << 16  # sets of a flush at most
+DEALT = {"bucket": "bigint", "flush": "bigint", "lone": "binary", "many": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
 COUNTED = {"flush": "bigint", "token": "binary", "own": "binary", "level": "binary", "many": "binary", "many_level": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
-SETS = {"id": "bigint", "n": "bigint", "s1": "bigint", "s2": "bigint", "open": "boolean", "own": "bigint", "words": "array<bigint>", "shared": "array<bigint>", "p1": "array<bigint>", "p2": "array<bigint>", "p3": "array<bigint>"}
+SETS = {"id": "bigint", "n": "bigint", "s1": "bigint", "s2": "bigint", "open": "boolean", "own": "bigint", "words": "array<bigint>", "shared": "array<bigint>", "p1": "array<bigint>", "p2": "array<int>", "p3": "array<int>"}
 
 
 def ddl(columns: dict[str, str]) -> str:
@@ -90,14 +91,27 @@ def join_cells(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(cells), kind), np.array([len(x) for x in cells], np.int64) // np.dtype(kind).itemsize
 
 
+def pack(values: np.ndarray) -> np.ndarray:
+    """40 bits of a token and 16 of its owner in 7 bytes each."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :7]).view("V7").reshape(-1)
+
+
+def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    cells, sizes = join_cells(column, "V7")
+    wide = np.zeros((len(cells), 8), np.uint8)
+    wide[:, :7] = cells.view(np.uint8).reshape(-1, 7)
+    return wide.view(np.uint64).reshape(-1), sizes
+
+
 def table_of(columns: dict, kinds: dict[str, str], n: int) -> pa.Table:
-    types = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "boolean": pa.bool_()}
+    types = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
     return pa.table({k: (columns[k] if isinstance(columns[k], pa.Array) else pa.array(columns[k], types[t])) if k in columns else pa.nulls(n, types[t]) for k, t in kinds.items()})
 
 
-def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so tokens in order are in order of buckets, too."""
-    return ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def deal_tokens(token: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each token, and the token's name from there on: the bucket, then 40 bits of its hash."""
+    bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return bucket, (bucket << np.uint64(40)) | (token & np.uint64((1 << 40) - 1))
 
 
 def _deal(k: int, buckets: int, flush: int):
@@ -115,21 +129,21 @@ def _deal(k: int, buckets: int, flush: int):
         holder = np.zeros(len(n), bool)
         holder[order[start]] = True
         holder &= named
-        own = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        own = np.repeat(np.arange(len(n), dtype=np.uint16), n)
         picked = holder[own]
-        token, own = tokens[picked], own[picked]
-        order = np.argsort(token, kind="stable")
-        token, own = token[order], own[order]
+        bucket, token = deal_tokens(tokens[picked], buckets)
+        order = np.lexsort((token, bucket))
+        token, own, bucket = token[order], own[picked][order], bucket[order]
         start = np.ones(len(token), bool)
         start[1:] = token[1:] != token[:-1]
         at = np.flatnonzero(start)
         size = np.diff(np.append(at, len(token)))
-        lone = at[size == 1]
-        many, count = token[at[size > 1]], size[size > 1].astype(np.uint32)
+        alone, some = at[size == 1], at[size > 1]
+        many, count = token[some], size[size > 1].astype(np.uint32)
         owners = own[np.repeat(size > 1, size)]
-        edges = np.arange(buckets + 1, dtype=np.uint64)
-        by_lone, by_many = (np.searchsorted(bucket_of(t, buckets), edges) for t in (token[lone], many))
-        cells = {"bucket": np.arange(buckets), "flush": np.full(buckets, number), "token": cut(token[lone], by_lone), "own": cut(own[lone], by_lone), "many": cut(many, by_many), "count": cut(count, by_many)}
+        lone = pack((token[alone] << np.uint64(16)) | own[alone].astype(np.uint64))
+        by_lone, by_many = (np.searchsorted(bucket[x], np.arange(buckets + 1, dtype=np.uint64)) for x in (alone, some))
+        cells = {"bucket": np.arange(buckets), "flush": np.full(buckets, number), "lone": cut(lone, by_lone), "many": cut(many, by_many), "count": cut(count, by_many)}
         full = np.flatnonzero((np.diff(by_lone) > 0) | (np.diff(by_many) > 0))
         facts = np.stack([n, one, two, holder.astype(np.int64)], axis=1)
         head = {
@@ -139,13 +153,16 @@ def _deal(k: int, buckets: int, flush: int):
         return both.combine_chunks().to_batches()[0]
 
     def run(batches):
-        number, held, total = TaskContext.get().partitionId() << 32, [], 0
+        number, held, total, sets = TaskContext.get().partitionId() << 32, [], 0, 0
         for rows, tokens, at in _sets_of(batches, k):
-            held.append((rows.column(0), np.diff(at), *_signatures(tokens, at), tokens))
-            total += len(tokens) + 8 * rows.num_rows
-            if total >= flush:
-                yield emit(number, held)
-                number, held, total = number + 1, [], 0
+            one, two = _signatures(tokens, at)
+            for a in range(0, rows.num_rows, OWNERS):
+                b = min(rows.num_rows, a + OWNERS)
+                if held and (total >= flush or sets + b - a > OWNERS):
+                    yield emit(number, held)
+                    number, held, total, sets = number + 1, [], 0, 0
+                held.append((rows.column(0).slice(a, b - a), np.diff(at[a : b + 1]), one[a:b], two[a:b], tokens[at[a] : at[b]]))
+                total, sets = total + int(at[b] - at[a]), sets + b - a
         if held:
             yield emit(number, held)
 
@@ -156,8 +173,9 @@ def _count(table: pa.Table) -> pa.Table:
     """How many sets hold the tokens of one bucket, for those that two or more hold; what belongs to a flush passes."""
     head = table.filter(pa.compute.is_valid(table["facts"]))
     cells = table.filter(pa.compute.is_null(table["facts"]))
-    token, by_token = join_cells(cells["token"], np.uint64)
-    own, _ = join_cells(cells["own"], np.uint32)
+    lone, by_token = unpack(cells["lone"])
+    bucket = np.uint64(table["bucket"][0].as_py()) << np.uint64(40)
+    token, own = bucket | ((lone >> np.uint64(16)) & np.uint64((1 << 40) - 1)), lone.astype(np.uint16)
     many, by_many = join_cells(cells["many"], np.uint64)
     count, _ = join_cells(cells["count"], np.uint32)
     every, weight = np.concatenate([token, many]), np.concatenate([np.ones(len(token), np.int64), count])
@@ -199,11 +217,12 @@ def _assemble(percent: int):
         cells = table.filter(pa.compute.is_null(table["facts"]))
         ids = head["ids"].combine_chunks().flatten()
         n, one, two, holder = np.frombuffer(head["facts"][0].as_py(), np.int64).reshape(-1, 4).T
-        token, own, level = (join_cells(cells[c], t)[0] for c, t in (("token", np.uint64), ("own", np.uint32), ("level", np.uint8)))
-        many, count, owners = (join_cells(head[c], t)[0] for c, t in (("many", np.uint64), ("count", np.uint32), ("owners", np.uint32)))
+        token, own, level = (join_cells(cells[c], t)[0] for c, t in (("token", np.uint64), ("own", np.uint16), ("level", np.uint8)))
+        many, count, owners = (join_cells(head[c], t)[0] for c, t in (("many", np.uint64), ("count", np.uint32), ("owners", np.uint16)))
         met, met_level = join_cells(cells["many"], np.uint64)[0], join_cells(cells["many_level"], np.uint8)[0]
         known = np.zeros(len(many), np.uint8)
-        known[np.searchsorted(many, met)] = met_level
+        order = np.argsort(many)
+        known[order[np.searchsorted(many, met, sorter=order)]] = met_level
         token, own, level = np.concatenate([token, np.repeat(many, count)]), np.concatenate([own, owners]).astype(np.int64), np.concatenate([level, np.repeat(known, count)]).astype(np.uint64)
         shared = np.bincount(own, minlength=len(n))
         free = need(n, percent) - (n - shared)  # places in the prefix that tokens of other sets, too, can take
@@ -215,16 +234,19 @@ def _assemble(percent: int):
         first = np.concatenate([[0], np.cumsum(size)])
         lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
 
-        def prefix(seed: int, rank: np.ndarray) -> pa.Array:
-            order = np.lexsort((mix(token ^ np.uint64(seed)), rank, own))
+        def prefix(seed: int, rank: np.ndarray, short: bool = False) -> pa.Array:
+            place = mix(token ^ np.uint64(seed))
+            order = np.lexsort((place, rank, own))
             within = np.arange(len(own)) - first[own] < free[own]
-            return lists(token[order][within], np.minimum(size, np.maximum(free, 0)))
+            found, sizes = (place if short else token)[order][within], np.minimum(size, np.maximum(free, 0))
+            # what only filters needs no more than 32 bits
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found.astype(np.uint32).view(np.int32))) if short else lists(found, sizes)
 
         which = np.flatnonzero(open_)
         words = parity_words(token, np.searchsorted(which, own), len(which))
         return table_of({
             "id": ids, "n": n, "s1": one, "s2": two, "open": open_, "own": n - shared, "words": lists(words.reshape(-1), np.where(open_, WORDS, 0)), "shared": lists(token, size),
-            "p1": prefix(ORDERS[0], level), "p2": prefix(ORDERS[1], (level + np.uint64(1)) // np.uint64(2)), "p3": prefix(ORDERS[2], level > 3)}, SETS, len(n))
+            "p1": prefix(ORDERS[0], level), "p2": prefix(ORDERS[1], (level + np.uint64(1)) // np.uint64(2), True), "p3": prefix(ORDERS[2], level > 3, True)}, SETS, len(n))
 
     return run
 
@@ -249,16 +271,19 @@ def _sides(pairs: DataFrame, nodes: DataFrame, columns: list[str], condition: Co
     return left.join(right, (left["b"] == right["_b"]) & condition).select("a", "b").distinct()
 
 
-def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that all filters leave: size, parity, and shared prefix tokens under the second and the third order."""
-    met = F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")
-    return _sides(pairs, nodes, ["n", "own", "words", "p2", "p3"], _words_allow(percent) & met)
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and parity leave."""
+    return _sides(pairs, nodes, ["n", "own", "words"], _words_allow(percent))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that reach the similarity; tokens that one set alone holds are in no intersection."""
+    """Pairs that share prefix tokens under the second and the third order, too, and reach the similarity.
+
+    Tokens that one set alone holds are in no intersection.
+    """
+    met = F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")
     both = F.size(F.array_intersect("shareda", "sharedb"))
-    return _sides(pairs, nodes, ["n", "shared"], both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
+    return _sides(pairs, nodes, ["n", "p2", "p3", "shared"], met & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent))
 
 
 def _paired(members: DataFrame, facts: DataFrame, percent: int, same: bool) -> DataFrame:
@@ -288,16 +313,19 @@ class _Join:
         if buckets is None:  # a token takes about 10 bytes where a word with its gap takes 6
             size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
             buckets = max(parallelism(docs.sparkSession), int(size * 10 / 6 / BUCKET_BYTES) + 1)
-        flush = max(FLUSH, min(20 * FLUSH, 16 * buckets))
+        flush = max(FLUSH, min(10 * FLUSH, 16 * buckets))
+        # the tables and shuffles of early steps are let go as soon as the next step is written
         dealt = texts.mapInArrow(_deal(k, buckets, flush), ddl(DEALT)).repartition(buckets, "bucket")
         counted = dealt.groupBy("bucket").applyInArrow(_count, ddl(COUNTED)).repartition(buckets, "flush")
-        self.sets = scratch.save(counted.groupBy("flush").applyInArrow(_assemble(percent), ddl(SETS)), "sets")
-
+        every = scratch.save(counted.groupBy("flush").applyInArrow(_assemble(percent), ddl(SETS)), "every")
+        del dealt, counted
+        self.sets = scratch.save(every.select("id", *CLASS), "sets")
         named = self.sets.filter("id is not null")
         # written, so that what joins it is dealt anew and large classes can be split
         self.classes = scratch.save(named.filter("n > 0").groupBy(*CLASS).agg(F.min("id").alias("rep")), "classes")
-        holders = self.sets.filter("open").withColumnRenamed("id", "rep").join(self.classes, ["rep", *CLASS], "left_semi")
+        holders = every.filter("open").withColumnRenamed("id", "rep").join(self.classes, ["rep", *CLASS], "left_semi")
         self.nodes = scratch.save(holders.select(F.col("rep").alias("node"), "n", "own", "words", "shared", "p1", "p2", "p3"), "nodes")
+        scratch.drop("every")
         key = F.struct(*CLASS)
         self.repeated = named.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("x <> y").select("id")
         self.of_id = scratch.save(named.filter("n > 0").join(self.repeated, "id").join(self.classes, CLASS).select("id", "rep").distinct(), "repeated")
@@ -313,7 +341,7 @@ class _Join:
         star = self.posts.filter(F.col("m") > SMALL).select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
         star = star.filter((F.col("a") < F.col("b")) & _fits(percent)).select("a", "b")
         self.tried = scratch.save(close.union(star).distinct(), "pairs")
-        left = scratch.save(_filtered(self.tried, self.nodes, percent), "left")
+        left = scratch.save(_likely(self.tried, self.nodes, percent), "left")
         self.links = scratch.save(_verified(left, self.nodes, percent), "links")
         comps = connected_components(self.links.union(self.again), scratch, "first")
 
@@ -324,7 +352,7 @@ class _Join:
         open_ = scratch.save(self.members.join(split, "token", "left_semi"), "open")
         across = scratch.save(_paired(open_, self.facts, percent, same=False).join(self.tried, ["a", "b"], "left_anti"), "across")
         if not across.isEmpty():
-            more = scratch.save(_verified(_filtered(across, self.nodes, percent), self.nodes, percent), "more")
+            more = scratch.save(_verified(across, self.nodes, percent), "more")
             self.links = self.links.union(more)
             comps = connected_components(self.links.union(self.again), scratch, "second")
         self.comps = comps.withColumnRenamed("node", "rep")
@@ -340,7 +368,7 @@ class _Join:
     def all_links(self) -> DataFrame:
         """Links, those within components included."""
         within = _paired(self.members, self.facts, self.percent, same=True).join(self.tried, ["a", "b"], "left_anti")
-        return self.links.union(_verified(_filtered(within, self.nodes, self.percent), self.nodes, self.percent)).distinct()
+        return self.links.union(_verified(within, self.nodes, self.percent)).distinct()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
