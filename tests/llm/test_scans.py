@@ -1,6 +1,9 @@
+import math
 import random
 import re
 import string
+import time
+from collections import Counter
 
 from plain import documents, ordered
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import licenses
 from tidemark.llm.chat import fold_conversations, fold_events, format_chats, loss_text, parse_chats
 from tidemark.llm.licenses import PHRASES, TEMPLATES, index_words, scan_licenses
-from tidemark.llm.secrets import KINDS, listing, redact, scan_secrets
+from tidemark.llm.secrets import ENCODINGS, KINDS, MODELS, battery, listing, redact, scan_secrets, significant
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -41,6 +44,99 @@ def test_secrets(spark):
     assert not set(random_ones) - set(range(11, 23))
 
 
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def plain_battery(token):
+    """The three tests and their combined p-value, character by character."""
+    body = token.rstrip("=")
+    m = next(m for (pattern, _), m in zip(ENCODINGS, MODELS, strict=True) if re.search(pattern, body))
+    n, k, middle = len(body), int(m["k"]), (m["k"] - 1) / 2
+    ranks = [m["alphabet"].index(c) - middle for c in body]
+    seen = (
+        sum(c * (c - 1) for c in Counter(body).values()) / (n * (n - 1)),
+        sum((x > 0) != (y > 0) for x, y in zip(ranks, ranks[1:], strict=False)),
+        sum(x * y for x, y in zip(ranks, ranks[1:], strict=False)),
+    )
+
+    def z(p):
+        ic, cubes = sum(x * x for x in p), sum(x**3 for x in p)
+        up = sum(x for i, x in enumerate(p) if i > middle)
+        b = up * (1 - up)
+        m1, m2 = sum(x * (i - middle) for i, x in enumerate(p)), sum(x * (i - middle) ** 2 for i, x in enumerate(p))
+        mean = (ic, (n - 1) * 2 * b, (n - 1) * m1**2)
+        var = (
+            2 / (n * (n - 1)) * (ic * (1 - ic) + 2 * (n - 2) * (cubes - ic**2)), (n - 1) * 2 * b * (1 - 2 * b) + 2 * (n - 2) * (b - 4 * b * b),
+            (n - 1) * (m2**2 - m1**4) + 2 * (n - 2) * (m1**2 * m2 - m1**4))
+        return [(x - e) / math.sqrt(max(v, 1e-12)) for x, e, v in zip(seen, mean, var, strict=True)]
+
+    even = z([1 / k] * k)
+    own = z(shares(m["alphabet"]))
+    towards = [tail(-own[0]), tail(own[1]), tail(-own[2])]
+    mean = sum(math.tan((0.5 - min(max(p, 1e-12), 1 - 1e-6)) * math.pi) for p in towards) / 3
+    return n, tail(even[0]), 2 * tail(abs(even[1])), 2 * tail(abs(even[2])), 0.5 - math.atan(mean) / math.pi
+
+
+def shares(alphabet):
+    from tidemark.llm.secrets import LETTERS, WEIGHTS
+
+    kinds = (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())
+    weigh = lambda c: LETTERS.get(c.lower(), 1.0)
+    out = {c: w * weigh(c) / sum(weigh(x) for x in alphabet if kind(x)) for kind, w in zip(kinds, WEIGHTS, strict=True) for c in alphabet if kind(c)}
+    return [out[c] / sum(out.values()) for c in alphabet]
+
+
+def tokens(n=120):
+    rng = random.Random(4)
+    pools = [string.ascii_letters + string.digits + "+/", string.ascii_lowercase, "abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + "_-"]
+    out = ["".join(rng.choice(pools[i % 5]) for _ in range(rng.randint(20, 90))) for i in range(n)]
+    writing = random.Random(5)
+    for m in MODELS:
+        out += ["".join(writing.choices(m["alphabet"], shares(m["alphabet"]), k=writing.randint(20, 60))) for _ in range(10)]
+    return out + ["antidisestablishmentarianism", "a" * 40, "MyVeryLongClassNameForAConfigurationFactory", "0" * 20 + "==", "AbAbAbAbAbAbAbAbAbAbAb"]
+
+
+def test_battery_is_the_plain_one(spark):
+    out = spark.createDataFrame([(t,) for t in tokens()], "t string").select("t", battery(F.col("t")).alias("b")).collect()
+    for r in out:
+        wanted = plain_battery(r["t"])
+        for got, want in zip(r["b"], wanted, strict=True):
+            assert abs(got - want) < 1e-6 + 1e-3 * abs(want), (r["t"], r["b"], wanted)
+
+
+def test_p_values_hold_for_writing():
+    """Of tokens drawn by the model of writing, a small p-value is about as rare as it says; of random ones, it is common."""
+    rng = random.Random(6)
+    for m in MODELS:
+        if len(m["alphabet"]) < 26:
+            continue
+        p = shares(m["alphabet"])
+        writing = [plain_battery("".join(rng.choices(m["alphabet"], p, k=40)))[4] for _ in range(400)]
+        assert sum(x <= 0.01 for x in writing) <= 16
+    random_ones = [plain_battery("".join(rng.choice(MODELS[-2]["alphabet"]) for _ in range(64)))[4] for _ in range(200)]
+    assert sum(x <= 1e-4 for x in random_ones) >= 190
+
+
+def test_false_discovery_limits():
+    counts = [(0, 0, 90), (0, 3, 5), (0, 9, 5), (1, 2, 50)]
+    limits = significant(counts, 0.01)
+    for c, least in limits.items():
+        m = sum(n for k, _, n in counts if k == c)
+        assert math.exp(-least) <= 0.01 * sum(n for k, b, n in counts if k == c and b >= least) / m
+    assert limits == {0: 9} and significant([], 0.01) == {}
+
+
+def test_text_dense_in_tokens(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(16_000)]
+    table = documents(spark, [(1, " ".join(words), "en")])
+    began = time.time()
+    r = scan_secrets(table).select("secret_spans", F.length(redact(F.col("text"), F.col("secret_spans"))).alias("n")).first()
+    assert [(s["start"], s["end"]) for s in r["secret_spans"] if s["kind"] == 2] == [(21 * i, 21 * i + 20) for i in range(16_000)]
+    assert r["n"] == 9 * 16_000 - 1 and time.time() - began < 60
+
+
 def test_redaction_and_listing(spark):
     rows = documents(spark, [(1, "é token=abcdefghijkl0123456789abcdef end", "en"), (2, "clean", "en"), (3, None, "en")])
     out = {r["doc_id"]: r for r in scan_secrets(rows).select("doc_id", redact(F.col("text"), F.col("secret_spans")).alias("t"), listing(F.col("secret_spans")).alias("l")).collect()}
