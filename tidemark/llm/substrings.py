@@ -98,14 +98,17 @@ def _hash_windows(span: int):
             k = 0
             for rows, data, offsets in pieces(batch, "text"):
                 _, _, h, at = words(data, offsets)
+                held = []
                 for i in range(rows.num_rows):
                     own = h[at[i] : at[i + 1]]
-                    for item in items[k + i]:
-                        s = np.arange(item["lo"], item["hi"] + 1)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(s), rids[k + i], np.int64)), pa.array(s.astype(np.int32)), pa.array(mix(rolling(own, s, s + span)).view(np.int64)), pa.array(np.full(len(s), item["copy"]))],
-                            names=["rid", "start", "h", "copy"])
+                    for copy in (False, True):
+                        s = [np.arange(x["lo"], x["hi"] + 1) for x in items[k + i] if x["copy"] == copy]
+                        if s:
+                            s = np.concatenate(s)
+                            held.append((np.full(len(s), rids[k + i], np.int64), s.astype(np.int32), mix(rolling(own, s, s + span)).view(np.int64), np.full(len(s), copy)))
                 k += rows.num_rows
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["rid", "start", "h", "copy"])
 
     return run
 
