@@ -91,6 +91,26 @@ def test_a_losing_file_leaves_directories_alone(spark):
     assert out["c"]["path"] == "photos/x.png" and out["f"]["path"].startswith("photos (conflict ")
 
 
+def test_nested_directories_lose_their_paths(spark):
+    old = [{"uuid": "d", "kind": "directory", "path": "p", "hash": None}, {"uuid": "e", "kind": "directory", "path": "p/q", "hash": None}, {"uuid": "x", "path": "p/q/x"}]
+    out, conflicts = run(spark, old, [{"uuid": "f", "path": "p", "updated": 5000}, {"uuid": "g", "path": "p/q", "updated": 5000}])
+    p = "p (conflict device-a d)"
+    assert {u: r["path"] for u, r in out.items()} == {"d": p, "e": f"{p}/q (conflict device-a e)", "f": "p", "g": f"{p}/q", "x": f"{p}/q/x"}
+    assert {(c["uuid"], c["kind"], c["path"], c["copy"]) for c in conflicts} == {("d", "kind", "p", "d"), ("e", "kind", "p/q", "e")}
+
+
+def test_two_files_on_one_path(spark):
+    out, conflicts = run(spark, [{"uuid": "1", "hash": "x"}], [{"uuid": "2", "hash": "y", "updated": 5000}], known_b=["1"])
+    assert out["2"]["path"] == "a.md" and out["1"]["path"] == "a (conflict device-a x).md" and out["1"]["reason"] == "binary"
+    assert [(c["uuid"], c["kind"], c["copy"]) for c in conflicts] == [("1", "content", "1")]
+
+
+def test_common_ancestor_looks_at_prev_first(spark):
+    edges = spark.createDataFrame([("1", "m", "z", 0), ("1", "m", "a", 1), ("1", "n", "a", 0), ("1", "n", "z", 1), *(("1", f"c{i}", f"c{i + 1}", 0) for i in range(70))], "uuid string, hash string, parent string, branch int")
+    pairs = spark.createDataFrame([("1", "m", "n"), ("1", "n", "m"), ("1", "c0", "c60")], "uuid string, left string, right string")
+    assert {r["left"]: r["base"] for r in ancestry.common_ancestor(pairs, edges).collect()} == {"m": "z", "n": "a", "c0": "c61"}
+
+
 def test_merging_again_changes_nothing(spark):
     a = [{"hash": "x"}]
     out, conflicts = run(spark, a, a)
@@ -99,8 +119,7 @@ def test_merging_again_changes_nothing(spark):
 
 def test_ancestry(spark):
     edges = spark.createDataFrame([("1", "new", "mid", 0), ("1", "mid", "old", 0), ("1", "x", "y", 0), ("1", "y", "x", 0), ("1", "left", "mid", 0)], "uuid string, hash string, parent string, branch int")
-    closure = ancestry.reach(edges)
     pairs = spark.createDataFrame([("1", "new", "old"), ("1", "old", "new"), ("1", "new", None), ("1", "x", "x")], "uuid string, hash string, ancestor string").withColumns({"prev": F.lit(None).cast("string"), "prev2": F.lit(None).cast("string")})
-    assert {(r["hash"], r["ancestor"]): r["descends"] for r in ancestry.descends(pairs, closure).collect()} == {("new", "old"): True, ("old", "new"): False, ("new", None): False, ("x", "x"): True}
+    assert {(r["hash"], r["ancestor"]): r["descends"] for r in ancestry.descends(pairs, edges).collect()} == {("new", "old"): True, ("old", "new"): False, ("new", None): False, ("x", "x"): True}
     two = spark.createDataFrame([("1", "new", "left"), ("1", "new", "x")], "uuid string, left string, right string")
-    assert {r["right"]: r["base"] for r in ancestry.common_ancestor(two, closure).collect()} == {"left": "mid", "x": None}
+    assert {r["right"]: r["base"] for r in ancestry.common_ancestor(two, edges).collect()} == {"left": "mid", "x": None}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import keep
+from ..plans.scratch import Scratch
 
 
 def version_edges(*sources: DataFrame) -> DataFrame:
@@ -30,58 +30,77 @@ def location_edges(*sources: DataFrame) -> DataFrame:
     return every.groupBy("uuid", "path").agg(F.max_by("prev_path", "place").alias("prev_path"))
 
 
-def reach(edges: DataFrame, most: int = 40) -> DataFrame:
-    """All ``uuid, hash, ancestor, depth`` with depth 1 and more: each round doubles the length of the paths known.
+def climb(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """All versions that starts reach: the columns of ``starts`` (uuid, node and others), with node, ``depth`` and ``path``.
 
-    Shortest depths are kept; cycles end because no pair gets a shorter one. A chain of n versions takes log2(n) rounds.
+    Depth 0 is the start itself; path is the branches taken, so the order of (depth, path) is that of a breadth-first
+    search that looks at prev before prev2. Where starts have a ``target``, a start that has met it keeps that row alone
+    and is followed no further.
+
+    Each round doubles the length of the jumps and follows one jump from all that is reached: a chain of n versions
+    takes log2(n) rounds, n rows of jumps each and n rows a start, not all pairs of versions. Cycles end as nothing
+    new is reached.
     """
-    paths = keep(edges.select("uuid", "hash", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "reach")
-    seen = paths.count()
-    for _ in range(most if seen else 0):
-        longer = paths.alias("x").join(paths.alias("y"), (F.col("x.uuid") == F.col("y.uuid")) & (F.col("x.ancestor") == F.col("y.hash")))
-        new = longer.select("x.uuid", "x.hash", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        paths = keep(paths.unionByName(new).groupBy("uuid", "hash", "ancestor").agg(F.min("depth").alias("depth")), "reach")
-        count = paths.count()
-        if count == seen:
+    scratch = Scratch(starts.sparkSession, "climb")
+    keys = [c for c in starts.columns if c != "node"]
+    aimed = "target" in keys
+    near = scratch.save(starts.distinct().withColumns({"depth": F.lit(0), "path": F.lit("")}), "near-0")
+    if near.isEmpty():
+        return near
+    own = edges.join(near.select("uuid").distinct(), "uuid", "left_semi")
+    branch = F.col("branch").cast("string") if "branch" in edges.columns else F.lit("0")
+    jumps = scratch.save(own.select("uuid", F.col("hash").alias("node"), F.col("parent").alias("up"), branch.alias("way")).filter("up is not null"), "jumps-0")
+    step = 0
+    while True:
+        going = near.filter(~F.col("node").eqNullSafe(F.col("target"))) if aimed else near
+        far = going.join(jumps, ["uuid", "node"]).select(*keys, F.col("up").alias("node"), (F.col("depth") + (1 << step)).alias("depth"), F.concat("path", "way").alias("path"))
+        best = F.min(F.struct("depth", "path")).alias("r")
+        new = scratch.save(near.unionByName(far).groupBy(*keys, "node").agg(best).select(*keys, "node", "r.depth", "r.path"), f"met-{step}")
+        if new.count() == near.count():
             break
-        seen = count
-    return paths
-
-
-def descends(pairs: DataFrame, closure: DataFrame) -> DataFrame:
+        if aimed:
+            met = new.filter("node = target")
+            new = scratch.save(new.join(met.select(*keys).distinct(), keys, "left_anti").unionByName(met), f"near-{step + 1}")
+            scratch.drop(f"met-{step}")
+        x, y = jumps, jumps.select("uuid", F.col("node").alias("up"), F.col("up").alias("top"), F.col("way").alias("on"))
+        longer = x.join(y, ["uuid", "up"]).groupBy("uuid", "node", "top").agg(F.min(F.concat("way", "on")).alias("way"))
+        jumps = scratch.save(longer.select("uuid", "node", F.col("top").alias("up"), "way"), f"jumps-{step + 1}")
+        scratch.drop(f"jumps-{step}")
+        near, step = new, step + 1
+    scratch.drop(*(n for n in list(scratch.names) if n != f"met-{step}"))
+    return new
+
+
+def descends(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """``pairs`` (uuid, hash, ancestor, prev, prev2, ...) with ``descends``: the ancestor is the version, a seed, or reached from one.
 
-    A null ancestor is no one's. One join by uuid and ancestor answers all of a pair's starts.
+    A null ancestor is no one's. Only pairs that their own columns do not answer are looked up in the history.
     """
-    starts = closure.groupBy("uuid", "ancestor").agg(F.collect_set("hash").alias("_from"))
-    own = F.array("hash", "prev", "prev2")
-    here = F.array_contains(F.filter(own, lambda x: x.isNotNull()), F.col("ancestor"))
-    far = F.arrays_overlap(F.filter(own, lambda x: x.isNotNull()), F.col("_from"))
-    joined = pairs.join(starts, ["uuid", "ancestor"], "left")
-    return joined.withColumn("descends", F.col("ancestor").isNotNull() & (here | F.coalesce(far, F.lit(False)))).drop("_from")
-
-
-def common_ancestor(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """``pairs`` (uuid, left, right) with ``base``: of the versions that both come from, the one nearest to left, then to right."""
-    up = closure.select("uuid", "hash", "ancestor", "depth")
+    own = F.filter(F.array("hash", "prev", "prev2"), lambda x: x.isNotNull())
+    here = F.col("ancestor").isNotNull() & F.array_contains(own, F.col("ancestor"))
+    open_ = pairs.filter(F.col("ancestor").isNotNull() & ~here)
+    starts = open_.select("uuid", F.col("hash").alias("_hash"), F.col("ancestor").alias("target"), F.explode(own).alias("node"))
+    met = climb(starts, edges).filter("node = target").select("uuid", F.col("_hash").alias("_h"), F.col("target").alias("_t")).distinct()
+    joined = pairs.join(met, (pairs["uuid"] == met["uuid"]) & pairs["hash"].eqNullSafe(met["_h"]) & (pairs["ancestor"] == met["_t"]), "left")
+    return joined.select(*(pairs[c] for c in pairs.columns), (F.coalesce(here, F.lit(False)) | met["_t"].isNotNull()).alias("descends"))
+
+
+def common_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` (uuid, left, right) with ``base``: of the versions that both come from, the first that left meets, going back."""
+    versions = pairs.select("uuid", F.explode(F.array("left", "right")).alias("start")).distinct().withColumn("node", F.col("start"))
+    up = climb(versions, edges).filter("depth > 0")
     both = (
-        pairs.join(up.select("uuid", F.col("hash").alias("left"), "ancestor", F.col("depth").alias("dl")), ["uuid", "left"])
-        .join(up.select("uuid", F.col("hash").alias("right"), "ancestor", F.col("depth").alias("dr")), ["uuid", "right", "ancestor"])
-        .groupBy("uuid", "left", "right").agg(F.min_by("ancestor", F.struct("dl", "dr", "ancestor")).alias("base"))
+        pairs.select("uuid", "left", "right").distinct()
+        .join(up.select("uuid", F.col("start").alias("left"), "node", F.struct("depth", "path").alias("way")), ["uuid", "left"])
+        .join(up.select("uuid", F.col("start").alias("right"), "node"), ["uuid", "right", "node"])
+        .groupBy("uuid", "left", "right").agg(F.min_by("node", "way").alias("base"))
     )
     return pairs.join(both, ["uuid", "left", "right"], "left")
 
 
 def moved_from(pairs: DataFrame, moves: DataFrame) -> DataFrame:
     """``pairs`` (uuid, path, seed, target) with ``moved``: following moves back from seed, or else from path, meets target."""
-    closure = reach(moves.select("uuid", F.col("path").alias("hash"), F.col("prev_path").alias("parent")))
-    back = closure.groupBy("uuid", F.col("ancestor").alias("target")).agg(F.collect_set("hash").alias("_from"))
-    start = F.coalesce("seed", "path")
-    joined = pairs.join(back, ["uuid", "target"], "left")
-    met = F.col("seed").eqNullSafe(F.col("target")) | F.coalesce(F.array_contains("_from", start), F.lit(False))
-    return joined.withColumn("moved", met).drop("_from")
-
-
-def newest_versions(log: DataFrame, n: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("uuid").orderBy(F.desc("at_ms"), F.desc("op")))
-    return log.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+    here = F.coalesce(F.col("seed") == F.col("target"), F.lit(False))
+    starts = pairs.filter(~here).select("uuid", F.col("path").alias("_path"), "target", F.coalesce("seed", "path").alias("node"))
+    met = climb(starts, moves.withColumnsRenamed({"path": "hash", "prev_path": "parent"})).filter("node = target and depth > 0").select("uuid", F.col("_path").alias("path"), "target").distinct()
+    return pairs.join(met.withColumn("_met", F.lit(True)), ["uuid", "path", "target"], "left").withColumn("moved", here | F.coalesce("_met", F.lit(False))).drop("_met")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, conflict_name, extension
 from ..plans.scratch import keep
 from ..schema import HELD_AT, TEXT_EXTENSIONS
-from .ancestry import descends, moved_from, reach
+from .ancestry import descends, moved_from
 
 ENTRY = ("kind", "path", "hash", "size", "created", "updated", "peer", "deleted", "prev", "prev2", "prev_path", "conflict_of", "reason", "base", "held")
 TYPES = {"size": "bigint", "created": "bigint", "updated": "bigint", "deleted": "boolean"}
@@ -18,11 +19,13 @@ TYPES = {"size": "bigint", "created": "bigint", "updated": "bigint", "deleted":
 
 @dataclass
 class MergeOptions:
-    """copies: 'edits' (a copy where the winner has content), 'always' or 'never'; held_at: size from which a copy's bytes stay put."""
+    """copies: 'edits' (a copy where the winner has content), 'always' or 'never'; held_at: size from which a copy's bytes stay put;
+    conflict_name: a copy's path from that of the entry, the loser's peer and its hash."""
 
     copies: str = "edits"
     held_at: int = HELD_AT
     text: tuple[str, ...] = TEXT_EXTENSIONS
+    conflict_name: Callable[[Column, Column, Column], Column] = conflict_name
 
 
 def entry_rows(entries: DataFrame) -> DataFrame:
@@ -91,18 +94,15 @@ def settle(pairs: DataFrame, edges: DataFrame, moves: DataFrame) -> DataFrame:
     same = F.col("a.hash").eqNullSafe(F.col("b.hash")) & (F.col("a.deleted") == F.col("b.deleted"))
     both = pairs.filter("a is not null and b is not null").withColumns({"newer": left_is_newer(), "same": same})
     open_ = both.filter(~F.col("same"))
-    ask = lambda of, to: open_.select("uuid", F.col(f"{of}.hash").alias("hash"), F.col(f"{of}.prev").alias("prev"), F.col(f"{of}.prev2").alias("prev2"), F.col(f"{to}.hash").alias("ancestor"))
-    own = edges.join(open_.select("uuid"), "uuid", "left_semi")
-    closure = reach(own)
-    a_down = descends(ask("a", "b"), closure).select("uuid", F.col("descends").alias("a_down"))
-    b_down = descends(ask("b", "a"), closure).select("uuid", F.col("descends").alias("b_down"))
+    ask = lambda of, to: open_.select("uuid", F.lit(of).alias("of"), *(F.col(f"{of}.{c}").alias(c) for c in ("hash", "prev", "prev2")), F.col(f"{to}.hash").alias("ancestor"))
     apart = both.filter(F.col("a.path") != F.col("b.path"))
-    go = lambda of, to: apart.select("uuid", F.col(f"{of}.path").alias("path"), F.col(f"{of}.prev_path").alias("seed"), F.col(f"{to}.path").alias("target"))
-    own_moves = moves.join(apart.select("uuid"), "uuid", "left_semi")
-    a_moved = moved_from(go("a", "b"), own_moves).select("uuid", F.col("moved").alias("a_moved"))
-    b_moved = moved_from(go("b", "a"), own_moves).select("uuid", F.col("moved").alias("b_moved"))
+    go = lambda of, to: apart.select("uuid", F.lit(of).alias("of"), F.col(f"{of}.path").alias("path"), F.col(f"{of}.prev_path").alias("seed"), F.col(f"{to}.path").alias("target"))
+    # both directions are asked at once
+    down = descends(ask("a", "b").unionByName(ask("b", "a")), edges).select("uuid", "of", F.col("descends").alias("is"))
+    moved = moved_from(go("a", "b").unionByName(go("b", "a")), moves).select("uuid", "of", F.col("moved").alias("is"))
+    split = lambda found, name: found.groupBy("uuid").agg(*(F.bool_or(F.col("is") & (F.col("of") == of)).alias(f"{of}_{name}") for of in ("a", "b")))
     x = both
-    for answer in (a_down, b_down, a_moved, b_moved):
+    for answer in (split(down, "down"), split(moved, "moved")):
         x = x.join(answer, "uuid", "left")
     x = x.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("a_down", "b_down", "a_moved", "b_moved")})
     newer = F.when(F.col("newer"), "a").otherwise("b")
@@ -144,37 +144,43 @@ def copy_rows(conflicts: DataFrame, options: MergeOptions) -> DataFrame:
     reason = F.when(F.col("kind") == "delete-edit", "delete-edit").when(F.col("kind") == "kind", "kind").otherwise("binary")
     none = F.lit(None).cast("string")
     return x.select(
-        F.col("copy").alias("uuid"), F.col("lost.kind").alias("kind"), conflict_name(F.col("path"), F.col("lost.peer"), F.col("lost.hash")).alias("path"), F.col("lost.hash").alias("hash"),
+        F.col("copy").alias("uuid"), F.col("lost.kind").alias("kind"), options.conflict_name(F.col("path"), F.col("lost.peer"), F.col("lost.hash")).alias("path"), F.col("lost.hash").alias("hash"),
         F.col("lost.size").alias("size"), F.col("lost.updated").alias("created"), F.col("lost.updated").alias("updated"), F.col("lost.peer").alias("peer"), F.lit(False).alias("deleted"),
         none.alias("prev"), none.alias("prev2"), none.alias("prev_path"), F.col("uuid").alias("conflict_of"), reason.alias("reason"), F.col("lost.prev").alias("base"),
         F.when(F.col("lost.size") >= options.held_at, F.col("lost.peer")).alias("held"))
 
 
-def resolve_collisions(entries: DataFrame) -> DataFrame:
-    """One live entry a path: the newest keeps it, others move aside, and a directory takes what is under it along.
+def resolve_collisions(entries: DataFrame, options: MergeOptions | None = None) -> tuple[DataFrame, DataFrame]:
+    """One live entry a path: the newest keeps it, others move aside; and a report ``uuid, kind, path, winner, is_text, copy`` of each loser.
 
-    Entries under a moved directory are found by a join on their ancestors, not by comparing prefixes.
+    A directory that loses its path takes what is under it along, losers of other paths included; of several such
+    directories above an entry the outermost does, as its move leaves nothing where the inner ones stood. They are found
+    by a join on the entry's ancestors, not by comparing prefixes.
     """
+    name = (options or MergeOptions()).conflict_name
     order = Window.partitionBy("path", "deleted").orderBy(F.desc("updated"), F.desc(F.concat_ws("|", F.coalesce("hash", F.lit("")), "peer", "uuid")))
     ranked = entries.withColumns({"_place": F.when(~F.col("deleted"), F.row_number().over(order)).otherwise(1), "_keeper": F.first(F.struct("uuid", "kind")).over(order)})
     lost = F.col("_place") > 1
-    aside = conflict_name(F.col("path"), F.col("peer"), F.coalesce("hash", "uuid"))
+    aside = name(F.col("path"), F.col("peer"), F.coalesce("hash", "uuid"))
+    same = F.col("_keeper.kind") == F.col("kind")
     moved = ranked.withColumns({
-        "_from": F.when(lost, F.col("path")),
         "_to": F.when(lost, aside),
         "conflict_of": F.when(lost, F.coalesce("conflict_of", F.col("_keeper.uuid"))).otherwise(F.col("conflict_of")),
-        "reason": F.when(lost, F.coalesce("reason", F.when(F.col("_keeper.kind") == F.col("kind"), "binary").otherwise("kind"))).otherwise(F.col("reason"))})
-    dirs = moved.filter(lost & (F.col("kind") == "directory")).groupBy(F.col("_from").alias("dir")).agg(F.min("_to").alias("dir_to"))
-    above = moved.filter(~lost).select("uuid", "path", F.explode(ancestors(F.col("path"))).alias("dir")).join(dirs, "dir")
-    under = above.groupBy("uuid").agg(F.max_by(F.struct("dir", "dir_to"), F.length("dir")).alias("d")).select("uuid", "d.dir", "d.dir_to")
-    out = moved.join(under, "uuid", "left")
-    path = F.when(lost, F.col("_to")).when(F.col("dir").isNotNull(), F.concat(F.col("dir_to"), F.expr("substring(path, length(dir) + 1)"))).otherwise(F.col("path"))
-    prev_path = F.when(lost | F.col("dir").isNotNull(), F.col("path")).otherwise(F.col("prev_path"))
-    return out.select("uuid", "kind", path.alias("path"), *ENTRY[2:10], prev_path.alias("prev_path"), *ENTRY[11:])
+        "reason": F.when(lost, F.coalesce("reason", F.when(same, "binary").otherwise("kind"))).otherwise(F.col("reason"))})
+    moved = keep(moved, "collisions")  # read three times
+    dirs = moved.filter(lost & (F.col("kind") == "directory")).groupBy(F.col("path").alias("dir")).agg(F.min_by("_to", "_place").alias("dir_to"))
+    above = moved.select("uuid", F.explode(ancestors(F.col("path"))).alias("dir")).join(dirs, "dir")
+    under = above.groupBy("uuid").agg(F.min_by(F.struct("dir", "dir_to"), F.length("dir")).alias("d")).select("uuid", "d.dir", "d.dir_to")
+    out = moved.join(under, "uuid", "left").withColumn("_at", F.coalesce("_to", "path"))
+    path = F.when(F.col("dir").isNotNull(), F.concat(F.col("dir_to"), F.expr("substring(_at, length(dir) + 1)"))).otherwise(F.col("_at"))
+    prev_path = F.when(F.col("dir").isNotNull(), F.col("_at")).when(lost, F.col("path")).otherwise(F.col("prev_path"))
+    reports = moved.filter(lost).select(
+        "uuid", F.when(same, "content").otherwise("kind").alias("kind"), "path", F.lit("a").alias("winner"), F.lit(False).alias("is_text"), F.col("uuid").alias("copy"))
+    return out.select("uuid", "kind", path.alias("path"), *ENTRY[2:10], prev_path.alias("prev_path"), *ENTRY[11:]), reports
 
 
 def merge_entries(a: DataFrame, b: DataFrame, edges: DataFrame, moves: DataFrame, last: DataFrame, known_a: DataFrame, known_b: DataFrame, options: MergeOptions | None = None) -> tuple[DataFrame, DataFrame]:
-    """Merged entries and conflicts of two peers.
+    """Merged entries and conflicts of two peers, of content and place as well as of paths that several entries claim.
 
     edges, moves and last come from the history of both sides; known_a and known_b are the uuids that each side has met.
     """
@@ -185,7 +191,8 @@ def merge_entries(a: DataFrame, b: DataFrame, edges: DataFrame, moves: DataFrame
     conflicts = conflict_rows(settled, options)
     entries = merged_rows(settled).unionByName(solo_rows(pairs, last))
     copies = copy_rows(conflicts, options).join(entries.select("uuid"), "uuid", "left_anti")
-    return resolve_collisions(entries.unionByName(copies)), conflicts.drop("lost")
+    apart, reports = resolve_collisions(entries.unionByName(copies), options)
+    return apart, conflicts.drop("lost").unionByName(reports)
 
 
 def converge_config(headers: DataFrame) -> DataFrame:

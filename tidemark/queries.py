@@ -166,9 +166,13 @@ def _recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
 
 
-@query(_recursive(with_tables("log")) + _REACH + "select * from m")
+@query(_recursive(with_tables("log")) + _REACH + "select m.* from m join (select uuid, arg_max(hash, (at_ms, event_id)) as hash from log where hash is not null group by uuid) h on h.uuid = m.uuid and h.hash = m.hash")
 def ancestry_closure(fx: Fixtures) -> DataFrame:
-    return ancestry.reach(ancestry.version_edges(fx.log))
+    """All that the newest version of each file comes from."""
+    log = fx.log.filter("hash is not null")
+    heads = log.groupBy("uuid").agg(F.max_by("hash", F.struct("at_ms", "event_id")).alias("start")).withColumn("node", F.col("start"))
+    up = ancestry.climb(heads, ancestry.version_edges(log)).filter("depth > 0")
+    return up.select("uuid", F.col("start").alias("hash"), F.col("node").alias("ancestor"), "depth")
 
 
 @query(_recursive(with_tables("log")) + _REACH + """, v as (select uuid, hash, prev, lag(hash, 3) over (partition by uuid order by at_ms, event_id) as ancestor from log)
@@ -176,7 +180,7 @@ select v.uuid, v.hash, v.ancestor, v.ancestor is not null and (v.hash is not dis
 def descends(fx: Fixtures) -> DataFrame:
     third = F.lag("hash", 3).over(Window.partitionBy("uuid").orderBy("at_ms", "event_id"))
     pairs = fx.log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), third.alias("ancestor"))
-    return ancestry.descends(pairs, ancestry.reach(ancestry.version_edges(fx.log))).select("uuid", "hash", "ancestor", "descends")
+    return ancestry.descends(pairs, ancestry.version_edges(fx.log)).select("uuid", "hash", "ancestor", "descends")
 
 
 @query(_recursive(with_tables("log")) + _REACH + """, p as (select uuid, hash as left, lag(hash, 2) over (partition by uuid order by at_ms, event_id) as right from log where hash is not null)
@@ -186,7 +190,7 @@ def common_ancestor(fx: Fixtures) -> DataFrame:
     log = fx.log.filter("hash is not null")
     second = F.lag("hash", 2).over(Window.partitionBy("uuid").orderBy("at_ms", "event_id"))
     pairs = log.select("uuid", F.col("hash").alias("left"), second.alias("right")).filter("right is not null")
-    return ancestry.common_ancestor(pairs, ancestry.reach(ancestry.version_edges(fx.log))).select("uuid", "left", "right", "base")
+    return ancestry.common_ancestor(pairs, ancestry.version_edges(fx.log)).select("uuid", "left", "right", "base")
 
 
 @query(with_tables("base", "a", "b") + "select a.uuid, a.prev_path is not distinct from b.path as moved from a join b on a.uuid = b.uuid where a.path <> b.path")
@@ -274,16 +278,37 @@ def solo_resurrection_guard(fx: Fixtures) -> DataFrame:
     return solo.filter("deleted and peer = 'device-a'").select("uuid", "updated", "prev")
 
 
-@query(with_tables("base", "a") + """, c as (select distinct split_part(path, '/', 1) as s from a), f as (select * from c where s like '%3' or s = 'moved')
-select a.uuid, case when split_part(a.path, '/', 1) in (select s from f) then split_part(a.path, '/', 1) || ' (conflict device-a ' || substr('dir-' || split_part(a.path, '/', 1), 1, 8) || ')' || substr(a.path, length(split_part(a.path, '/', 1)) + 1) else a.path end as path from a
-union all select 'dir-' || s, case when s in (select s from f) then s || ' (conflict device-a ' || substr('dir-' || s, 1, 8) || ')' else s end from c union all select 'file-' || s, s from f""")
+_NESTED = with_tables("base", "a") + """, c as (select distinct split_part(path, '/', 1) as s from a), f as (select s from c where s like '%3' or s = 'moved')
+, d as (select distinct split_part(path, '/', 1) as s, split_part(path, '/', 2) as l, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as d from a), g as (select d from d where l = 'en')
+, e as (select uuid, path as at, split_part(path, '/', 1) as s, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as d, path as was, 0 as lost, '' as keeper from a
+ union all select 'dir-' || s, s, null, null, s, case when s in (select s from f) then 1 else 0 end, 'file-' || s from c union all select 'file-' || s, s, null, null, s, 0, '' from f
+ union all select 'dir-' || d, case when l = 'en' then d || ' (conflict device-a ' || substr('dir-' || d, 1, 8) || ')' else d end, s, null, d, case when l = 'en' then 1 else 0 end, 'file-' || d from d
+ union all select 'file-' || d, d, split_part(d, '/', 1), null, d, 0, '' from g)
+, t as (select uuid, was, lost, keeper, case when s in (select s from f) then s || ' (conflict device-a ' || substr('dir-' || s, 1, 8) || ')' || substr(at, length(s) + 1)
+ when d in (select d from g) then d || ' (conflict device-a ' || substr('dir-' || d, 1, 8) || ')' || substr(at, length(d) + 1)
+ when s is null and lost = 1 then at || ' (conflict device-a ' || substr('dir-' || at, 1, 8) || ')' else at end as path from e)
+"""
+
+
+def _nested(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """Every first and second folder of a path as a directory entry, and on some of their paths a newer file."""
+    part = lambda i: F.split_part(F.col("path"), F.lit("/"), F.lit(i))
+    top = fx.a.select(part(1).alias("path"), (F.endswith(part(1), F.lit("3")) | (part(1) == "moved")).alias("taken"))
+    second = fx.a.select(F.concat(part(1), F.lit("/"), part(2)).alias("path"), (part(2) == "en").alias("taken"))
+    folders = top.union(second).distinct()
+    dirs = folders.select(F.concat(F.lit("dir-"), "path").alias("uuid"), F.lit("directory").alias("kind"), "path", F.lit(1_600_000_000_000).alias("updated"), F.lit("device-a").alias("peer"))
+    files = folders.filter("taken").select(F.concat(F.lit("file-"), "path").alias("uuid"), F.lit("file").alias("kind"), "path", F.sha2("path", 256).alias("hash"), F.lit(1_800_000_000_000).alias("updated"), F.lit("device-b").alias("peer"))
+    return merge.resolve_collisions(merge.entry_rows(fx.a).unionByName(merge.entry_rows(dirs)).unionByName(merge.entry_rows(files)))
+
+
+@query(_NESTED + "select uuid, path from t")
 def path_collisions(fx: Fixtures) -> DataFrame:
-    """Every top folder as a directory entry, and on some of their paths a newer file."""
-    a = merge.entry_rows(fx.a)
-    tops = fx.a.select(F.split_part(F.col("path"), F.lit("/"), F.lit(1)).alias("path")).distinct()
-    dirs = merge.entry_rows(tops.select(F.concat(F.lit("dir-"), "path").alias("uuid"), F.lit("directory").alias("kind"), "path", F.lit(1_600_000_000_000).alias("updated"), F.lit("device-a").alias("peer")))
-    files = merge.entry_rows(tops.filter("path like '%3' or path = 'moved'").select(F.concat(F.lit("file-"), "path").alias("uuid"), F.lit("file").alias("kind"), "path", F.sha2("path", 256).alias("hash"), F.lit(1_800_000_000_000).alias("updated"), F.lit("device-b").alias("peer")))
-    return merge.resolve_collisions(a.unionByName(dirs).unionByName(files)).select("uuid", "path")
+    return _nested(fx)[0].select("uuid", "path")
+
+
+@query(_NESTED + "select uuid, 'kind' as kind, was as path, uuid as copy from t where lost = 1")
+def collision_reports(fx: Fixtures) -> DataFrame:
+    return _nested(fx)[1].select("uuid", "kind", "path", "copy")
 
 
 @query(with_tables("base") + "select uuid, path from (select 'conflict:' || case k when 4 then uuid else alt end || ':' || case k when 4 then ha else h0 end as copy, case k when 4 then uuid else alt end as uuid, p as path, k from base where k in (4, 11))")
