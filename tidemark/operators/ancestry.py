@@ -60,7 +60,9 @@ def climb(starts: DataFrame, edges: DataFrame) -> DataFrame:
             break
         if aimed:
             met = new.filter("node = target")
-            new = scratch.save(new.join(met.select(*keys).distinct(), keys, "left_anti").unionByName(met), f"near-{step + 1}")
+            done = met.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+            same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+            new = scratch.save(new.join(done, same, "left_anti").unionByName(met), f"near-{step + 1}")
             scratch.drop(f"met-{step}")
         x, y = jumps, jumps.select("uuid", F.col("node").alias("up"), F.col("up").alias("top"), F.col("way").alias("on"))
         longer = x.join(y, ["uuid", "up"]).groupBy("uuid", "node", "top").agg(F.min(F.concat("way", "on")).alias("way"))

@@ -280,13 +280,13 @@ def solo_resurrection_guard(fx: Fixtures) -> DataFrame:
 
 _NESTED = with_tables("base", "a") + """, c as (select distinct split_part(path, '/', 1) as s from a), f as (select s from c where s like '%3' or s = 'moved')
 , d as (select distinct split_part(path, '/', 1) as s, split_part(path, '/', 2) as l, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as d from a), g as (select d from d where l = 'en')
-, e as (select uuid, path as at, split_part(path, '/', 1) as s, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as d, path as was, 0 as lost, '' as keeper from a
+, e as (select uuid, path as pos, split_part(path, '/', 1) as s, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as d, path as was, 0 as lost, '' as keeper from a
  union all select 'dir-' || s, s, null, null, s, case when s in (select s from f) then 1 else 0 end, 'file-' || s from c union all select 'file-' || s, s, null, null, s, 0, '' from f
  union all select 'dir-' || d, case when l = 'en' then d || ' (conflict device-a ' || substr('dir-' || d, 1, 8) || ')' else d end, s, null, d, case when l = 'en' then 1 else 0 end, 'file-' || d from d
  union all select 'file-' || d, d, split_part(d, '/', 1), null, d, 0, '' from g)
-, t as (select uuid, was, lost, keeper, case when s in (select s from f) then s || ' (conflict device-a ' || substr('dir-' || s, 1, 8) || ')' || substr(at, length(s) + 1)
- when d in (select d from g) then d || ' (conflict device-a ' || substr('dir-' || d, 1, 8) || ')' || substr(at, length(d) + 1)
- when s is null and lost = 1 then at || ' (conflict device-a ' || substr('dir-' || at, 1, 8) || ')' else at end as path from e)
+, t as (select uuid, was, lost, keeper, case when s in (select s from f) then s || ' (conflict device-a ' || substr('dir-' || s, 1, 8) || ')' || substr(pos, length(s) + 1)
+ when d in (select d from g) then d || ' (conflict device-a ' || substr('dir-' || d, 1, 8) || ')' || substr(pos, length(d) + 1)
+ when s is null and lost = 1 then pos || ' (conflict device-a ' || substr('dir-' || pos, 1, 8) || ')' else pos end as path from e)
 """
 
 
