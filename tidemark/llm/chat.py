@@ -28,8 +28,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    held = F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00b")), F.lit("\\n"), F.lit("\n")), F.lit("\x00b"), F.lit("\\"))
-    return unescape(held)
+    # doubled backslashes are taken from the left, so what stands between two of them holds none but those of line feeds
+    parts = F.transform(F.split(role, r"\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return unescape(F.array_join(parts, "\\"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -49,10 +50,11 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
-    """Render ``conv_id, msg, seq, role, text`` to ``conv_id, n_turns, formatted, loss_spans``.
+    """Render ``conv_id, msg, seq, role, text`` to ``conv_id, n_turns, formatted, loss_spans``; null roles and texts must be gone.
 
     Messages stand in order of seq, then msg. ``loss_spans`` are the half-open code point ranges of the
-    escaped assistant texts in ``formatted``.
+    escaped assistant texts in ``formatted``. A conversation is one row, by its nature; no messages give no row.
+    Messages that repeat are rendered each.
     """
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     parts = messages.select("conv_id", "seq", "msg", (F.col("role") == "assistant").alias("loss"), head.alias("head"), escape(F.col("text")).alias("body"))
@@ -66,7 +68,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
-    """The inverse: adds ``turns array<struct<role, text>>``, read back from ``formatted``."""
+    """The inverse: adds ``turns array<struct<role, text>>``, read back from ``formatted``; a column of that name is not allowed."""
     pieces = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30)
 
     def turn(p: Column) -> Column:
@@ -82,17 +84,27 @@ def loss_text(chats: DataFrame) -> DataFrame:
     return chats.select("*", F.array_join(cut, "").alias("loss_text"))
 
 
-def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Events from a table of whole turns ``conv_id, turn, role, text``: an assistant's text comes as a delta.
+def conversation_events(conversations: DataFrame, size: int = 256) -> DataFrame:
+    """The event log of a table of whole turns ``conv_id, turn, role, text``, as a chat service would have streamed it.
 
-    Every row is a message of its own. Rows with one turn number keep an order by role, then text.
+    An assistant's message begins with a draft, is regenerated and then comes in deltas of ``size`` characters; any
+    other message begins with a draft and is edited to its text. Every row is a message of its own; rows with one turn
+    number keep an order by role, then text. A null text or role counts as empty. Rows are dealt by conversation once,
+    and what orders, folds and renders them needs no other exchange.
     """
-    flat = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    flat = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    kind = F.when(F.col("role") == "assistant", "delta").otherwise("message")
-    return flat.select("conv_id", place.cast("long").alias("msg"), F.col("turn").alias("seq"), kind.alias("kind"), "role", "text")
+    rows = flat.withColumn("msg", F.struct("turn", place.cast("long").alias("place")))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft = F.substring("text", 1, 16)
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1), lambda i: event("delta", F.substr("text", i * size + 1, F.lit(size))))
+    deltas = F.when(F.col("text") != "", cut).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    streamed = F.concat(F.array(event("delta", draft), event("regenerate", F.lit(None).cast("string"))), deltas)
+    edited = F.array(event("message", draft), event("edit", F.col("text")))
+    log = rows.select("conv_id", "msg", "role", F.posexplode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("step", "e"))
+    return log.select("conv_id", "msg", F.struct("msg.turn", "msg.place", "step").alias("seq"), "e.kind", "role", "e.text")
 
 
 def fold_conversations(conversations: DataFrame) -> DataFrame:
-    events = conversation_events(conversations).withColumn("msg", F.struct("seq", "msg"))
-    return fold_events(events)
+    """The messages of a table of whole turns, folded from its event log."""
+    return fold_events(conversation_events(conversations))
