@@ -4,7 +4,9 @@ Pieces have log scores; a text's encoding is the sequence of pieces of largest t
 covers falls back to byte pieces. The whitespace marker stands for a space, and a space is put before each
 text. As no piece has a marker after another character, the best encoding of a text is that of its words,
 each with the spaces before it; equal words of a batch are encoded once, all positions of all of them at a
-time in numpy. A marker character that a text itself holds is encoded by bytes, so decoding is exact.
+time in numpy. Within a word, a place that no piece reaches across is an edge of every encoding, so words are cut
+there first; a text of more than ``CHUNK`` bytes is worked on in stretches that end before a space or at such a
+place. A marker character that a text itself holds is encoded by bytes, so decoding is exact.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .text import Rolling, mix, pieces
 
 MODEL = os.environ.get("TIDEMARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARKER = "▁"
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 
 
 def load_pieces(path: str = MODEL) -> dict:
@@ -112,22 +114,10 @@ def build_trie(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.array(base + pad, np.int64), np.array(check + [-1] * 256, np.int64), np.array(value + [-1] * 256, np.int32)
 
 
-def viterbi(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece ids of the stretches of data end to end, their n + 1 offsets, and the scores. Ties go to the longer last piece."""
-    n = len(starts)
-    total = int((ends - starts).sum())
-    if not total:
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(n)
-    # the stretches by themselves, end to end
-    size = ends - starts
-    at = np.zeros(n + 1, np.int64)
-    np.cumsum(size, out=at[1:])
-    own = np.repeat(np.arange(n), size)
-    text = data[np.arange(total) - at[own] + starts[own]].astype(np.int64)
-    stop = at[own + 1]
-    # all pieces from all places: walk the trie from every place at once
-    begin, length, piece = [np.arange(total)], [np.ones(total, np.int64)], [m["byte_ids"][text]]
-    place, state = np.arange(total), np.zeros(total, np.int64)
+def matches(text: np.ndarray, stop: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and id of all pieces from all places: the trie is walked from every place at once, up to its ``stop``."""
+    begin, length, piece = [], [], []
+    place, state = np.arange(len(text)), np.zeros(len(text), np.int64)
     for depth in range(m["longest"]):
         live = place + depth < stop[place]
         place, state = place[live], state[live]
@@ -140,8 +130,39 @@ def viterbi(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: dict) ->
         begin.append(place[word])
         length.append(np.full(int(word.sum()), depth + 1))
         piece.append(m["value"][state[word]])
-    fallback = np.repeat([True, False], [total, sum(map(len, begin)) - total])
-    begin, length, piece = np.concatenate(begin), np.concatenate(length), np.concatenate(piece)
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (begin, length, piece))
+
+
+def edges_within(n: int, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each place of n whether no piece reaches across it."""
+    across = np.zeros(n + 1, np.int64)
+    long = length > 1
+    np.add.at(across, begin[long] + 1, 1)
+    np.add.at(across, begin[long] + length[long], -1)
+    return np.cumsum(across)[:n] == 0
+
+
+def viterbi(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece ids of the stretches of data end to end, their n + 1 offsets, and the scores. Ties go to the longer last piece."""
+    total = int((ends - starts).sum())
+    if not total:
+        return np.zeros(0, np.int32), np.zeros(len(starts) + 1, np.int64), np.zeros(len(starts))
+    # the stretches by themselves, end to end
+    size = ends - starts
+    given = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(size, out=given[1:])
+    own = np.repeat(np.arange(len(starts)), size)
+    text = data[np.arange(total) - given[own] + starts[own]].astype(np.int64)
+    begin, length, piece = matches(text, given[own + 1], m)
+    # shorter stretches: cut where no piece reaches across
+    cut = edges_within(total, begin, length)
+    cut[given[:-1][size > 0]] = True
+    at = np.append(np.flatnonzero(cut), total)
+    size, n = np.diff(at), len(at) - 1
+    own = np.repeat(np.arange(n), size)
+    fallback = np.repeat([True, False], [total, len(begin)])
+    begin, length, piece = np.concatenate([np.arange(total), begin]), np.concatenate([np.ones(total, np.int64), length]), np.concatenate([m["byte_ids"][text], piece])
     gain = np.where(fallback, m["byte_score"], m["scores"][piece])
     close = begin + length
     u = own[begin]
@@ -184,7 +205,10 @@ def viterbi(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: dict) ->
     step = np.repeat(np.arange(len(units)), [len(x) for x in units])
     units, ids = np.concatenate(units), np.concatenate(ids)
     order = np.lexsort((-step, units))
-    return ids[order].astype(np.int32), np.searchsorted(units[order], np.arange(n + 1)), score
+    # back to the stretches given
+    first = np.searchsorted(at, given)
+    sums = np.concatenate([[0.0], np.cumsum(score)])
+    return ids[order].astype(np.int32), np.searchsorted(units[order], np.arange(n + 1))[first], sums[first[1:]] - sums[first[:-1]]
 
 
 def ragged(values: np.ndarray, at: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,10 +232,14 @@ class Encoder:
         text = np.full(len(data) + int(lead[-1] if n else 0), 32, np.uint8)
         text[np.arange(len(data)) + np.repeat(lead, np.diff(offsets))] = data
         edges = offsets + np.concatenate([[0], lead])
+        return self._words(text, edges)
+
+    def _words(self, text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of texts between edges that have their first space already."""
         space = text == 32
         begins = space.copy()
         begins[1:] &= ~space[:-1]
-        begins[edges[:-1][full]] = True
+        begins[edges[:-1][np.diff(edges) > 0]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(text))[: len(starts)]
         h = mix(self.rolling(text, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
@@ -222,6 +250,35 @@ class Encoder:
         sums = np.concatenate([[0.0], np.cumsum(score[which])])
         return out, by_word[words], sums[words[1:]] - sums[words[:-1]]
 
+    def _stretch(self, data: np.ndarray, at: int) -> int:
+        """Where a stretch of about CHUNK bytes from ``at`` on may end: before a space that begins a word, else where no piece reaches across."""
+        size = CHUNK
+        while at + size < len(data):
+            near = data[at : at + size]
+            begins = np.flatnonzero((near[1:] == 32) & (near[:-1] != 32))
+            if len(begins):
+                return at + int(begins[-1]) + 1
+            window = data[at : at + size + self.model["longest"]].astype(np.int64)
+            begin, length, _ = matches(window, np.full(len(window), len(window)), self.model)
+            places = np.flatnonzero(edges_within(len(window), begin, length)[1:size])
+            if len(places):
+                return at + int(places[-1]) + 1
+            size *= 2
+        return len(data)
+
+    def encode_long(self, data: np.ndarray) -> tuple[np.ndarray, float, bool]:
+        """ids, score and whether decoding gives back the text, of one text of any length."""
+        ids, total, exact, at = [], 0.0, True, 0
+        while at < len(data):
+            to = self._stretch(data, at)
+            part = data[at:to] if at else np.concatenate([[np.uint8(32)], data[:to]])
+            own, _, score = self._words(part, np.array([0, len(part)]))
+            back, _ = ragged(self.model["bytes"], self.model["at"], own)
+            exact = exact and np.array_equal(back, part)
+            ids.append(own)
+            total, at = total + float(score[0]), to
+        return np.concatenate(ids), total, exact
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts whose ids end to end are given: the pieces without the first space."""
         data, by_id = ragged(self.model["bytes"], self.model["at"], ids)
@@ -247,10 +304,14 @@ def _encode(shared, keep: int):
             at = 0
             for part, data, offsets in pieces(pa.RecordBatch.from_arrays([batch.column(keep)], names=["text"]), "text", CHUNK):
                 rows, at = batch.slice(at, part.num_rows), at + part.num_rows
-                ids, cuts, score = encoder.encode(data, offsets)
-                back, edges = encoder.decode(ids, cuts)
-                same = np.concatenate([[0], np.cumsum(data != back)]) if len(data) == len(back) else None
-                exact = (same[offsets[1:]] == same[offsets[:-1]]) & (edges[1:] == offsets[1:]) if same is not None else np.array([data[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets, offsets[1:], edges, edges[1:], strict=False)])
+                if part.num_rows == 1 and len(data) > CHUNK:
+                    ids, one, whole = encoder.encode_long(data)
+                    cuts, score, exact = np.array([0, len(ids)]), np.array([one]), np.array([whole])
+                else:
+                    ids, cuts, score = encoder.encode(data, offsets)
+                    back, edges = encoder.decode(ids, cuts)
+                    same = np.concatenate([[0], np.cumsum(data != back)]) if len(data) == len(back) else None
+                    exact = (same[offsets[1:]] == same[offsets[:-1]]) & (edges[1:] == offsets[1:]) if same is not None else np.array([data[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets, offsets[1:], edges, edges[1:], strict=False)])
                 fell = np.concatenate([[0], np.cumsum(byte_piece[ids])])
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(i) for i in range(keep)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), pa.array(np.diff(cuts)), pa.array(fell[cuts[1:]] - fell[cuts[:-1]]), pa.array(score), pa.array(exact)],
@@ -263,8 +324,9 @@ def encode_pieces(docs: DataFrame, model: dict | None = None, text: str = "text"
     """The columns ``keep`` of every row (all by default), with ``ids array<int>, n_tokens, n_bytes, score, exact``.
 
     n_bytes counts byte pieces; exact says whether decoding gives back the text, byte for byte. A null or
-    empty text has no ids. A kept column with the name of an added one is replaced. The model has a fixed size,
-    the vocabulary's, and is broadcast.
+    empty text has no ids; rows that repeat get equal results; an empty table gives no rows. A long text is worked on
+    in stretches, and only one over which pieces overlap all through is worked on whole. A kept column with the name
+    of an added one is replaced. The model has a fixed size, the vocabulary's, and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or load_pieces())
     kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c not in ENCODED.names))
