@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, parallelism
 
 LINKS, BREADTH_BUILD, BREADTH_SEARCH = 12, 64, 96
+SHARD_ROWS = (4000, 200_000)
 
 
 class Graph:
@@ -176,12 +177,14 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "block": int(pdf["block"].iloc[0]), "query_ids": pdf["id"].to_numpy(np.int64).tobytes(), "query_vectors": np.stack(pdf["vector"].to_numpy()).astype(np.float64).tobytes()}])
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = 4000, block_rows: int = 2000, breadth: int = BREADTH_SEARCH) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int | None = None, block_rows: int = 2000, breadth: int = BREADTH_SEARCH) -> DataFrame:
     """For each row that ``queries`` holds for: ``query_id, rank, vec_id, score``, its k nearest other rows.
 
     Ties go to the smaller id. Rows with a null id, a null, empty or zero vector or one with null or
     non-finite components take no part. Vectors are compared with those of their own size. Rows that repeat
-    count once. ``shard_rows`` and ``block_rows`` bound what a task holds; each block of queries meets each shard.
+    count once. Other columns are ignored; an empty table gives no rows. ``shard_rows`` and ``block_rows`` bound what a
+    task holds; each block of queries meets each shard. By default there are two shards for each task that runs at once,
+    of ``SHARD_ROWS`` at least and at most, so that a large table has few large graphs rather than many small ones.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
@@ -191,11 +194,13 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
     rows = rows.filter(F.col("id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).filter((sound > 0) & (sound < float("inf")))
     rows = rows.withColumn("dim", F.size("vector"))
     n = rows.count()
+    if shard_rows is None:
+        shard_rows = min(SHARD_ROWS[1], max(SHARD_ROWS[0], n // (2 * parallelism(spark))))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-rows.filter("q").count() // block_rows))
     # k + 1 members of a class of equal vectors are all that k results and the query itself can take
     ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("place") <= k + 1)
     classes = ranked.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("members")).select(F.col("members")[0].alias("id"), "members", "vector", F.size("vector").alias("dim"))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "dim", "shard")
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartitionByRange(shards, "dim", "shard")
     index = scratch.save(dealt.groupBy("dim", "shard").applyInPandas(_build_shard, INDEX), "index")
     asked = rows.filter("q").select("id", "dim", "vector").dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, query_ids binary, query_vectors binary")
@@ -203,4 +208,4 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
     met = sent.join(index, ["dim", "shard"])
     found = met.groupBy("dim", "shard", "block").applyInPandas(_search_shard(k, breadth), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scratch.last(found.distinct().withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
