@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import pieces
+from .text import parts, pieces
 
 BUCKETS = 1 << 14
 GRAMS = (3, 4)
@@ -81,8 +81,8 @@ def _featurize(batches):
                 keys.append(k.astype(np.int32))
                 counts.append((c / max(1, len(own))).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index("label")), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-                names=["label", "keys", "shares"])
+                [rows.column(rows.schema.get_field_index("h")), rows.column(rows.schema.get_field_index("label")), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
+                names=["h", "label", "keys", "shares"])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -91,12 +91,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text: str = "text", sample_rows: int = 2000, size: int = 16, epochs: int = 12, rate: float = 2.0, reject: float = 0.002, seed: int = 7) -> LanguageModel:
-    """Learn from at most ``sample_rows`` rows with a label, chosen by a hash of their id; only text and label are inputs."""
+    """Learn from at most ``sample_rows`` rows with a label, chosen by a hash of their id; only text and label are inputs. A table without such rows gives a model that knows no language."""
     usable = docs.filter(F.col(label).isNotNull())
     n = usable.count()
     share = min(1.0, 0.9 * sample_rows / max(1, n))
     picked = usable.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if n > sample_rows else usable
-    rows = picked.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).mapInArrow(_featurize, "label string, keys array<int>, shares array<float>").limit(sample_rows).toPandas()
+    rows = picked.select(F.xxhash64(id_col, text).alias("h"), F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
+    # in an order that does not depend on how the table is laid out
+    rows = rows.mapInArrow(_featurize, "h long, label string, keys array<int>, shares array<float>").orderBy("h", "label").limit(sample_rows).toPandas()
     rows = rows[rows["keys"].map(len) > 0]
     labels = sorted(set(rows["label"]))
     if not labels:
@@ -136,22 +138,21 @@ def _predict(shared):
         table = [np.ascontiguousarray(c, dtype=np.float32) for c in model.table.T]
         labels = np.array([*model.labels, "und"], dtype=object)
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
-                n = rows.num_rows
-                letters = rows.column(rows.schema.get_field_index("letters")).to_numpy(zero_copy_only=False).astype(bool)
+            n = batch.num_rows
+            letters = batch.column(batch.schema.get_field_index("letters")).to_numpy(zero_copy_only=False).astype(bool)
+            z, count = np.zeros((n, len(table))), np.zeros(n)
+            for row, data, offsets in parts(batch, "text"):
                 both = subwords(data, offsets)
-                count = sum(np.diff(at) for _, at in both)
-                z = np.zeros((n, len(table)))
+                count[row] += sum(np.diff(at) for _, at in both)
                 for c, column in enumerate(table):
                     for g, at in both:
-                        z[:, c] += _sums(column[g], at)
-                p = _softmax((z / np.maximum(count, 1)[:, None] + model.bias) / model.temperature) if len(table) else np.zeros((n, 1))
-                best = p.argmax(axis=1)
-                score = np.where(letters, p.max(axis=1), 0.0) if len(table) else np.zeros(n)
-                pick = np.where(letters, best, len(model.labels)) if len(table) else np.zeros(n, int)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(labels[pick], pa.string()), pa.array(score), pa.array(~letters | (score < model.least))],
-                    names=["id", "lang_pred", "score", "rejected"])
+                        z[row, c] += _sums(column[g], at)
+            p = _softmax((z / np.maximum(count, 1)[:, None] + model.bias) / model.temperature) if len(table) else np.zeros((n, 1))
+            score = np.where(letters, p.max(axis=1), 0.0) if len(table) else np.zeros(n)
+            pick = np.where(letters, p.argmax(axis=1), len(model.labels)) if len(table) else np.zeros(n, int)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(labels[pick], pa.string()), pa.array(score), pa.array(~letters | (score < model.least))],
+                names=["id", "lang_pred", "score", "rejected"])
 
     return run
 
@@ -160,8 +161,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """``id_col, lang_pred, score, rejected`` for every row.
 
     A null text, one without letters, and every text where nothing could be learned get ``und`` with score 0.
-    ``rejected`` marks these and texts whose calibrated score is below the model's limit. The model is of a
-    fixed size and is broadcast.
+    ``rejected`` marks these and texts whose calibrated score is below the model's limit. Rows that repeat get equal
+    results, other columns are ignored, an empty table gives no rows. A long text is averaged over its parts, cut
+    after a space where one is near. The model is of a fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     rows = docs.select(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh
-from .text import Rolling, mix, pieces
+from .text import Rolling, mix, parts
 
 BUCKETS, SIZE, MARKS = 1 << 14, 24, 2
 PIECE = 700_000  # bytes of text whose token vectors are held at once
@@ -74,7 +74,7 @@ def _contexts(batches):
     tokens, (place, sign) = Tokens(), index_vectors()
     total, seen = np.zeros(BUCKETS * SIZE), np.zeros(BUCKETS, bool)
     for batch in batches:
-        for _, data, offsets in pieces(batch, "text"):
+        for _, data, offsets in parts(batch, "text"):
             t, at = tokens(data, offsets)
             if len(t) < 2:
                 continue
@@ -98,30 +98,37 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pool(t: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean, deviation and mean step of each text's token vectors; zeros for a text without tokens."""
+def sums(t: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each text the number of its tokens, then the sums of their vectors, of the squares and of the steps between neighbours."""
     n = np.diff(at)
     full = np.flatnonzero(n)
-    out = np.zeros((len(n), 3 * SIZE), np.float32)
+    out = np.zeros((len(n), 1 + 3 * SIZE))
+    out[:, 0] = n
     if len(full):
         v = vectors[t]
-        begin, size = at[:-1][full], n[full][:, None].astype(np.float32)
-        mean = np.add.reduceat(v, begin, axis=0) / size
-        square = np.add.reduceat(v * v, begin, axis=0) / size
+        begin = at[:-1][full]
         step = np.zeros_like(v)
         step[1:] = np.abs(v[1:] - v[:-1])
         step[begin] = 0
-        out[full] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.add.reduceat(step, begin, axis=0) / size])
+        out[full, 1:] = np.hstack([np.add.reduceat(x, begin, axis=0) for x in (v, v * v, step)])
     return out
 
 
+def pool(batch: pa.RecordBatch, text: str, tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
+    """Mean, deviation and mean step of each text's token vectors; zeros for a text without tokens. A long text's parts add up."""
+    total = np.zeros((batch.num_rows, 1 + 3 * SIZE))
+    for row, data, offsets in parts(batch, text, PIECE):
+        total[row] += sums(*tokens(data, offsets), vectors)
+    mean, square, step = np.split(total[:, 1:] / np.maximum(total[:, :1], 1), 3, axis=1)
+    return np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), step]).astype(np.float32)
+
+
 def _features(shared):
     def run(batches):
         tokens, vectors = Tokens(), shared.value
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text", PIECE):
-                x = pool(*tokens(data, offsets), vectors)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "x"])
+            x = pool(batch, "text", tokens, vectors)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["h", "label", "x"])
 
     return run
 
@@ -140,9 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         known = known.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(0.9 * sample_rows / n * 1_000_000))
     # at most sample_rows ids and labels are broadcast
     source = docs.select(F.col(id_col).alias("_doc"), F.col(text).cast("string").alias("text"))
-    rows = source.join(F.broadcast(known.limit(sample_rows)), F.col("_doc") == F.col("_id")).select("label", "text")
+    rows = source.join(F.broadcast(known.orderBy(F.xxhash64("_id", F.lit(seed)), "label").limit(sample_rows)), F.col("_doc") == F.col("_id")).select(F.xxhash64("_id", "text").alias("h"), "label", "text")
     shared = spark.sparkContext.broadcast(vectors)
-    data = rows.mapInArrow(_features(shared), "label int, x array<float>").toPandas()
+    # in an order that does not depend on how the tables are laid out
+    data = rows.mapInArrow(_features(shared), "h long, label int, x array<float>").toPandas().sort_values(["h", "label"], kind="stable")
     width = 3 * SIZE
     if not len(data):
         return QualityModel(vectors, np.zeros(width), np.ones(width), np.zeros((width, hidden)), np.zeros(hidden), np.zeros(hidden), 0.0, 1.0)
@@ -185,10 +193,8 @@ def _score(shared, at: int, name: str):
     def run(batches):
         tokens, model = Tokens(), QualityModel(**shared.value)
         for batch in batches:
-            out = []
-            for _, data, offsets in pieces(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), "text", PIECE):
-                out.append(probability(model, pool(*tokens(data, offsets), model.vectors)))
-            score = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+            texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
+            score = pa.array(probability(model, pool(texts, "text", tokens, model.vectors)), pa.float64())
             columns = [batch.column(i) for i in range(at)] + [score]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], name])
 
@@ -198,8 +204,9 @@ def _score(shared, at: int, name: str):
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns ``keep`` of every row of docs (all by default) and ``name``, the probability of label 1.
 
-    A null or empty text is scored as one without tokens. A kept column of that name is replaced. The model
-    has a fixed size and is broadcast.
+    A null or empty text is scored as one without tokens; rows that repeat get equal scores; an empty table gives no
+    rows. A long text is pooled over its parts, cut after a space where one is near. A kept column of that name is
+    replaced. The model has a fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kept = docs.select(*(c for c in (keep if keep is not None else docs.columns) if c != name))
