@@ -29,15 +29,21 @@ def item_sketches(items: DataFrame, id_col: str, text: str, k: int, least: float
     return sized.select("item", "size_class", need.cast("int").alias("need"), F.explode(F.slice(F.array_sort("s"), 1, width)).alias("h"))
 
 
-def bounded(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most so many rows; counts no further."""
-    return df.limit(rows + 1).count() <= rows
+#: Bytes of item texts up to which items are broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
+def bounded(sketch: DataFrame, items: DataFrame, text: str, rows: int) -> bool:
+    """Whether sketches have at most so many rows, and the items' texts few bytes."""
+    if sketch.limit(rows + 1).count() > rows:
+        return False
+    return items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] <= BROADCAST_BYTES
 
 
 def contained_rows(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, text: str, k: int, least: float, broadcast_rows: int) -> DataFrame:
     """``_id, _h, _n, item, n_item, n_common`` of rows and the items that they contain; the first three are the row's keys."""
     sketch = item_sketches(items, item_col, text, k, least)
-    small = bounded(sketch, broadcast_rows)
+    small = bounded(sketch, items, text, broadcast_rows)
     near = F.broadcast if small else lambda x: x
     words = words_of(F.lower(F.col(text)))
     keyed = docs.select(F.col(id_col).alias("_id"), *row_key(text), F.col(text).alias("_text"))
@@ -59,15 +65,16 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
     """Pairs of a document and an item that it contains: ``id_col, item_col, n_item, n_common, containment``.
 
     Null and empty texts hold nothing and are held by nothing. A text of fewer than k words is one run.
-    Documents that repeat give one row for each id and text. Sketches of up to ``broadcast_rows`` hashes are
-    broadcast, more are joined by a shuffle.
+    Documents that repeat give one row for each id and text. Other columns are ignored; empty tables give no rows.
+    A long document is worked on whole. Sketches of up to ``broadcast_rows`` hashes, of texts of up to
+    ``BROADCAST_BYTES``, are broadcast, more are joined by a shuffle.
     """
     found = contained_rows(docs, items, id_col, item_col, text, k, least, broadcast_rows)
     return found.select(F.col("_id").alias(id_col), F.col("item").alias(item_col), "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))
 
 
 def drop_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", k: int = 5, least: float = 0.75, broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of docs that contain no item."""
+    """The rows of docs that contain no item, with all their columns; a row without id or words stays, repeated rows stay or go together."""
     rows = contained_rows(docs, items, id_col, item_col, text, k, least, broadcast_rows).select("_id", "_h", "_n").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), *row_key(text))
     return join_rows(keyed, rows, "left_anti", "_id").select(*(F.col(f"_row.`{c}`") for c in docs.columns))
