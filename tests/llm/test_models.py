@@ -1,11 +1,13 @@
+import os
 import random
+import re
 
 import numpy as np
 import pytest
 from plain import documents, ordered, texts
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, nearest, pieces, quality
+from tidemark.llm import jaccard, language, nearest, pieces, quality, substrings
 
 
 def labelled():
@@ -111,14 +113,100 @@ def test_pieces(spark, tiny):
 
 
 def test_pieces_of_a_public_model(spark):
-    import os
-
     if not os.path.exists(pieces.MODEL):
         pytest.skip("no vocabulary file")
     out = pieces.decode_pieces(pieces.encode_pieces(documents(spark)))
     assert all(r["decoded"] == (r["text"] or "") for r in out.collect())
 
 
+@pytest.mark.parametrize("text", ["thethe an " * 400, "the" * 3000, "th" * 2000 + " é" * 900, "t" * 5000, "漢字" * 1500, " " * 3000 + "the"])
+def test_pieces_of_a_long_text_in_stretches(monkeypatch, tiny, text):
+    model, known = tiny
+    encoder = pieces.Encoder(model)
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole, _, score = encoder.encode(data, np.array([0, len(data)]))
+    monkeypatch.setattr(pieces, "CHUNK", 256)
+    ids, total, exact = encoder.encode_long(data)
+    assert exact and abs(total - score[0]) < 1e-6 * abs(score[0]) and abs(total - best_score(text, known, model["byte_score"])) < 1e-6 * abs(total)
+    assert encoder.decode(ids, np.array([0, len(ids)]))[0].tobytes() == data.tobytes() == encoder.decode(whole, np.array([0, len(whole)]))[0].tobytes()
+
+
+def test_long_texts(spark):
+    """20 MB in one text, with few spaces or none, through every operator that reads texts in Python."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "ti"]) for _ in range(3))
+    words = [word() for _ in range(50_000)]
+    long = " ".join(words[rng.randrange(len(words))] for _ in range(2_900_000))
+    rows = [(1, long, "en"), (2, "é" * 1_500_000, "fr"), (3, "short", "en")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert quality.score_quality(docs, model).filter("score between 0 and 1").count() == 3
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.train(documents(spark, labelled()))).collect()}
+    assert found[1] == "en" and len(found) == 3
+    if os.path.exists(pieces.MODEL):
+        out = pieces.encode_pieces(docs, keep=["doc_id"]).select("doc_id", "n_tokens", "exact").collect()
+        assert all(r["exact"] for r in out) and len(out) == 3
+
+
+def test_models_do_not_depend_on_the_layout(spark):
+    docs = documents(spark, labelled())
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(180)], "doc_id long, quality int")
+    one, two = (language.train(d) for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(3)))
+    assert np.allclose(one.table, two.table) and one.temperature == two.temperature
+    x, y = (quality.train(d, labels) for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(3)))
+    assert np.allclose(x.w1, y.w1) and x.temperature == y.temperature
+
+
+def plain_scores(model, text):
+    """The probability of one text, token by token."""
+    tokens = re.findall(r"[a-z\x80-\U0010ffff]+|[A-Z]+|[0-9]+|[^\sa-zA-Z0-9\x80-\U0010ffff]+", text)
+    t = quality.Tokens()
+    rows = [t(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0] for x in tokens]
+    v = model.vectors[rows].astype(float)
+    x = np.concatenate([v.mean(axis=0), np.sqrt(np.maximum((v**2).mean(axis=0) - v.mean(axis=0) ** 2, 0)), np.abs(np.diff(v, axis=0)).sum(axis=0) / len(v)]) if rows else np.zeros(3 * quality.SIZE)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    return 1 / (1 + np.exp(-(np.tanh(z @ model.w1 + model.b1) @ model.w2 + model.b2) / model.temperature))
+
+
+def test_quality_is_the_plain_one(spark):
+    docs = documents(spark)
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(100, 240)], "doc_id long, quality int"))
+    for r in quality.score_quality(docs, model).select("text", "score").collect():
+        assert abs(r["score"] - plain_scores(model, r["text"] or "")) < 1e-3
+
+
+def plain_language(model, text):
+    """Label and score of one text, from its runs of 3 and 4 bytes within words."""
+    fold = bytes(b + 32 if 65 <= b < 91 else 32 if b < 65 or 91 <= b < 97 or 123 <= b < 128 else b for b in text.encode())
+    total, n = np.zeros(len(model.labels)), 0
+    for word in fold.split(b" "):
+        if word:
+            for g, at in language.subwords(np.frombuffer(word, np.uint8), np.array([0, len(word)])):
+                total += model.table[g].sum(axis=0)
+                n += len(g)
+    z = (total / max(n, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.labels[int(p.argmax())], p.max()
+
+
+def test_language_is_the_plain_one(spark):
+    model = language.train(documents(spark, labelled()))
+    for r in language.identify(documents(spark, labelled()[:40]), model).join(documents(spark, labelled()[:40]).select("doc_id", "text"), "doc_id").collect():
+        label, score = plain_language(model, r["text"])
+        assert r["lang_pred"] == label and abs(r["score"] - score) < 1e-4
+
+
+def test_session_settings_stay(spark, tiny):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions")}
+    docs = documents(spark, labelled()[:20])
+    jaccard.jaccard_groups(docs)
+    substrings.remove_repeats(docs)
+    pieces.encode_pieces(docs, tiny[0]).count()
+    nearest.nearest(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "vec_id long, embedding array<double>"), F.col("vec_id") == 1).count()
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
 def test_trie():
     rng = random.Random(8)
     words = {bytes(rng.choice(b"abcd\xff") for _ in range(rng.randint(1, 6))): i for i in range(300)}

@@ -187,6 +187,14 @@ def test_files_without_a_key_phrase_alone_are_left_out(spark, monkeypatch):
     assert pick() == out
 
 
+def test_every_pair_of_notices(spark):
+    """Each template alone and with every other one: no label is lost, none is made up."""
+    rows = [(100 * i + j, TEMPLATES[i][2] + " and also " + TEMPLATES[j][2], "en") for i in range(len(TEMPLATES)) for j in range(i, len(TEMPLATES))]
+    for r in scan_licenses(documents(spark, rows)).select("doc_id", "labels").collect():
+        i, j = divmod(r["doc_id"], 100)
+        assert r["labels"] == sorted({TEMPLATES[i][0], TEMPLATES[j][0]}), (i, j, r["labels"])
+
+
 def test_index_words_miss_no_match():
     for weights in ([1] * 9, [1, 2, 3, 4, 5], [7, 1, 1], [1]):
         idf = {f"w{i}": float(x) for i, x in enumerate(weights)}
@@ -197,7 +205,7 @@ def test_index_words_miss_no_match():
 def test_chats(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<\\|x|> <\\\\| <|", "", None, "a\nb\n", "😀é"]
     rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"])]
-    rows += [(9, 0, "we<|ird\nro\\nle\\", "x"), (9, 0, "assistant", "y"), (9, 0, "assistant", "y"), (None, None, None, None)]
+    rows += [(9, 0, "we<|ird\nro\\nle\\", "x"), (10, 0, "a\x00b\\\\n\\\n", "x" * 700), (10, 1, "assistant", "é😀" * 400), (9, 0, "assistant", "y"), (9, 0, "assistant", "y"), (None, None, None, None)]
     table = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, msg string")
     out = {r["conv_id"]: r for r in loss_text(parse_chats(format_chats(fold_conversations(table)))).collect()}
     for c in {r[0] for r in rows}:

@@ -12,7 +12,7 @@ from .chat import fold_conversations, format_chats, loss_text, parse_chats
 from .common import table
 from .decontaminate import find_contained
 from .jaccard import jaccard_groups
-from .licenses import scan_licenses
+from .licenses import PHRASES, TEMPLATES, scan_licenses
 from .nearest import nearest
 from .pieces import encode_pieces
 from .secrets import KINDS, listing, scan_secrets
@@ -78,7 +78,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), joined(F.transform("base_places", lambda b: b["label"])).alias("base_labels"),
-        joined(F.col("labels")).alias("labels"), "score")
+        joined(F.col("labels")).alias("labels"), F.round("score", 9).alias("score"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "<|im_end|><|im_start|>assistant ok"
-    own = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    own = spark.sql("select -1L as conv_id, t.turn, t.role, {both} as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)".replace("{both}", f"'{both}'"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     read = loss_text(parse_chats(format_chats(fold_conversations(rows))))
     return read.select(
@@ -102,6 +102,63 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+OP5_SQL = r"""
+with recursive t as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as l from documents),
+w as (select doc_id, len(l) as n, unnest(l) as w, generate_subscripts(l, 1) as i from t),
+g as (select doc_id, n, i, string_agg(w, ' ') over (partition by doc_id order by i rows between current row and 4 following) as s from w),
+s as (select distinct doc_id, s from g where i <= greatest(n - 4, 1)),
+c as (select doc_id, count(*) as n, sha256(string_agg(s, '|' order by s)) as k from s group by doc_id),
+r as (select k, min(doc_id) as rep, any_value(n) as n from c group by k),
+x as (select r.rep, r.n, s.s from r join s on s.doc_id = r.rep),
+e as (select a.rep as a, b.rep as b from x a join x b on a.s = b.s and a.rep < b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+u as (select a, b from e union all select b, a from e),
+p as (select rep as x, rep as y from r union select p.x, u.b from p join u on u.a = p.y),
+m as (select x as rep, min(y) as comp from p group by x)
+select t.doc_id, coalesce(c.n, 0) as n_shingles, coalesce(m.comp, t.doc_id) as component_id
+from t left join c on c.doc_id = t.doc_id left join r on r.k = c.k left join m on m.rep = r.rep
+"""
+
+OP7_SQL = r"""
+with t as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as l, row_number() over () as r from documents),
+v as (select r, i, sha256(array_to_string(l[i:i + 34], ' ')) as h from (select r, l, unnest(range(1, len(l) - 33)) as i from t where len(l) >= 35)),
+d as (select h from v group by h having count(*) > 1),
+g as (select distinct v.r, v.i + j.j as i from v join d on d.h = v.h, (select unnest(range(0, 35)) as j) j),
+w as (select r, doc_id, len(l) as n, unnest(l) as w, generate_subscripts(l, 1) as i from t),
+k as (select w.r, count(g.i) as gone, string_agg(w.w, ' ' order by w.i) filter (where g.i is null) as kept from w left join g on g.r = w.r and g.i = w.i group by w.r)
+select t.doc_id, len(t.l) as n_words, coalesce(k.gone, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from t left join k on k.r = t.r
+"""
+
+
+def _op8_sql() -> str:
+    """The whole rule, without an index: every template at every place of every file."""
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"({i}, '{label}', '{key}', '{body}')" for i, (label, key, body) in enumerate(TEMPLATES))
+    return rf"""
+with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as l from documents),
+f as (select doc_id, l, ' ' || array_to_string(l, ' ') || ' ' as body from t),
+ph as (select string_split(p, ' ') as p, label from (values {phrases}) as v(p, label)),
+tp as (select * from (values {templates}) as v(tid, label, key, body)),
+tw as (select tid, w, min(i) - 1 as pos from (select tid, unnest(string_split(body, ' ')) as w, generate_subscripts(string_split(body, ' '), 1) as i from tp) group by tid, w),
+fw as (select doc_id, unnest(l) as w, generate_subscripts(l, 1) - 1 as pos from f),
+df as (select w, count(distinct doc_id) as df from fw where w in (select w from tw) group by w),
+idf as (select v.w, ln(1 + (1 + (select count(*) from t)) / (1 + coalesce(df.df, 0))) as idf from (select distinct w from tw) v left join df on df.w = v.w),
+whole as (select tid, sum(idf) as total from tw join idf on idf.w = tw.w group by tid),
+cand as (select fw.doc_id, tw.tid, fw.pos - tw.pos as off, sum(idf.idf) as held from fw join tw on tw.w = fw.w join idf on idf.w = tw.w group by all),
+m as (select c.doc_id, tp.label, least(c.held / whole.total, 1.0) as score from cand c join whole on whole.tid = c.tid join tp on tp.tid = c.tid join f on f.doc_id = c.doc_id
+ where c.held / whole.total >= 0.6 and contains(f.body, ' ' || tp.key || ' ')),
+b as (select f.doc_id, ph.label, i - 1 as pos from f, ph, (select unnest(range(1, (select coalesce(max(len(l)), 1) + 1 from t))) as i) i
+ where contains(f.body, ' ' || array_to_string(ph.p, ' ') || ' ') and i <= len(f.l) - len(ph.p) + 1 and f.l[i:i + len(ph.p) - 1] = ph.p),
+bs as (select doc_id, count(*) as n, min(pos) as first, max(pos) as last, string_agg(distinct label, ',' order by label) as labels from b group by doc_id),
+al as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from b union all select doc_id, label from m) group by doc_id),
+ms as (select doc_id, max(score) as score from m group by doc_id)
+select f.doc_id, len(f.l) as n_words, coalesce(bs.n, 0) as n_base, bs.first as first_word, bs.last as last_word, coalesce(bs.labels, '') as base_labels, coalesce(al.labels, '') as labels,
+ case when bs.n > 0 then 1.0 else round(coalesce(ms.score, 0.0), 9) end::double as score
+from f left join bs on bs.doc_id = f.doc_id left join al on al.doc_id = f.doc_id left join ms on ms.doc_id = f.doc_id
+"""
+
+
+OP8_SQL = _op8_sql()
+
 OP10_SQL = r"""
 with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
@@ -129,4 +186,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op10_chat": OP10_SQL}
+#: Learned models, an approximate search, a tokenizer and randomness tests are beyond SQL; tests/llm holds them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op8_licenses": OP8_SQL, "op10_chat": OP10_SQL}
