@@ -94,11 +94,15 @@ def test_rotation_and_ids(spark):
     log = spark.createDataFrame([("o1", 5), ("o2", 5)], "op string, segment long")
     now = spark.createDataFrame([("1", 7, True)], "uuid string, updated long, deleted boolean")
     before = spark.createDataFrame([("1", 3, False), ("2", 1, False)], "uuid string, updated long, deleted boolean")
-    _, snap, closed = rotate(log, now, before, 9, 10)
-    assert closed and plain(snap.collect()) == [("1", 7, True), ("2", 1, False)]
-    assert rotate(log, now, before, 9, 1000)[2] is False
+    snap, segment = rotate(log, now, before, 5, 9, 10)
+    assert segment == 9 and plain(snap.collect()) == [("1", 7, True), ("2", 1, False)]
+    assert rotate(log, now, None, 5, 3, 10)[1] == 6 and rotate(log, now, before, 5, 9, 1000) == (before, 5)
     tree = spark.createDataFrame([("r", None, "a"), ("s", "r", "b"), ("t", "s", "c.txt")], "id string, parent string, name string")
     assert plain(resolve_ids(tree).collect()) == [("r", "a"), ("s", "a/b"), ("t", "a/b/c.txt")]
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None, "d") for i in range(150)] + [("lost", "nowhere", "x")], "id string, parent string, name string")
+    assert plain(resolve_ids(deep).collect())[-1] == ("99", "/".join("d" * 100)) and resolve_ids(deep).count() == 150
+    with pytest.raises(ValueError, match="cycle"):
+        resolve_ids(spark.createDataFrame([("a", "b", "x"), ("b", "a", "y")], "id string, parent string, name string"))
     files = spark.createDataFrame([("x", 3)], "path string, size long")
     entries = spark.createDataFrame([(False, None), (True, None), (False, "1")], "deleted boolean, conflict_of string")
     assert tuple(root_snapshot(files, entries).first()) == (1, 3, 2, 1, 1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import op_id, xor_digest
+from ..functions.paths import extension
 
 
 def with_op(rows: DataFrame) -> DataFrame:
@@ -28,6 +29,31 @@ def missing_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(["op"]).join(existing.select("op"), "op", "left_anti")
 
 
+def append_rows(log: DataFrame, rows: DataFrame, segment: int) -> DataFrame:
+    """The log with the rows that it lacks, in its open segment; all rows of one append have the next ``seq`` of the segment."""
+    number = log.filter(F.col("segment") == segment).agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).cast("bigint").alias("seq"))  # one row
+    fresh = missing_rows(log, rows.drop("segment", "seq")).withColumn("segment", F.lit(segment).cast("bigint")).crossJoin(F.broadcast(number))
+    return log.unionByName(fresh, allowMissingColumns=True)
+
+
+def open_mark(log: DataFrame, segment: int) -> DataFrame:
+    """One row: how far the open segment goes, ``segment, seq, rows, digest``."""
+    own = log.filter(F.col("segment") == segment)
+    return own.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("bigint").alias("seq"), F.count(F.lit(1)).alias("rows"), xor_digest(F.col("op")).alias("digest")).select(F.lit(segment).cast("bigint").alias("segment"), "seq", "rows", "digest")
+
+
+def peer_log(log: DataFrame, segment: int, mark: tuple[int, int] | None) -> DataFrame:
+    """A peer's open segment from where a mark (segment, seq) ends; all of it where the peer has begun another since."""
+    own = log.filter(F.col("segment") == segment)
+    return own.filter(F.col("seq") > mark[1]) if mark is not None and mark[0] == segment else own
+
+
+def upsert_mark(marks: DataFrame, peer: str, at_ms: int, mark: DataFrame) -> DataFrame:
+    """Marks ``peer, last_sync, segment, seq, digest`` with that of one peer renewed."""
+    own = mark.select(F.lit(peer).alias("peer"), F.lit(at_ms).cast("bigint").alias("last_sync"), "segment", "seq", "digest")
+    return marks.filter(F.col("peer") != peer).select(*own.columns).unionByName(own)
+
+
 def sort_rows(log: DataFrame) -> DataFrame:
     return log.orderBy("at_ms", "op")
 
@@ -90,6 +116,23 @@ def prune_tombstones(entries: DataFrame, log: DataFrame, marks: DataFrame, snaps
     return entries.join(gone.join(provable.distinct(), "uuid", "left_semi"), "uuid", "left_anti")
 
 
+def kept_texts(entries: DataFrame, before: DataFrame, contents: DataFrame, bases: DataFrame, text: tuple[str, ...], largest: int, cap: int) -> DataFrame:
+    """Texts by hash, ``hash, text, mtime``, that later merges can start from.
+
+    The texts of new versions are added; then only the versions stay that an entry or its parents name, the newest ``cap``
+    of them. Without a new version nothing changes.
+    """
+    own = entries.filter(~F.col("deleted") & (F.col("kind") == "file") & F.col("hash").isNotNull() & extension(F.col("path")).isin(*text))
+    was = before.select("uuid", F.col("hash").alias("_was"))
+    new = own.join(was, "uuid", "left").filter((F.col("size") <= largest) & ~F.col("hash").eqNullSafe(F.col("_was"))).groupBy("hash").agg(F.max("updated").alias("mtime"))
+    written = new.join(contents.select("hash", "text").dropDuplicates(["hash"]), "hash").select("hash", "text", "mtime")
+    if written.isEmpty():
+        return bases
+    named = own.select(F.explode(F.array("hash", "prev", "prev2")).alias("hash")).filter("hash is not null").distinct()
+    every = written.unionByName(bases.join(written.select("hash"), "hash", "left_anti").select("hash", "text", "mtime"))
+    return newest_bases(every.join(named, "hash", "left_semi").withColumn("store", F.lit("")), cap).drop("store")
+
+
 def newest_bases(bases: DataFrame, cap: int) -> DataFrame:
     """The newest ``cap`` text versions of each store."""
     place = F.row_number().over(Window.partitionBy("store").orderBy(F.desc("mtime"), "hash"))

@@ -127,7 +127,7 @@ def merged_rows(settled: DataFrame) -> DataFrame:
 
 
 def conflict_rows(settled: DataFrame, options: MergeOptions) -> DataFrame:
-    """``uuid, kind, path, winner, is_text, copy`` of each conflict; copy is the kept copy's uuid or null."""
+    """``uuid, kind, path, winner, is_text, copy`` of each conflict, both hashes and sizes, and times; copy is the kept copy's uuid or null."""
     lost = F.when(F.col("side") == "a", F.col("b")).otherwise(F.col("a"))
     x = settled.filter("conflict is not null").withColumn("lost", lost).withColumn("won", F.when(F.col("side") == "a", F.col("a")).otherwise(F.col("b")))
     at_risk = (F.col("conflict") != "location") & F.col("lost.hash").isNotNull()
@@ -135,7 +135,8 @@ def conflict_rows(settled: DataFrame, options: MergeOptions) -> DataFrame:
     text = (F.col("conflict") == "content") & extension(F.col("new_path")).isin(*options.text) & F.col("a.hash").isNotNull() & F.col("b.hash").isNotNull()
     return x.select(
         "uuid", F.col("conflict").alias("kind"), F.col("new_path").alias("path"), F.col("side").alias("winner"), text.alias("is_text"),
-        F.when(kept, F.concat(F.lit("conflict:"), F.col("uuid"), F.lit(":"), F.col("lost.hash"))).alias("copy"), "lost")
+        F.when(kept, F.concat(F.lit("conflict:"), F.col("uuid"), F.lit(":"), F.col("lost.hash"))).alias("copy"),
+        F.col("a.hash").alias("left_hash"), F.col("b.hash").alias("right_hash"), F.greatest("a.size", "b.size").alias("larger"), F.greatest("a.updated", "b.updated").alias("newest"), F.col("lost.updated").alias("lost_at"), "lost")
 
 
 def copy_rows(conflicts: DataFrame, options: MergeOptions) -> DataFrame:
@@ -192,7 +193,12 @@ def merge_entries(a: DataFrame, b: DataFrame, edges: DataFrame, moves: DataFrame
     entries = merged_rows(settled).unionByName(solo_rows(pairs, last))
     copies = copy_rows(conflicts, options).join(entries.select("uuid"), "uuid", "left_anti")
     apart, reports = resolve_collisions(entries.unionByName(copies), options)
-    return apart, conflicts.drop("lost").unionByName(reports)
+    return apart, conflicts.drop("lost").unionByName(reports, allowMissingColumns=True)
+
+
+def coldest(conflicts: DataFrame) -> DataFrame:
+    """One row: the time of the oldest version that lost its content, or null where no archive could help."""
+    return conflicts.filter(F.col("kind").isin("content", "delete-edit")).agg(F.min("lost_at").alias("since"))
 
 
 def converge_config(headers: DataFrame) -> DataFrame:

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import keep
 from .logset import cumulative_snapshot, should_rotate
 
 
-def rotate(log: DataFrame, entries: DataFrame, snapshot: DataFrame, opened_ms: int, limit: int) -> tuple[DataFrame, DataFrame, bool]:
-    """The log, the cumulative snapshot and whether the newest segment was closed.
+def rotate(log: DataFrame, entries: DataFrame, snapshot: DataFrame | None, segment: int, now_ms: int, limit: int) -> tuple[DataFrame | None, int]:
+    """The cumulative snapshot and the open segment: another one, and a new snapshot, if the open one has outgrown the limit.
 
-    A closed segment keeps its rows; later rows go to the segment that opens at ``opened_ms``. Tombstones stay in
-    the snapshot.
+    A closed segment keeps its rows; what is appended later goes to the segment returned. Tombstones stay in the snapshot.
     """
-    newest = log.agg(F.max("segment").alias("s")).first()["s"]
-    due = newest is not None and should_rotate(log.filter(F.col("segment") == newest), limit).first()["rotate"]
-    if not due:
-        return log, snapshot, False
-    opened = log.limit(0).withColumn("segment", F.lit(opened_ms).cast("bigint"))
-    return log.unionByName(opened), cumulative_snapshot(snapshot, entries.select(*snapshot.columns)), True
+    due = should_rotate(log.filter(F.col("segment") == segment), limit).first()
+    if due is None or not due["rotate"]:
+        return snapshot, segment
+    now = cumulative_snapshot(snapshot, entries.select(*snapshot.columns)) if snapshot is not None else entries
+    return now, max(now_ms, segment + 1)
 
 
 def root_snapshot(files: DataFrame, entries: DataFrame) -> DataFrame:
@@ -30,16 +29,21 @@ def root_snapshot(files: DataFrame, entries: DataFrame) -> DataFrame:
     return f.crossJoin(e)  # two single rows
 
 
-def resolve_ids(folders: DataFrame, most: int = 64) -> DataFrame:
-    """``id, path`` of objects given as ``id, parent, name``, parents of top ones being null; a level a round."""
-    level = folders.filter("parent is null").select("id", F.col("name").alias("path"))
-    every = level
-    for _ in range(most):
-        level = folders.join(level.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent").select("id", F.concat_ws("/", "above", "name").alias("path"))
-        if level.isEmpty():
-            break
-        every = every.unionByName(level)
-    return every
+def resolve_ids(folders: DataFrame) -> DataFrame:
+    """``id, path`` of objects given as ``id, parent, name``, parents of top ones being null.
+
+    Each round doubles how far up an object's path is known, so the deepest tree takes the logarithm of its depth.
+    Objects below one that is not there have no path; a cycle is an error.
+    """
+    paths, rounds = keep(folders.select("id", F.col("parent").alias("up"), F.col("name").alias("path")), "ids"), 0
+    total = paths.count()
+    while not paths.filter("up is not null").isEmpty():
+        if 1 << rounds > total:
+            raise ValueError("folders form a cycle")
+        above = paths.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        longer = paths.filter("up is not null").join(above, "up").select("id", F.col("_up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"))
+        paths, rounds = keep(paths.filter("up is null").unionByName(longer), "ids"), rounds + 1
+    return paths.select("id", "path")
 
 
 def id3_size(content):

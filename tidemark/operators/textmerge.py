@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import MAX_LCS_CELLS, MAX_TEXT_MERGE
+from .ancestry import common_ancestor
+from .logset import with_op
 
 RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())])
 
@@ -111,15 +113,37 @@ def merge_text_columns(rows: DataFrame, base: str = "base", a: str = "a", b: str
     return near.unionByName(rows.filter(~F.coalesce(small, F.lit(False))).withColumn("merged", too_large))
 
 
-def auto_merge(conflicts: DataFrame, entries: DataFrame, contents: DataFrame, bases: DataFrame, at_ms: int, peer_a: str) -> DataFrame:
-    """Text conflicts that merge cleanly, as new entries with their text: ``uuid, hash, size, updated, peer, prev, prev2, text``.
+def merge_conflicts(conflicts: DataFrame, edges: DataFrame, contents: DataFrame, bases: DataFrame, at_ms: int, peer_a: str, resolve=None) -> DataFrame:
+    """Text conflicts that merge, with their text: ``uuid, hash, size, updated, peer, prev, prev2, text, copy``.
 
-    conflicts hold ``uuid, left_hash, right_hash, base_hash, winner_hash, loser_hash, updated``; contents and bases ``hash, text``.
+    conflicts are those of merge_entries; contents and bases hold ``hash, text``. The base is the nearest version that both
+    sides come from; without its text nothing merges by itself. ``resolve``, a pandas UDF of path, base, a and b, is asked
+    for what did not merge; its null leaves the conflict as it is. The result descends from both versions.
     """
-    c = conflicts.filter("is_text and base_hash is not null").join(entries.select("uuid"), "uuid", "left_semi")
-    with_text = lambda df, key, name, source: df.join(source.select(F.col("hash").alias(key), F.col("text").alias(name)), key)
-    x = with_text(with_text(with_text(c, "left_hash", "a", contents), "right_hash", "b", contents), "base_hash", "base", bases)
-    good = merge_text_columns(x).filter("merged.ok")
-    return good.select(
-        "uuid", F.sha2("merged.text", 256).alias("hash"), F.octet_length("merged.text").cast("bigint").alias("size"), (F.greatest(F.lit(at_ms), F.col("updated")) + 1).alias("updated"),
-        F.lit(peer_a).alias("peer"), F.col("winner_hash").alias("prev"), F.col("loser_hash").alias("prev2"), F.col("merged.text").alias("text"))
+    asked = conflicts.filter(F.col("is_text") & (F.col("larger") <= MAX_TEXT_MERGE))
+    pairs = common_ancestor(asked.select("uuid", F.col("left_hash").alias("left"), F.col("right_hash").alias("right")), edges)
+    x = asked.join(pairs.select("uuid", F.col("base").alias("base_hash")), "uuid")
+    with_text = lambda df, key, name, source, how: df.join(source.select(F.col("hash").alias(key), F.col("text").alias(name)).dropDuplicates([key]), key, how)
+    x = with_text(with_text(with_text(x, "left_hash", "a", contents, "inner"), "right_hash", "b", contents, "inner"), "base_hash", "base", bases, "left")
+    known = merge_text_columns(x.filter("base is not null")).withColumn("out", F.when(F.col("merged.ok"), F.col("merged.text"))).drop("merged")
+    x = known.unionByName(x.filter("base is null").withColumn("out", F.lit(None).cast("string")))
+    if resolve is not None:
+        x = x.withColumn("out", F.when(F.col("out").isNull(), resolve("path", "base", "a", "b")).otherwise(F.col("out")))
+    won, lost = F.when(F.col("winner") == "a", F.col("left_hash")).otherwise(F.col("right_hash")), F.when(F.col("winner") == "a", F.col("right_hash")).otherwise(F.col("left_hash"))
+    return x.filter("out is not null").select(
+        "uuid", F.sha2("out", 256).alias("hash"), F.octet_length("out").cast("bigint").alias("size"), (F.greatest(F.lit(at_ms), F.col("newest")) + 1).alias("updated"),
+        F.lit(peer_a).alias("peer"), won.alias("prev"), lost.alias("prev2"), F.col("out").alias("text"), "copy")
+
+
+def settle_texts(entries: DataFrame, merged: DataFrame) -> DataFrame:
+    """Entries with merged texts in place of the winners, and without the copies that only waited for a decision."""
+    fields = ("hash", "size", "updated", "peer", "prev", "prev2")
+    rest = entries.join(merged.filter("copy is not null").select(F.col("copy").alias("uuid")), "uuid", "left_anti")
+    new = merged.select("uuid", F.struct(*fields).alias("_m"))
+    return rest.join(new, "uuid", "left").select(*(F.when(F.col("_m").isNotNull(), F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in entries.columns))
+
+
+def text_rows(entries: DataFrame, merged: DataFrame, batch: str) -> DataFrame:
+    """Log rows of merged texts: writes with two parents, which keep other peers from seeing a new conflict."""
+    x = merged.join(entries.select("uuid", "path"), "uuid")
+    return with_op(x.select(F.lit(batch).alias("batch"), F.col("updated").alias("at_ms"), "peer", "uuid", F.lit("write").alias("type"), F.lit("file").alias("kind"), "path", "hash", "size", "prev", "prev2"))

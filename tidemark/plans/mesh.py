@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from ..operators.merge import MergeOptions
-from .sync import PeerState, sync
+from .sync import PeerState, SyncOptions, sync
 
 
 def chain(peers: list[str]) -> list[tuple[str, str]]:
@@ -20,7 +19,7 @@ def full(peers: list[str]) -> list[tuple[str, str]]:
     return list(combinations(peers, 2))
 
 
-def sync_mesh(peers: dict[str, PeerState], edges: list[tuple[str, str]], options: MergeOptions | None = None) -> tuple[dict[str, PeerState], int]:
+def sync_mesh(peers: dict[str, PeerState], edges: list[tuple[str, str]], options: SyncOptions | None = None) -> tuple[dict[str, PeerState], int]:
     """One round; each edge sees what the one before left. Returns the peers and how many edges changed something."""
     peers, changed = dict(peers), 0
     for x, y in edges:
@@ -29,7 +28,7 @@ def sync_mesh(peers: dict[str, PeerState], edges: list[tuple[str, str]], options
     return peers, changed
 
 
-def sync_until_stable(peers: dict[str, PeerState], edges: list[tuple[str, str]], most: int = 10, options: MergeOptions | None = None) -> tuple[dict[str, PeerState], list[int]]:
+def sync_until_stable(peers: dict[str, PeerState], edges: list[tuple[str, str]], most: int = 10, options: SyncOptions | None = None) -> tuple[dict[str, PeerState], list[int]]:
     """Rounds until none changes anything, and the changed edges of each."""
     rounds: list[int] = []
     while len(rounds) < most:

@@ -3,32 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import entry_json, mergeable_digest
+from ..functions.digests import entry_json, mergeable_digest, xor_digest
 from ..operators.actions import count_transfers, needs_log, plan_actions
 from ..operators.ancestry import location_edges, version_edges
-from ..operators.logset import latest, missing_rows, union_rows
-from ..operators.merge import MergeOptions, entry_rows, merge_entries
+from ..operators.logset import append_rows, archives_since, latest, missing_rows, open_mark, union_rows, upsert_mark
+from ..operators.merge import MergeOptions, coldest, entry_rows, merge_entries
+from ..operators.snapshot import adopt
+from ..operators.textmerge import merge_conflicts, settle_texts, text_rows
+from ..schema import TEXT_EXTENSIONS
 from .scratch import keep
 
 
 @dataclass
 class PeerState:
-    """entries and log of one peer."""
+    """What one peer holds: entries and log, and where they are kept, its open segment, texts by hash, marks and snapshot.
+
+    contents and bases are ``hash, text`` (bases also ``mtime``); marks ``peer, last_sync, segment, seq, digest``.
+    """
 
     peer: str
     entries: DataFrame
     log: DataFrame
+    segment: int = 0
+    contents: DataFrame | None = None
+    bases: DataFrame | None = None
+    marks: DataFrame | None = None
+    snapshot: DataFrame | None = None
+    text: tuple[str, ...] = TEXT_EXTENSIONS
+    store_id: str = ""
+
+    def __post_init__(self) -> None:
+        if "segment" not in self.log.columns:
+            self.log = self.log.withColumn("segment", F.lit(self.segment).cast("bigint"))
+        if "seq" not in self.log.columns:
+            self.log = self.log.withColumn("seq", F.lit(0).cast("bigint"))
 
     def digest(self) -> str:
         """The mergeable digest of the live entries; state_digest gives the one that is exchanged."""
         live = self.entries.filter("not deleted").select(entry_json(*(F.col(c) for c in ("kind", "path", "hash", "size", "updated", "uuid"))).alias("j"))
         return live.agg(mergeable_digest(F.col("j")).alias("d")).first()["d"]
 
+    def log_digest(self) -> str:
+        return self.log.agg(xor_digest(F.col("op")).alias("d")).first()["d"]
+
+    def peer_marks(self) -> DataFrame:
+        return self.marks if self.marks is not None else self.entries.sparkSession.createDataFrame([], MARK)
+
+    def texts(self, kind: str) -> DataFrame:
+        own = getattr(self, kind)
+        return own if own is not None else self.entries.sparkSession.createDataFrame([], TEXTS)
+
+
+MARK = "peer string, last_sync bigint, segment bigint, seq bigint, digest string"
+TEXTS = "hash string, text string, mtime bigint"
+
+
+@dataclass
+class SyncOptions:
+    """merge: how entries merge; auto_merge: whether texts merge by lines; resolve_text: a pandas UDF (path, base, a, b) for
+    those that do not; archives: whether closed segments are read where a version would lose its content."""
+
+    merge: MergeOptions = field(default_factory=MergeOptions)
+    auto_merge: bool = True
+    resolve_text: Callable | None = None
+    archives: bool = True
+
 
 @dataclass
 class SyncPlan:
@@ -39,35 +84,101 @@ class SyncPlan:
     rows_for_a: DataFrame
     rows_for_b: DataFrame
     changed: bool
+    merged: DataFrame | None = None
+    text: tuple[str, ...] = TEXT_EXTENSIONS
+    store_id: str = ""
 
     def transfers(self, a: PeerState, b: PeerState) -> tuple[DataFrame, DataFrame]:
         return count_transfers(self.entries, self.actions_a, a.entries, b.entries), count_transfers(self.entries, self.actions_b, b.entries, a.entries)
 
+    def summary(self) -> DataFrame:
+        """One row: actions on each side, conflicts and merged texts, and whether anything would change."""
+        count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+        merged = self.merged if self.merged is not None else self.conflicts.limit(0)
+        parts = (count(self.actions_a, "actions_a"), count(self.actions_b, "actions_b"), count(self.conflicts, "conflicts"), count(merged, "merged"))
+        return reduce(lambda x, y: x.crossJoin(y), parts).withColumn("changed", F.lit(self.changed))  # single rows
 
-def plan_sync(a: PeerState, b: PeerState, options: MergeOptions | None = None) -> SyncPlan:
-    """What a sync would do. Histories are read only where entries alone cannot answer."""
-    quiet = a.digest() == b.digest()
-    if quiet or not needs_log(a.entries, b.entries).first()["needed"]:
-        history = (a.log.limit(0), b.log.limit(0))
-    else:
-        history = (a.log, b.log)
-    logs = union_rows(*history)
+
+def _history(a: PeerState, b: PeerState, since: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the open segments, and with ``since`` of those closed ones that reach to it or beyond."""
+
+    def of(p: PeerState) -> DataFrame:
+        now = p.log.filter(F.col("segment") >= p.segment)
+        return now if since is None else now.unionByName(archives_since(p.log.filter(F.col("segment") < p.segment), since).select(*now.columns))
+
+    return of(a), of(b)
+
+
+def _merge(a: PeerState, b: PeerState, history: tuple[DataFrame, DataFrame], options: MergeOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Target, conflicts, and the edges of what the histories know."""
+    logs = union_rows(*(h.drop("segment", "seq") for h in history))
     ea, eb = entry_rows(a.entries), entry_rows(b.entries)
-    edges = version_edges(ea, eb, logs)
-    moves = location_edges(ea, eb) if "prev_path" not in logs.columns else location_edges(ea, eb, logs)
-    known = lambda e, log: e.select("uuid").union(log.select("uuid"))
-    entries, conflicts = merge_entries(a.entries, b.entries, edges, moves, latest(logs), known(ea, history[0]), known(eb, history[1]), options)
-    target = keep(entries, "target")
+    old = [entry_rows(p.snapshot) for p in (a, b) if p.snapshot is not None]
+    edges = keep(version_edges(*old, ea, eb, logs), "edges")
+    moves = location_edges(*old, ea, eb) if "prev_path" not in logs.columns else location_edges(*old, ea, eb, logs)
+    known = lambda p, log: reduce(lambda x, y: x.union(y), (x.select("uuid") for x in (p.entries, log, p.snapshot) if x is not None))
+    last = latest(logs, reduce(lambda x, y: x.unionByName(y), old)) if old else latest(logs)
+    entries, conflicts = merge_entries(a.entries, b.entries, edges, moves, last, known(a, history[0]), known(b, history[1]), options)
+    return keep(entries, "target"), keep(conflicts, "conflicts"), edges
+
+
+def plan_sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, at_ms: int = 0, batch: str = "sync") -> SyncPlan:
+    """What a sync would do. Histories are read only where entries alone cannot answer, closed segments only where a version would lose its content."""
+    options = options or SyncOptions()
+    text, store_id = tuple(sorted({*a.text, *b.text})), min(a.store_id, b.store_id)
+    same_config = (text, store_id) == (tuple(sorted(a.text)), a.store_id) == (tuple(sorted(b.text)), b.store_id)
+    quiet = a.digest() == b.digest()
+    none = (a.log.limit(0), b.log.limit(0))
+    history = none if quiet or not needs_log(a.entries, b.entries).first()["needed"] else _history(a, b, None)
+    merging = replace(options.merge, text=text)
+    target, conflicts, edges = _merge(a, b, history, merging)
+    since = coldest(conflicts).first()["since"] if options.archives else None
+    closed = lambda p: p.log.filter((F.col("segment") < p.segment) & (F.col("at_ms") >= since))
+    if since is not None and not closed(a).select("op").union(closed(b).select("op")).isEmpty():
+        target, conflicts, edges = _merge(a, b, _history(a, b, since), merging)
+    merged, rows = None, None
+    if options.auto_merge or options.resolve_text is not None:
+        contents = a.texts("contents").select("hash", "text").union(b.texts("contents").select("hash", "text"))
+        bases = a.texts("bases").select("hash", "text").union(b.texts("bases").select("hash", "text"))
+        found = merge_conflicts(conflicts, edges, contents, bases if options.auto_merge else bases.limit(0), at_ms, a.peer, options.resolve_text)
+        merged = keep(found, "merged")
+        if merged.isEmpty():
+            merged = None
+        else:
+            rows = keep(text_rows(target, merged, batch), "text-rows")
+            target = keep(settle_texts(target, merged), "target")
+            conflicts = conflicts.join(merged.select("uuid", F.lit(True).alias("_merged")), "uuid", "left").withColumn("copy", F.when(F.col("_merged").isNull(), F.col("copy"))).drop("_merged")
+    plus = lambda log: log if rows is None else log.unionByName(rows, allowMissingColumns=True)
     return SyncPlan(
-        target, conflicts, plan_actions(ea, target, a.peer), plan_actions(eb, target, b.peer), missing_rows(a.log, b.log), missing_rows(b.log, a.log), not quiet)
+        target, conflicts, plan_actions(entry_rows(a.entries), target, a.peer), plan_actions(entry_rows(b.entries), target, b.peer),
+        missing_rows(a.log, plus(b.log)), missing_rows(b.log, plus(a.log)), not quiet or not same_config or a.log_digest() != b.log_digest(), merged, text, store_id)
+
+
+def close(a: PeerState, b: PeerState, at_ms: int) -> tuple[PeerState, PeerState]:
+    """Both peers with marks of how far they have read each other's open segment."""
+    mark = lambda p, other: replace(p, marks=keep(upsert_mark(p.peer_marks(), other.peer, at_ms, open_mark(other.log, other.segment)), "marks"))
+    return mark(a, b), mark(b, a)
 
 
-def sync(a: PeerState, b: PeerState, options: MergeOptions | None = None, approve: Callable[[SyncPlan], bool] | None = None) -> tuple[PeerState, PeerState, bool]:
-    """Both peers afterwards, and whether anything changed; a refused plan changes nothing."""
+def sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, approve: Callable[[SyncPlan], bool] | None = None, at_ms: int = 0, batch: str = "sync") -> tuple[PeerState, PeerState, bool]:
+    """Both peers afterwards, and whether anything changed; a refused plan changes nothing.
+
+    Contents come first, then logs, then entries and marks: what is declared is never ahead of what is there.
+    """
     if a.peer == b.peer:
         return a, b, False
-    plan = plan_sync(a, b, options)
-    if not plan.changed or (approve is not None and not approve(plan)):
+    plan = plan_sync(a, b, options, at_ms, batch)
+    if not plan.changed:
+        return *close(a, b, at_ms), False
+    if approve is not None and not approve(plan):
         return a, b, False
-    log = keep(union_rows(a.log, b.log), "log")
-    return PeerState(a.peer, plan.entries, log), PeerState(b.peer, plan.entries, log), True
+    texts = [x.select("hash", "text") for x in (a.contents, b.contents, plan.merged) if x is not None]
+    contents = keep(reduce(lambda x, y: x.union(y), texts).dropDuplicates(["hash"]), "contents") if texts else None
+
+    def after(p: PeerState, rows: DataFrame) -> PeerState:
+        log = keep(append_rows(p.log, rows, p.segment), "log")
+        held = [c for c in ("native", "mtime") if c in p.entries.columns]
+        entries = keep(adopt(plan.entries, p.entries), "adopted") if len(held) == 2 else plan.entries
+        return replace(p, entries=entries, log=log, contents=contents, text=plan.text, store_id=plan.store_id)
+
+    return *close(after(a, plan.rows_for_a), after(b, plan.rows_for_b), at_ms), True
