@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import EMPTY_STATE, ZERO_DIGEST
+from ..schema import ZERO_DIGEST
 
 
 def op_id(peer: Column, uuid: Column, at_ms: Column, type_: Column, path: Column, hash_: Column) -> Column:
@@ -47,13 +45,3 @@ def mergeable_digest(json: Column) -> Column:
     """An aggregate that combines map-side, for states too large for one row: the XOR of the entries' SHA-256."""
     return xor_digest(F.sha2(json, 256))
 
-
-EMPTY = EMPTY_STATE
-
-
-def file_digest(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

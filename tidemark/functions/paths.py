@@ -67,7 +67,3 @@ def conflict_name(path: Column, peer: Column, hash_: Column) -> Column:
     head = F.when(directory == "", F.lit("")).otherwise(F.concat(directory, F.lit("/")))
     return F.concat(head, stem(name), F.lit(" (conflict "), peer, F.lit(" "), F.substring(hash_, 1, 8), F.lit(")"), suffix(name))
 
-
-def utf16_order(text: Column) -> Column:
-    """A sort key that orders text by UTF-16 code units."""
-    return F.encode(text, "UTF-16BE")

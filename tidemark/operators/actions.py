@@ -35,6 +35,11 @@ def sort_actions(actions: DataFrame) -> DataFrame:
     return actions.orderBy("path", "type", "uuid")
 
 
+def deepest_first(actions: DataFrame) -> DataFrame:
+    """Deletes in an order in which a folder comes after all that it holds."""
+    return actions.filter("type = 'delete'").orderBy(F.desc(F.length("path")), "path")
+
+
 def count_transfers(target: DataFrame, actions: DataFrame, current: DataFrame, remote: DataFrame) -> DataFrame:
     """Distinct contents that must come from the other side: written, not held here, held there."""
     held = lambda e: e.filter("not deleted and kind = 'file' and hash is not null").select("hash").distinct()

@@ -16,10 +16,10 @@ def byte_range(content: Column, start: int, end: int) -> Column:
 
 
 def chunks(files: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """``path, i, chunk``; an empty content gives no chunk."""
-    n = F.ceil(F.length("content") / F.lit(size)).cast("int")
+    """``path, i, chunk``; an empty content is one empty chunk, a null one has none."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("content") / F.lit(size)).cast("int"))
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("content", i * size + 1, F.lit(size)))
-    return files.select("path", F.posexplode(F.when(n > 0, cut)).alias("i", "chunk"))
+    return files.select("path", F.posexplode(F.when(F.col("content").isNotNull(), cut)).alias("i", "chunk"))
 
 
 def collect_chunks(parts: DataFrame) -> DataFrame:
@@ -49,9 +49,12 @@ def apply_target(target: DataFrame, contents: DataFrame, me: str) -> DataFrame:
 
 
 def resolve_conflict(files: DataFrame, path: str, copy_path: str, take: str) -> DataFrame:
-    """Files with a conflict settled: 'mine' drops the copy, 'theirs' also puts its content in place."""
+    """Files with a conflict settled: 'mine' drops the copy, 'theirs' also puts its content in place. Both files must be there."""
     if take not in ("mine", "theirs"):
         raise ValueError("take is 'mine' or 'theirs'")
+    found = {r["path"] for r in files.filter(F.col("path").isin(path, copy_path)).select("path").distinct().collect()}  # two paths at most
+    if found != {path, copy_path}:
+        raise ValueError(f"no such conflict: {sorted({path, copy_path} - found)}")
     if take == "mine":
         return files.filter(F.col("path") != copy_path)
     return files.filter(F.col("path") != path).withColumn("path", F.when(F.col("path") == copy_path, path).otherwise(F.col("path")))

@@ -58,6 +58,11 @@ def sort_rows(log: DataFrame) -> DataFrame:
     return log.orderBy("at_ms", "op")
 
 
+def recent(log: DataFrame, most: int = 100) -> DataFrame:
+    """The last operations, newest first."""
+    return log.orderBy(F.desc("at_ms"), F.desc("op")).limit(most)
+
+
 def log_mark(log: DataFrame, *by: str) -> DataFrame:
     """Rows and set digest, by the columns given."""
     return log.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), xor_digest(F.col("op")).alias("digest"))

@@ -32,6 +32,13 @@ def across(mine: DataFrame, other: DataFrame) -> DataFrame:
     return mine.join(o, "path", "left").select("path", state.alias("state"))
 
 
+def compare_directories(mine: DataFrame, other: DataFrame) -> DataFrame:
+    """``dir, n, other_n, state``: whether as many files stand below each directory on the other side."""
+    o = directory_rollup(other).select("dir", F.col("n").alias("other_n"))
+    state = F.when(F.col("other_n").isNull(), "missing").when(F.col("n") == F.col("other_n"), "same").otherwise("differs")
+    return directory_rollup(mine).select("dir", "n").join(o, "dir", "left").withColumn("state", state)
+
+
 def tracking_state(files: DataFrame, entries: DataFrame) -> DataFrame:
     """``path, state``: recorded, modified or untracked."""
     known = live(entries).select("path", F.struct("hash").alias("e"))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fixtures import Fixtures, with_tables
 from .functions import digests, display, paths
-from .operators import actions, ancestry, contents, logset, merge, snapshot, textmerge, views
+from .operators import actions, ancestry, contents, edits, logset, merge, snapshot, textmerge, views
+from .plans.commit import commit
 from .plans.mesh import chain, sync_until_stable
-from .plans.sync import PeerState
+from .plans.sync import MARK, PeerState
 from .schema import BASE_CAP, ROTATE_AT
 from .sources.feed import external_changes
-from .sources.files import encode_rows
+from .sources.files import encode_entries, encode_rows, list_dir, stat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -319,19 +321,39 @@ def pending_conflicts(fx: Fixtures) -> DataFrame:
 # --- plans ---
 
 
-@query(with_tables("base", "a", "b") + "select count(*) > 0 as needed from a full outer join b on a.uuid = b.uuid where a.uuid is null or b.uuid is null or a.hash is distinct from b.hash")
+_NEEDED = "select '{0}' as pair, count(*) > 0 as needed from {1} x full outer join {2} y on x.uuid = y.uuid where x.uuid is null or y.uuid is null or x.hash is distinct from y.hash"
+_SAME = "select '{0}' as pair, coalesce(bool_and(x.uuid is not null and y.uuid is not null and x.path = y.path and x.hash is not distinct from y.hash and x.size = y.size and x.deleted = y.deleted), true) as same from {1} x full outer join {2} y on x.uuid = y.uuid"
+_PAIRS = {"a-b": ("a", "b"), "a-a": ("a", "a"), "a-moved": ("a", "m"), "a-less": ("a", "l"), "none": ("n", "n")}
+_VARIANTS = with_tables("base", "a", "b") + ", m as (select * replace ('x/' || path as path) from a), l as (select * from a where uuid <> (select min(uuid) from a)), n as (select * from a where false) "
+
+
+def _variants(fx: Fixtures) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Peer a against b, itself, itself with all paths changed, itself without one entry, and nothing against nothing."""
+    a = fx.a
+    first = a.agg(F.min("uuid").alias("uuid"))
+    side = {"a": a, "b": fx.b, "m": a.withColumn("path", F.concat(F.lit("x/"), "path")), "l": a.join(first, "uuid", "left_anti").select(*a.columns), "n": a.limit(0)}
+    return {name: (side[x], side[y]) for name, (x, y) in _PAIRS.items()}
+
+
+def _each(fx: Fixtures, answer: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    rows = [answer(x, y).select(F.lit(name).alias("pair"), "*") for name, (x, y) in _variants(fx).items()]
+    return reduce(lambda x, y: x.unionByName(y), rows)
+
+
+@query(_VARIANTS + " union all ".join(_NEEDED.format(n, *p) for n, p in _PAIRS.items()))
 def needs_log(fx: Fixtures) -> DataFrame:
-    return actions.needs_log(fx.a, fx.b)
+    return _each(fx, actions.needs_log)
 
 
-@query("select true as same")
+@query(_VARIANTS + " union all ".join(_SAME.format(n, *p) for n, p in _PAIRS.items()))
 def same_entries(fx: Fixtures) -> DataFrame:
-    return actions.same_entries(fx.a, fx.a)
+    return _each(fx, actions.same_entries)
 
 
-@query("select 'store-a' as store_id, 'json,md,txt,xml' as text")
+@query("select min(source) as store_id, string_agg(distinct lang, ',' order by lang) as text from documents where source is not null")
 def config_converge(fx: Fixtures) -> DataFrame:
-    headers = fx.spark.createDataFrame([("store-b", ["txt", "md"]), ("store-a", ["xml", "md", "json"])], "store_id string, text array<string>")
+    """Every source as a store that reads its own languages as texts."""
+    headers = fx.table("documents").filter("source is not null").groupBy(F.col("source").alias("store_id")).agg(F.collect_set("lang").alias("text"))
     return merge.converge_config(headers).select("store_id", F.array_join("text", ",").alias("text"))
 
 
@@ -365,7 +387,7 @@ def plan_summary(fx: Fixtures) -> DataFrame:
 NOW = 1_900_000_000_000
 
 
-def _scan(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+def _folder(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
     """Known: peer a, whose paths of k = 12 have moved to new paths, whose k = 2 is gone, k = 5 edited; k = 1 is new."""
     base = fx.base
     known = merge.entry_rows(fx.a).withColumns({"native": F.lit(None).cast("string"), "mtime": F.col("updated")})
@@ -375,7 +397,12 @@ def _scan(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
     known = known.join(base.select("uuid", "k"), "uuid").withColumn("hash", F.when(F.col("k") == 12, F.sha2(F.concat(F.lit("own"), "uuid"), 256)).otherwise(F.col("hash"))).drop("k")
     files = now.select(path.alias("path"), "kind", hash_.alias("hash"), "size", "mtime", "native")
     new = base.filter("k = 1").select(F.col("p").alias("path"), F.lit("file").alias("kind"), F.sha2(F.concat(F.lit("new"), "uuid"), 256).alias("hash"), F.col("n").alias("size"), F.col("t0").alias("mtime"), F.lit(None).cast("string").alias("native"))
-    return snapshot.scan(files.unionByName(new), known, "device-a", NOW, new_uuid=lambda p: F.concat(F.lit("new:"), p))
+    return files.unionByName(new), known
+
+
+def _scan(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    files, known = _folder(fx)
+    return snapshot.scan(files, known, "device-a", NOW, new_uuid=lambda p: F.concat(F.lit("new:"), p))
 
 
 @query(with_tables("base", "a") + f"""select case when k = 1 then 'new:' || p else base.uuid end as uuid, case when k = 12 then 'new/' || p when k = 1 then p else a.path end as path,
@@ -487,38 +514,195 @@ def human_ages(fx: Fixtures) -> DataFrame:
 # --- bytes and texts ---
 
 
-@query("select doc_id, sha256(encode(text)[5:20]) as part from (select doc_id, text from documents where text is not null and regexp_full_match(text, '[\\x00-\\x7F]*'))".replace("encode(text)[5:20]", "substr(text, 5, 16)"))
+@query("select doc_id, sha256(unhex(substr(hex(encode(text)), 9, 32))) as part from documents where text is not null")
 def byte_ranges(fx: Fixtures) -> DataFrame:
-    docs = fx.table("documents").filter(F.rlike("text", F.lit(r"^[\x00-\x7F]*\z")))
+    docs = fx.table("documents").filter("text is not null")
     return docs.select("doc_id", F.sha2(contents.byte_range(F.encode("text", "UTF-8"), 4, 20), 256).alias("part"))
 
 
-@query("select cast(doc_id as varchar) as path, sha256(text) as sha from documents where text is not null and text <> ''")
+@query("select cast(doc_id as varchar) as path, sha256(text) as sha from documents where text is not null")
 def chunk_roundtrip(fx: Fixtures) -> DataFrame:
     files = fx.table("documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
     back = contents.collect_chunks(contents.chunks(files, 1000))
     return back.select("path", F.sha2("content", 256).alias("sha"))
 
 
-@query("""with l as (select doc_id, text, string_split(text, chr(10)) as l from documents where text is not null), d as (select doc_id, text, len(l) - case when text like '%' || chr(10) then 1 else 0 end as n, l from l)
-select doc_id, doc_id % 4 <> 3 as ok, case when doc_id % 4 <> 3 then sha256('A:' || text || ':B') end as sha, case when doc_id % 4 = 3 then 'block' end as reason from d where n >= 3 and text not like '%' || chr(10)""")
+#: A line is added to the front of one side, and to the end of the other or, for every fourth text, to the front as well.
+_EDITS = """with l as (select doc_id, text, (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as crlf, length(text) - length(replace(text, chr(10), '')) as lf from documents where text is not null),
+ e as (select *, case when crlf > 0 and crlf < lf then 'eol' when lf = 0 or {clash} then 'block' end as reason, 'A:' || text || ':B' as merged from l)
+"""
+
+
+@query(_EDITS.format(clash="doc_id % 4 = 3") + "select doc_id, reason is null as ok, case when reason is null then sha256(merged) end as sha, reason from e")
 def diff3_merge(fx: Fixtures) -> DataFrame:
-    docs = fx.table("documents").select("doc_id", "text", (F.size(F.split("text", "\n"))).alias("n")).filter("n >= 3").filter(~F.endswith("text", F.lit("\n")))
+    docs = fx.table("documents").select("doc_id", "text").filter("text is not null")
     clash = F.col("doc_id") % 4 == 3
     rows = docs.select("doc_id", F.col("text").alias("base"), F.concat(F.lit("A:"), "text").alias("a"), F.when(clash, F.concat(F.lit("B:"), "text")).otherwise(F.concat("text", F.lit(":B"))).alias("b"))
     out = textmerge.merge_text_columns(rows)
     return out.select("doc_id", F.col("merged.ok").alias("ok"), F.sha2("merged.text", 256).alias("sha"), F.col("merged.reason").alias("reason"))
 
 
+@query(_EDITS.format(clash="false") + "select doc_id, sha256(merged) as hash, octet_length(encode(merged)) as size, 1700000000000 + doc_id * 1000 + 1 as updated, sha256(text || ':B') as prev, sha256('A:' || text) as prev2 from e where reason is null")
+def auto_merge_text(fx: Fixtures) -> DataFrame:
+    """Every text as the base of a conflict, found through the history of both sides."""
+    docs = fx.table("documents").select("doc_id", F.col("doc_id").cast("string").alias("uuid"), "text").filter("text is not null")
+    x = docs.select("doc_id", "uuid", "text", F.concat(F.lit("A:"), "text").alias("a"), F.concat("text", F.lit(":B")).alias("b"))
+    x = x.withColumns({"base": F.sha2("text", 256), "left_hash": F.sha2("a", 256), "right_hash": F.sha2("b", 256)})
+    side = lambda h: x.select("uuid", F.col(h).alias("hash"), F.col("base").alias("prev"), F.lit(None).cast("string").alias("prev2"))
+    edges = ancestry.version_edges(side("left_hash").unionByName(side("right_hash")))
+    clash = x.select("uuid", F.lit(True).alias("is_text"), F.lit("b").alias("winner"), F.lit(None).cast("string").alias("copy"), F.octet_length("b").alias("larger"), (F.lit(1_700_000_000_000) + F.col("doc_id") * 1000).alias("newest"), "left_hash", "right_hash")
+    texts = x.select(F.col("left_hash").alias("hash"), F.col("a").alias("text")).union(x.select("right_hash", "b"))
+    merged = textmerge.merge_conflicts(clash, edges, texts, x.select(F.col("base").alias("hash"), "text"), 0, "device-a")
+    return merged.select(F.col("uuid").cast("bigint").alias("doc_id"), "hash", "size", "updated", "prev", "prev2")
+
+
+@query("select cast(doc_id as varchar) as path, text || '!' as content from documents where text is not null and doc_id % 2 = 1 and sha256(text) not in (select sha256(text) from documents where doc_id % 2 = 0 and text is not null) union all select cast(doc_id as varchar), text from documents where text is not null and (doc_id % 2 = 0 or sha256(text) in (select sha256(text) from documents where doc_id % 2 = 0 and text is not null))")
+def found_contents(fx: Fixtures) -> DataFrame:
+    """Contents by hash from two holders, the first one's where both have it."""
+    docs = fx.table("documents").filter("text is not null").withColumn("hash", F.sha2("text", 256))
+    first = docs.filter("doc_id % 2 = 0").select("hash", F.col("text").alias("content"))
+    second = docs.select("hash", F.concat("text", F.lit("!")).alias("content"))
+    return docs.select(F.col("doc_id").cast("string").alias("path"), "hash").join(contents.find_contents(docs, first, second), "hash").select("path", "content")
+
+
 # --- meshes ---
 
 
-@query()
+@query(EXPECTED + f""", d as (select sha256('{{"hash":' || coalesce('"' || hash || '"', 'null') || ',"kind":"file","path":"' || path || '","size":' || size || ',"updated":' || updated || ',"uuid":"' || uuid || '"}}') as op from t where not deleted)
+select peer, {_XOR} as state from d, (select unnest(['device-a', 'device-b', 'device-c']) as peer) p group by peer""")
 def mesh_converge(fx: Fixtures) -> DataFrame:
-    """Three peers in a chain: rounds until stable, and the digests at the end, which are one."""
-    columns = ("op", "batch", "at_ms", "peer", "uuid", "type", "path", "hash", "prev")
-    log = fx.log.select(*columns).limit(0)
-    third = fx.b.filter("not deleted").withColumns({"peer": F.lit("device-c")})
+    """Three peers in a chain, the third with what is live on the second, until stable: one digest, that of what the scenarios must lead to."""
+    log = logset.with_op(fx.log_ab.withColumns({"peer": F.lit("device-c"), "batch": F.lit("b"), "prev_path": F.lit(None).cast("string")}))
+    third = fx.b.filter("not deleted")
     peers = {n: PeerState(n, merge.entry_rows(e), log) for n, e in (("device-a", fx.a), ("device-b", fx.b), ("device-c", third))}
-    peers, rounds = sync_until_stable(peers, chain(list(peers)))
-    return fx.spark.createDataFrame([(n, p.digest(), len(rounds)) for n, p in peers.items()], "peer string, state string, rounds int")
+    peers, _ = sync_until_stable(peers, chain(list(peers)))
+    return fx.spark.createDataFrame([(n, p.digest()) for n, p in peers.items()], "peer string, state string")
+
+
+# --- commits, marks and order ---
+
+
+@query(with_tables("base", "a") + f"""select case when k = 1 then 'new:' || p else base.uuid end as uuid, case k when 2 then 'delete' when 12 then 'rename' else 'write' end as type,
+ case when k = 12 then 'new/' || p when k = 1 then p else a.path end as path, {NOW} as at_ms, cast(1 as bigint) as seq, 'b1' as batch from base left join a on a.uuid = base.uuid where k in (1, 2, 5, 12)""")
+def commit_changes(fx: Fixtures) -> DataFrame:
+    """The log rows that a commit of the scanned folder appends."""
+    files, known = _folder(fx)
+    state = PeerState("device-a", known, fx.log_ab.limit(0).withColumn("op", F.col("uuid")))
+    after, _ = commit(state, files, NOW, "b1", new_uuid=lambda p: F.concat(F.lit("new:"), p))
+    return after.log.select("uuid", "type", "path", "at_ms", "seq", "batch")
+
+
+@query(with_tables("log") + "select op, case when event_id % 3 = 1 then 1 else 0 end as seq from log")
+def log_append(fx: Fixtures) -> DataFrame:
+    log = fx.log.withColumns({"segment": F.lit(7).cast("bigint"), "seq": F.lit(0).cast("bigint")})
+    return logset.append_rows(log.filter("event_id % 3 <> 1"), log.filter("event_id % 3 <> 0"), 7).select("op", F.col("seq").cast("int").alias("seq"))
+
+
+def _numbered(fx: Fixtures) -> DataFrame:
+    return _segmented(fx).withColumn("seq", F.floor(F.col("event_id") / 10).cast("bigint"))
+
+
+_SEGMENTED = with_tables("log") + ", s as (select *, at_ms // 86400000 as segment, event_id // 10 as seq from log), o as (select max(segment) as segment from s)\n"
+
+
+@query(_SEGMENTED + "select s.op, s.seq from s join o on o.segment = s.segment where s.seq > 20")
+def peer_log_tail(fx: Fixtures) -> DataFrame:
+    log = _numbered(fx)
+    last = log.agg(F.max("segment")).first()[0]
+    return logset.peer_log(log, last, (last, 20)).select("op", "seq")
+
+
+@query(_SEGMENTED + f"select 'x' as peer, cast(5 as bigint) as last_sync, cast(1 as bigint) as segment, cast(2 as bigint) as seq, 'old' as digest union all select 'y', 1700000000000, any_value(s.segment), max(s.seq), {_XOR} from s join o on o.segment = s.segment")
+def peer_marks(fx: Fixtures) -> DataFrame:
+    log = _numbered(fx)
+    last = log.agg(F.max("segment")).first()[0]
+    marks = fx.spark.createDataFrame([("x", 5, 1, 2, "old"), ("y", 6, 3, 4, "older")], MARK)
+    return logset.upsert_mark(marks, "y", 1_700_000_000_000, logset.open_mark(log, last))
+
+
+@query(with_tables("base") + "select min(case when k = 11 then t0 else t0 + 100 end) as since from base where k in (4, 9, 11)")
+def coldest_conflict(fx: Fixtures) -> DataFrame:
+    return merge.coldest(merged(fx)[1])
+
+
+@query(with_tables("base", "a") + "select greatest(1700000000500, max(updated) + 1) as at_ms from a")
+def scan_stamp(fx: Fixtures) -> DataFrame:
+    return snapshot.stamp(fx.a, 1_700_000_000_500)
+
+
+@query(with_tables("log") + "select op, at_ms from log")
+def log_sorted(fx: Fixtures) -> DataFrame:
+    return logset.sort_rows(fx.log).select("op", "at_ms")
+
+
+@query(with_tables("log") + "select op, at_ms from log order by at_ms desc, op desc limit 100")
+def recent_activity(fx: Fixtures) -> DataFrame:
+    return logset.recent(fx.log).select("op", "at_ms")
+
+
+@query(_PLAN + "select uuid, type, path from acts")
+def actions_sorted(fx: Fixtures) -> DataFrame:
+    return actions.sort_actions(actions.plan_actions(merge.entry_rows(fx.a), merged(fx)[0], "device-a")).select("uuid", "type", "path")
+
+
+@query(_PLAN + "select uuid, path from acts where type = 'delete'")
+def deletes_deepest_first(fx: Fixtures) -> DataFrame:
+    return actions.deepest_first(actions.plan_actions(merge.entry_rows(fx.a), merged(fx)[0], "device-a")).select("uuid", "path")
+
+
+@query(with_tables("base", "a") + "select uuid, path from a")
+def tree_order(fx: Fixtures) -> DataFrame:
+    return views.tree_order(fx.a).select("uuid", "path")
+
+
+# --- folders ---
+
+
+@query(with_tables("base", "a", "b") + """, pa as (select path, unnest(range(1, len(string_split(path, '/')))) as i from a), pb as (select path, unnest(range(1, len(string_split(path, '/')))) as i from b)
+, da as (select array_to_string(string_split(path, '/')[1:i], '/') as dir, count(*) as n from pa group by 1), db as (select array_to_string(string_split(path, '/')[1:i], '/') as dir, count(*) as n from pb group by 1)
+select da.dir, da.n, db.n as other_n, case when db.n is null then 'missing' when da.n = db.n then 'same' else 'differs' end as state from da left join db on db.dir = da.dir""")
+def directory_compare(fx: Fixtures) -> DataFrame:
+    return views.compare_directories(fx.a, fx.b)
+
+
+_FIRST = ", f as (select min(regexp_extract(path, '^(.*)/[^/]*$', 1)) as dir, min(path) as path from a)\n"
+
+
+@query(with_tables("base", "a") + _FIRST + "select uuid, a.path from a join f on regexp_extract(a.path, '^(.*)/[^/]*$', 1) = f.dir")
+def folder_listing(fx: Fixtures) -> DataFrame:
+    first = fx.a.agg(F.min(paths.dirname(F.col("path")))).first()[0]
+    return list_dir(fx.a, first).select("uuid", "path")
+
+
+@query(with_tables("base", "a") + _FIRST + "select kind, size, updated as mtime from a join f on a.path = f.path")
+def file_stat(fx: Fixtures) -> DataFrame:
+    return stat(fx.a.withColumn("mtime", F.col("updated")), fx.a.agg(F.min("path")).first()[0])
+
+
+@query(with_tables("base", "a") + "select uuid, 'x/y/' || substr(path, 7) as path from a where path like 'moved/%'")
+def scoped_paths(fx: Fixtures) -> DataFrame:
+    return contents.rerooted(contents.scoped(fx.a, "moved"), "x/y").select("uuid", "path")
+
+
+@query(with_tables("base", "a") + "select uuid, 'top/' || path as path from a")
+def joined_paths(fx: Fixtures) -> DataFrame:
+    c = F.col("path")
+    return fx.a.select("uuid", paths.join_path(F.lit("/top/./"), paths.dirname(c), F.lit("here/.."), paths.basename(c)).alias("path"))
+
+
+@query(with_tables("base", "a") + ", f as (select min(path) as p, max(path) as q from a) select uuid, case when path = f.q then f.p else path end as path from a, f where path <> f.p")
+def conflict_resolved(fx: Fixtures) -> DataFrame:
+    ends = fx.a.agg(F.min("path"), F.max("path")).first()
+    return contents.resolve_conflict(fx.a, ends[0], ends[1], "theirs").select("uuid", "path")
+
+
+@query(with_tables("base", "a") + "select uuid, case when path like 'moved/%' then 'kept/' || path else path end as path from a where path not like 'moved/a/%'")
+def folder_edits(fx: Fixtures) -> DataFrame:
+    """A folder deleted and its parent renamed."""
+    return edits.rename_path(edits.delete_path(fx.a, "moved/a"), "moved", "kept/moved").select("uuid", "path")
+
+
+@query(with_tables("base", "a") + """select uuid, '{"uuid":"' || uuid || '","kind":"file","path":"' || path || '",' || case when hash is null then '' else '"hash":"' || hash || '",' end || '"size":' || size || ',"created":' || created || ',"updated":' || updated || ',"peer":"' || peer || '"'
+ || case when prev is null then '' else ',"prev":"' || prev || '"' end || case when prev_path is null then '' else ',"prevPath":"' || prev_path || '"' end || '}' as value from a""")
+def entry_encoding(fx: Fixtures) -> DataFrame:
+    return encode_entries(fx.a).select("uuid", "value")

@@ -1,83 +1,35 @@
-"""A change feed as a Python data source, and what of it counts as a change from outside."""
+"""A change feed in pages, and what of it counts as a change from outside."""
 
 from __future__ import annotations
 
-import json
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.paths import in_control_dir
 from ..schema import FEED
 
 
-class PagePartition(InputPartition):
-    def __init__(self, name: str) -> None:
-        self.name = name
-
-
-def _read_page(folder: str, name: str):
-    with open(os.path.join(folder, name), encoding="utf-8") as page:
-        for line in page:
-            if line.strip():
-                r = json.loads(line)
-                yield r.get("native"), r.get("path"), bool(r.get("removed", False)), r.get("size"), r.get("mtime")
-
-
-class ChangePages(DataSource):
-    """Pages of changes, NDJSON files in a folder that all machines mount; the token of a page is its name."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "change_pages"
-
-    def schema(self) -> str:
-        return FEED
-
-    def reader(self, schema) -> DataSourceReader:
-        return ChangeReader(self.options["path"])
-
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return ChangeStream(self.options["path"])
-
-
-class ChangeReader(DataSourceReader):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-
-    def partitions(self):
-        return [PagePartition(n) for n in sorted(os.listdir(self.folder)) if n.endswith(".ndjson")]
-
-    def read(self, partition):
-        yield from _read_page(self.folder, partition.name)
-
-
-class ChangeStream(DataSourceStreamReader):
-    """Offsets are page names; a token that names no page any more starts over, which the caller sees as a reset."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-
-    def _pages(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.folder) if n.endswith(".ndjson"))
-
-    def initialOffset(self) -> dict:
-        return {"page": ""}
-
-    def latestOffset(self) -> dict:
-        pages = self._pages()
-        return {"page": pages[-1] if pages else ""}
+def read_changes(spark: SparkSession, folder: str, token: str | None) -> tuple[DataFrame | None, str]:
+    """Changes since a page, and the name of the newest page, which is the next token.
 
-    def partitions(self, start: dict, end: dict):
-        return [PagePartition(n) for n in self._pages() if start["page"] < n <= end["page"]]
+    Pages are NDJSON files of one folder, named in order. There are no changes but a null, which asks for a full scan,
+    at the first look, when there is no token yet, and when the page of the token is gone, so that what came after it
+    may be, too.
+    """
+    pages = spark.read.format("binaryFile").option("pathGlobFilter", "*.ndjson").load(folder).select(F.col("_metadata.file_name").alias("page"))
+    found = pages.agg(F.max("page").alias("last"), F.coalesce(F.bool_or(F.col("page") == F.lit(token)), F.lit(False)).alias("known")).first()
+    newest = found["last"] or ""
+    if token is None or (token and not found["known"]):
+        return None, newest
+    rows = spark.read.schema(FEED).option("pathGlobFilter", "*.ndjson").json(folder).select("*", F.col("_metadata.file_name").alias("_page"))
+    new = rows.filter((F.col("_page") > token) & (F.col("_page") <= newest)).drop("_page")
+    return new.withColumn("removed", F.coalesce("removed", F.lit(False))), newest
 
-    def commit(self, end: dict) -> None:
-        return None
 
-    def read(self, partition):
-        yield from _read_page(self.folder, partition.name)
+def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pages as a stream; the checkpoint keeps which pages have been read."""
+    rows = spark.readStream.schema(FEED).option("pathGlobFilter", "*.ndjson").json(folder)
+    return rows.withColumn("removed", F.coalesce("removed", F.lit(False)))
 
 
 def external_changes(feed: DataFrame, entries: DataFrame) -> DataFrame:

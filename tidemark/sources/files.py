@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, dirname, in_control_dir
@@ -64,6 +64,26 @@ def encode_rows(log: DataFrame) -> DataFrame:
     return log.select(F.to_json(F.struct(*(F.col(c).alias(n) for n, c in fields))).alias("value"))
 
 
+def encode_entries(entries: DataFrame) -> DataFrame:
+    """One JSON text an entry, ``path, uuid, value``, in the order of ENTRY; absent fields and a false ``deleted`` are dropped."""
+    names = {"prevPath": "prev_path", "conflictOf": "conflict_of"}
+    fields = [f.split()[0] for f in ENTRY.split(", ")]
+    value = lambda c: F.when(F.col(c), True) if c == "deleted" else F.col(c)
+    have = [(n, names.get(n, n)) for n in fields if names.get(n, n) in entries.columns]
+    return entries.select("path", "uuid", F.to_json(F.struct(*(value(c).alias(n) for n, c in have))).alias("value"))
+
+
+def write_entries(entries: DataFrame, path: str) -> None:
+    """Entries as JSON lines, sorted by path and uuid across the files."""
+    encode_entries(entries).orderBy("path", "uuid").select("value").write.mode("overwrite").text(path)
+
+
+def observed(df: DataFrame, name: str, size: str = "size") -> tuple[DataFrame, Observation]:
+    """The rows with a count of them and of their bytes, which can be asked for once an action has run over them."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")), seen
+
+
 def write_log(log: DataFrame, path: str) -> None:
     encode_rows(log).write.mode("append").text(path)
 
