@@ -40,7 +40,7 @@ ORDERS = (0x51ED270B, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 CLASS = ["n", "s1", "s2"]
 OWNERS = 1 << 16  # sets of a flush at most
 DEALT = {"bucket": "bigint", "flush": "bigint", "lone": "binary", "many": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
-COUNTED = {"flush": "bigint", "token": "binary", "own": "binary", "level": "binary", "many": "binary", "many_level": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
+COUNTED = {"bucket": "bigint", "flush": "bigint", "lone": "binary", "level": "binary", "many_level": "binary", "many": "binary", "count": "binary", "owners": "binary", "ids": "array<bigint>", "facts": "binary"}
 SETS = {"id": "bigint", "n": "bigint", "s1": "bigint", "s2": "bigint", "open": "boolean", "own": "bigint", "words": "array<bigint>", "shared": "array<bigint>", "p1": "array<bigint>", "p2": "array<int>", "p3": "array<int>"}
 
 
@@ -175,7 +175,7 @@ def _count(table: pa.Table) -> pa.Table:
     cells = table.filter(pa.compute.is_null(table["facts"]))
     lone, by_token = unpack(cells["lone"])
     bucket = np.uint64(table["bucket"][0].as_py()) << np.uint64(40)
-    token, own = bucket | ((lone >> np.uint64(16)) & np.uint64((1 << 40) - 1)), lone.astype(np.uint16)
+    token = bucket | (lone >> np.uint64(16))
     many, by_many = join_cells(cells["many"], np.uint64)
     count, _ = join_cells(cells["count"], np.uint32)
     every, weight = np.concatenate([token, many]), np.concatenate([np.ones(len(token), np.int64), count])
@@ -191,8 +191,8 @@ def _count(table: pa.Table) -> pa.Table:
     bounds = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(by_token)])]
     by_many = np.concatenate([[0], np.cumsum(by_many)])
     back = table_of({
-        "flush": cells["flush"].combine_chunks(), "token": cut(token[kept], bounds), "own": cut(own[kept], bounds), "level": cut(one[kept], bounds),
-        "many": cut(many, by_many), "many_level": cut(more, by_many)}, COUNTED, cells.num_rows)
+        "bucket": cells["bucket"].combine_chunks(), "flush": cells["flush"].combine_chunks(), "lone": cut(pack(lone[kept]), bounds), "level": cut(one[kept], bounds),
+        "many_level": cut(more, by_many)}, COUNTED, cells.num_rows)
     passed = table_of({c: head[c].combine_chunks() for c in ("flush", "many", "count", "owners", "ids", "facts")}, COUNTED, head.num_rows)
     return pa.concat_tables([back, passed])
 
@@ -214,15 +214,14 @@ def _assemble(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         head = table.filter(pa.compute.is_valid(table["facts"]))
-        cells = table.filter(pa.compute.is_null(table["facts"]))
+        cells = table.filter(pa.compute.is_null(table["facts"])).sort_by("bucket")
         ids = head["ids"].combine_chunks().flatten()
         n, one, two, holder = np.frombuffer(head["facts"][0].as_py(), np.int64).reshape(-1, 4).T
-        token, own, level = (join_cells(cells[c], t)[0] for c, t in (("token", np.uint64), ("own", np.uint16), ("level", np.uint8)))
+        lone, sizes = unpack(cells["lone"])
+        bucket = np.repeat(cells["bucket"].to_numpy().astype(np.uint64), sizes) << np.uint64(40)
+        token, own, level = bucket | (lone >> np.uint64(16)), lone.astype(np.uint16), join_cells(cells["level"], np.uint8)[0]
         many, count, owners = (join_cells(head[c], t)[0] for c, t in (("many", np.uint64), ("count", np.uint32), ("owners", np.uint16)))
-        met, met_level = join_cells(cells["many"], np.uint64)[0], join_cells(cells["many_level"], np.uint8)[0]
-        known = np.zeros(len(many), np.uint8)
-        order = np.argsort(many)
-        known[order[np.searchsorted(many, met, sorter=order)]] = met_level
+        known = join_cells(cells["many_level"], np.uint8)[0]  # repeated tokens are in order of buckets, here as there
         token, own, level = np.concatenate([token, np.repeat(many, count)]), np.concatenate([own, owners]).astype(np.int64), np.concatenate([level, np.repeat(known, count)]).astype(np.uint64)
         shared = np.bincount(own, minlength=len(n))
         free = need(n, percent) - (n - shared)  # places in the prefix that tokens of other sets, too, can take
@@ -264,8 +263,10 @@ def _words_allow(percent: int) -> Column:
 
 
 def _sides(pairs: DataFrame, nodes: DataFrame, columns: list[str], condition: Column) -> DataFrame:
-    """Pairs a, b whose nodes' columns, named with a or b at the end, meet the condition."""
-    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in columns))
+    """Pairs a, b, of a written table, whose nodes' columns, named with a or b at the end, meet the condition."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.select("node", *columns).join(named, "node", "left_semi")
+    side = lambda c: asked.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in columns))
     right = side("b").withColumnRenamed("b", "_b")
     left = pairs.join(side("a"), "a")
     return left.join(right, (left["b"] == right["_b"]) & condition).select("a", "b").distinct()
@@ -287,19 +288,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _paired(members: DataFrame, facts: DataFrame, percent: int, same: bool) -> DataFrame:
-    """Pairs of one component, or of different ones, that share a token, each made at the smallest of them.
+    """Pairs of one component, or of different ones, that share a token.
 
-    A token's members are dealt out in parts of about ``PAIRED``, each of which meets all of them.
+    A token's members are dealt out in parts of about ``PAIRED``, each of which meets all of them. Pairs of one
+    component, which share many tokens, are each made at the smallest of them.
     """
     many = members.groupBy("token").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("salts"))
-    shared = members.groupBy("node").agg(F.collect_set("token").alias("tokens"))
-    full = members.join(shared.join(facts, "node"), "node").join(many, "token")
-    names = ("token", "comp", "tokens", "n", "own", "words")
+    full = members.join(many, "token").join(facts, "node")
+    names = ["token", "comp", "n", "own", "words"]
+    if same:
+        full = full.join(members.groupBy("node").agg(F.collect_set("token").alias("tokens")), "node")
+        names.append("tokens")
     side = lambda c: (F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in names))
     x = full.select(*side("a"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("sa"))
     y = full.select(*side("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("sb"))
     apart = (F.col("compa") == F.col("compb")) if same else (F.col("compa") != F.col("compb"))
-    fits = apart & (F.col("a") < F.col("b")) & _words_allow(percent) & (F.array_min(F.array_intersect("tokensa", "tokensb")) == F.col("tokena"))
+    fits = apart & (F.col("a") < F.col("b")) & _words_allow(percent)
+    if same:
+        fits = fits & (F.array_min(F.array_intersect("tokensa", "tokensb")) == F.col("tokena"))
     return x.join(y, (F.col("tokena") == F.col("tokenb")) & (F.col("sa") == F.col("sb")) & fits).select("a", "b").distinct()
 
 
@@ -320,19 +326,19 @@ class _Join:
         every = scratch.save(counted.groupBy("flush").applyInArrow(_assemble(percent), ddl(SETS)), "every")
         del dealt, counted
         self.sets = scratch.save(every.select("id", *CLASS), "sets")
+        # also holders that are not the smallest of their class: no pair names them
+        self.nodes = every.filter("open").withColumnRenamed("id", "node")
         named = self.sets.filter("id is not null")
         # written, so that what joins it is dealt anew and large classes can be split
         self.classes = scratch.save(named.filter("n > 0").groupBy(*CLASS).agg(F.min("id").alias("rep")), "classes")
-        holders = every.filter("open").withColumnRenamed("id", "rep").join(self.classes, ["rep", *CLASS], "left_semi")
-        self.nodes = scratch.save(holders.select(F.col("rep").alias("node"), "n", "own", "words", "shared", "p1", "p2", "p3"), "nodes")
-        scratch.drop("every")
+        holders = self.nodes.select("node", *CLASS, "p1").join(self.classes.withColumnRenamed("rep", "node"), ["node", *CLASS], "left_semi")
         key = F.struct(*CLASS)
         self.repeated = named.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("x <> y").select("id")
         self.of_id = scratch.save(named.filter("n > 0").join(self.repeated, "id").join(self.classes, CLASS).select("id", "rep").distinct(), "repeated")
         least = self.of_id.groupBy("id").agg(F.min("rep").alias("a"))
         self.again = self.of_id.join(least, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
 
-        posts = self.nodes.select("node", "n", F.explode("p1").alias("token"))
+        posts = holders.select("node", "n", F.explode("p1").alias("token"))
         tokens = scratch.save(posts.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("c")).filter("m > 1"), "tokens")
         self.posts = scratch.save(posts.join(tokens, "token"), "posts")
         few = self.posts.filter(F.col("m") <= SMALL)
@@ -367,7 +373,7 @@ class _Join:
 
     def all_links(self) -> DataFrame:
         """Links, those within components included."""
-        within = _paired(self.members, self.facts, self.percent, same=True).join(self.tried, ["a", "b"], "left_anti")
+        within = self.scratch.save(_paired(self.members, self.facts, self.percent, same=True).join(self.tried, ["a", "b"], "left_anti"), "within")
         return self.links.union(_verified(within, self.nodes, self.percent)).distinct()
 
 
