@@ -57,12 +57,22 @@ def state_digest_by_store(fx: Fixtures) -> DataFrame:
     return e.groupBy(F.col("peer").alias("store")).agg(digests.state_digest(F.col("path"), F.col("uuid"), j).alias("state"))
 
 
+_XOR = " || ".join(f"printf('%08x', bit_xor(cast(('0x' || substr(op, {1 + 8 * i}, 8)) as bigint)))" for i in range(8))
+
+
+@query(with_tables("base", "a", "b") + f""", e as (select peer as store, sha256({_JSON}) as op from (select * from a union all select * from b) where not deleted) select store, {_XOR} as digest from e group by store""")
+def set_digest_by_store(fx: Fixtures) -> DataFrame:
+    """The digest that syncing compares: it combines before the shuffle, so a store of any size is one small row a task."""
+    e = views.live(fx.a.unionByName(fx.b))
+    j = digests.entry_json(*(F.col(c) for c in ("kind", "path", "hash", "size", "updated", "uuid")))
+    return e.groupBy(F.col("peer").alias("store")).agg(digests.mergeable_digest(j).alias("digest"))
+
+
 @query(with_tables("log") + "select event_id, op from log")
 def op_ids(fx: Fixtures) -> DataFrame:
     return logset.with_op(fx.log.drop("op")).select("event_id", "op")
 
 
-_XOR = " || ".join(f"printf('%08x', bit_xor(cast(('0x' || substr(op, {1 + 8 * i}, 8)) as bigint)))" for i in range(8))
 
 
 @query(with_tables("log") + f"select peer, count(*) as rows, {_XOR} as digest from log group by peer")
