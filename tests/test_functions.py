@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import digests, display, paths
+from tidemark.schema import EMPTY_STATE
 
 
 def one(spark, column, **values):
@@ -24,9 +25,9 @@ def test_normalize_leaves_root(spark, given):
 
 def test_names(spark):
     p = F.col("p")
-    rows = spark.createDataFrame([("a/b/c.txt",), ("c.txt",), ("archive.tar.gz",), ("LICENSE",), (".gitignore",), ("a/b/gamelist.XML",)], "p string")
+    rows = spark.createDataFrame([("a/b/c.txt",), ("c.txt",), ("archive.tar.gz",), ("LICENSE",), (".gitignore",), ("a/b/Catalogue.XML",)], "p string")
     out = rows.select(paths.dirname(p), paths.basename(p), paths.stem(paths.basename(p)), paths.suffix(paths.basename(p)), paths.extension(p)).collect()
-    assert [tuple(r) for r in out] == [("a/b", "c.txt", "c", ".txt", "txt"), ("", "c.txt", "c", ".txt", "txt"), ("", "archive.tar.gz", "archive.tar", ".gz", "gz"), ("", "LICENSE", "LICENSE", "", ""), ("", ".gitignore", ".gitignore", "", ""), ("a/b", "gamelist.XML", "gamelist", ".XML", "xml")]
+    assert [tuple(r) for r in out] == [("a/b", "c.txt", "c", ".txt", "txt"), ("", "c.txt", "c", ".txt", "txt"), ("", "archive.tar.gz", "archive.tar", ".gz", "gz"), ("", "LICENSE", "LICENSE", "", ""), ("", ".gitignore", ".gitignore", "", ""), ("a/b", "Catalogue.XML", "Catalogue", ".XML", "xml")]
 
 
 def test_inside_and_ancestors(spark):
@@ -37,7 +38,7 @@ def test_inside_and_ancestors(spark):
 
 
 def test_conflict_name(spark):
-    assert one(spark, paths.conflict_name(F.col("p"), F.lit("device-b"), F.lit("1f4a9c2e0000")), p="docs/notes.md") == "docs/notes (conflict device-b 1f4a9c2e).md"
+    assert one(spark, paths.conflict_name(F.col("p"), F.lit("device-b"), F.lit("77be01d90000")), p="docs/notes.md") == "docs/notes (conflict device-b 77be01d9).md"
 
 
 def test_xor(spark):
@@ -53,7 +54,7 @@ def test_xor(spark):
 
 def test_empty_state(spark):
     none = spark.createDataFrame([], "path string, uuid string, j string")
-    assert none.agg(digests.state_digest(F.col("path"), F.col("uuid"), F.col("j"))).first()[0] == digests.EMPTY
+    assert none.agg(digests.state_digest(F.col("path"), F.col("uuid"), F.col("j"))).first()[0] == EMPTY_STATE
 
 
 def test_display(spark):

@@ -46,8 +46,8 @@ def test_content_conflict_keeps_a_copy(spark):
 
 
 def test_rename_and_edit_both_apply(spark):
-    out, conflicts = run(spark, [{"path": "renamed.md", "hash": "old", "prev_path": "a.md", "updated": 2000}], [{"hash": "edited", "updated": 3000, "prev": "old"}])
-    assert (out["1"]["path"], out["1"]["hash"]) == ("renamed.md", "edited") and not conflicts
+    out, conflicts = run(spark, [{"path": "other.md", "hash": "old", "prev_path": "a.md", "updated": 2000}], [{"hash": "edited", "updated": 3000, "prev": "old"}])
+    assert (out["1"]["path"], out["1"]["hash"]) == ("other.md", "edited") and not conflicts
 
 
 def test_rename_chain(spark):
@@ -81,14 +81,14 @@ def test_resurrection_guard(spark):
 
 
 def test_directory_loses_its_path(spark):
-    out, _ = run(spark, [{"uuid": "d", "kind": "directory", "path": "photos", "hash": None}, {"uuid": "c", "path": "photos/x.png"}], [{"uuid": "f", "path": "photos", "updated": 5000}])
-    assert out["f"]["path"] == "photos" and out["d"]["path"].startswith("photos (conflict device-a ") and out["d"]["reason"] == "kind"
-    assert out["c"]["path"] == out["d"]["path"] + "/x.png" and out["c"]["prev_path"] == "photos/x.png"
+    out, _ = run(spark, [{"uuid": "d", "kind": "directory", "path": "shelf", "hash": None}, {"uuid": "c", "path": "shelf/x.png"}], [{"uuid": "f", "path": "shelf", "updated": 5000}])
+    assert out["f"]["path"] == "shelf" and out["d"]["path"].startswith("shelf (conflict device-a ") and out["d"]["reason"] == "kind"
+    assert out["c"]["path"] == out["d"]["path"] + "/x.png" and out["c"]["prev_path"] == "shelf/x.png"
 
 
 def test_a_losing_file_leaves_directories_alone(spark):
-    out, _ = run(spark, [{"uuid": "f", "path": "photos"}], [{"uuid": "d", "kind": "directory", "path": "photos", "hash": None, "updated": 5000}, {"uuid": "c", "path": "photos/x.png"}])
-    assert out["c"]["path"] == "photos/x.png" and out["f"]["path"].startswith("photos (conflict ")
+    out, _ = run(spark, [{"uuid": "f", "path": "shelf"}], [{"uuid": "d", "kind": "directory", "path": "shelf", "hash": None, "updated": 5000}, {"uuid": "c", "path": "shelf/x.png"}])
+    assert out["c"]["path"] == "shelf/x.png" and out["f"]["path"].startswith("shelf (conflict ")
 
 
 def test_nested_directories_lose_their_paths(spark):
