@@ -137,7 +137,8 @@ def plan_sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, at
     if since is not None and not closed(a).select("op").union(closed(b).select("op")).isEmpty():
         target, conflicts, edges = _merge(a, b, _history(a, b, since), merging)
     merged, rows = None, None
-    if options.auto_merge or options.resolve_text is not None:
+    known = a.contents is not None or b.contents is not None
+    if known and (options.auto_merge or options.resolve_text is not None) and not conflicts.filter("is_text").isEmpty():
         contents = a.texts("contents").select("hash", "text").union(b.texts("contents").select("hash", "text"))
         bases = a.texts("bases").select("hash", "text").union(b.texts("bases").select("hash", "text"))
         found = merge_conflicts(conflicts, edges, contents, bases if options.auto_merge else bases.limit(0), at_ms, a.peer, options.resolve_text)
