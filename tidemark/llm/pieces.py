@@ -24,7 +24,7 @@ from .text import Rolling, mix, pieces
 
 MODEL = os.environ.get("TIDEMARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARKER = "▁"
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def load_pieces(path: str = MODEL) -> dict:
