@@ -33,7 +33,7 @@ from .text import Words, mix, pieces, shingle_sets
 
 SMALL = 8  # classes of one token that give all their pairs at once
 PAIRED = 500  # classes of a token that one task pairs with all others of it
-FLUSH = 1_200_000  # tokens that a task gathers at least before it deals them out
+FLUSH = 600_000  # tokens that a task gathers at least before it deals them out
 BUCKET_BYTES = 24_000_000  # tokens and owners that one task counts
 WORDS = 16  # 64-bit words of parity
 ORDERS = (0x51ED270B, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
