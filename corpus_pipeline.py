@@ -21,18 +21,25 @@ LEAST_QUALITY = 0.5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from all labels, gives an even chance of good quality or more.
+
+    Null and empty texts are scored as texts without tokens, rows that repeat stay or go together, and without labels
+    every score is a half, so that all stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model, name="_quality").filter(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of Jaccard similarity join, the one with the smallest id stays; rows of one id stay together."""
+    """Of documents that links of Jaccard similarity join, the one with the smallest id stays; rows of one id stay together, and so do
+    rows without id or words."""
     groups = jaccard_groups(docs)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item; those without words stay."""
     return drop_contained(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,6 +50,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with the ids of its pieces; a null or empty text has none."""
     return encode_pieces(docs, keep=["doc_id", "lang", "source", "n_chars"])
 
 
