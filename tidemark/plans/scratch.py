@@ -28,9 +28,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", []
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
