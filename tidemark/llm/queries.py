@@ -17,6 +17,7 @@ from .nearest import nearest
 from .pieces import encode_pieces
 from .secrets import KINDS, listing, scan_secrets
 from .substrings import remove_repeats
+from .warc import through_warc
 
 
 def _crc(column: str) -> Column:
@@ -102,6 +103,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_warc(table(spark, sf_dir, "pages"))
+
+
 OP5_SQL = r"""
 with recursive t as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as l from documents),
 w as (select doc_id, len(l) as n, unnest(l) as w, generate_subscripts(l, 1) as i from t),
@@ -173,6 +178,14 @@ select conv_id, count(*) as n_turns,
 from o group by conv_id
 """
 
+OP13_SQL = r"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h, row_number() over (order by page_id) as r from pages),
+v as (select *, list_transform(range(8), lambda i: cast('0x' || substr(h, cast(5 * i + 1 as bigint), 5) as bigint)) as v from p),
+d as (select *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1 as bigint), 1)), '') as payload_digest,
+ min(r) over (partition by h, payload_bytes) as first_r, min(page_id) over (partition by h, payload_bytes) as first_id from v)
+select page_id, payload_bytes, payload_digest, case when r = first_r then 'response' else 'revisit' end as record_type, case when r <> first_r then first_id end as refers_to from d
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_nearest": op2_nearest,
@@ -184,7 +197,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
+    "op13_warc": op13_warc,
 }
 
 #: Learned models, an approximate search, a tokenizer and randomness tests are beyond SQL; tests/llm holds them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op8_licenses": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op8_licenses": OP8_SQL, "op10_chat": OP10_SQL, "op13_warc": OP13_SQL}
