@@ -17,6 +17,7 @@ from .nearest import nearest
 from .pieces import encode_pieces
 from .secrets import KINDS, listing, scan_secrets
 from .substrings import remove_repeats
+from .trie import conversation_paths, prefix_trie
 from .warc import through_warc
 
 
@@ -103,6 +104,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = _crc("conv_id") % 4
+    paths = conversation_paths(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 20, taken)
+    return prefix_trie(paths).drop("preorder", "subtree_end")
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_warc(table(spark, sf_dir, "pages"))
 
@@ -178,6 +185,30 @@ select conv_id, count(*) as n_turns,
 from o group by conv_id
 """
 
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bit = "case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: cast(ascii(substr({text}, i, 1)) as bigint))"
+    return f"xor(list_reduce({codes}, lambda c, b: list_reduce(range(8), lambda v, k: {bit}, xor(c, b)), 4294967295), 4294967295)"
+
+
+OP11_SQL = r"""
+with c as (select conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as d, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words from conversations where conv_id is not null),
+r as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, d) - 1 as pos, d, words from c),
+i as (select conv_id, conv_id - conv_id % 20 as base, $CRC % 4 as h from (select distinct conv_id, cast(conv_id as varchar) as s from c)),
+t as (select i.conv_id, r.pos, r.d, r.words from i join r on r.conv_id = i.base where r.pos < i.h union all select i.conv_id, r.pos, r.d, r.words from i join r on r.conv_id = i.conv_id where r.pos >= i.h),
+s as (select conv_id, row_number() over (partition by conv_id order by pos) as depth, words, string_agg(d, '') over (partition by conv_id order by pos rows between unbounded preceding and current row) as k from t),
+m as (select conv_id, 0 as depth, '' as k, 0 as words from i union all select conv_id, depth, k, words from s),
+n as (select k, any_value(depth) as depth, any_value(words) as words, min(conv_id) as conv_id, count(*) as n from m group by k),
+kids as (select substr(k, 1, 64 * (depth - 1)) as k, count(*) as n from n where depth > 0 group by 1),
+x as (select n.n, n.words, kids.k is null as leaf, n.k, unnest(range(0, n.depth + 1)) as a from n left join kids on kids.k = n.k),
+u as (select substr(k, 1, 64 * a) as k, sum(case when leaf then 1 else 0 end) as leaves, sum((n - 1) * words) as saved from x group by 1),
+l as (select conv_id, max(depth) as depth from m group by conv_id),
+e as (select m.k, sha256(string_agg(cast(m.conv_id as varchar), ',' order by m.conv_id)) as h from m join l on l.conv_id = m.conv_id and l.depth = m.depth group by m.k)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce(kids.n, 0) as n_children, cast(u.leaves as bigint) as n_leaves, cast(u.saved as bigint) as saved_tokens, coalesce(e.h, sha256('')) as ends_sha256
+from n join u on u.k = n.k left join kids on kids.k = n.k left join e on e.k = n.k left join n p on n.depth > 0 and p.k = substr(n.k, 1, 64 * (n.depth - 1))
+""".replace("$CRC", crc_sql("s"))
+
 OP13_SQL = r"""
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h, row_number() over (order by page_id) as r from pages),
 v as (select *, list_transform(range(8), lambda i: cast('0x' || substr(h, cast(5 * i + 1 as bigint), 5) as bigint)) as v from p),
@@ -197,8 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
+    "op11_trie": op11_trie,
     "op13_warc": op13_warc,
 }
 
 #: Learned models, an approximate search, a tokenizer and randomness tests are beyond SQL; tests/llm holds them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op8_licenses": OP8_SQL, "op10_chat": OP10_SQL, "op13_warc": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op8_licenses": OP8_SQL, "op10_chat": OP10_SQL, "op11_trie": OP11_SQL, "op13_warc": OP13_SQL}
