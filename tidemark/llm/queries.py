@@ -15,6 +15,7 @@ from .jaccard import jaccard_groups
 from .licenses import PHRASES, TEMPLATES, scan_licenses
 from .nearest import nearest
 from .pieces import encode_pieces
+from .repair import damage, repair_conversations
 from .secrets import KINDS, listing, scan_secrets
 from .substrings import remove_repeats
 from .trie import conversation_paths, prefix_trie
@@ -110,6 +111,10 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(paths).drop("preorder", "subtree_end")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_warc(table(spark, sf_dir, "pages"))
 
@@ -209,6 +214,44 @@ select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce
 from n join u on u.k = n.k left join kids on kids.k = n.k left join e on e.k = n.k left join n p on n.depth > 0 and p.k = substr(n.k, 1, 64 * (n.depth - 1))
 """.replace("$CRC", crc_sql("s"))
 
+def _op12_sql() -> str:
+    """Least cost and audit from each place on and in each state, folded over a signature from its end."""
+    step = lambda cost, letter, to: f"{{'c': b[{to}].c + {cost}, 'a': '{letter}' || b[{to}].a}}"
+    made = [3, 3, 4, 3]  # the state, from 1, that an inserted or rerolled row leads to
+    relax = lambda b: "list_reduce(range(3), lambda b, k: [" + ", ".join(f"least(b[{i + 1}], {step(2, 'I', made[i])})" for i in range(4)) + f"], {b})"
+    extra, never = "case when x = upper(x) then 1 else 0 end", "case when {} then 0 else 1000000 end"
+    keep = lambda to, role: step(f"{extra} + " + never.format(f"lower(x) = '{role}'"), "K", to)
+    kept = [[keep(2, "s"), keep(3, "u")], [keep(3, "u")], [keep(4, "a")], [keep(3, "u")]]
+    reroled = lambda i: step(f"2 + {extra} + " + never.format("x <> '-'"), "R", made[i])
+    edits = "[" + ", ".join("list_min([" + ", ".join([step(3, "D", i + 1), *kept[i], reroled(i)]) + "])" for i in range(4)) + "]"
+    end = "[{'c': 0, 'a': ''}, {'c': 1000000, 'a': ''}, {'c': 1000000, 'a': ''}, {'c': 0, 'a': ''}]"
+    solved = f"list_reduce(list_reverse(string_split(sig, '')), lambda b, x: {relax(edits)}, {relax(end)})[1]"
+    return rf"""
+with o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as s from conversations),
+f as (select *, {crc_sql("s")} % 20 as fate, sha256(length(role) || ':' || role || text) as tie from o),
+d as (select conv_id, turn, tie, unnest(range(0, case when fate = 3 then 2 else 1 end)) as copy, case when fate = 4 then 'user' else role end as role,
+ case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from f where fate <> 0),
+p as (select *, row_number() over (partition by conv_id order by turn nulls first, tie, copy) as place, row_number() over (partition by conv_id, role, text order by turn nulls first, tie, copy) as nth,
+ case when substr(role, 1, 1) in ('s', 'u', 'a') then substr(role, 1, 1) else 'x' end as ini, not regexp_matches(text, '[^ 	-]') as blank,
+ regexp_matches(text, '[^.!? 	-][ 	-]*\z') as cut from d),
+q as (select *, case when blank then 'blank' when nth > 1 then 'duplicate' when cut then 'truncated' end as fault, lag(ini) over (partition by conv_id order by place) as was from p),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+ count(*) filter (where was is not null and was || ini not in ('su', 'ua', 'au')) as illegal, string_agg(case when fault in ('blank', 'duplicate') then '-' when fault = 'truncated' then upper(ini) else ini end, '' order by place) as sig from q group by conv_id),
+v as (select sig, {solved} as r from (select distinct sig from g)),
+a as (select g.*, v.r.c as cost, v.r.a as audit from g join v on v.sig = g.sig),
+l as (select conv_id, substr(audit, i, 1) as letter, i from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as i from a)),
+e as (select conv_id, letter, sum(case when letter <> 'I' then 1 else 0 end) over w as place, sum(case when letter <> 'D' then 1 else 0 end) over w as o from l window w as (partition by conv_id order by i rows between unbounded preceding and current row)),
+h as (select e.conv_id, e.letter, e.o, q.role, case when e.letter = 'I' then '' else q.text end as text, coalesce(max(case when e.o = 1 and e.letter = 'K' and q.ini = 's' then 1 else 0 end) over (partition by e.conv_id), 0) as sys
+ from e left join q on q.conv_id is not distinct from e.conv_id and q.place = e.place where e.letter <> 'D'),
+r as (select conv_id, sha256(string_agg(case when letter = 'K' then role when (o - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by o)) as sha from h group by conv_id)
+select c.conv_id, coalesce(a.gaps, 0) as gaps, coalesce(a.blank, 0) as blank, coalesce(a.duplicate, 0) as duplicate, coalesce(a.truncated, 0) as truncated, coalesce(a.illegal, 0) as illegal,
+ coalesce(cast(a.cost as bigint), 0) as cost, coalesce(a.audit, '') as audit, coalesce(r.sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join a on a.conv_id is not distinct from c.conv_id left join r on r.conv_id is not distinct from c.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
 OP13_SQL = r"""
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h, row_number() over (order by page_id) as r from pages),
 v as (select *, list_transform(range(8), lambda i: cast('0x' || substr(h, cast(5 * i + 1 as bigint), 5) as bigint)) as v from p),
@@ -229,8 +272,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
     "op11_trie": op11_trie,
+    "op12_repair": op12_repair,
     "op13_warc": op13_warc,
 }
 
 #: Learned models, an approximate search, a tokenizer and randomness tests are beyond SQL; tests/llm holds them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op8_licenses": OP8_SQL, "op10_chat": OP10_SQL, "op11_trie": OP11_SQL, "op13_warc": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op8_licenses": OP8_SQL, "op10_chat": OP10_SQL, "op11_trie": OP11_SQL, "op12_repair": OP12_SQL, "op13_warc": OP13_SQL}
