@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh
-from .text import Rolling, mix, parts
+from .text import hash_words, mix, parts
 
 BUCKETS, SIZE, MARKS = 1 << 14, 24, 2
 PIECE = 700_000  # bytes of text whose token vectors are held at once
@@ -46,7 +46,7 @@ class Tokens:
         kind[97:123] = kind[128:] = 1
         kind[65:91] = 2
         kind[48:58] = 3
-        self.kind, self.rolling = kind, Rolling(0x9E3779B97F4A7C15)
+        self.kind = kind
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
@@ -60,7 +60,7 @@ class Tokens:
         cuts = np.flatnonzero(edge)
         full = kind[cuts[:-1]] != 0
         starts, ends = cuts[:-1][full], cuts[1:][full]
-        h = mix(self.rolling(data, starts, ends) + (ends - starts).astype(np.uint64))
+        h = hash_words(data, starts, ends)
         return (h % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(starts, offsets)
 
 

@@ -105,6 +105,39 @@ class Rolling:
         return (sums[ends] - sums[starts]) * self.down[starts]
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 8-byte blocks of words that are not empty, the last one of each filled up with zeros; the number of each block in its word; the n + 1 offsets."""
+    size = (ends - starts + 7) >> 3
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    number = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    place = np.repeat(starts, size) + 8 * number
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    every = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    return every[place] & _MASKS[np.minimum(np.repeat(ends, size) - place, 8)], number, at
+
+
+def hash_blocks(block: np.ndarray, number: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each word: its blocks are mixed with their number before they are summed, so no pattern of letters cancels out."""
+    mixed = mix(block + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+    return mix(np.add.reduceat(mixed, at[:-1]) + length.astype(np.uint64) * np.uint64(_MIX))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of words in order of place, ``CHUNK`` bytes at a time; a longer word is worked on alone."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        part = data[lo:hi] if lower is None else lower[data[lo:hi]]
+        out[i:j] = hash_blocks(*blocks(part, starts[i:j] - lo, ends[i:j] - lo), ends[i:j] - starts[i:j])
+        i = j
+    return out
+
+
 class Words:
     """Words of texts: places in the bytes, the text each belongs to, and a 64-bit hash of each.
 
@@ -113,12 +146,10 @@ class Words:
     """
 
     def __init__(self, gaps: bytes = b" \t\n\x0b\x0c\r", lower: bool = False) -> None:
-        self.gap, self.lower, self.rolling = byte_table(gaps), lower_table() if lower else None, Rolling(_BASE)
+        self.gap, self.lower = byte_table(gaps), lower_table() if lower else None
 
-    def _chunk(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and sums of the words of a chunk; ``begins`` are the places where texts begin."""
-        if self.lower is not None:
-            data = self.lower[data]
+    def _chunk(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of a chunk; ``begins`` are the places where texts begin."""
         n = len(data)
         gap = self.gap[data]
         edge = np.zeros(n + 1, bool)
@@ -127,8 +158,7 @@ class Words:
         before, after = edge[:n].copy(), edge[1:].copy()
         before[1:] |= gap[:-1]
         after[:-1] |= gap[1:]
-        starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
-        return starts, ends, self.rolling(data, starts, ends)
+        return np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """starts, ends, hashes, and the n + 1 offsets of the texts into them."""
@@ -140,20 +170,15 @@ class Words:
         for at in range(0, n, CHUNK):
             to = min(n, at + CHUNK)
             lo, hi = np.searchsorted(offsets, [at, to])
-            starts, ends, sums = self._chunk(data[at:to], offsets[lo:hi] - at)
-            starts, ends = starts + at, ends + at
+            starts, ends = (x + at for x in self._chunk(data[at:to], offsets[lo:hi] - at))
             last = next((p for p in reversed(parts) if len(p[0])), None)
             whole = lo < len(offsets) and offsets[lo] == at
-            if last is not None and len(starts) and last[1][-1] == at == starts[0] and not whole:
-                # one word: what follows is shifted by the length of what stands before
-                shift = pow(_BASE, int(at - last[0][-1]), 1 << 64)
+            if last is not None and len(starts) and last[1][-1] == at == starts[0] and not whole:  # one word
                 last[1][-1] = ends[0]
-                last[2][-1] = np.uint64((int(last[2][-1]) + int(sums[0]) * shift) % (1 << 64))
-                starts, ends, sums = starts[1:], ends[1:], sums[1:]
-            parts.append([starts, ends, sums])
-        starts, ends, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
-        hashes = mix(sums + (ends - starts).astype(np.uint64) * np.uint64(_MIX))
-        return starts, ends, hashes, np.searchsorted(starts, offsets)
+                starts, ends = starts[1:], ends[1:]
+            parts.append([starts, ends])
+        starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return starts, ends, hash_words(data, starts, ends, self.lower), np.searchsorted(starts, offsets)
 
 
 def window_ids(offsets: np.ndarray, k: int) -> np.ndarray:
