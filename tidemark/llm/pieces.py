@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh
-from .text import Rolling, mix, pieces
+from .text import blocks, hash_blocks, pieces
 
 MODEL = os.environ.get("TIDEMARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARKER = "▁"
@@ -220,9 +220,25 @@ def ragged(values: np.ndarray, at: np.ndarray, pick: np.ndarray) -> tuple[np.nda
     return values[index], out
 
 
+def distinct_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct word, and for every word which of them it is. Words that share a hash are compared byte by byte."""
+    block, number, at = blocks(text, starts, ends)
+    if not len(block):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, which = np.unique(hash_blocks(block, number, at, ends - starts), return_index=True, return_inverse=True)
+    like, size = first[which], np.diff(at)
+    apart = (size != size[like]) | (ends - starts != (ends - starts)[like])
+    same = np.repeat(~apart, size)
+    unlike = np.flatnonzero(same)[block[same] != block[(np.repeat(at[like], size) + number)[same]]]
+    apart[np.searchsorted(at, unlike, "right") - 1] = True
+    odd = np.flatnonzero(apart)
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), which
+
+
 class Encoder:
     def __init__(self, model: dict) -> None:
-        self.model, self.rolling = model, Rolling(0x9E3779B97F4A7C15)
+        self.model = model
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, their offsets by text, and the score of each text; an empty text has none."""
@@ -242,8 +258,7 @@ class Encoder:
         begins[edges[:-1][np.diff(edges) > 0]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(text))[: len(starts)]
-        h = mix(self.rolling(text, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        first, which = distinct_words(text, starts, ends)
         ids, at, score = viterbi(text, starts[first], ends[first], self.model)
         words = np.searchsorted(starts, edges)
         out, by_word = ragged(ids, at, which)
