@@ -10,8 +10,8 @@ token within their prefixes, the first ``n - ceil(t n) + 1`` tokens, under every
    coarser, and by a hash that each order has of its own. A set whose prefix holds only tokens of its own is done.
 3. Sets that are equal form a class, which its smallest id stands for. Prefix tokens of classes under the first
    order are joined: all pairs of up to ``SMALL`` classes of one token, else a star around one of them.
-4. Candidates must fit in size and share prefix tokens under the second and under the third order, and parity bits
-   of their sets must leave it open that they are similar. Only what passes all of it is verified on the sets.
+4. Candidates must fit in size, parity bits of their sets must leave it open that they are similar, and they must share
+   prefix tokens under the second and under the third order. Only the sets of pairs that pass all of it move, and are verified.
 5. Components of all links. Tokens with more classes, where not all are in one component yet, give all pairs
    across components, which go through the same filters. So no link between components is missed.
 6. Pairs within a component that share a token with more classes are made only where links are asked for.
@@ -91,16 +91,19 @@ def join_cells(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(cells), kind), np.array([len(x) for x in cells], np.int64) // np.dtype(kind).itemsize
 
 
-def pack(values: np.ndarray) -> np.ndarray:
-    """40 bits of a token and 16 of its owner in 7 bytes each."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :7]).view("V7").reshape(-1)
+def pack(tokens: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """64 bits of a token and 16 of its owner in 10 bytes each."""
+    out = np.zeros((len(tokens), 10), np.uint8)
+    out[:, :8] = tokens.view(np.uint8).reshape(-1, 8)
+    out[:, 8:] = owners.astype(np.uint16).view(np.uint8).reshape(-1, 2)
+    return out.view("V10").reshape(-1)
 
 
-def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    cells, sizes = join_cells(column, "V7")
-    wide = np.zeros((len(cells), 8), np.uint8)
-    wide[:, :7] = cells.view(np.uint8).reshape(-1, 7)
-    return wide.view(np.uint64).reshape(-1), sizes
+def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, owners, and how many each value holds."""
+    cells, sizes = join_cells(column, "V10")
+    wide = cells.view(np.uint8).reshape(-1, 10)
+    return np.ascontiguousarray(wide[:, :8]).view(np.uint64).reshape(-1), np.ascontiguousarray(wide[:, 8:]).view(np.uint16).reshape(-1), sizes
 
 
 def table_of(columns: dict, kinds: dict[str, str], n: int) -> pa.Table:
@@ -108,10 +111,9 @@ def table_of(columns: dict, kinds: dict[str, str], n: int) -> pa.Table:
     return pa.table({k: (columns[k] if isinstance(columns[k], pa.Array) else pa.array(columns[k], types[t])) if k in columns else pa.nulls(n, types[t]) for k, t in kinds.items()})
 
 
-def deal_tokens(token: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each token, and the token's name from there on: the bucket, then 40 bits of its hash."""
-    bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return bucket, (bucket << np.uint64(40)) | (token & np.uint64((1 << 40) - 1))
+def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
+    """Stretches of all hashes: buckets follow the order of tokens."""
+    return ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _deal(k: int, buckets: int, flush: int):
@@ -131,9 +133,10 @@ def _deal(k: int, buckets: int, flush: int):
         holder &= named
         own = np.repeat(np.arange(len(n), dtype=np.uint16), n)
         picked = holder[own]
-        bucket, token = deal_tokens(tokens[picked], buckets)
-        order = np.lexsort((token, bucket))
-        token, own, bucket = token[order], own[picked][order], bucket[order]
+        token, own = tokens[picked], own[picked]
+        order = np.argsort(token, kind="stable")
+        token, own = token[order], own[order]
+        bucket = bucket_of(token, buckets)
         start = np.ones(len(token), bool)
         start[1:] = token[1:] != token[:-1]
         at = np.flatnonzero(start)
@@ -141,7 +144,7 @@ def _deal(k: int, buckets: int, flush: int):
         alone, some = at[size == 1], at[size > 1]
         many, count = token[some], size[size > 1].astype(np.uint32)
         owners = own[np.repeat(size > 1, size)]
-        lone = pack((token[alone] << np.uint64(16)) | own[alone].astype(np.uint64))
+        lone = pack(token[alone], own[alone])
         by_lone, by_many = (np.searchsorted(bucket[x], np.arange(buckets + 1, dtype=np.uint64)) for x in (alone, some))
         cells = {"bucket": np.arange(buckets), "flush": np.full(buckets, number), "lone": cut(lone, by_lone), "many": cut(many, by_many), "count": cut(count, by_many)}
         full = np.flatnonzero((np.diff(by_lone) > 0) | (np.diff(by_many) > 0))
@@ -173,9 +176,7 @@ def _count(table: pa.Table) -> pa.Table:
     """How many sets hold the tokens of one bucket, for those that two or more hold; what belongs to a flush passes."""
     head = table.filter(pa.compute.is_valid(table["facts"]))
     cells = table.filter(pa.compute.is_null(table["facts"]))
-    lone, by_token = unpack(cells["lone"])
-    bucket = np.uint64(table["bucket"][0].as_py()) << np.uint64(40)
-    token = bucket | (lone >> np.uint64(16))
+    token, owner, by_token = unpack(cells["lone"])
     many, by_many = join_cells(cells["many"], np.uint64)
     count, _ = join_cells(cells["count"], np.uint32)
     every, weight = np.concatenate([token, many]), np.concatenate([np.ones(len(token), np.int64), count])
@@ -191,7 +192,7 @@ def _count(table: pa.Table) -> pa.Table:
     bounds = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(by_token)])]
     by_many = np.concatenate([[0], np.cumsum(by_many)])
     back = table_of({
-        "bucket": cells["bucket"].combine_chunks(), "flush": cells["flush"].combine_chunks(), "lone": cut(pack(lone[kept]), bounds), "level": cut(one[kept], bounds),
+        "bucket": cells["bucket"].combine_chunks(), "flush": cells["flush"].combine_chunks(), "lone": cut(pack(token[kept], owner[kept]), bounds), "level": cut(one[kept], bounds),
         "many_level": cut(more, by_many)}, COUNTED, cells.num_rows)
     passed = table_of({c: head[c].combine_chunks() for c in ("flush", "many", "count", "owners", "ids", "facts")}, COUNTED, head.num_rows)
     return pa.concat_tables([back, passed])
@@ -217,9 +218,7 @@ def _assemble(percent: int):
         cells = table.filter(pa.compute.is_null(table["facts"])).sort_by("bucket")
         ids = head["ids"].combine_chunks().flatten()
         n, one, two, holder = np.frombuffer(head["facts"][0].as_py(), np.int64).reshape(-1, 4).T
-        lone, sizes = unpack(cells["lone"])
-        bucket = np.repeat(cells["bucket"].to_numpy().astype(np.uint64), sizes) << np.uint64(40)
-        token, own, level = bucket | (lone >> np.uint64(16)), lone.astype(np.uint16), join_cells(cells["level"], np.uint8)[0]
+        (token, own, _), level = unpack(cells["lone"]), join_cells(cells["level"], np.uint8)[0]
         many, count, owners = (join_cells(head[c], t)[0] for c, t in (("many", np.uint64), ("count", np.uint32), ("owners", np.uint16)))
         known = join_cells(cells["many_level"], np.uint8)[0]  # repeated tokens are in order of buckets, here as there
         token, own, level = np.concatenate([token, np.repeat(many, count)]), np.concatenate([own, owners]).astype(np.int64), np.concatenate([level, np.repeat(known, count)]).astype(np.uint64)
@@ -277,14 +276,15 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return _sides(pairs, nodes, ["n", "own", "words"], _words_allow(percent))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share prefix tokens under the second and the third order, too, and reach the similarity.
+def _met(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs that share prefix tokens under the second and under the third order, too."""
+    return _sides(pairs, nodes, ["p2", "p3"], F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b"))
 
-    Tokens that one set alone holds are in no intersection.
-    """
-    met = F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")
+
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that reach the similarity. Tokens that one set alone holds are in no intersection."""
     both = F.size(F.array_intersect("shareda", "sharedb"))
-    return _sides(pairs, nodes, ["n", "p2", "p3", "shared"], met & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent))
+    return _sides(pairs, nodes, ["n", "shared"], both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
 
 
 def _paired(members: DataFrame, facts: DataFrame, percent: int, same: bool) -> DataFrame:
@@ -320,6 +320,8 @@ class _Join:
             size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
             buckets = max(parallelism(docs.sparkSession), int(size * 10 / 6 / BUCKET_BYTES) + 1)
         flush = max(FLUSH, min(10 * FLUSH, 16 * buckets))
+        # a task that runs again must fill its flushes with the same rows, also where they come from a shuffle
+        texts = texts.sortWithinPartitions("id", F.xxhash64("text"))
         # the tables and shuffles of early steps are let go as soon as the next step is written
         dealt = texts.mapInArrow(_deal(k, buckets, flush), ddl(DEALT)).repartition(buckets, "bucket")
         counted = dealt.groupBy("bucket").applyInArrow(_count, ddl(COUNTED)).repartition(buckets, "flush")
@@ -348,7 +350,7 @@ class _Join:
         star = star.filter((F.col("a") < F.col("b")) & _fits(percent)).select("a", "b")
         self.tried = scratch.save(close.union(star).distinct(), "pairs")
         left = scratch.save(_likely(self.tried, self.nodes, percent), "left")
-        self.links = scratch.save(_verified(left, self.nodes, percent), "links")
+        self.links = scratch.save(self._filtered(left, "met"), "links")
         comps = connected_components(self.links.union(self.again), scratch, "first")
 
         self.facts = self.nodes.select("node", "n", "own", "words")
@@ -358,11 +360,15 @@ class _Join:
         open_ = scratch.save(self.members.join(split, "token", "left_semi"), "open")
         across = scratch.save(_paired(open_, self.facts, percent, same=False).join(self.tried, ["a", "b"], "left_anti"), "across")
         if not across.isEmpty():
-            more = scratch.save(_verified(across, self.nodes, percent), "more")
+            more = scratch.save(self._filtered(across, "met-across"), "more")
             self.links = self.links.union(more)
             comps = connected_components(self.links.union(self.again), scratch, "second")
         self.comps = comps.withColumnRenamed("node", "rep")
 
+    def _filtered(self, pairs: DataFrame, name: str) -> DataFrame:
+        """What the other orders leave is written; only the sets that it names move."""
+        return _verified(self.scratch.save(_met(pairs, self.nodes), name), self.nodes, self.percent)
+
     def groups(self) -> DataFrame:
         of_class = self.classes.join(self.comps, "rep", "left").select(*CLASS, F.coalesce("comp", "rep").alias("_comp"))
         of_id = self.of_id.join(self.comps, "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("_again"))
@@ -374,7 +380,7 @@ class _Join:
     def all_links(self) -> DataFrame:
         """Links, those within components included."""
         within = self.scratch.save(_paired(self.members, self.facts, self.percent, same=True).join(self.tried, ["a", "b"], "left_anti"), "within")
-        return self.links.union(_verified(within, self.nodes, self.percent)).distinct()
+        return self.links.union(self._filtered(within, "met-within")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
@@ -382,10 +388,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Rows with a null id or without words are linked with nothing; a null id gives a null component. Rows that
     repeat an id are one document that links where one of its texts does. Texts of fewer than k words are one run.
-    Columns besides id and text are ignored; an empty table gives no rows. A long text takes about ten times its
-    size in one task. ``buckets`` deals out the tokens; by default it follows the bytes of text. Rows must come in
-    the same order when a task runs again, as from files. The result is a table in the shared folder; all others
-    that the join wrote are removed.
+    Columns besides id and text are ignored; an empty table gives no rows. Ids are whole numbers, or texts of such. A long text takes about ten times its
+    size in one task. ``buckets`` deals out the tokens; by default it follows the bytes of text, and no result depends on it. The
+    result is a table in the shared folder; all others that the join wrote are removed.
     """
     join = _Join(docs, id_col, text, k, percent, buckets)
     return join.scratch.last(join.groups())
