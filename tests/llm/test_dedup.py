@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import components, documents, lower, ordered, shingles, texts, without_repeats
 
@@ -50,6 +51,42 @@ def test_remove_repeats(spark, monkeypatch, run, chunk):
     assert ordered(substrings.remove_repeats(documents(spark)).collect()) == ordered(without_repeats(texts()))
 
 
+def mirrored(n=1024):
+    """Two words that differ everywhere, for which sums of letters times powers are equal modulo 2 ** 64 whatever the base."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    words = [f"w{i}" for i in range(34)]
+    rows = [(i, " ".join([long, *words]), "en") for i, long in enumerate(mirrored())]
+    assert [r["n_removed"] for r in substrings.remove_repeats(documents(spark, rows)).collect()] == [0, 0]
+    rows = [(i, long, "en") for i, long in enumerate(mirrored())] + [(7, " ".join(mirrored()), "en"), (8, " ".join(mirrored()[::-1]), "en")]
+    assert ordered(jaccard.jaccard_groups(documents(spark, rows)).collect()) == [(i, 1, i) for i in (0, 1, 7, 8)]
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "64"])
+def test_sets_whose_tokens_share_many_bits(spark, partitions):
+    """Two runs of five words whose hashes once agreed in all bits that were kept; results depend on no number of partitions."""
+    rows = [(1, "w28443 w676 w56957 w59597 w51642", "en"), (2, "w18197 w7336 w54111 w13751 w56008", "en"), *[(i, t, x) for i, t, x in texts() if i is not None and i < 300]]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert ordered(jaccard.jaccard_groups(documents(spark, rows).repartition(3)).collect()) == ordered(components(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tokens_travel_whole():
+    token = np.array([0, 1, (1 << 64) - 1, (1 << 40) + 5, 5], np.uint64)
+    owner = np.array([0, 65535, 7, 1, 2], np.uint16)
+    cells = jaccard.cut(jaccard.pack(token, owner), np.array([0, 2, 2, 5]))
+    back, own, sizes = jaccard.unpack(pa.chunked_array([cells]))
+    assert np.array_equal(back, token) and np.array_equal(own, owner) and sizes.tolist() == [2, 0, 3]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
 def test_words_in_chunks(monkeypatch, chunk):
     data = ["", "one", "two words", " x  yy\tzzz ", "ends", "starts", "é" * 9, " "]

@@ -112,6 +112,24 @@ def test_pieces(spark, tiny):
     assert pieces.encode_pieces(documents(spark, []), model).count() == 0
 
 
+def test_pieces_of_words_that_share_a_hash(spark, tiny, monkeypatch):
+    """Words are told apart by their bytes, whatever their hashes."""
+    from test_dedup import mirrored
+
+    model, _ = tiny
+    rows = [(i, f"x {long} y {long}z", "en") for i, long in enumerate(mirrored())]
+    back = lambda: ordered(pieces.decode_pieces(pieces.encode_pieces(documents(spark, rows), model, keep=["doc_id", "text"]), model).select("text", "decoded", "exact").collect())
+    assert back() == ordered((t, t, True) for _, t, _ in rows)
+    data = np.frombuffer(b"one two one three two", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12, 18]), np.array([3, 7, 11, 17, 21])
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(pieces, "hash_blocks", lambda block, number, at, length: np.zeros(len(at) - 1, np.uint64))
+        first, which = pieces.distinct_words(data, starts, ends)
+        found = [data[starts[first[w]] : ends[first[w]]].tobytes() for w in which]
+        assert found == [b"one", b"two", b"one", b"three", b"two"]
+
+
 def test_pieces_of_a_public_model(spark):
     if not os.path.exists(pieces.MODEL):
         pytest.skip("no vocabulary file")
