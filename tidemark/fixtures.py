@@ -19,7 +19,7 @@ PEER_A = """select uuid, 'file' as kind,
  case when k in (6, 12) then concat('moved/', p) when k = 7 then concat('moved/a/', p) else p end as path,
  case when k in (3, 4, 9, 15) then ha else h0 end as hash, case when k in (3, 4, 9, 15) then n + 2 else n end as size, t0 as created,
  case when k = 14 then t0 + 500 when k in (3, 4, 6, 7, 9, 12, 15) then t0 + 100 else t0 end as updated, 'device-a' as peer, false as deleted,
- case when k in (3, 4, 9) then h0 when k = 15 then hm end as prev, case when k in (6, 7, 12) then p end as prev_path from base where k <> 1"""
+ case when k in (3, 4, 9) then h0 when k = 15 then hm end as prev, case when k in (7, 12) or k = 6 and doc_id % 32 <> 6 then p end as prev_path from base where k <> 1"""
 
 PEER_B = """select case when k in (10, 11) then alt else uuid end as uuid, 'file' as kind,
  case when k = 7 then concat('moved/b/', p) else p end as path,

@@ -24,7 +24,7 @@ def join_path(*parts: Column) -> Column:
 
 
 def dirname(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1)
 
 
 def basename(path: Column) -> Column:
@@ -33,17 +33,22 @@ def basename(path: Column) -> Column:
 
 def stem(name: Column) -> Column:
     """A name without its extension; a dot in first place starts none."""
-    return F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
+    return F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?\z", 1)
 
 
 def suffix(name: Column) -> Column:
     """The extension with its dot, in the case given."""
-    return F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
+    return F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?\z", 2)
 
 
 def extension(path: Column) -> Column:
     """The lower-cased extension of the last part, without its dot."""
-    return F.lower(F.regexp_extract(path, r"(?:^|/)[^/]+\.([^./]*)$", 1))
+    return F.lower(F.regexp_extract(path, r"(?:^|/)[^/]+\.([^./]*)\z", 1))
+
+
+def sort_key(text: Column) -> Column:
+    """Orders texts by UTF-16 code units, as peers that exchange digests do; bytes of UTF-8 order characters beyond U+FFFF otherwise."""
+    return F.encode(text, "UTF-16BE")
 
 
 def is_inside(path: Column, directory: Column) -> Column:

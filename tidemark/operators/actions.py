@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import sort_key
+
 
 def plan_actions(current: DataFrame, target: DataFrame, me: str) -> DataFrame:
     """``uuid, type, kind, path, from_path, created``: one full outer join, each row giving at most two actions."""
@@ -32,12 +34,12 @@ def plan_actions(current: DataFrame, target: DataFrame, me: str) -> DataFrame:
 
 
 def sort_actions(actions: DataFrame) -> DataFrame:
-    return actions.orderBy("path", "type", "uuid")
+    return actions.orderBy(sort_key(F.col("path")), "type", sort_key(F.col("uuid")))
 
 
 def deepest_first(actions: DataFrame) -> DataFrame:
     """Deletes in an order in which a folder comes after all that it holds."""
-    return actions.filter("type = 'delete'").orderBy(F.desc(F.length("path")), "path")
+    return actions.filter("type = 'delete'").orderBy(F.desc(F.length("path")), sort_key(F.col("path")))
 
 
 def count_transfers(target: DataFrame, actions: DataFrame, current: DataFrame, remote: DataFrame) -> DataFrame:

@@ -117,7 +117,9 @@ def settle(pairs: DataFrame, edges: DataFrame, moves: DataFrame) -> DataFrame:
     one_moved = F.col("a_moved") != F.col("b_moved")
     mover = F.when(equal, F.col("side")).when(one_moved, F.when(F.col("a_moved"), "a").otherwise("b")).otherwise(newer)
     location = F.when(~equal & ~one_moved, "location")
-    return x.select("uuid", "a", "b", "side", F.coalesce("_clash", location).alias("conflict"), by_side("path", mover).alias("new_path"), by_side("prev_path", mover).alias("from_path"))
+    # a mover that does not say where it came from came from where the other side has the file
+    from_path = F.coalesce(by_side("prev_path", mover), F.when(~equal, F.when(mover == "a", F.col("b.path")).otherwise(F.col("a.path"))))
+    return x.select("uuid", "a", "b", "side", F.coalesce("_clash", location).alias("conflict"), by_side("path", mover).alias("new_path"), from_path.alias("from_path"))
 
 
 def merged_rows(settled: DataFrame) -> DataFrame:

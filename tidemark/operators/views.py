@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, dirname, in_control_dir
+from ..functions.paths import ancestors, dirname, in_control_dir, sort_key
 
 
 def live(entries: DataFrame) -> DataFrame:
@@ -58,5 +58,5 @@ def distinct_hashes(entries: DataFrame) -> DataFrame:
 
 
 def tree_order(files: DataFrame) -> DataFrame:
-    """Directories first, then by name."""
-    return files.orderBy(F.col("kind") == "file", F.substring_index("path", "/", -1))
+    """Directories first, then by name, then by path."""
+    return files.orderBy(F.col("kind") == "file", sort_key(F.substring_index("path", "/", -1)), sort_key(F.col("path")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .fixtures import Fixtures, with_tables
 from .functions import digests, display, paths
 from .operators import actions, ancestry, contents, edits, logset, merge, snapshot, textmerge, views
+from .operators.order import numbered
 from .plans.commit import commit
 from .plans.mesh import chain, sync_until_stable
 from .plans.sync import MARK, PeerState
@@ -272,7 +273,8 @@ def merge_entries(fx: Fixtures) -> DataFrame:
 
 
 @query(with_tables("base") + """select case when k in (11) then alt else uuid end as uuid, case k when 7 then 'location' when 9 then 'delete-edit' else 'content' end as kind, 'b' as winner,
- k in (4, 11) and p not like '%.bin' as is_text, k in (4, 11) as has_copy from base where k in (4, 7, 9, 11)""")
+ k in (4, 11) and p not like '%.bin' as is_text, k in (4, 11) as has_copy from base where k in (4, 7, 9, 11)
+ union all select uuid, 'location', 'a', false, false from base where doc_id % 32 = 6""")
 def merge_conflicts(fx: Fixtures) -> DataFrame:
     return merged(fx)[1].select("uuid", "kind", "winner", "is_text", F.col("copy").isNotNull().alias("has_copy"))
 
@@ -640,9 +642,9 @@ def scan_stamp(fx: Fixtures) -> DataFrame:
     return snapshot.stamp(fx.a, 1_700_000_000_500)
 
 
-@query(with_tables("log") + "select op, at_ms from log")
+@query(with_tables("log") + "select op, at_ms, row_number() over (order by at_ms, op) as place from log")
 def log_sorted(fx: Fixtures) -> DataFrame:
-    return logset.sort_rows(fx.log).select("op", "at_ms")
+    return numbered(logset.sort_rows(fx.log).select("op", "at_ms"))
 
 
 @query(with_tables("log") + "select op, at_ms from log order by at_ms desc, op desc limit 100")
@@ -650,19 +652,19 @@ def recent_activity(fx: Fixtures) -> DataFrame:
     return logset.recent(fx.log).select("op", "at_ms")
 
 
-@query(_PLAN + "select uuid, type, path from acts")
+@query(_PLAN + "select uuid, type, path, row_number() over (order by path, type, uuid) as place from acts")
 def actions_sorted(fx: Fixtures) -> DataFrame:
-    return actions.sort_actions(actions.plan_actions(merge.entry_rows(fx.a), merged(fx)[0], "device-a")).select("uuid", "type", "path")
+    return numbered(actions.sort_actions(actions.plan_actions(merge.entry_rows(fx.a), merged(fx)[0], "device-a")).select("uuid", "type", "path"))
 
 
-@query(_PLAN + "select uuid, path from acts where type = 'delete'")
+@query(_PLAN + "select uuid, path, row_number() over (order by length(path) desc, path) as place from acts where type = 'delete'")
 def deletes_deepest_first(fx: Fixtures) -> DataFrame:
-    return actions.deepest_first(actions.plan_actions(merge.entry_rows(fx.a), merged(fx)[0], "device-a")).select("uuid", "path")
+    return numbered(actions.deepest_first(actions.plan_actions(merge.entry_rows(fx.a), merged(fx)[0], "device-a")).select("uuid", "path"))
 
 
-@query(with_tables("base", "a") + "select uuid, path from a")
+@query(with_tables("base", "a") + "select uuid, path, row_number() over (order by kind = 'file', regexp_extract(path, '[^/]*$'), path) as place from a")
 def tree_order(fx: Fixtures) -> DataFrame:
-    return views.tree_order(fx.a).select("uuid", "path")
+    return numbered(views.tree_order(fx.a).select("uuid", "path"))
 
 
 # --- folders ---
