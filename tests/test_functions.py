@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,28 @@ def test_conflict_name(spark):
     assert one(spark, paths.conflict_name(F.col("p"), F.lit("device-b"), F.lit("77be01d90000")), p="docs/notes.md") == "docs/notes (conflict device-b 77be01d9).md"
 
 
+def test_names_with_line_feeds(spark):
+    p = F.col("p")
+    rows = spark.createDataFrame([("dir\nx/name.tXt",), ("a/b\n",), ("a/x.\n",)], "p string")
+    out = rows.select(paths.dirname(p), paths.basename(p), paths.stem(paths.basename(p)), paths.suffix(paths.basename(p)), paths.extension(p), paths.conflict_name(p, F.lit("b"), F.lit("77be01d90"))).collect()
+    assert [tuple(r) for r in out] == [
+        ("dir\nx", "name.tXt", "name", ".tXt", "txt", "dir\nx/name (conflict b 77be01d9).tXt"), ("a", "b\n", "b\n", "", "", "a/b\n (conflict b 77be01d9)"), ("a", "x.\n", "x", ".\n", "\n", "a/x (conflict b 77be01d9).\n")]
+
+
+def test_order_of_code_units(spark):
+    rows = spark.createDataFrame([("\ufffd",), ("😀",), ("a",)], "p string")
+    assert [r[0] for r in rows.orderBy(paths.sort_key(F.col("p"))).collect()] == ["a", "😀", "\ufffd"]
+    e = spark.createDataFrame([("\ufffd", "1"), ("😀", "2")], "p string, u string")
+    assert e.agg(digests.state_digest(F.col("p"), F.col("u"), F.col("u"))).first()[0] == hashlib.sha256(b"[2,1]").hexdigest()
+
+
+def test_control_characters_in_json(spark):
+    c = F.col("p")
+    path = "a\x1f\x0b\x01\n\\u000B é\x7f"
+    j = one(spark, digests.entry_json(F.lit("file"), c, F.lit(None).cast("string"), F.lit(1), F.lit(2), F.lit("u")), p=path)
+    assert j == '{"hash":null,"kind":"file","path":' + json.dumps(path, ensure_ascii=False) + ',"size":1,"updated":2,"uuid":"u"}'
+
+
 def test_xor(spark):
     ids = [hashlib.sha256(x).hexdigest() for x in (b"p", b"q", b"r")]
     rows = spark.createDataFrame([(i,) for i in ids], "op string")

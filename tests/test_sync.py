@@ -6,8 +6,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.merge import MergeOptions
 from tidemark.plans.commit import commit
-from tidemark.plans.sync import PeerState, SyncOptions, plan_sync, sync
+from tidemark.plans.mesh import chain, classes, converge, full, star
+from tidemark.plans.scratch import shared_dir
+from tidemark.plans.sync import PeerState, SyncOptions, arriving, plan_sync, sync
 from tidemark.schema import ENTRIES, LOG
 
 FILES = "path string, kind string, size long, mtime long, native string, content binary"
@@ -100,3 +103,80 @@ def test_texts_and_ids_of_stores_converge(spark):
     a, b, changed = sync(a, b, at_ms=9)
     assert changed and a.text == b.text == ("md", "txt") and a.store_id == b.store_id == "s1"
     assert sync(a, b)[2] is False
+
+
+def tables(spark):
+    """All folders under the session's folder for tables."""
+    import os
+
+    root = shared_dir(spark).removeprefix("file://")
+    return {os.path.join(d, x) for d, names, _ in os.walk(root) for x in names}
+
+
+def test_quiet_sync_writes_no_table(spark):
+    a, b = both(spark)
+    before = tables(spark)
+    c, d, changed = sync(a, b, at_ms=7000)
+    assert not changed and tables(spark) == before
+    assert c.entries is a.entries and d.log is b.log
+    assert [tuple(r) for r in c.marks.select("peer", "last_sync").collect()] == [("b", 7000)]
+    b.text = ("md", "zzz")
+    c, d, changed = sync(a, b, at_ms=8000)
+    assert changed and "zzz" in c.text and c.text == d.text and tables(spark) == before
+
+
+def test_only_what_is_written_moves(spark):
+    a, _ = commit(empty(spark, "a"), folder(spark, x_bin="one", y_bin="two", z_bin="three"), 1000, "b1")
+    b, _ = commit(empty(spark, "b"), folder(spark, w_bin="two"), 1000, "b1")
+    moved = {p: sorted(r["text"] for r in arriving(plan, acts, s, o).collect()) for plan in [plan_sync(a, b)] for p, acts, s, o in (("a", plan.actions_a, a, b), ("b", plan.actions_b, b, a))}
+    assert moved == {"a": [], "b": ["one", "three"]}  # 'two' is there under another name
+    c, d, _ = sync(a, b)
+    assert sorted(r["text"] for r in c.contents.collect()) == ["one", "three", "two"] == sorted(r["text"] for r in d.contents.collect())
+    assert paths(c) == paths(d)
+
+
+def test_held_bytes_stay(spark):
+    """A copy that is held on its peer is known to the other, but its bytes are not moved."""
+    a, b = both(spark)
+    a, _ = commit(a, folder(spark, n_md="left side\n"), 2000, "b2")
+    b, _ = commit(b, folder(spark, n_md="right\n"), 2500, "b3")
+    a, b, _ = sync(a, b, SyncOptions(merge=MergeOptions(held_at=1), auto_merge=False))
+    held = a.entries.filter("held is not null").first()
+    assert held["held"] == "a" and paths(a) == paths(b)
+    assert held["hash"] in {r["hash"] for r in a.contents.collect()} and held["hash"] not in {r["hash"] for r in b.contents.collect()}
+
+
+def test_tables_of_the_way_go(spark):
+    a, b = both(spark)
+    a, _ = commit(a, folder(spark, n_md="ONE\n", m_md="x"), 2000, "b2")
+    before = tables(spark)
+    c, d, _ = sync(a, b)
+    new = {t.split("/")[-1].rsplit("-", 1)[0] for t in tables(spark) - before if t.rsplit("/", 1)[0] == shared_dir(spark).removeprefix("file://")}
+    assert new == {"state-a", "state-b", "contents"}
+    c.release()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(c.tables.root + "/log").count()
+    assert len(paths(d)) == 2
+
+
+def test_classes_of_edges():
+    assert classes(chain(list("abcd"))) == [[("a", "b")], [("b", "c")], [("c", "d")]]
+    assert classes(star(list("abc"))) == [[("a", "b")], [("a", "c")]]
+    every = full(list("abcdef"))
+    groups = classes(every)
+    assert sorted(e for g in groups for e in g) == sorted(every) and len(groups) < len(every)
+    assert all(len({p for e in g for p in e}) == 2 * len(g) for g in groups)
+    at = {e: i for i, g in enumerate(groups) for e in g}
+    assert all(at[x] < at[y] for i, x in enumerate(every) for y in every[i + 1 :] if set(x) & set(y))
+    assert classes([("a", "b"), ("c", "d"), ("a", "b")]) == [[("a", "b"), ("c", "d")], [("a", "b")]]
+
+
+def test_edges_at_once_are_as_one_by_one(spark):
+    peers = {}
+    for i, n in enumerate("abcd"):
+        peers[n], _ = commit(empty(spark, n), folder(spark, **{f"{n}_md": n, "same_md": f"text {i % 2}\n"}), 1000 + i, f"b{i}")
+    edges, plain = [("a", "b"), ("c", "d"), ("b", "c")], SyncOptions(auto_merge=False)
+    one, _, _ = converge(peers, edges, most=1, at_once=1, options=plain, conflicts=False)
+    two, rounds, conflicts = converge(peers, edges, most=1, at_once=4, options=plain)
+    assert rounds == [3] and {n: p.digest() for n, p in one.items()} == {n: p.digest() for n, p in two.items()}
+    assert conflicts.filter("kind = 'content'").count() >= 1 and paths(peers["a"])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import Scratch
+from ..plans.scratch import within
 
 
 def version_edges(*sources: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def climb(starts: DataFrame, edges: DataFrame) -> DataFrame:
     takes log2(n) rounds, n rows of jumps each and n rows a start, not all pairs of versions. Cycles end as nothing
     new is reached.
     """
-    scratch = Scratch(starts.sparkSession, "climb")
+    scratch = within(starts.sparkSession, "climb")
     keys = [c for c in starts.columns if c != "node"]
     aimed = "target" in keys
     near = scratch.save(starts.distinct().withColumns({"depth": F.lit(0), "path": F.lit("")}), "near-0")

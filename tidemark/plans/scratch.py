@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", []
+        #: Others that go with this one.
+        self.parts: list[Scratch] = []
 
     def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -42,6 +47,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
             self.names.remove(name)
 
+    def clear(self) -> None:
+        """Remove all tables, and the folder."""
+        for part in self.parts:
+            part.clear()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def last(self, df: DataFrame, name: str = "result") -> DataFrame:
         """Save what a run returns and remove all other tables of the run."""
         out = self.save(df, name)
@@ -49,6 +61,39 @@ class Scratch:
         return out
 
 
+#: The runs that are under way in a thread, the innermost last; tables of ``keep`` belong to it.
+_under_way = threading.local()
+
+
+def _runs() -> list[Scratch]:
+    if not hasattr(_under_way, "runs"):
+        _under_way.runs = []
+    return _under_way.runs
+
+
+@contextmanager
+def run(spark: SparkSession, tag: str, leave: bool = False) -> Iterator[Scratch]:
+    """Tables that ``keep`` writes within are this run's, and go at its end, unless ``leave`` hands them to the caller."""
+    scratch = Scratch(spark, tag)
+    _runs().append(scratch)
+    try:
+        yield scratch
+    finally:
+        _runs().remove(scratch)
+        if not leave:
+            scratch.clear()
+
+
+def within(spark: SparkSession, tag: str) -> Scratch:
+    """Tables of a step that tidies up after itself; what it leaves goes with the run that it belongs to."""
+    scratch = Scratch(spark, tag)
+    if _runs():
+        _runs()[-1].parts.append(scratch)
+    return scratch
+
+
 def keep(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a DataFrame and read it back."""
+    """Write a DataFrame and read it back; the table stays as long as the run that it belongs to."""
+    if _runs():
+        return _runs()[-1].save(df, f"{name}-{uuid.uuid4().hex}")
     return Scratch(df.sparkSession, name).save(df, "t")

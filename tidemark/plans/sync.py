@@ -17,12 +17,12 @@ from ..operators.merge import MergeOptions, coldest, entry_rows, merge_entries
 from ..operators.snapshot import adopt
 from ..operators.textmerge import merge_conflicts, settle_texts, text_rows
 from ..schema import TEXT_EXTENSIONS
-from .scratch import keep
+from .scratch import Scratch, keep, run
 
 
 @dataclass
 class PeerState:
-    """What one peer holds: entries and log, and where they are kept, its open segment, texts by hash, marks and snapshot.
+    """What one peer holds: entries and log, its open segment, texts by hash, marks and snapshot.
 
     contents and bases are ``hash, text`` (bases also ``mtime``); marks ``peer, last_sync, segment, seq, digest``.
     """
@@ -37,6 +37,13 @@ class PeerState:
     snapshot: DataFrame | None = None
     text: tuple[str, ...] = TEXT_EXTENSIONS
     store_id: str = ""
+    #: The tables of entries, log and marks that a sync wrote for this state alone.
+    tables: Scratch | None = None
+
+    def release(self) -> None:
+        """Remove this state's own tables, once a later state has taken its place. Contents stay: later states go on with them."""
+        if self.tables is not None:
+            self.tables.clear()
 
     def __post_init__(self) -> None:
         if "segment" not in self.log.columns:
@@ -87,6 +94,8 @@ class SyncPlan:
     merged: DataFrame | None = None
     text: tuple[str, ...] = TEXT_EXTENSIONS
     store_id: str = ""
+    #: Whether digests alone showed that both sides hold the same.
+    quiet: bool = False
 
     def transfers(self, a: PeerState, b: PeerState) -> tuple[DataFrame, DataFrame]:
         return count_transfers(self.entries, self.actions_a, a.entries, b.entries), count_transfers(self.entries, self.actions_b, b.entries, a.entries)
@@ -123,11 +132,17 @@ def _merge(a: PeerState, b: PeerState, history: tuple[DataFrame, DataFrame], opt
 
 
 def plan_sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, at_ms: int = 0, batch: str = "sync") -> SyncPlan:
-    """What a sync would do. Histories are read only where entries alone cannot answer, closed segments only where a version would lose its content."""
+    """What a sync would do. Histories are read only where entries alone cannot answer, closed segments only where a version would lose its content.
+
+    Two digests on each side show whether there is anything to do at all; if not, nothing is read further and no table is written.
+    """
     options = options or SyncOptions()
     text, store_id = tuple(sorted({*a.text, *b.text})), min(a.store_id, b.store_id)
     same_config = (text, store_id) == (tuple(sorted(a.text)), a.store_id) == (tuple(sorted(b.text)), b.store_id)
     quiet = a.digest() == b.digest()
+    if quiet and a.log_digest() == b.log_digest():
+        nothing, acts, rows = conflicts_of(a.entries.limit(0)), plan_actions(entry_rows(a.entries.limit(0)), entry_rows(a.entries.limit(0)), a.peer), a.log.limit(0)
+        return SyncPlan(entry_rows(a.entries), nothing, acts, acts, rows, rows, not same_config, None, text, store_id, quiet=True)
     none = (a.log.limit(0), b.log.limit(0))
     history = none if quiet or not needs_log(a.entries, b.entries).first()["needed"] else _history(a, b, None)
     merging = replace(options.merge, text=text)
@@ -152,34 +167,72 @@ def plan_sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, at
     plus = lambda log: log if rows is None else log.unionByName(rows, allowMissingColumns=True)
     return SyncPlan(
         target, conflicts, plan_actions(entry_rows(a.entries), target, a.peer), plan_actions(entry_rows(b.entries), target, b.peer),
-        missing_rows(a.log, plus(b.log)), missing_rows(b.log, plus(a.log)), not quiet or not same_config or a.log_digest() != b.log_digest(), merged, text, store_id)
+        missing_rows(a.log, plus(b.log)), missing_rows(b.log, plus(a.log)), True, merged, text, store_id)
+
+
+def conflicts_of(none: DataFrame) -> DataFrame:
+    """No conflicts, with the columns of conflicts."""
+    return none.select(*(F.lit(None).cast(t).alias(c) for c, t in (
+        ("uuid", "string"), ("kind", "string"), ("path", "string"), ("winner", "string"), ("is_text", "boolean"), ("copy", "string"),
+        ("left_hash", "string"), ("right_hash", "string"), ("larger", "bigint"), ("newest", "bigint"), ("lost_at", "bigint"))))
+
+
+def here(entries: DataFrame) -> DataFrame:
+    """Hashes of the files whose bytes a side has: live ones that are not held on another peer."""
+    full = entry_rows(entries)
+    return full.filter("not deleted and kind = 'file' and hash is not null and held is null").select("hash").distinct()
+
+
+def arriving(plan: SyncPlan, actions: DataFrame, to: PeerState, other: PeerState) -> DataFrame:
+    """``hash, text, mtime`` that one side lacks for its planned writes: merged texts, else what the other side has. Nothing else moves.
+
+    Planned writes leave out what is held elsewhere, so held bytes stay where they are.
+    """
+    wanted = actions.filter("type = 'write'").select("uuid").join(plan.entries.select("uuid", "hash"), "uuid").filter("hash is not null").select("hash").distinct()
+    wanted = wanted.join(here(to.entries), "hash", "left_anti")
+    source = other.texts("contents").join(here(other.entries), "hash", "left_semi").select("hash", "text")
+    if plan.merged is not None:
+        own = plan.merged.select("hash", "text")
+        source = own.unionByName(source.join(own.select("hash"), "hash", "left_anti"))
+    return source.join(wanted, "hash", "left_semi").dropDuplicates(["hash"]).select("hash", "text", F.lit(None).cast("bigint").alias("mtime"))
 
 
 def close(a: PeerState, b: PeerState, at_ms: int) -> tuple[PeerState, PeerState]:
     """Both peers with marks of how far they have read each other's open segment."""
-    mark = lambda p, other: replace(p, marks=keep(upsert_mark(p.peer_marks(), other.peer, at_ms, open_mark(other.log, other.segment)), "marks"))
-    return mark(a, b), mark(b, a)
+    spark = a.entries.sparkSession
+    mark = lambda p, other: upsert_mark(p.peer_marks(), other.peer, at_ms, open_mark(other.log, other.segment))
+    small = lambda marks: spark.createDataFrame(marks.collect(), MARK)  # noqa: E731  a row a peer that this one has met
+    return replace(a, marks=small(mark(a, b))), replace(b, marks=small(mark(b, a)))
 
 
-def sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, approve: Callable[[SyncPlan], bool] | None = None, at_ms: int = 0, batch: str = "sync") -> tuple[PeerState, PeerState, bool]:
+def sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, approve: Callable[[SyncPlan], bool] | None = None, at_ms: int = 0, batch: str = "sync", on_conflicts: Callable[[DataFrame], None] | None = None) -> tuple[PeerState, PeerState, bool]:
     """Both peers afterwards, and whether anything changed; a refused plan changes nothing.
 
-    Contents come first, then logs, then entries and marks: what is declared is never ahead of what is there.
+    Contents come first, then logs, then entries and marks: what is declared is never ahead of what is there. A side's
+    contents are those that it had and what arrives, which is appended; what it has already is not read. Tables
+    of the way there are removed; those of a state belong to it (``PeerState.release``). ``on_conflicts`` is given the
+    conflicts of an approved plan while its tables are there.
     """
     if a.peer == b.peer:
         return a, b, False
-    plan = plan_sync(a, b, options, at_ms, batch)
-    if not plan.changed:
-        return *close(a, b, at_ms), False
-    if approve is not None and not approve(plan):
-        return a, b, False
-    texts = [x.select("hash", "text") for x in (a.contents, b.contents, plan.merged) if x is not None]
-    contents = keep(reduce(lambda x, y: x.union(y), texts).dropDuplicates(["hash"]), "contents") if texts else None
-
-    def after(p: PeerState, rows: DataFrame) -> PeerState:
-        log = keep(append_rows(p.log, rows, p.segment), "log")
-        held = [c for c in ("native", "mtime") if c in p.entries.columns]
-        entries = keep(adopt(plan.entries, p.entries), "adopted") if len(held) == 2 else plan.entries
-        return replace(p, entries=entries, log=log, contents=contents, text=plan.text, store_id=plan.store_id)
-
-    return *close(after(a, plan.rows_for_a), after(b, plan.rows_for_b), at_ms), True
+    spark = a.entries.sparkSession
+    with run(spark, "sync"):
+        plan = plan_sync(a, b, options, at_ms, batch)
+        if plan.quiet:
+            return *close(replace(a, text=plan.text, store_id=plan.store_id), replace(b, text=plan.text, store_id=plan.store_id), at_ms), plan.changed
+        if approve is not None and not approve(plan):
+            return a, b, False
+        if on_conflicts is not None:
+            on_conflicts(plan.conflicts)
+        known = a.contents is not None or b.contents is not None
+        moved = [Scratch(spark, "contents").save(arriving(plan, acts, p, other), "arrived") if known else None for p, other, acts in ((a, b, plan.actions_a), (b, a, plan.actions_b))]
+
+        def after(p: PeerState, rows: DataFrame, new: DataFrame | None) -> PeerState:
+            tables = Scratch(spark, f"state-{p.peer}")
+            log = tables.save(append_rows(p.log, rows, p.segment), "log")
+            held = [c for c in ("native", "mtime") if c in p.entries.columns]
+            entries = tables.save(adopt(plan.entries, p.entries) if len(held) == 2 else plan.entries, "entries")
+            contents = p.contents if new is None else new.select("hash", "text") if p.contents is None else p.contents.select("hash", "text").unionByName(new.select("hash", "text"))
+            return replace(p, entries=entries, log=log, contents=contents, text=plan.text, store_id=plan.store_id, tables=tables)
+
+        return *close(after(a, plan.rows_for_a, moved[0]), after(b, plan.rows_for_b, moved[1]), at_ms), True

@@ -13,8 +13,8 @@ from .functions import digests, display, paths
 from .operators import actions, ancestry, contents, edits, logset, merge, snapshot, textmerge, views
 from .operators.order import numbered
 from .plans.commit import commit
-from .plans.mesh import chain, sync_until_stable
-from .plans.sync import MARK, PeerState
+from .plans.mesh import chain, converge, sync_until_stable
+from .plans.sync import MARK, PeerState, SyncOptions, arriving, plan_sync, sync
 from .schema import BASE_CAP, ROTATE_AT
 from .sources.feed import external_changes
 from .sources.files import encode_entries, encode_rows, list_dir, stat
@@ -591,6 +591,48 @@ def mesh_converge(fx: Fixtures) -> DataFrame:
     return fx.spark.createDataFrame([(n, p.digest()) for n, p in peers.items()], "peer string, state string")
 
 
+def _with_texts(fx: Fixtures) -> tuple[PeerState, PeerState]:
+    """Both peers with the texts of all that they have."""
+    log = logset.with_op(fx.log_ab.withColumns({"peer": F.lit("device-c"), "batch": F.lit("b"), "prev_path": F.lit(None).cast("string")}))
+    docs = fx.table("documents").filter("text is not null")
+    texts = docs.select(F.explode(F.array("text", *(F.concat("text", F.lit(x)) for x in ("#A", "#B", "#M")))).alias("text")).select(F.sha2("text", 256).alias("hash"), "text")
+    of = lambda e: texts.join(e.filter("not deleted").select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+    a, b = merge.entry_rows(fx.a), merge.entry_rows(fx.b)
+    return PeerState("device-a", a, log, contents=of(a)), PeerState("device-b", b, log, contents=of(b))
+
+
+_ARRIVING = EXPECTED + ", a as (" + with_tables("a").removeprefix("with a as (").rstrip().removesuffix(")") + "), b as (" + with_tables("b").removeprefix("with b as (").rstrip().removesuffix(")") + ")\n"
+_SIDE = """select '{0}' as side, hash from (select distinct t.hash from t left join {1} x on x.uuid = t.uuid where not t.deleted and (x.uuid is null or x.deleted or x.hash is distinct from t.hash)
+ and t.hash not in (select hash from {1} where not deleted and hash is not null) and t.hash in (select hash from {2} where not deleted and hash is not null))"""
+
+
+@query(_ARRIVING + _SIDE.format("device-a", "a", "b") + " union all " + _SIDE.format("device-b", "b", "a"))
+def transferred_contents(fx: Fixtures) -> DataFrame:
+    """What a sync appends to the contents of each side: what its planned writes need and it lacks."""
+    a, b = _with_texts(fx)
+    plan = plan_sync(a, b, SyncOptions(auto_merge=False))
+    of = lambda acts, p, other: arriving(plan, acts, p, other).select(F.lit(p.peer).alias("side"), "hash")
+    return of(plan.actions_a, a, b).unionByName(of(plan.actions_b, b, a))
+
+
+@query(with_tables("base", "a") + "select peer, last_sync, false as changed from (select unnest(['device-a', 'device-z']) as peer), (select 5000 as last_sync)")
+def quiet_sync(fx: Fixtures) -> DataFrame:
+    """Two peers that hold the same: digests say so, and only their marks are new."""
+    log = logset.with_op(fx.log_ab.withColumns({"peer": F.lit("device-c"), "batch": F.lit("b"), "prev_path": F.lit(None).cast("string")}))
+    a, b = (PeerState(n, merge.entry_rows(fx.a), log) for n in ("device-a", "device-z"))
+    a, b, changed = sync(a, b, at_ms=5000)
+    return a.peer_marks().unionByName(b.peer_marks()).select("peer", "last_sync", F.lit(changed).alias("changed"))
+
+
+@query(with_tables("base") + """select 1 as round, case when k in (11) then alt else uuid end as uuid, case when k = 7 then 'location' when k = 9 then 'delete-edit' when doc_id % 32 = 6 then 'location' else 'content' end as kind,
+ case when doc_id % 32 = 6 then 'a' else 'b' end as winner from base where k in (4, 7, 9, 11) or doc_id % 32 = 6""")
+def mesh_conflicts(fx: Fixtures) -> DataFrame:
+    """All conflicts that the edges of a mesh meet until it is stable."""
+    log = logset.with_op(fx.log_ab.withColumns({"peer": F.lit("device-c"), "batch": F.lit("b"), "prev_path": F.lit(None).cast("string")}))
+    peers = {n: PeerState(n, merge.entry_rows(e), log) for n, e in (("device-a", fx.a), ("device-b", fx.b))}
+    return converge(peers, chain(list(peers)))[2].select("round", "uuid", "kind", "winner")
+
+
 # --- commits, marks and order ---
 
 
