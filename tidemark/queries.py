@@ -13,9 +13,11 @@ from .functions import digests, display, paths
 from .operators import actions, ancestry, contents, edits, logset, merge, snapshot, textmerge, views
 from .operators.order import numbered
 from .plans.commit import commit
+from .plans.scratch import within
 from .plans.mesh import chain, converge, sync_until_stable
 from .plans.sync import MARK, PeerState, SyncOptions, arriving, plan_sync, sync
 from .schema import BASE_CAP, ROTATE_AT
+from .sources.adapter import range_digests, register_folders, tree_digests, walk_store, write_files
 from .sources.feed import external_changes
 from .sources.files import encode_entries, encode_rows, list_dir, stat
 
@@ -760,3 +762,47 @@ def folder_edits(fx: Fixtures) -> DataFrame:
  || case when prev is null then '' else ',"prev":"' || prev || '"' end || case when prev_path is null then '' else ',"prevPath":"' || prev_path || '"' end || '}' as value from a""")
 def entry_encoding(fx: Fixtures) -> DataFrame:
     return encode_entries(fx.a).select("uuid", "value")
+
+
+# --- stores by adapters ---
+
+_TEXTS = """with d as (select source || '/' || lang || '.txt' as path, doc_id, text from documents where text is not null and source is not null and lang is not null),
+ f as (select path, hex(encode(string_agg(text, '' order by doc_id))) as x, cast(sum(octet_length(encode(text))) as bigint) as size from d group by path)
+"""
+
+
+def _stored(fx: Fixtures) -> str:
+    """A folder with a file for each source and language, all its texts in order; written through the adapter."""
+    docs = fx.table("documents").filter("text is not null and source is not null and lang is not null")
+    parts = docs.select(F.concat("source", F.lit("/"), "lang", F.lit(".txt")).alias("path"), F.col("doc_id").alias("start"), F.encode("text", "UTF-8").alias("content"))
+    folder = within(fx.spark, "folder").root
+    register_folders(fx.spark)
+    write_files(parts, "folder", folder)
+    return folder
+
+
+@query(_TEXTS + """, e as (select path, 'file' as kind, size from f union all select distinct split_part(path, '/', 1), 'directory', 0 from f)
+select path, kind, size, row_number() over (order by path) as place from e""")
+def walk_order(fx: Fixtures) -> DataFrame:
+    """What was written, listed with its directories and in order."""
+    return numbered(walk_store(fx.spark, "folder", _stored(fx), directories=True).select("path", "kind", "size"))
+
+
+_RANGE = 65_536
+
+
+@query(_TEXTS + f"""select path, i * {_RANGE} as start, least(size, (i + 1) * {_RANGE}) as "end", sha256(unhex(substr(x, cast(2 * i * {_RANGE} + 1 as bigint), {2 * _RANGE}))) as digest
+from (select path, x, size, unnest(range(0, greatest(1, cast((size + {_RANGE - 1}) // {_RANGE} as bigint)))) as i from f)""")
+def file_ranges(fx: Fixtures) -> DataFrame:
+    """Ranges of files, each read and hashed by a task of its own."""
+    found = fx.spark.read.format("folder").option("content", "ranges").option("size", str(_RANGE)).load(_stored(fx))
+    return range_digests(found, _RANGE)
+
+
+@query(_TEXTS + f""", r as (select path, size, i, sha256(unhex(substr(x, cast(2 * i * {_RANGE} + 1 as bigint), {2 * _RANGE}))) as digest
+ from (select path, x, size, unnest(range(0, greatest(1, cast((size + {_RANGE - 1}) // {_RANGE} as bigint)))) as i from f))
+select path, any_value(size) as size, sha256(string_agg(digest, '' order by i)) as digest from r group by path""")
+def file_trees(fx: Fixtures) -> DataFrame:
+    """One digest a file from those of its ranges."""
+    found = fx.spark.read.format("folder").option("content", "ranges").option("size", str(_RANGE)).load(_stored(fx))
+    return tree_digests(range_digests(found, _RANGE))
