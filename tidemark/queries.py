@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .fixtures import Fixtures, with_tables
 from .functions import digests, display, paths
 from .operators import actions, ancestry, contents, edits, logset, merge, snapshot, textmerge, views
+from .operators.merkle import state_difference as differing_entries
+from .operators.merkle import store_state
 from .operators.order import numbered
 from .plans.commit import commit
 from .plans.scratch import within
@@ -764,6 +766,15 @@ def entry_encoding(fx: Fixtures) -> DataFrame:
     return encode_entries(fx.a).select("uuid", "value")
 
 
+@query(with_tables("base", "a", "b") + """, x as (select * from a where not deleted), y as (select * from b where not deleted)
+select coalesce(x.uuid, y.uuid) as uuid, case when y.uuid is null then 'only_a' when x.uuid is null then 'only_b' else 'differs' end as state, x.path as path_a, y.path as path_b from x full outer join y on x.uuid = y.uuid
+where x.uuid is null or y.uuid is null or x.path <> y.path or x.hash is distinct from y.hash or x.size <> y.size or x.updated <> y.updated or x.kind <> y.kind""")
+def state_difference(fx: Fixtures) -> DataFrame:
+    """Two states compared by their trees, from the root down to the entries that differ."""
+    a, b = (store_state(e, within(fx.spark, "state").root) for e in (fx.a, fx.b))
+    return differing_entries(a, b)
+
+
 # --- stores by adapters ---
 
 _TEXTS = """with d as (select source || '/' || lang || '.txt' as path, doc_id, text from documents where text is not null and source is not null and lang is not null),
