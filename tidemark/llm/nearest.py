@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, parallelism
 
 LINKS, BREADTH_BUILD, BREADTH_SEARCH = 12, 64, 96
+#: Blocks of queries that one task takes through a shard.
+BLOCKS = 8
 SHARD_ROWS = (4000, 200_000)
 
 
@@ -156,18 +158,21 @@ def _build_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search_shard(k: int, breadth: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of queries against one shard, whose graph is put together once."""
+
+    def run(index: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
-        for r in pdf.itertuples(index=False):
+        for r in index.itertuples(index=False):
             n = int(r.n)
             vectors = np.frombuffer(r.vectors, np.float64).reshape(n, -1)
             tables = [np.frombuffer(t, np.int32).reshape(n, -1) for t in r.tables]
             g = Graph(unit(vectors), np.frombuffer(r.levels, np.int32), tables, int(r.entry))
-            queries = np.frombuffer(r.query_vectors, np.float64).reshape(-1, vectors.shape[1])
-            for qid, q, u in zip(np.frombuffer(r.query_ids, np.int64).tolist(), queries, unit(queries), strict=True):
-                hit = g.search(u, k + 1, breadth)
-                for i, score in zip(hit, cosine(q, vectors[hit]), strict=True):
-                    out += [(qid, int(m), float(score)) for m in r.members[i] if m != qid]
+            for block in blocks.itertuples(index=False):
+                queries = np.frombuffer(block.query_vectors, np.float64).reshape(-1, vectors.shape[1])
+                for qid, q, u in zip(np.frombuffer(block.query_ids, np.int64).tolist(), queries, unit(queries), strict=True):
+                    hit = g.search(u, k + 1, breadth)
+                    for i, score in zip(hit, cosine(q, vectors[hit]), strict=True):
+                        out += [(qid, int(m), float(score)) for m in r.members[i] if m != qid]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
@@ -182,7 +187,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
 
     Ties go to the smaller id. Rows with a null id, a null, empty or zero vector or one with null or
     non-finite components take no part. Vectors are compared with those of their own size. Rows that repeat
-    count once. Other columns are ignored; an empty table gives no rows. ``shard_rows`` and ``block_rows`` bound what a
+    count once; of several vectors under one id the smallest is the query's, and each is a candidate. Other columns are ignored; an empty table gives no rows. ``shard_rows`` and ``block_rows`` bound what a
     task holds; each block of queries meets each shard. By default there are two shards for each task that runs at once,
     of ``SHARD_ROWS`` at least and at most, so that a large table has few large graphs rather than many small ones.
     """
@@ -202,10 +207,12 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
     classes = ranked.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("members")).select(F.col("members")[0].alias("id"), "members", "vector", F.size("vector").alias("dim"))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartitionByRange(shards, "dim", "shard")
     index = scratch.save(dealt.groupBy("dim", "shard").applyInPandas(_build_shard, INDEX), "index")
-    asked = rows.filter("q").select("id", "dim", "vector").dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = rows.filter("q").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, query_ids binary, query_vectors binary")
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(shards * blocks, "dim", "shard")
-    met = sent.join(index, ["dim", "shard"])
-    found = met.groupBy("dim", "shard", "block").applyInPandas(_search_shard(k, breadth), "query_id long, vec_id long, score double")
+    # a shard goes to as many tasks as there are parts, each of which puts it together once for its blocks
+    parts, key = -(-blocks // BLOCKS), ["dim", "shard", "part"]
+    sent = packed.withColumn("part", F.col("block") % parts).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    graphs = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = graphs.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(_search_shard(k, breadth), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scratch.last(found.distinct().withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
