@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .fixtures import Fixtures, with_tables
 from .functions import digests, display, paths
 from .operators import actions, ancestry, contents, edits, logset, merge, snapshot, textmerge, views
+from .operators.exchange import exchanged_rows
 from .operators.merkle import state_difference as differing_entries
 from .operators.merkle import store_state
 from .operators.order import numbered
@@ -775,6 +776,16 @@ def state_difference(fx: Fixtures) -> DataFrame:
     return differing_entries(a, b)
 
 
+@query(with_tables("log") + "select 'a' as lacks, op, uuid from log where event_id % 997 = 1 union all select 'b', op, uuid from log where event_id % 499 = 2 and event_id % 997 <> 1")
+def log_exchange(fx: Fixtures) -> DataFrame:
+    """What two logs lack of each other: told by sketches of one size whatever theirs is, and by joins where too much differs."""
+    log = fx.log
+    a, b = log.filter("event_id % 997 <> 1"), log.filter("event_id % 499 <> 2 or event_id % 997 = 1")
+    for_a, for_b, _ = exchanged_rows(a, b)
+    mark = lambda rows, side: rows.select(F.lit(side).alias("lacks"), "op", "uuid")
+    return mark(for_a, "a").unionByName(mark(for_b, "b"))
+
+
 # --- stores by adapters ---
 
 _TEXTS = """with d as (select source || '/' || lang || '.txt' as path, doc_id, text from documents where text is not null and source is not null and lang is not null),
