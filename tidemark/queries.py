@@ -15,12 +15,13 @@ from .operators.exchange import exchanged_rows
 from .operators.merkle import state_difference as differing_entries
 from .operators.merkle import store_state
 from .operators.order import numbered
+from .plans.apply import apply_plan
 from .plans.commit import commit
 from .plans.scratch import within
 from .plans.mesh import chain, converge, sync_until_stable
 from .plans.sync import MARK, PeerState, SyncOptions, arriving, plan_sync, sync
 from .schema import BASE_CAP, ROTATE_AT
-from .sources.adapter import range_digests, register_folders, tree_digests, walk_store, write_files
+from .sources.adapter import FolderAdapter, file_digests, range_digests, register_folders, tree_digests, walk_store, write_files
 from .sources.feed import external_changes
 from .sources.files import encode_entries, encode_rows, list_dir, stat
 
@@ -828,3 +829,19 @@ def file_trees(fx: Fixtures) -> DataFrame:
     """One digest a file from those of its ranges."""
     found = fx.spark.read.format("folder").option("content", "ranges").option("size", str(_RANGE)).load(_stored(fx))
     return tree_digests(range_digests(found, _RANGE))
+
+
+@query(EXPECTED + "select path, size, hash from t where not deleted")
+def applied_folder(fx: Fixtures) -> DataFrame:
+    """A folder of all files of one peer, brought to what the merge with another leads to, as it is found afterwards."""
+    a, _ = _with_texts(fx)
+    target = merged(fx)[0]
+    docs = fx.table("documents").filter("text is not null")
+    texts = docs.select(F.explode(F.array("text", *(F.concat("text", F.lit(x)) for x in ("#A", "#B", "#M")))).alias("text")).select(F.sha2("text", 256).alias("hash"), F.encode("text", "UTF-8").alias("content"))
+    folder = within(fx.spark, "applied").root
+    adapter = FolderAdapter(folder)
+    register_folders(fx.spark)
+    files = a.entries.filter("not deleted").select("path", "hash").join(texts.dropDuplicates(["hash"]), "hash")
+    write_files(files.select("path", F.lit(0).cast("bigint").alias("start"), "content"), "folder", folder)
+    apply_plan(adapter, target, actions.plan_actions(a.entries, target, "device-a"), a.entries, texts)
+    return file_digests(walk_store(fx.spark, "folder", folder).select("path", "size"), adapter)
