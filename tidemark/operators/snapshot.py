@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import op_id
+from ..plans.scratch import keep
 
 
 def stamp(entries: DataFrame, now_ms: int) -> DataFrame:
@@ -13,21 +17,61 @@ def stamp(entries: DataFrame, now_ms: int) -> DataFrame:
     return entries.agg(F.greatest(F.lit(now_ms).cast("bigint"), F.coalesce(F.max("updated") + 1, F.lit(0))).alias("at_ms"))
 
 
+#: What a run of renames does to a path that it touches: whether a file stands there at the end, which path that file had
+#: at the run's beginning, and whether the run had left that path alone until then, so that earlier runs say where it came from.
+RUN = "store string, part int, path string, there boolean, was string, through boolean"
+
+
+def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Folds a partition's renames, sorted by store and seq, to a run for each store."""
+    store, part, there, touched = None, 0, {}, {}
+
+    def rows() -> pd.DataFrame:
+        held = [(store, part, p, p in there, *there.get(p, (None, False))) for p in touched]
+        return pd.DataFrame(held, columns=["store", "part", "path", "there", "was", "through"])
+
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if r.store != store:
+                if touched:
+                    yield rows()
+                store, part, there, touched = r.store, r.part, {}, {}
+            first = there[r.from_path] if r.from_path in there else (r.from_path, r.from_path not in touched)
+            for p in (r.from_path, r.to_path):
+                there.pop(p, None)
+                touched[p] = True
+            there[r.to_path] = first
+    if touched:
+        yield rows()
+
+
+def _compose(runs: DataFrame) -> DataFrame:
+    """Neighbouring runs of a store, the even and the odd one, as one."""
+    pair = runs.withColumn("pair", F.shiftright("part", 1))
+    late, early = pair.filter("part % 2 = 1"), pair.filter("part % 2 = 0")
+    before = early.select("store", "pair", F.col("path").alias("was"), F.struct("there", F.col("was").alias("was"), "through").alias("e"))
+    x = late.select("store", "pair", "path", "there", "was", "through").join(before, ["store", "pair", "was"], "left")
+    asked = F.col("there") & F.col("through") & F.col("e").isNotNull()
+    later = x.select(
+        "store", F.col("pair").alias("part"), "path", "there", F.when(asked & F.col("e.there"), F.col("e.was")).otherwise(F.col("was")).alias("was"),
+        F.when(asked, F.col("e.there") & F.col("e.through")).otherwise(F.col("through")).alias("through"))
+    kept = early.join(late.select("store", "pair", "path"), ["store", "pair", "path"], "left_anti")
+    return later.unionByName(kept.select("store", F.col("pair").alias("part"), "path", "there", "was", "through"))
+
+
 def collapse_renames(renames: DataFrame) -> DataFrame:
     """``path, origin`` of recorded renames in order of seq: chains lead to their first path, round trips cancel out.
 
-    A chain is followed by a fold over the store's ordered list, which holds only renames since the last scan.
+    What a run of renames does is a partial map, and maps of neighbouring runs compose: partitions of the sorted list are
+    folded apart, and log2 of their number rounds of joins make them one, so a store's list may be of any length.
     """
-    ordered = renames.groupBy("store").agg(F.sort_array(F.collect_list(F.struct("seq", "from_path", "to_path"))).alias("r"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-
-    def step(acc, r):
-        first = F.coalesce(F.try_element_at(acc, r["from_path"]), r["from_path"])
-        rest = F.map_filter(acc, lambda k, _: (k != r["from_path"]) & (k != r["to_path"]))
-        return F.map_concat(rest, F.create_map(r["to_path"], first))
-
-    folded = ordered.select("store", F.explode(F.aggregate("r", empty, step)).alias("path", "origin"))
-    return folded.filter("path <> origin")
+    order = ["store", "seq", "from_path", "to_path"]
+    placed = renames.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    runs = keep(placed.mapInPandas(_fold_runs, RUN), "runs")
+    last = runs.agg(F.max("part")).first()[0] or 0
+    while last > 0:
+        runs, last = keep(_compose(runs), "runs"), last >> 1
+    return runs.filter("there and path <> was").select("store", "path", F.col("was").alias("origin"))
 
 
 def scan(files: DataFrame, entries: DataFrame, peer: str, at_ms: int, renames: DataFrame | None = None, new_uuid=None) -> tuple[DataFrame, DataFrame]:

@@ -787,6 +787,17 @@ def log_exchange(fx: Fixtures) -> DataFrame:
     return mark(for_a, "a").unionByName(mark(for_b, "b"))
 
 
+@query(with_tables("base") + "select split_part(p, '/', 1) as store, p || '.b' as path, p as origin from base where doc_id % 2 = 1")
+def rename_chains(fx: Fixtures) -> DataFrame:
+    """Each file renamed twice, and every other one back, in one list a store: what each path was at first."""
+    p = F.col("p")
+    step = lambda i, a, b: F.struct((F.col("doc_id") + F.lit(i * 1_000_000_000)).alias("seq"), a.alias("from_path"), b.alias("to_path"))
+    one, two = F.concat(p, F.lit(".a")), F.concat(p, F.lit(".b"))
+    steps = F.filter(F.array(step(0, p, one), step(1, one, two), F.when(F.col("doc_id") % 2 == 0, step(2, two, p))), lambda s: s.isNotNull())
+    listed = fx.base.select(F.split_part(p, F.lit("/"), F.lit(1)).alias("store"), F.explode(steps).alias("s")).select("store", "s.*")
+    return snapshot.collapse_renames(listed)
+
+
 # --- stores by adapters ---
 
 _TEXTS = """with d as (select source || '/' || lang || '.txt' as path, doc_id, text from documents where text is not null and source is not null and lang is not null),
