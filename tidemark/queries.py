@@ -24,6 +24,7 @@ from .schema import BASE_CAP, ROTATE_AT
 from .sources.adapter import FolderAdapter, file_digests, range_digests, register_folders, tree_digests, walk_store, write_files
 from .sources.feed import external_changes
 from .sources.files import encode_entries, encode_rows, list_dir, stat
+from .sources.manifest import open_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -798,6 +799,18 @@ def rename_chains(fx: Fixtures) -> DataFrame:
     return snapshot.collapse_renames(listed)
 
 
+@query(with_tables("log") + "select op, uuid, case when event_id % 3 = 1 then 2 else 1 end as version from log")
+def raced_appends(fx: Fixtures) -> DataFrame:
+    """Two writers that share rows append to one log; the second one began before the first had ended. What each version brought."""
+    log = fx.log.select("op", "uuid", "event_id")
+    rows = lambda keep: log.filter(keep).select("op", "uuid")
+    table = open_table(fx.spark, within(fx.spark, "table").root, "op string, uuid string")
+    other = lambda n: table.append(rows("event_id % 3 <> 1"), "op") if n == 1 else None
+    table.append(rows("event_id % 3 <> 0"), "op", before_commit=other)
+    mark = lambda n: table.read(n, after=n - 1).withColumn("version", F.lit(n))
+    return mark(1).unionByName(mark(2))
+
+
 # --- stores by adapters ---
 
 _TEXTS = """with d as (select source || '/' || lang || '.txt' as path, doc_id, text from documents where text is not null and source is not null and lang is not null),
