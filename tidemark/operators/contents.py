@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CHUNK_SIZE
+from .edits import write_file
 
 
 def byte_range(content: Column, start: int, end: int) -> Column:
@@ -60,6 +61,29 @@ def resolve_conflict(files: DataFrame, path: str, copy_path: str, take: str) ->
     return files.filter(F.col("path") != path).withColumn("path", F.when(F.col("path") == copy_path, path).otherwise(F.col("path")))
 
 
+def resolve_pending(files: DataFrame, entries: DataFrame, uuid: str, choice: str | bytes, me: str) -> DataFrame:
+    """Files with the conflict settled whose copy has this uuid: 'mine' drops the copy, 'theirs' puts its content in the disputed
+    file's place, and bytes are written there. A disputed entry that is gone only loses its copy.
+
+    A copy that is not there is an error, and so is 'theirs' where its bytes are held on another peer.
+    """
+    if not isinstance(choice, bytes) and choice not in ("mine", "theirs"):
+        raise ValueError("choice is 'mine', 'theirs' or bytes")
+    known = entries.select("uuid", "path", "conflict_of", *(["held"] if "held" in entries.columns else [F.lit(None).cast("string").alias("held")]))
+    copy = known.filter((F.col("uuid") == uuid) & F.col("conflict_of").isNotNull()).first()
+    if copy is None:
+        raise KeyError(f"no pending conflict {uuid}")
+    disputed = known.filter(F.col("uuid") == copy["conflict_of"]).first()
+    if choice == "theirs" and copy["held"] not in (None, me):
+        raise ValueError(f"the losing version of {copy['path']} is held on {copy['held']}")
+    out = files
+    if disputed is not None and choice == "theirs":
+        out = out.filter(F.col("path") != disputed["path"]).withColumn("path", F.when(F.col("path") == copy["path"], disputed["path"]).otherwise(F.col("path")))
+    elif disputed is not None and isinstance(choice, bytes):
+        out = write_file(out, disputed["path"], choice)
+    return out.filter(F.col("path") != copy["path"])
+
+
 def scoped(files: DataFrame, root: str) -> DataFrame:
     """Files below a root, their paths taken from there."""
     return files.filter(F.startswith("path", F.lit(root + "/"))).withColumn("path", F.expr(f"substring(path, {len(root) + 2})")) if root else files

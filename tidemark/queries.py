@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from .fixtures import Fixtures, with_tables
 from .functions import digests, display, paths
-from .operators import actions, ancestry, contents, edits, logset, merge, snapshot, textmerge, views
+from .operators import actions, ancestry, contents, edits, logset, merge, rotation, snapshot, textmerge, views
 from .operators.exchange import exchanged_rows
 from .operators.merkle import state_difference as differing_entries
 from .operators.merkle import store_state
 from .operators.order import numbered
 from .plans.apply import apply_plan
 from .plans.commit import commit
-from .plans.scratch import within
+from .plans.scratch import keep, within
 from .plans.mesh import chain, converge, sync_until_stable
 from .plans.sync import MARK, PeerState, SyncOptions, arriving, plan_sync, sync
 from .schema import BASE_CAP, ROTATE_AT
@@ -25,6 +25,7 @@ from .sources.adapter import FolderAdapter, file_digests, range_digests, registe
 from .sources.feed import external_changes
 from .sources.files import encode_entries, encode_rows, list_dir, stat
 from .sources.manifest import open_table
+from .sources.segments import SegmentedLog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -811,6 +812,48 @@ def raced_appends(fx: Fixtures) -> DataFrame:
     return mark(1).unionByName(mark(2))
 
 
+@query(with_tables("log") + "select op, at_ms // 86400000 as segment from log where at_ms // 86400000 in (select at_ms // 86400000 as s from log group by s having max(at_ms) >= 1704400000000)")
+def segment_reads(fx: Fixtures) -> DataFrame:
+    """The log stored by segment, and the segments that reach to a moment, whose partitions alone are opened."""
+    log = SegmentedLog(fx.spark, within(fx.spark, "segments").root)
+    log.append(_segmented(fx).withColumns({"store": F.lit("s"), "seq": F.lit(0).cast("bigint")}))
+    return log.since(1_704_400_000_000).select("op", "segment")
+
+
+@query(with_tables("base", "a", "b") + """, u as (select uuid, path, updated, deleted, 0 as now from a union all select uuid, path, updated, deleted, 1 from b where uuid in (select uuid from b))
+select uuid, path, updated, deleted, cast(9 as bigint) as segment from (select *, row_number() over (partition by uuid order by updated desc, now desc) as place from u) where place = 1""")
+def rotated_snapshot(fx: Fixtures) -> DataFrame:
+    """A segment that has outgrown its limit: the snapshot takes in what is known now, and another segment is open."""
+    rows = fx.log_ab.withColumns({"op": F.col("uuid"), "segment": F.lit(5).cast("bigint")})
+    snap, segment = rotation.rotate(rows, fx.b, fx.a, 5, 9, 10)
+    return snap.select("uuid", "path", "updated", "deleted", F.lit(segment).cast("bigint").alias("segment"))
+
+
+@query(EXPECTED + ", a as (" + with_tables("a").removeprefix("with a as (").rstrip().removesuffix(")") + """)
+select f.*, e.* from (select count(*) as files, cast(sum(size) as bigint) as bytes from a) f, (select count(*) filter (where not deleted) as tracked, count(*) filter (where deleted) as tombstones, count(*) filter (where not deleted and conflict_of is not null) as conflicts from t) e""")
+def root_snapshot(fx: Fixtures) -> DataFrame:
+    return rotation.root_snapshot(fx.a, merged(fx)[0])
+
+
+@query(with_tables("base", "a") + """, p as (select distinct array_to_string(string_split(path, '/')[1:i], '/') as path from (select path, unnest(range(1, len(string_split(path, '/')) + 1)) as i from a))
+select sha256(path) as id, path from p""")
+def resolved_ids(fx: Fixtures) -> DataFrame:
+    """Files and folders by ids, parents and names: the path of each."""
+    every = fx.a.select(F.explode(F.concat(paths.ancestors(F.col("path")), F.array("path"))).alias("path")).distinct()
+    up = paths.dirname(F.col("path"))
+    return rotation.resolve_ids(every.select(F.sha2("path", 256).alias("id"), F.when(up != "", F.sha2(up, 256)).alias("parent"), paths.basename(F.col("path")).alias("name")))
+
+
+@query(EXPECTED + """, c as (select uuid, path, hash, conflict_of from t where uuid = (select min(uuid) from t where conflict_of is not null))
+select t.path, case when t.uuid = c.conflict_of then c.hash else t.hash end as hash from t, c where not t.deleted and t.uuid <> c.uuid""")
+def pending_resolved(fx: Fixtures) -> DataFrame:
+    """Of all pending conflicts, the first settled for the other side's version."""
+    entries = keep(merged(fx)[0], "merged")
+    first = entries.filter("conflict_of is not null").agg(F.min("uuid")).first()[0]
+    files = entries.filter("not deleted").select("path", "kind", "size", "hash")
+    return contents.resolve_pending(files, entries, first, "theirs", "device-a").select("path", "hash")
+
+
 # --- stores by adapters ---
 
 _TEXTS = """with d as (select source || '/' || lang || '.txt' as path, doc_id, text from documents where text is not null and source is not null and lang is not null),
