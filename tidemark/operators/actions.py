@@ -55,6 +55,14 @@ def summarize(actions: DataFrame) -> DataFrame:
     return actions.groupBy(what.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def preview_groups(actions: DataFrame, conflicts: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """``category, n`` of all that a person would be asked to approve: what summarize counts, merged texts, and conflicts that stay."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("category"), "n")
+    open_ = conflicts if merged is None else conflicts.join(merged.select("uuid"), "uuid", "left_anti")
+    parts = summarize(actions).unionByName(count(open_, "conflict"))
+    return (parts if merged is None else parts.unionByName(count(merged, "merge"))).filter("n > 0")
+
+
 def needs_log(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether some uuid stands on one side alone or with another hash."""
     x = a.select("uuid", F.struct("hash").alias("a")).join(b.select("uuid", F.struct("hash").alias("b")), "uuid", "full_outer")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, dirname, in_control_dir, sort_key
+from ..schema import CONTROL_DIR
 
 
 def live(entries: DataFrame) -> DataFrame:
@@ -25,6 +26,15 @@ def child_counts(files: DataFrame) -> DataFrame:
     return leaves.union(folders).distinct().groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
 
 
+def folder_tree(files: DataFrame) -> DataFrame:
+    """``dir, n, is_store`` of every folder but the control folders: how many files and folders stand right below, and whether it has a store of its own."""
+    stores = files.filter(F.endswith("path", F.lit(f"{CONTROL_DIR}/vfs.json"))).select(dirname(dirname(F.col("path"))).alias("dir"), F.lit(True).alias("_store")).distinct()
+    shown = files.filter(~F.col("path").rlike(rf"(?:^|/){CONTROL_DIR.replace('.', '[.]')}(?:/|\z)"))
+    folders = shown.select(F.explode(ancestors(F.col("path"))).alias("dir")).union(stores.filter("dir <> ''").select("dir")).distinct()
+    counted = child_counts(shown).withColumnRenamed("n", "_n")
+    return folders.join(counted, "dir", "left").join(stores, "dir", "left").select("dir", F.coalesce("_n", F.lit(0)).alias("n"), F.coalesce("_store", F.lit(False)).alias("is_store"))
+
+
 def across(mine: DataFrame, other: DataFrame) -> DataFrame:
     """``path, state``: same, differs or missing on the other side, unknown where a hash is not known."""
     o = other.select("path", F.struct("hash").alias("o"))

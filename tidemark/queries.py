@@ -854,6 +854,20 @@ def pending_resolved(fx: Fixtures) -> DataFrame:
     return contents.resolve_pending(files, entries, first, "theirs", "device-a").select("path", "hash")
 
 
+@query(_PLAN + "select case when type = 'write' and not created then 'change' when type = 'write' then 'create' else type end as category, count(*) as n from acts group by 1 union all select 'conflict', count(*) from base where k in (4, 7, 9, 11) or doc_id % 32 = 6")
+def preview_groups(fx: Fixtures) -> DataFrame:
+    entries, conflicts = merged(fx)
+    return actions.preview_groups(actions.plan_actions(merge.entry_rows(fx.a), entries, "device-a"), conflicts)
+
+
+@query(with_tables("base", "a") + """, p as (select path, unnest(range(1, len(string_split(path, '/')) + 1)) as i from a), c as (select distinct array_to_string(string_split(path, '/')[1:i], '/') as child from p)
+select regexp_extract(child, '^(.*)/[^/]*$', 1) as dir, count(*) as n, regexp_extract(child, '^(.*)/[^/]*$', 1) in ('moved', 'src1/en') as is_store from c where contains(child, '/') group by 1""")
+def folder_tree(fx: Fixtures) -> DataFrame:
+    """Folders with what stands in them, two of which are stores themselves."""
+    own = fx.a.select("path").unionByName(fx.spark.sql("select explode(array('moved/.vfs/vfs.json', 'src1/en/.vfs/vfs.json', 'src1/en/.vfs/commits')) as path"))
+    return views.folder_tree(own)
+
+
 # --- stores by adapters ---
 
 _TEXTS = """with d as (select source || '/' || lang || '.txt' as path, doc_id, text from documents where text is not null and source is not null and lang is not null),
