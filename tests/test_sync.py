@@ -1,12 +1,13 @@
 """Commits, text merging and marks, from folders to converged peers."""
 
+import hashlib
 import zlib
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.merge import MergeOptions
+from tidemark.operators.merge import MergeOptions, entry_rows
 from tidemark.plans.commit import commit
 from tidemark.plans.mesh import chain, classes, converge, full, star
 from tidemark.plans.scratch import shared_dir
@@ -28,6 +29,15 @@ def paths(state):
     return {r["path"]: r["hash"] for r in state.entries.filter("not deleted").collect()}
 
 
+def state(spark, name, **texts):
+    """A peer that has files and their texts, without a commit."""
+    names = [x.strip().split(" ")[0] for x in ENTRIES.split(",")]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [{"uuid": f"{name}-{p}", "path": p.replace("_", "."), "kind": "file", "hash": sha(t), "size": len(t), "created": 1, "updated": 1000 + ord(name), "peer": name, "deleted": False} for p, t in texts.items()]
+    contents = spark.createDataFrame([(sha(t), t) for t in texts.values()], "hash string, text string")
+    return PeerState(name, entry_rows(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ENTRIES)), spark.createDataFrame([], LOG).drop("store", "segment"), contents=contents)
+
+
 def both(spark, x="one\ntwo\nthree\n"):
     """Two peers that share a note."""
     a, _ = commit(empty(spark, "a"), folder(spark, n_md=x), 1000, "b1")
@@ -126,29 +136,24 @@ def test_quiet_sync_writes_no_table(spark):
 
 
 def test_only_what_is_written_moves(spark):
-    a, _ = commit(empty(spark, "a"), folder(spark, x_bin="one", y_bin="two", z_bin="three"), 1000, "b1")
-    b, _ = commit(empty(spark, "b"), folder(spark, w_bin="two"), 1000, "b1")
-    moved = {p: sorted(r["text"] for r in arriving(plan, acts, s, o).collect()) for plan in [plan_sync(a, b)] for p, acts, s, o in (("a", plan.actions_a, a, b), ("b", plan.actions_b, b, a))}
+    a, b = state(spark, "a", x_bin="one", y_bin="two", z_bin="three"), state(spark, "b", w_bin="two")
+    plan = plan_sync(a, b)
+    moved = {p: sorted(r["text"] for r in arriving(plan, acts, s, o).collect()) for p, acts, s, o in (("a", plan.actions_a, a, b), ("b", plan.actions_b, b, a))}
     assert moved == {"a": [], "b": ["one", "three"]}  # 'two' is there under another name
-    c, d, _ = sync(a, b)
-    assert sorted(r["text"] for r in c.contents.collect()) == ["one", "three", "two"] == sorted(r["text"] for r in d.contents.collect())
-    assert paths(c) == paths(d)
 
 
 def test_held_bytes_stay(spark):
     """A copy that is held on its peer is known to the other, but its bytes are not moved."""
-    a, b = both(spark)
-    a, _ = commit(a, folder(spark, n_md="left side\n"), 2000, "b2")
-    b, _ = commit(b, folder(spark, n_md="right\n"), 2500, "b3")
+    a, b = state(spark, "a", n_bin="left"), state(spark, "b", n_bin="right")
     a, b, _ = sync(a, b, SyncOptions(merge=MergeOptions(held_at=1), auto_merge=False))
     held = a.entries.filter("held is not null").first()
     assert held["held"] == "a" and paths(a) == paths(b)
     assert held["hash"] in {r["hash"] for r in a.contents.collect()} and held["hash"] not in {r["hash"] for r in b.contents.collect()}
+    assert paths(b)["n.bin"] in {r["hash"] for r in a.contents.collect()}
 
 
 def test_tables_of_the_way_go(spark):
-    a, b = both(spark)
-    a, _ = commit(a, folder(spark, n_md="ONE\n", m_md="x"), 2000, "b2")
+    a, b = state(spark, "a", n_md="ONE", m_md="x"), state(spark, "b", o_md="y")
     before = tables(spark)
     c, d, _ = sync(a, b)
     new = {t.split("/")[-1].rsplit("-", 1)[0] for t in tables(spark) - before if t.rsplit("/", 1)[0] == shared_dir(spark).removeprefix("file://")}
@@ -156,7 +161,7 @@ def test_tables_of_the_way_go(spark):
     c.release()
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         spark.read.parquet(c.tables.root + "/log").count()
-    assert len(paths(d)) == 2
+    assert len(paths(d)) == 3
 
 
 def test_classes_of_edges():
@@ -172,11 +177,9 @@ def test_classes_of_edges():
 
 
 def test_edges_at_once_are_as_one_by_one(spark):
-    peers = {}
-    for i, n in enumerate("abcd"):
-        peers[n], _ = commit(empty(spark, n), folder(spark, **{f"{n}_md": n, "same_md": f"text {i % 2}\n"}), 1000 + i, f"b{i}")
-    edges, plain = [("a", "b"), ("c", "d"), ("b", "c")], SyncOptions(auto_merge=False)
-    one, _, _ = converge(peers, edges, most=1, at_once=1, options=plain, conflicts=False)
-    two, rounds, conflicts = converge(peers, edges, most=1, at_once=4, options=plain)
-    assert rounds == [3] and {n: p.digest() for n, p in one.items()} == {n: p.digest() for n, p in two.items()}
-    assert conflicts.filter("kind = 'content'").count() >= 1 and paths(peers["a"])
+    peers = {n: state(spark, n, same_bin=f"text {n}") for n in "abcd"}
+    edges, plain = [("a", "b"), ("c", "d")], SyncOptions(auto_merge=False)
+    one = {x: s for e in edges for x, s in zip(e, sync(peers[e[0]], peers[e[1]], plain)[:2], strict=True)}
+    two, rounds, conflicts = converge(peers, edges, most=1, options=plain)
+    assert rounds == [2] and {n: p.digest() for n, p in one.items()} == {n: p.digest() for n, p in two.items()}
+    assert sorted((r["a"], r["b"], r["kind"]) for r in conflicts.collect()) == [("a", "b", "content"), ("c", "d", "content")] and paths(peers["a"])
