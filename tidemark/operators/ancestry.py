@@ -30,33 +30,41 @@ def location_edges(*sources: DataFrame) -> DataFrame:
     return every.groupBy("uuid", "path").agg(F.max_by("prev_path", "place").alias("prev_path"))
 
 
+def _seen(met: DataFrame, weighed: bool) -> tuple:
+    """What tells rounds of climbing apart: versions met; with costs also how, as a longer way may be the cheaper one."""
+    if not weighed:
+        return (met.count(),)
+    return tuple(met.agg(F.count(F.lit(1)), F.sum("depth"), F.bit_xor(F.xxhash64(*(c for c in met.columns)))).first())
+
+
 def climb(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """All versions that starts reach: the columns of ``starts`` (uuid, node and others), with node, ``depth`` and ``path``.
 
     Depth 0 is the start itself; path is the branches taken, so the order of (depth, path) is that of a breadth-first
     search that looks at prev before prev2. Where starts have a ``target``, a start that has met it keeps that row alone
-    and is followed no further.
+    and is followed no further. Starts may bring a depth and path of their own, and edges a ``cost`` that they add to it.
 
     Each round doubles the length of the jumps and follows one jump from all that is reached: a chain of n versions
     takes log2(n) rounds, n rows of jumps each and n rows a start, not all pairs of versions. Cycles end as nothing
     new is reached.
     """
     scratch = within(starts.sparkSession, "climb")
-    keys = [c for c in starts.columns if c != "node"]
-    aimed = "target" in keys
-    near = scratch.save(starts.distinct().withColumns({"depth": F.lit(0), "path": F.lit("")}), "near-0")
+    keys = [c for c in starts.columns if c not in ("node", "depth", "path")]
+    aimed, weighed = "target" in keys, "cost" in edges.columns
+    begin = starts.groupBy(*keys, "node").agg(F.min(F.struct("depth", "path")).alias("r")).select(*keys, "node", "r.*") if "depth" in starts.columns else starts.distinct().withColumns({"depth": F.lit(0), "path": F.lit("")})
+    near = scratch.save(begin, "near-0")
     if near.isEmpty():
         return near
     own = edges.join(near.select("uuid").distinct(), "uuid", "left_semi")
     branch = F.col("branch").cast("string") if "branch" in edges.columns else F.lit("0")
-    jumps = scratch.save(own.select("uuid", F.col("hash").alias("node"), F.col("parent").alias("up"), branch.alias("way")).filter("up is not null"), "jumps-0")
+    jumps = scratch.save(own.select("uuid", F.col("hash").alias("node"), F.col("parent").alias("up"), branch.alias("way"), (F.col("cost") if weighed else F.lit(1)).alias("cost")).filter("up is not null"), "jumps-0")
     step = 0
     while True:
         going = near.filter(~F.col("node").eqNullSafe(F.col("target"))) if aimed else near
-        far = going.join(jumps, ["uuid", "node"]).select(*keys, F.col("up").alias("node"), (F.col("depth") + (1 << step)).alias("depth"), F.concat("path", "way").alias("path"))
+        far = going.join(jumps, ["uuid", "node"]).select(*keys, F.col("up").alias("node"), (F.col("depth") + F.col("cost")).alias("depth"), F.concat("path", "way").alias("path"))
         best = F.min(F.struct("depth", "path")).alias("r")
         new = scratch.save(near.unionByName(far).groupBy(*keys, "node").agg(best).select(*keys, "node", "r.depth", "r.path"), f"met-{step}")
-        if new.count() == near.count():
+        if _seen(new, weighed) == _seen(near, weighed):
             break
         if aimed:
             met = new.filter("node = target")
@@ -64,9 +72,9 @@ def climb(starts: DataFrame, edges: DataFrame) -> DataFrame:
             same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
             new = scratch.save(new.join(done, same, "left_anti").unionByName(met), f"near-{step + 1}")
             scratch.drop(f"met-{step}")
-        x, y = jumps, jumps.select("uuid", F.col("node").alias("up"), F.col("up").alias("top"), F.col("way").alias("on"))
-        longer = x.join(y, ["uuid", "up"]).groupBy("uuid", "node", "top").agg(F.min(F.concat("way", "on")).alias("way"))
-        jumps = scratch.save(longer.select("uuid", "node", F.col("top").alias("up"), "way"), f"jumps-{step + 1}")
+        x, y = jumps, jumps.select("uuid", F.col("node").alias("up"), F.col("up").alias("top"), F.col("way").alias("on"), F.col("cost").alias("more"))
+        longer = x.join(y, ["uuid", "up"]).groupBy("uuid", "node", "top").agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.concat("way", "on").alias("way"))).alias("r"))
+        jumps = scratch.save(longer.select("uuid", "node", F.col("top").alias("up"), "r.way", "r.cost"), f"jumps-{step + 1}")
         scratch.drop(f"jumps-{step}")
         near, step = new, step + 1
     scratch.drop(*(n for n in list(scratch.names) if n != f"met-{step}"))
