@@ -155,17 +155,19 @@ class Lineage:
         known = scratch.save(self.versions(some), "known")
         old = known.select("uuid", "hash", F.explode("parents").alias("p")).select("uuid", "hash", F.col("p.hash").alias("parent"), "p.branch")
         new = scratch.save(some.join(old, ["uuid", "hash", "parent"], "left_anti").select("uuid", "hash", "parent", "branch"), "new")
+        if new.isEmpty():
+            scratch.clear()
+            return 0
         anew = new.join(known, ["uuid", "hash"], "left_semi").select("uuid")
         children = old.select("uuid", "parent", "hash").unionByName(new.select("uuid", "parent", "hash")).groupBy("uuid", "parent").agg(F.count(F.lit(1)).alias("n"))
         forked = children.filter("n > 1").join(new.select("uuid", "parent"), ["uuid", "parent"], "left_semi").join(known.select("uuid", F.col("hash").alias("parent")), ["uuid", "parent"], "left_semi")
         again = scratch.save(anew.unionByName(forked.select("uuid")).distinct(), "again")
         below = known.join(new.select("uuid", F.col("parent").alias("hash")), ["uuid", "hash"], "left_semi").join(again, "uuid", "left_anti").select("uuid", "hash", "run", "place")
-        grown = runs(new.join(again, "uuid", "left_anti"), scratch.save(below, "below"))
-        placed = runs(old.unionByName(new).join(again, "uuid", "left_semi"))
-        turn = known.groupBy("uuid").agg(F.max("turn").alias("turn"))
-        rows = grown.join(turn, "uuid", "left").withColumn("turn", F.coalesce("turn", F.lit(0))).unionByName(placed.join(turn, "uuid", "left").withColumn("turn", F.coalesce("turn", F.lit(0)) + 1))
-        rows = scratch.save(rows, "rows")
-        rows.repartition("uuid").sortWithinPartitions("uuid", "run", "place").write.mode("append").parquet(self.folder)
+        more = runs(old.unionByName(new).join(again, "uuid", "left_semi").unionByName(new.join(again, "uuid", "left_anti")), scratch.save(below, "below"))
+        turn = known.groupBy("uuid").agg(F.max("turn").alias("turn")).join(again.withColumn("anew", F.lit(1)), "uuid", "left").select("uuid", (F.col("turn") + F.coalesce("anew", F.lit(0))).alias("turn"))
+        rows = scratch.save(more.join(turn, "uuid", "left").withColumn("turn", F.coalesce("turn", F.lit(0).cast("bigint"))), "rows")
         n = rows.count()
+        if n:
+            rows.repartition("uuid").sortWithinPartitions("uuid", "run", "place").write.mode("append").parquet(self.folder)
         scratch.clear()
         return n

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import Fixtures, with_tables
 from .functions import digests, display, paths
-from .operators import actions, ancestry, contents, edits, logset, merge, rotation, snapshot, textmerge, views
+from .operators import actions, ancestry, contents, edits, lineage, logset, merge, rotation, snapshot, textmerge, views
 from .operators.exchange import exchanged_rows
 from .operators.merkle import state_difference as differing_entries
 from .operators.merkle import store_state
@@ -214,6 +214,22 @@ def common_ancestor(fx: Fixtures) -> DataFrame:
     return ancestry.common_ancestor(pairs, ancestry.version_edges(fx.log)).select("uuid", "left", "right", "base")
 
 
+@query(_recursive(with_tables("log")) + """, e as (select distinct uuid, hash, prev as parent from log where hash is not null and prev is not null and hash <> prev)
+, n as (select uuid, hash, sum(ups) as ups, sum(downs) as downs from (select uuid, hash, 1 as ups, 0 as downs from e union all select uuid, parent, 0, 1 from e) group by uuid, hash)
+, inner_ as (select e.uuid, e.hash, e.parent from e join n c on c.uuid = e.uuid and c.hash = e.hash and c.ups = 1 join n p on p.uuid = e.uuid and p.hash = e.parent and p.downs = 1)
+, r as (select uuid, hash, hash as run, 0::bigint as place from n where (uuid, hash) not in (select (uuid, hash) from inner_)
+ union all select i.uuid, i.hash, r.run, r.place + 1 from r join inner_ i on i.uuid = r.uuid and i.parent = r.hash)
+select * from r""")
+def history_runs(fx: Fixtures) -> DataFrame:
+    """Every version's run and place, of a log that is added in two parts."""
+    edges = ancestry.version_edges(fx.log)
+    early = ancestry.version_edges(fx.log.filter("event_id % 10 < 7"))
+    kept = lineage.Lineage(fx.spark, f"{within(fx.spark, 'lineage').root}/kept")
+    kept.append(early)
+    kept.append(edges)
+    return kept.versions().select("uuid", "hash", "run", "place")
+
+
 @query(with_tables("base", "a", "b") + "select a.uuid, a.prev_path is not distinct from b.path as moved from a join b on a.uuid = b.uuid where a.path <> b.path")
 def moved_from(fx: Fixtures) -> DataFrame:
     both = fx.a.alias("a").join(fx.b.alias("b"), "uuid").filter("a.path <> b.path")
