@@ -104,3 +104,25 @@ def test_what_goes_on_from_the_newest_adds_its_own_rows_alone(spark, tmp_path):
     assert at["51"] == ("0", 51) and len(at) == 52
     assert kept.append(spark.createDataFrame([("u", "side", "20", 0)], EDGES)) == 53
     assert {r["place"] for r in kept.versions().filter("hash in ('21', 'side')").collect()} == {0}
+
+
+def test_syncing_by_a_kept_lineage(spark, tmp_path):
+    from test_sync import both, folder
+
+    from tidemark.plans.commit import commit
+    from tidemark.plans.sync import PeerState, SyncOptions, plan_sync
+
+    a, b = both(spark)
+    kept = lineage.Lineage(spark, str(tmp_path / "l"))
+    # a is two versions on, which the lineage knows and no log says any more
+    later, _ = commit(a, folder(spark, n_md="1\n"), 2000, "c1")
+    later, _ = commit(later, folder(spark, n_md="2\n"), 2500, "c2")
+    assert kept.append(ancestry.version_edges(later.log)) == 3
+    bare, behind = PeerState("a", later.entries, later.log.limit(0)), PeerState("b", b.entries, b.log.limit(0))
+    assert plan_sync(bare, behind, SyncOptions(lineage=kept)).conflicts.isEmpty()
+    assert plan_sync(bare, behind).conflicts.count() == 1
+    # where both sides changed, texts merge from the version that the lineage names
+    b, _ = commit(b, folder(spark, n_md="one\ntwo\nTHREE\n"), 2500, "b3")
+    a, _ = commit(a, folder(spark, n_md="ONE\ntwo\nthree\n"), 2000, "b2")
+    plan = plan_sync(a, b, SyncOptions(lineage=kept), at_ms=3000)
+    assert [r["text"] for r in plan.merged.collect()] == ["ONE\ntwo\nTHREE\n"] and kept.versions().count() == 5

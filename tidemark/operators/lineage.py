@@ -8,13 +8,15 @@ comparison of two places, however long it is; otherwise runs are climbed, once f
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import threading
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import within
+from . import ancestry
 from .ancestry import climb
 
 PARENT = "struct<branch:int,hash:string,run:string,place:bigint>"
@@ -31,7 +33,7 @@ def runs(edges: DataFrame, below: DataFrame | None = None) -> DataFrame:
 
     ``below`` (uuid, hash, run, place) are versions that have their place already and no child but those in ``edges``;
     runs go on from them, and they are not returned. Each round doubles the stretches that are known, so a run of n
-    versions takes log2(n) rounds. Versions of a ring, which no true history has, are a run each.
+    versions takes log2(n) rounds, two of which are written as one. Versions of a ring, which no true history has, are a run each.
     """
     scratch = within(edges.sparkSession, "runs")
     edge = scratch.save(_plain(edges), "edges")
@@ -47,8 +49,9 @@ def runs(edges: DataFrame, below: DataFrame | None = None) -> DataFrame:
     while waiting:
         every = reduce(lambda a, b: a.unionByName(b), [*settled, going])
         there = every.select("uuid", F.col("hash").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("done").alias("reached"))
+        onward = lambda x: x.join(there, ["uuid", "at"]).select("uuid", "hash", F.col("to").alias("at"), (F.col("steps") + F.when(F.col("done"), 0).otherwise(F.col("more"))).alias("steps"), "reached").withColumnRenamed("reached", "done")  # noqa: B023, E731
         step += 1
-        state = scratch.save(going.join(there, ["uuid", "at"]).select("uuid", "hash", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("reached").alias("done")), f"round-{step}")
+        state = scratch.save(onward(onward(going)), f"round-{step}")
         settled.append(state.filter("done"))
         going, left = state.filter("not done"), state.filter("not done").count()
         if left == waiting:
@@ -76,7 +79,10 @@ def descends(pairs: DataFrame, versions: DataFrame) -> DataFrame:
     """``pairs`` (uuid, hash, ancestor, prev, prev2, ...) with ``descends``, as ``ancestry.descends``, by the runs of the versions.
 
     Questions that name the same two runs are one climb. An ancestor that no edge knows is met only by its own name.
+    Edges in place of versions are climbed one by one.
     """
+    if "run" not in versions.columns:
+        return ancestry.descends(pairs, versions)
     own = F.filter(F.array("hash", "prev", "prev2"), lambda x: x.isNotNull())
     here = F.col("ancestor").isNotNull() & F.array_contains(own, F.col("ancestor"))
     at = versions.select("uuid", "hash", "run", "place")
@@ -99,7 +105,10 @@ def common_ancestor(pairs: DataFrame, versions: DataFrame) -> DataFrame:
 
     What runs reach is climbed once a run, for all versions in it. Two versions that both come from some of a run
     both come from its lower part, whose newest is the nearest: so a question takes a row for each run that both reach.
+    Edges in place of versions are climbed one by one.
     """
+    if "run" not in versions.columns:
+        return ancestry.common_ancestor(pairs, versions)
     scratch = within(pairs.sparkSession, "common")
     ask = pairs.select("uuid", F.explode(F.array("left", "right")).alias("hash")).distinct()
     placed = scratch.save(ask.join(versions.select("uuid", "hash", "run", "place"), ["uuid", "hash"]), "placed")
@@ -126,7 +135,7 @@ def common_ancestor(pairs: DataFrame, versions: DataFrame) -> DataFrame:
 
 @dataclass
 class Lineage:
-    """Runs that are kept in a folder and grow with the log; one writer at a time.
+    """Runs that are kept in a folder and grow with the log. One session writes; its threads take turns.
 
     Rows are only added. Where new versions go on from newest ones, or merge them, theirs are all there is to add; a uuid
     whose known versions get another child or parent is placed anew under a greater ``turn``, and the greatest counts.
@@ -135,6 +144,7 @@ class Lineage:
 
     spark: SparkSession
     folder: str
+    _turn: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def _rows(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -150,6 +160,10 @@ class Lineage:
 
     def append(self, edges: DataFrame) -> int:
         """Add what edges say that is not known; the number of rows written."""
+        with self._turn:
+            return self._append(edges)
+
+    def _append(self, edges: DataFrame) -> int:
         scratch = within(self.spark, "lineage")
         some = scratch.save(_plain(edges), "given")
         known = scratch.save(self.versions(some), "known")

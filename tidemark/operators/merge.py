@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, conflict_name, extension
 from ..plans.scratch import keep
 from ..schema import HELD_AT, TEXT_EXTENSIONS
-from .ancestry import descends, moved_from
+from .ancestry import moved_from
+from .lineage import descends
 
 ENTRY = ("kind", "path", "hash", "size", "created", "updated", "peer", "deleted", "prev", "prev2", "prev_path", "conflict_of", "reason", "base", "held")
 TYPES = {"size": "bigint", "created": "bigint", "updated": "bigint", "deleted": "boolean"}
@@ -185,7 +186,7 @@ def resolve_collisions(entries: DataFrame, options: MergeOptions | None = None)
 def merge_entries(a: DataFrame, b: DataFrame, edges: DataFrame, moves: DataFrame, last: DataFrame, known_a: DataFrame, known_b: DataFrame, options: MergeOptions | None = None) -> tuple[DataFrame, DataFrame]:
     """Merged entries and conflicts of two peers, of content and place as well as of paths that several entries claim.
 
-    edges, moves and last come from the history of both sides; known_a and known_b are the uuids that each side has met.
+    edges (or versions with their runs, as ``lineage`` has them), moves and last come from the history of both sides; known_a and known_b are the uuids that each side has met.
     """
     options = options or MergeOptions()
     # pairs are read eight times, what is settled three times: each is worked out once

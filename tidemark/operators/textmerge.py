@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import MAX_LCS_CELLS, MAX_TEXT_MERGE
-from .ancestry import common_ancestor
+from .lineage import common_ancestor
 from .logset import with_op
 
 RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import entry_json, mergeable_digest, xor_digest
 from ..operators.actions import count_transfers, needs_log, plan_actions
 from ..operators.ancestry import location_edges, version_edges
+from ..operators.lineage import Lineage
 from ..operators.logset import append_rows, archives_since, latest, missing_rows, open_mark, union_rows, upsert_mark
 from ..operators.merge import MergeOptions, coldest, entry_rows, merge_entries
 from ..operators.snapshot import adopt
@@ -74,12 +75,14 @@ TEXTS = "hash string, text string, mtime bigint"
 @dataclass
 class SyncOptions:
     """merge: how entries merge; auto_merge: whether texts merge by lines; resolve_text: a pandas UDF (path, base, a, b) for
-    those that do not; archives: whether closed segments are read where a version would lose its content."""
+    those that do not; archives: whether closed segments are read where a version would lose its content; lineage: what is
+    kept of all histories met so far, which answers what descends from what, also from segments that are not read, and grows."""
 
     merge: MergeOptions = field(default_factory=MergeOptions)
     auto_merge: bool = True
     resolve_text: Callable | None = None
     archives: bool = True
+    lineage: Lineage | None = None
 
 
 @dataclass
@@ -118,12 +121,16 @@ def _history(a: PeerState, b: PeerState, since: int | None) -> tuple[DataFrame,
     return of(a), of(b)
 
 
-def _merge(a: PeerState, b: PeerState, history: tuple[DataFrame, DataFrame], options: MergeOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Target, conflicts, and the edges of what the histories know."""
+def _merge(a: PeerState, b: PeerState, history: tuple[DataFrame, DataFrame], options: MergeOptions, lineage: Lineage | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Target, conflicts, and the edges of what the histories know, or the lineage of the versions that differ."""
     logs = union_rows(*(h.drop("segment", "seq") for h in history))
     ea, eb = entry_rows(a.entries), entry_rows(b.entries)
     old = [entry_rows(p.snapshot) for p in (a, b) if p.snapshot is not None]
     edges = keep(version_edges(*old, ea, eb, logs), "edges")
+    if lineage is not None:
+        lineage.append(edges)
+        other = lambda x, y: x.alias("x").join(y.alias("y"), F.expr("x.uuid = y.uuid and x.hash <=> y.hash"), "left_anti").select("uuid")
+        edges = keep(lineage.versions(other(ea, eb).union(other(eb, ea))), "lineage")
     moves = location_edges(*old, ea, eb) if "prev_path" not in logs.columns else location_edges(*old, ea, eb, logs)
     known = lambda p, log: reduce(lambda x, y: x.union(y), (x.select("uuid") for x in (p.entries, log, p.snapshot) if x is not None))
     last = latest(logs, reduce(lambda x, y: x.unionByName(y), old)) if old else latest(logs)
@@ -146,11 +153,11 @@ def plan_sync(a: PeerState, b: PeerState, options: SyncOptions | None = None, at
     none = (a.log.limit(0), b.log.limit(0))
     history = none if quiet or not needs_log(a.entries, b.entries).first()["needed"] else _history(a, b, None)
     merging = replace(options.merge, text=text)
-    target, conflicts, edges = _merge(a, b, history, merging)
+    target, conflicts, edges = _merge(a, b, history, merging, options.lineage)
     since = coldest(conflicts).first()["since"] if options.archives else None
     closed = lambda p: p.log.filter((F.col("segment") < p.segment) & (F.col("at_ms") >= since))
     if since is not None and not closed(a).select("op").union(closed(b).select("op")).isEmpty():
-        target, conflicts, edges = _merge(a, b, _history(a, b, since), merging)
+        target, conflicts, edges = _merge(a, b, _history(a, b, since), merging, options.lineage)
     merged, rows = None, None
     known = a.contents is not None or b.contents is not None
     if known and (options.auto_merge or options.resolve_text is not None) and not conflicts.filter("is_text").isEmpty():
