@@ -230,6 +230,21 @@ def history_runs(fx: Fixtures) -> DataFrame:
     return kept.versions().select("uuid", "hash", "run", "place")
 
 
+@query(ORACLE_SQL["descends"])
+def descends_by_runs(fx: Fixtures) -> DataFrame:
+    third = F.lag("hash", 3).over(Window.partitionBy("uuid").orderBy("at_ms", "event_id"))
+    pairs = fx.log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), third.alias("ancestor"))
+    return lineage.descends(pairs, lineage.runs(ancestry.version_edges(fx.log))).select("uuid", "hash", "ancestor", "descends")
+
+
+@query(ORACLE_SQL["common_ancestor"])
+def ancestor_by_runs(fx: Fixtures) -> DataFrame:
+    log = fx.log.filter("hash is not null")
+    second = F.lag("hash", 2).over(Window.partitionBy("uuid").orderBy("at_ms", "event_id"))
+    pairs = log.select("uuid", F.col("hash").alias("left"), second.alias("right")).filter("right is not null")
+    return lineage.common_ancestor(pairs, lineage.runs(ancestry.version_edges(fx.log))).select("uuid", "left", "right", "base")
+
+
 @query(with_tables("base", "a", "b") + "select a.uuid, a.prev_path is not distinct from b.path as moved from a join b on a.uuid = b.uuid where a.path <> b.path")
 def moved_from(fx: Fixtures) -> DataFrame:
     both = fx.a.alias("a").join(fx.b.alias("b"), "uuid").filter("a.path <> b.path")
