@@ -17,56 +17,46 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import within
 from . import ancestry
-from .ancestry import climb
 
 PARENT = "struct<branch:int,hash:string,run:string,place:bigint>"
 VERSIONS = f"uuid string, hash string, run string, place bigint, parents array<{PARENT}>"
 
 
-def _plain(edges: DataFrame) -> DataFrame:
-    branch = F.col("branch").cast("int") if "branch" in edges.columns else F.lit(0)
-    return edges.filter("hash is not null and parent is not null and hash <> parent").groupBy("uuid", "hash", "parent").agg(F.min(branch).alias("branch"))
-
-
 def runs(edges: DataFrame, below: DataFrame | None = None) -> DataFrame:
     """VERSIONS of ``edges`` (uuid, hash, parent, branch), those that are only named as parents included.
 
     ``below`` (uuid, hash, run, place) are versions that have their place already and no child but those in ``edges``;
-    runs go on from them, and they are not returned. Each round doubles the stretches that are known, so a run of n
-    versions takes log2(n) rounds, two of which are written as one. Versions of a ring, which no true history has, are a run each.
+    runs go on from them, and they are not returned. Rounds move keys; names are joined to what they settle. Versions of a
+    ring, which no true history has, are a run each.
     """
     scratch = within(edges.sparkSession, "runs")
-    edge = scratch.save(_plain(edges), "edges")
-    up = edge.select("uuid", "hash", "parent", F.lit(1).alias("ups"), F.lit(0).alias("downs"))
-    down = edge.select("uuid", F.col("parent").alias("hash"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("ups"), F.lit(1).alias("downs"))
-    nodes = scratch.save(up.unionByName(down).groupBy("uuid", "hash").agg(F.max("parent").alias("parent"), F.sum("ups").alias("ups"), F.sum("downs").alias("downs")), "nodes")
-    only = nodes.filter("downs = 1").select("uuid", F.col("hash").alias("parent"), F.lit(True).alias("lone"))
-    inner = F.coalesce((F.col("ups") == 1) & F.col("lone"), F.lit(False))
-    first = nodes.join(only, ["uuid", "parent"], "left").select("uuid", "hash", F.when(inner, F.col("parent")).otherwise(F.col("hash")).alias("at"), inner.cast("bigint").alias("steps"), (~inner).alias("done"))
-    state = scratch.save(first, "round-0")
-    settled, going, step = [state.filter("done")], state.filter("not done"), 0
-    waiting = going.count()
-    while waiting:
-        every = reduce(lambda a, b: a.unionByName(b), [*settled, going])
-        there = every.select("uuid", F.col("hash").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("done").alias("reached"))
-        onward = lambda x: x.join(there, ["uuid", "at"]).select("uuid", "hash", F.col("to").alias("at"), (F.col("steps") + F.when(F.col("done"), 0).otherwise(F.col("more"))).alias("steps"), "reached").withColumnRenamed("reached", "done")  # noqa: B023, E731
-        step += 1
-        state = scratch.save(onward(onward(going)), f"round-{step}")
-        settled.append(state.filter("done"))
-        going, left = state.filter("not done"), state.filter("not done").count()
-        if left == waiting:
-            settled.append(going.select("uuid", "hash", F.col("hash").alias("at"), F.lit(0).cast("bigint").alias("steps"), F.lit(True).alias("done")))
-            break
-        waiting = left
-    placed = reduce(lambda a, b: a.unionByName(b), settled).select("uuid", "hash", F.col("at").alias("run"), F.col("steps").alias("place"))
-    if below is not None:
-        base = below.select("uuid", F.col("hash").alias("run"), F.col("run").alias("_run"), F.col("place").alias("_place"))
-        placed = placed.join(base, ["uuid", "run"], "left").select("uuid", "hash", F.coalesce("_run", "run").alias("run"), (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place"))
-    placed = scratch.save(placed, "placed")
-    above = placed.select("uuid", F.col("hash").alias("parent"), "run", "place")
-    parents = edge.join(above, ["uuid", "parent"]).groupBy("uuid", "hash").agg(F.array_sort(F.collect_list(F.struct("branch", F.col("parent").alias("hash"), "run", "place"))).alias("parents"))
-    rows = placed.join(parents, ["uuid", "hash"], "left").select("uuid", "hash", "run", "place", F.coalesce("parents", F.array().cast(f"array<{PARENT}>")).alias("parents"))
-    return scratch.last(rows if below is None else rows.join(below.select("uuid", "hash"), ["uuid", "hash"], "left_anti").select(*rows.columns))
+    edge = scratch.save(ancestry.plain_edges(edges), "edges", "zstd")
+    placed = ancestry.place_runs(scratch, edge.select("node", "up"))
+    own = edge.groupBy("node").agg(F.first("uuid").alias("uuid"), F.first("hash").alias("hash"), F.array_sort(F.collect_list(F.struct("branch", F.col("parent").alias("hash"), "up"))).alias("p")).join(placed, "node", "left")
+    own = scratch.save(own, "own", "zstd")
+    tops = edge.select(F.col("up").alias("node"), "uuid", F.col("parent").alias("hash")).join(edge.select("node"), "node", "left_anti").dropDuplicates(["node"])
+    tops = scratch.save(tops, "tops", "zstd")
+    # the oldest of each run: its name and, where it goes on from a place that is known, that one
+    oldest = own.filter("place is null").select("node", "uuid", "hash").unionByName(tops)
+    if below is None:
+        names = oldest.select("node", F.col("hash").alias("name"), F.lit(0).cast("bigint").alias("from"))
+    else:
+        base = below.select(ancestry.version_key("uuid", "hash").alias("node"), F.col("run").alias("_run"), F.col("place").alias("_place"))
+        names = oldest.join(base, "node", "left").select("node", F.coalesce("_run", "hash").alias("name"), F.coalesce("_place", F.lit(0)).cast("bigint").alias("from"))
+    parent = lambda branch, hash_, run, place: F.struct(branch.alias("branch"), hash_.alias("hash"), run.alias("run"), place.alias("place"))
+    inner = own.filter("place is not null").withColumnRenamed("node", "_node").join(names, F.col("run") == F.col("node"))
+    at = F.col("place") + F.col("from")
+    inner = inner.select("uuid", "hash", F.col("name").alias("run"), at.alias("place"), F.array(parent(F.col("p")[0]["branch"], F.col("p")[0]["hash"], F.col("name"), at - 1)).alias("parents"))
+    up = own.filter("place is null").select(F.col("node").alias("child"), F.explode("p").alias("p")).select("child", "p.branch", F.col("p.hash").alias("_hash"), F.col("p.up").alias("node"))
+    up = up.join(placed, "node", "left").select("child", "branch", "_hash", F.coalesce("run", "node").alias("node"), F.coalesce("place", F.lit(0)).alias("place")).join(names, "node")
+    linked = up.groupBy(F.col("child").alias("node")).agg(F.array_sort(F.collect_list(parent(F.col("branch"), F.col("_hash"), F.col("name"), F.col("place") + F.col("from")))).alias("parents"))
+    none = F.array().cast(f"array<{PARENT}>")
+    first = oldest.join(names, "node").join(linked, "node", "left").select("uuid", "hash", F.col("name").alias("run"), F.col("from").alias("place"), F.coalesce("parents", none).alias("parents"))
+    rows = inner.unionByName(first)
+    out = rows if below is None else rows.join(below.select("uuid", "hash"), ["uuid", "hash"], "left_anti").select(*rows.columns)
+    out = scratch.save(out, "result", "zstd")
+    scratch.drop(*(n for n in list(scratch.names) if n != "result"))
+    return out
 
 
 def links(versions: DataFrame) -> DataFrame:
@@ -76,61 +66,13 @@ def links(versions: DataFrame) -> DataFrame:
 
 
 def descends(pairs: DataFrame, versions: DataFrame) -> DataFrame:
-    """``pairs`` (uuid, hash, ancestor, prev, prev2, ...) with ``descends``, as ``ancestry.descends``, by the runs of the versions.
-
-    Questions that name the same two runs are one climb. An ancestor that no edge knows is met only by its own name.
-    Edges in place of versions are climbed one by one.
-    """
-    if "run" not in versions.columns:
-        return ancestry.descends(pairs, versions)
-    own = F.filter(F.array("hash", "prev", "prev2"), lambda x: x.isNotNull())
-    here = F.col("ancestor").isNotNull() & F.array_contains(own, F.col("ancestor"))
-    at = versions.select("uuid", "hash", "run", "place")
-    asked = pairs.filter(F.col("ancestor").isNotNull() & ~here).select("uuid", F.col("hash").alias("_h"), F.col("ancestor").alias("_t"), F.explode(own).alias("hash")).distinct()
-    scratch = within(pairs.sparkSession, "descends")
-    goal = at.select("uuid", F.col("hash").alias("_t"), F.col("run").alias("goal"), F.col("place").alias("low"))
-    placed = scratch.save(asked.join(at, ["uuid", "hash"]).join(goal, ["uuid", "_t"]), "placed")
-    direct = (F.col("run") == F.col("goal")) & (F.col("place") >= F.col("low"))
-    way = links(versions)
-    open_ = placed.filter(~direct).select("uuid", F.col("run").alias("from"), F.col("goal").alias("target")).distinct()
-    starts = open_.join(way.select("uuid", F.col("hash").alias("from"), F.col("parent").alias("node")), ["uuid", "from"])
-    met = climb(starts, way.select("uuid", "hash", "parent", "branch")).filter("node = target").select("uuid", F.col("from").alias("run"), F.col("target").alias("goal")).distinct()
-    found = placed.filter(direct).select("uuid", "_h", "_t").unionByName(placed.filter(~direct).join(met, ["uuid", "run", "goal"], "left_semi").select("uuid", "_h", "_t")).distinct().withColumnRenamed("uuid", "_u")
-    joined = pairs.join(found, (pairs["uuid"] == found["_u"]) & pairs["hash"].eqNullSafe(found["_h"]) & (pairs["ancestor"] == found["_t"]), "left")
-    return joined.select(*(pairs[c] for c in pairs.columns), (F.coalesce(here, F.lit(False)) | found["_t"].isNotNull()).alias("descends"))
+    """``pairs`` (uuid, hash, ancestor, prev, prev2, ...) with ``descends``, by the runs of the versions, or of edges in their place."""
+    return ancestry.descends(pairs, versions)
 
 
 def common_ancestor(pairs: DataFrame, versions: DataFrame) -> DataFrame:
-    """``pairs`` (uuid, left, right) with ``base``: of the versions that both come from, the first that left meets, going back.
-
-    What runs reach is climbed once a run, for all versions in it. Two versions that both come from some of a run
-    both come from its lower part, whose newest is the nearest: so a question takes a row for each run that both reach.
-    Edges in place of versions are climbed one by one.
-    """
-    if "run" not in versions.columns:
-        return ancestry.common_ancestor(pairs, versions)
-    scratch = within(pairs.sparkSession, "common")
-    ask = pairs.select("uuid", F.explode(F.array("left", "right")).alias("hash")).distinct()
-    placed = scratch.save(ask.join(versions.select("uuid", "hash", "run", "place"), ["uuid", "hash"]), "placed")
-    way = links(versions)
-    tops = way.select("uuid", F.col("parent").alias("node"), "top").distinct()
-    starts = placed.select("uuid", F.col("run").alias("from")).distinct().join(
-        way.select("uuid", F.col("hash").alias("from"), F.col("parent").alias("node"), F.col("cost").alias("depth"), F.col("branch").cast("string").alias("path")), ["uuid", "from"]
-    )
-    far = climb(starts, way).join(tops, ["uuid", "node"]).select("uuid", F.col("from").alias("run"), "node", "top", "depth", "path")
-    above = placed.join(far, ["uuid", "run"]).select("uuid", "hash", F.col("node").alias("run"), "top", (F.col("place") + F.col("depth")).alias("depth"), "path")
-    same = placed.filter("place > 0").select("uuid", "hash", "run", (F.col("place") - 1).alias("top"), F.col("place").alias("depth"), F.lit("").alias("path"))
-    reach = scratch.save(same.unionByName(above), "reach")
-    place = F.least("left_top", "right_top")
-    both = (
-        pairs.select("uuid", "left", "right").distinct()
-        .join(reach.select("uuid", F.col("hash").alias("left"), "run", F.col("top").alias("left_top"), "depth", "path"), ["uuid", "left"])
-        .join(reach.select("uuid", F.col("hash").alias("right"), "run", F.col("top").alias("right_top")), ["uuid", "right", "run"])
-        .groupBy("uuid", "left", "right").agg(F.min_by(F.struct("run", place.alias("place")), F.struct(F.col("depth") - place, "path")).alias("b"))
-        .select("uuid", "left", "right", "b.run", "b.place")
-    )
-    named = both.join(versions.select("uuid", "run", "place", F.col("hash").alias("base")), ["uuid", "run", "place"]).select("uuid", "left", "right", "base")
-    return pairs.join(named, ["uuid", "left", "right"], "left")
+    """``pairs`` (uuid, left, right) with ``base``, by the runs of the versions, or of edges in their place."""
+    return ancestry.common_ancestor(pairs, versions)
 
 
 @dataclass
@@ -165,7 +107,7 @@ class Lineage:
 
     def _append(self, edges: DataFrame) -> int:
         scratch = within(self.spark, "lineage")
-        some = scratch.save(_plain(edges), "given")
+        some = scratch.save(ancestry.plain_edges(edges).drop("node", "up"), "given", "zstd")
         known = scratch.save(self.versions(some), "known")
         old = known.select("uuid", "hash", F.explode("parents").alias("p")).select("uuid", "hash", F.col("p.hash").alias("parent"), "p.branch")
         new = scratch.save(some.join(old, ["uuid", "hash", "parent"], "left_anti").select("uuid", "hash", "parent", "branch"), "new")
