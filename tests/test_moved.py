@@ -42,3 +42,10 @@ def test_common_ancestors(spark, written):
     pairs = log.filter("second is not null").select("uuid", F.col("hash").alias("left"), F.col("second").alias("right"))
     got = ancestry.common_ancestor(pairs, edges).join(log.select("uuid", F.col("hash").alias("left"), "third"), ["uuid", "left"])
     assert got.filter("base is distinct from third").isEmpty() and got.count() == FILES * (LONG - 2) and written() < 500
+
+
+def test_descent(spark, written):
+    log, edges = history(spark)
+    pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
+    got = ancestry.descends(pairs, edges)
+    assert got.filter("descends").count() == FILES * (LONG - 3) and got.count() == FILES * LONG and written() < 500
