@@ -49,3 +49,11 @@ def test_descent(spark, written):
     pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
     got = ancestry.descends(pairs, edges)
     assert got.filter("descends").count() == FILES * (LONG - 3) and got.count() == FILES * LONG and written() < 500
+
+
+def test_climbing(spark, written):
+    _, edges = history(spark)
+    heads = spark.createDataFrame([(f"file-{f:05}", version(f, LONG - 1), version(f, LONG - 1)) for f in range(FILES)], "uuid string, start string, node string")
+    got = ancestry.climb(heads, edges)
+    assert {(r["uuid"], r["node"], r["depth"], r["path"]) for r in got.collect()} == {(f"file-{f:05}", version(f, LONG - 1 - i), i, "0" * i) for f in range(FILES) for i in range(LONG)}
+    assert written() < 400
