@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ancestry
+from tidemark.operators import ancestry, lineage
 from tidemark.plans.scratch import Scratch
 
 FILES, LONG = 100, 40
@@ -57,3 +57,9 @@ def test_climbing(spark, written):
     got = ancestry.climb(heads, edges)
     assert {(r["uuid"], r["node"], r["depth"], r["path"]) for r in got.collect()} == {(f"file-{f:05}", version(f, LONG - 1 - i), i, "0" * i) for f in range(FILES) for i in range(LONG)}
     assert written() < 400
+
+
+def test_by_runs(spark, written):
+    log, edges = history(spark)
+    pairs = log.filter("second is not null").select("uuid", F.col("hash").alias("left"), F.col("second").alias("right"))
+    assert lineage.common_ancestor(pairs, lineage.runs(edges)).filter("base is not null").count() == FILES * (LONG - 3) and written() < 800
