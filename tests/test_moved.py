@@ -63,3 +63,9 @@ def test_by_runs(spark, written):
     log, edges = history(spark)
     pairs = log.filter("second is not null").select("uuid", F.col("hash").alias("left"), F.col("second").alias("right"))
     assert lineage.common_ancestor(pairs, lineage.runs(edges)).filter("base is not null").count() == FILES * (LONG - 3) and written() < 800
+
+
+def test_descent_by_runs(spark, written):
+    log, edges = history(spark)
+    pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
+    assert lineage.descends(pairs, lineage.runs(edges)).filter("descends").count() == FILES * (LONG - 3) and written() < 800
