@@ -28,6 +28,8 @@ from .storage import resolve
 BLOCK = 1 << 20
 #: Bytes of a range by default.
 RANGE = 64 << 20
+#: Bytes and ranges that a task has at most, where small ranges are gathered.
+TASK_BYTES, TASK_RANGES = 16 << 20, 1000
 SCHEMA = "path string, kind string, size bigint, mtime bigint, native string, start bigint, content binary"
 
 
@@ -160,7 +162,7 @@ class Subtree(InputPartition):
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """A range of one file, or all of a small one."""
 
     path: str
@@ -170,6 +172,27 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that follow each other, read by one task."""
+
+    ranges: list[Range]
+
+
+def dealt(ranges: Iterator[Range], most: int = TASK_BYTES) -> list[Ranges]:
+    """Ranges in order, gathered into tasks of at most so many bytes; 0: a task each."""
+    out: list[Ranges] = []
+    held = 0
+    for r in ranges:
+        n = r.end - r.start
+        if not out or not most or held + n > most or len(out[-1].ranges) >= TASK_RANGES:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += n
+    return out
+
+
 def subtrees(adapter: Adapter, prefix: str, least: int) -> list[Subtree]:
     """Directories to walk apart: levels are opened until there are ``least``, those that hold nothing of the prefix left out."""
     out, level = [], [""]
@@ -195,8 +218,9 @@ class _Reader(DataSourceReader):
         if size < 1:
             raise ValueError("a range has a byte at least")
         files = [e for p in found for e in self._walk(p) if e.kind == "file"]
-        cut = [Range(e.path, e.size, e.mtime, at, min(e.size, at + size)) for e in files for at in range(0, max(1, e.size), size)]
-        return cut or [Subtree("", False)]
+        cut = (Range(e.path, e.size, e.mtime, at, min(e.size, at + size)) for e in files for at in range(0, max(1, e.size), size))
+        # what starts and ends a task costs more than reading a small range
+        return dealt(cut, int(self.options.get("gather", TASK_BYTES if size < BLOCK else 0))) or [Subtree("", False)]
 
     def _walk(self, part: Subtree) -> Iterator[Entry]:
         todo = [part.path]
@@ -211,13 +235,14 @@ class _Reader(DataSourceReader):
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         a = self.adapter
-        if isinstance(part, Range):
-            at = part.start
-            for data in a.read(part.path, part.start, part.end):
-                yield (part.path, "file", part.size, part.mtime, a.file_id(part.path), at, data)
-                at += len(data)
-            if part.size == 0:
-                yield (part.path, "file", 0, part.mtime, a.file_id(part.path), 0, b"")
+        if isinstance(part, Ranges):
+            for r in part.ranges:
+                at = r.start
+                for data in a.read(r.path, r.start, r.end):
+                    yield (r.path, "file", r.size, r.mtime, a.file_id(r.path), at, data)
+                    at += len(data)
+                if r.size == 0:
+                    yield (r.path, "file", 0, r.mtime, a.file_id(r.path), 0, b"")
             return
         for e in self._walk(part):
             whole = self.content == "whole" and e.kind == "file"
@@ -274,11 +299,12 @@ class _Writer(DataSourceWriter):
 def register(spark: SparkSession, name: str, make: Callable[[dict[str, str]], Adapter]) -> None:
     """Make an adapter a format of the session.
 
-    Options of reading: ``content`` (none; whole; ranges of ``size`` bytes, a task each, as rows of at most a megabyte),
-    ``prefix`` (only paths that begin so; only directories that can hold them are listed) and ``subtrees`` (how many
-    directories are walked apart at least). The control folder is never listed. All options reach ``make``. The prefix is an
-    option and not a condition that Spark hands down, as Spark 4.1 keeps what it has handed down for all later reads of the
-    same DataFrame, without the condition, too.
+    Options of reading: ``content`` (none; whole; ranges of ``size`` bytes, a task each, as rows of at most a megabyte;
+    ranges under a megabyte share tasks of 16 MB, or of the bytes that ``gather`` says), ``prefix`` (only paths that begin
+    so; only directories that can hold them are listed) and ``subtrees`` (how many directories are walked apart at least).
+    The control folder is never listed. All options reach ``make``. The prefix is an option and not a condition that Spark
+    hands down, as Spark 4.1 keeps what it has handed down for all later reads of the same DataFrame, without the condition,
+    too.
     """
 
     class Source(DataSource):
