@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +15,10 @@ from .logset import with_op
 RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())])
 
 
+#: Characters of merged texts that a task holds as Python's before they are Arrow's.
+HELD = 1 << 20
+
+
 def endings(text: str) -> str:
     crlf, lf = text.count("\r\n"), text.count("\n")
     return "none" if not lf else "crlf" if crlf == lf else "lf" if not crlf else "mixed"
@@ -100,9 +104,17 @@ def merge_texts(base: str, a: str, b: str, size: int = MAX_TEXT_MERGE) -> tuple[
     return True, "".join(out + lines[at:]), None
 
 
-@F.pandas_udf(RESULT)
-def diff3(base: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([merge_texts(x, y, z) for x, y, z in zip(base, a, b, strict=True)], columns=["ok", "text", "reason"])
+@F.arrow_udf(RESULT)
+def diff3(base: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    """Texts become Python's one row at a time, and results are Arrow's again after ``HELD`` characters."""
+    kind, out, rows, held = pa.struct([("ok", pa.bool_()), ("text", pa.string()), ("reason", pa.string())]), [], [], 0
+    for x, y, z in zip(base, a, b, strict=True):
+        rows.append(dict(zip(("ok", "text", "reason"), merge_texts(x.as_py(), y.as_py(), z.as_py()), strict=True)))
+        held += len(rows[-1]["text"] or "")
+        if held > HELD:
+            out.append(pa.array(rows, kind))
+            rows, held = [], 0
+    return pa.concat_arrays([*out, pa.array(rows, kind)])
 
 
 def merge_text_columns(rows: DataFrame, base: str = "base", a: str = "a", b: str = "b") -> DataFrame:
