@@ -109,7 +109,9 @@ def stage_writes(adapter: Adapter, stage: str, wanted: DataFrame, current: DataF
     mine = live.groupBy("hash").agg(F.min("path").alias("source"))
     x = wanted.join(mine, "hash", "left")
     parts = contents if "start" in contents.columns else contents.withColumn("start", F.lit(0).cast("bigint"))
-    one = parts.select("hash", F.col("start").cast("bigint").alias("start"), F.col("content").cast("binary").alias("content")).dropDuplicates(["hash", "start"])
+    # only what is asked for is sorted by hash and place
+    asked = x.filter("source is null").select("hash").distinct()
+    one = parts.select("hash", F.col("start").cast("bigint").alias("start"), F.col("content").cast("binary").alias("content")).join(asked, "hash", "left_semi").dropDuplicates(["hash", "start"])
     local = x.filter("source is not null").select("path", "hash", F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("binary").alias("content"), "source")
     far = x.filter("source is null").drop("source").join(one, "hash").select("path", "hash", "start", "content", F.lit(None).cast("string").alias("source"))
     dealt = local.unionByName(far).repartition("path").sortWithinPartitions("path", "start")

@@ -331,6 +331,11 @@ def register_folders(spark: SparkSession, name: str = "folder") -> None:
     register(spark, name, lambda options: FolderAdapter(options["path"]))
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work on files, whose rows are too small to tell how long it takes."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_files(parts: DataFrame, name: str, path: str | None = None, **options: str) -> None:
     """Files from rows ``path, start, content``: parts of one file go to one task, in order of start, and are streamed there."""
     dealt = parts.select("path", "start", "content").repartition("path").sortWithinPartitions("path", "start")
@@ -390,7 +395,7 @@ def tree_digests(digests: DataFrame) -> DataFrame:
 
 
 def file_digests(files: DataFrame, adapter: Adapter) -> DataFrame:
-    """``files`` (path and others) with ``hash``, SHA-256 of the content: each file is streamed by one task, whatever its length."""
+    """``files`` (path and others) with ``hash``, SHA-256 of the content: each file is streamed by one task, whatever its length; rows, which do not tell how long that takes, are dealt out by number."""
     schema = files.select("*", F.lit("").alias("hash")).schema
     place = files.columns.index("path")
 
@@ -404,4 +409,4 @@ def file_digests(files: DataFrame, adapter: Adapter) -> DataFrame:
                 found.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "hash"])
 
-    return files.mapInArrow(run, schema)
+    return files.repartition(tasks(files.sparkSession)).mapInArrow(run, schema)
