@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,28 @@ def test_descent_by_runs(spark, written):
     log, edges = history(spark)
     pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
     assert lineage.descends(pairs, lineage.runs(edges)).filter("descends").count() == FILES * (LONG - 3) and written() < 800
+
+
+def test_a_lineage_that_grows(spark, written, tmp_path):
+    _, edges = history(spark)
+    late = F.crc32("hash") % 10 >= 7
+    kept = lineage.Lineage(spark, str(tmp_path / "l"))
+    kept.append(edges.filter(~late))
+    kept.append(edges)
+    got = kept.versions()
+    assert got.filter("place = 0").count() == FILES and got.count() == FILES * LONG and got.groupBy("uuid").agg(F.max("place").alias("m")).filter(f"m <> {LONG - 1}").isEmpty()
+    assert written() < 500
+
+
+def test_a_task_follows_its_own_edges(monkeypatch):
+    key = lambda i: i.to_bytes(16, "big")
+    ring = [(900, 901), (901, 902), (902, 900)]
+    pairs = [(i, i - 1) for i in range(200, 0, -1)]
+    monkeypatch.setattr(ancestry, "BLOCK", 64)
+
+    def follow(pairs):
+        batches = (pa.record_batch({"u": [1] * len(x), "node": [key(a) for a, _ in x], "up": [key(b) for _, b in x]}) for x in (pairs[i : i + 32] for i in range(0, len(pairs), 32)))
+        return [(int.from_bytes(r["node"], "big"), int.from_bytes(r["at"], "big"), r["steps"]) for b in ancestry._follow(batches) for r in b.to_pylist()]
+
+    assert follow(pairs) == [(n, n - s, s) for k, (n, _) in enumerate(pairs) for s in [min(64 - k % 64, n)]]
+    assert [n for n, _, _ in follow(ring + pairs)] == [n for n, _ in ring + pairs]
