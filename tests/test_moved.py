@@ -95,3 +95,17 @@ def test_a_task_follows_its_own_edges(monkeypatch):
 
     assert follow(pairs) == [(n, n - s, s) for k, (n, _) in enumerate(pairs) for s in [min(64 - k % 64, n)]]
     assert [n for n, _, _ in follow(ring + pairs)] == [n for n, _ in ring + pairs]
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    names, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *args, **kw: (names.append(name), save(self, df, name, *args, **kw))[1])
+    return names
+
+
+def test_descent_takes_a_round(spark, tables):
+    log, edges = history(spark)
+    pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
+    assert ancestry.descends(pairs, edges).filter("descends").count() == FILES * (LONG - 3)
+    assert [n for n in tables if n.startswith("round-")] == ["round-0", "round-1"]
