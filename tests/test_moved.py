@@ -109,3 +109,10 @@ def test_descent_takes_a_round(spark, tables):
     pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
     assert ancestry.descends(pairs, edges).filter("descends").count() == FILES * (LONG - 3)
     assert [n for n in tables if n.startswith("round-")] == ["round-0", "round-1"]
+
+
+def test_runs_move_names_once(spark, tables, written):
+    """What a question by runs needs: edges, their stretches and places, and the runs."""
+    _, edges = history(spark)
+    assert lineage.runs(edges).count() == FILES * LONG
+    assert tables == ["edges", "round-0", "round-1", "result"]
