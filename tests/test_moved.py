@@ -116,3 +116,10 @@ def test_runs_move_names_once(spark, tables, written):
     _, edges = history(spark)
     assert lineage.runs(edges).count() == FILES * LONG
     assert tables == ["edges", "round-0", "round-1", "result"]
+
+
+def test_descent_by_runs_takes_a_round(spark, tables):
+    log, edges = history(spark)
+    pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
+    assert lineage.descends(pairs, lineage.runs(edges)).filter("descends").count() == FILES * (LONG - 3)
+    assert [n for n in tables if n.startswith("round-")] == ["round-0", "round-1"]
