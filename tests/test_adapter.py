@@ -7,11 +7,12 @@ import os
 import random
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidemark.sources.adapter import BLOCK, Adapter, Entry, FolderAdapter, file_digests, range_digests, register, register_folders, subtrees, tree_digests, walk_store, write_files
+from tidemark.sources.adapter import BLOCK, Adapter, Entry, FolderAdapter, _Writer, file_digests, range_digests, register, register_folders, subtrees, tree_digests, walk_store, write_files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PARTS = "path string, start long, content binary"
@@ -152,3 +153,11 @@ def test_only_directories_of_the_prefix_are_listed(spark, tmp_path):
     some = spark.read.format("folder").option("prefix", "a/").option("subtrees", "9").load(str(tmp_path))
     assert sorted(r["path"] for r in some.collect()) == ["a/x", "a/y"] and (some.rdd.getNumPartitions(), df.rdd.getNumPartitions()) == (2, 5)
     assert [r["path"] for r in walk_store(spark, "folder", str(tmp_path), directories=True).collect()] == ["a", "a/x", "a/y", "b", "b/x", "c", "c/empty"]
+
+
+def test_parts_are_written_as_they_come(tmp_path):
+    rows = [("a", b"1"), ("a", b""), ("a", None), ("a", b"2"), ("b/c", None), ("d", b"x" * 70_000)]
+    batches = [pa.RecordBatch.from_pydict({"path": [p for p, _ in part], "start": [0] * len(part), "content": pa.array([c for _, c in part], pa.binary())}) for part in (rows[:2], rows[2:5], rows[5:])]
+    writer = _Writer(FolderAdapter(str(tmp_path)), ["path", "start", "content"])
+    writer.commit([writer.write(iter(batches))])
+    assert {p: (tmp_path / p).read_bytes() for p in ("a", "b/c", "d")} == {"a": b"12", "b/c": b"", "d": b"x" * 70_000}

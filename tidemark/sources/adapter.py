@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.paths import ancestors, in_control_dir, sort_key
 from ..schema import CONTROL_DIR
@@ -254,7 +254,7 @@ class Staged(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Rows ``path, content`` (and others): those of one path that follow each other in a task are its parts, in order."""
 
     def __init__(self, adapter: Adapter, columns: list[str]) -> None:
@@ -263,20 +263,21 @@ class _Writer(DataSourceWriter):
             raise ValueError(f"columns that are missing: {sorted(missing)}")
         self.adapter, self.stage = adapter, f"{CONTROL_DIR}/stage/{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> Staged:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         files: list[tuple[str, str]] = []
         path, sink, task = None, None, uuid.uuid4().hex
         try:
-            for row in rows:
-                if row["path"] != path:
+            for to, content in (row for b in batches for row in zip(b.column("path").to_pylist(), b.column("content"), strict=True)):
+                if sink is None or to != path:
                     if sink is not None:
                         sink.close()
-                    path = row["path"]
+                    path = to
                     if not path or _in(path) or path.startswith("/") or ".." in path.split("/"):
                         raise ValueError(f"not a path to write: {path!r}")
                     files.append((f"{self.stage}/{task}-{len(files)}", path))
                     sink = self.adapter.create(files[-1][0])
-                sink.write(row["content"] or b"")
+                if content.is_valid:
+                    sink.write(content.as_buffer())
         finally:
             if sink is not None:
                 sink.close()
