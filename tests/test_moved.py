@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 
 import pyarrow as pa
 import pytest
@@ -123,3 +124,55 @@ def test_descent_by_runs_takes_a_round(spark, tables):
     pairs = log.select("uuid", "hash", "prev", F.lit(None).cast("string").alias("prev2"), F.col("third").alias("ancestor"))
     assert lineage.descends(pairs, lineage.runs(edges)).filter("descends").count() == FILES * (LONG - 3)
     assert [n for n in tables if n.startswith("round-")] == ["round-0", "round-1"]
+
+
+def reached(rows, edges, aimed):
+    """Breadth first, one start at a time."""
+    out = set()
+    for uuid, tag, target, node in rows:
+        best, level = {node: (0, "")}, [node]
+        while level:
+            new = {}
+            for v in level:
+                for u, h, parent, branch in edges if not (aimed and v == target) else ():
+                    if (u, h) == (uuid, v) and parent not in best:
+                        new[parent] = min(new.get(parent, (10**9, "")), (best[v][0] + 1, best[v][1] + str(branch)))
+            best |= new
+            level = list(new)
+        out |= {(uuid, tag, target, v, *r) for v, r in best.items() if not (aimed and target in best) or v == target}
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 18, 256, 16])
+def test_climbing_in_tasks_and_by_rounds(spark, monkeypatch, block):
+    """Branches, merges, rings and unknown versions; histories of more rows than a task follows go by rounds."""
+    rng = random.Random(5)
+    edges = list({(f"u{u}", f"v{i}", f"v{j}"): (f"u{u}", f"v{i}", f"v{j}", b) for u in range(6) for i in range(9) for b in (0, 1) if (j := rng.randrange(9)) < 8 - u}.values())
+    rows = sorted({(f"u{u}", f"t{i}", f"v{rng.randrange(10)}", f"v{rng.randrange(10)}") for u in range(7) for i in range(3)})
+    monkeypatch.setattr(ancestry, "BLOCK", block)
+    monkeypatch.setattr(ancestry, "REACH", 64)
+    known = spark.createDataFrame(edges, "uuid string, hash string, parent string, branch int")
+    for aimed in (False, True):
+        names = ["uuid", "tag", "target" if aimed else "aim", "node"]
+        got = lambda paths: [tuple(r) for r in ancestry.climb(spark.createDataFrame(rows, names), known, paths).select(*names, "depth", "path").collect()]  # noqa: B023, E731
+        want = reached(rows, edges, aimed)
+        one, two = got(True), got(False)
+        assert sorted(one) == sorted(want) and sorted(two) == sorted((*r[:5], "") for r in want)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7])
+def test_a_task_leaves_long_histories(size):
+    """However rows come, those of a history stay together; starts of long ones come back once each."""
+    key = lambda u, v: f"{u}/{v}".encode() if v else None
+    rows = [(u, node, other, 0, own) for u, n in (("a", 3), ("b", 20), ("c", 2), ("d", 20), ("e", 4)) for node, other, own in [*((f"v{i}", f"v{i - 1}", None) for i in range(n, 0, -1)), (f"v{n}", None, {"tag": "x", "_start": True})]]
+    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("uuid", "node", "other", "way", "own"))} | {"a": [key(r[0], r[1]) for r in rows], "b": [key(r[0], r[2]) for r in rows]})
+    got = [(r["uuid"], r["node"], r["depth"], r["long"]) for b in ancestry._climber(False, 10, 4, False)(iter(table.to_batches(size))) for r in b.to_pylist()]
+    assert sorted(got) == sorted([*((u, f"v{n - i}", i, False) for u, n in (("a", 3), ("c", 2), ("e", 4)) for i in range(n + 1)), ("b", "v20", 0, True), ("d", "v20", 0, True)])
+
+
+def test_short_histories_take_no_rounds(spark, tables, written):
+    """What an answer needs: the questions and what is reached."""
+    _, edges = history(spark)
+    heads = spark.createDataFrame([(f"file-{f:05}", version(f, LONG - 1), version(f, LONG - 1)) for f in range(FILES)], "uuid string, start string, node string")
+    assert ancestry.climb(heads, edges).count() == FILES * LONG
+    assert tables == ["begin", "near"] and written() < 100
