@@ -1,16 +1,23 @@
 """Plans carried out on stores: whole, once, and by tasks that may run twice."""
 
 import hashlib
+import os
+import sys
+import time
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.operators.actions import plan_actions
 from tidemark.operators.merge import entry_rows
-from tidemark.plans.apply import WrongContent, apply_plan, each, move, place, stage_writes
+from tidemark.plans.apply import WrongContent, apply_plan, each, move, place, stage_writes, staged_name
 from tidemark.schema import ENTRIES
-from tidemark.sources.adapter import FolderAdapter
+from tidemark.sources.adapter import FolderAdapter, register_folders, write_files
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+SF = "/root/testdata/sf0.01"
 NAMES = [x.strip().split(" ")[0] for x in ENTRIES.split(",")]
 
 
@@ -80,3 +87,55 @@ def test_steps_that_run_twice(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         place(adapter, ".vfs/stage/t/none", "nowhere.md")
     assert issubclass(WrongContent, ValueError)
+
+
+class Noted(FolderAdapter):
+    """A folder that notes what is read of it."""
+
+    def read(self, path, start=0, end=None):
+        with open(f"{self.root}.read", "a") as f:
+            f.write(path + "\n")
+        return super().read(path, start, end)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_content_moves_for_one_path(spark, tmp_path, whole):
+    """Other paths copy it from where it is staged; rows of equal contents are one."""
+    adapter, stage = Noted(str(tmp_path / "s")), ".vfs/stage/t"
+    wanted = spark.createDataFrame([("b", sha("far off")), ("a", sha("far off")), ("c/d", sha("far off")), ("e", sha("one"))], "path string, hash string")
+    rows = [("far off", 0, "far off"), ("one", 0, "one"), ("un", 0, "un")] if whole else [("far off", 4, "off"), ("one", 0, "one"), ("far off", 0, "far "), ("un", 0, "un")]
+    contents = spark.createDataFrame([(sha(t), i, bytearray(c.encode())) for t, i, c in rows * 3], "hash string, start long, content binary").repartition(3)
+    staged = stage_writes(adapter, stage, wanted, state(spark), contents.drop("start") if whole else contents)
+    assert sorted(map(tuple, staged.collect())) == [(p, staged_name(stage, p), sha(t), len(t)) for p, t in (("a", "far off"), ("b", "far off"), ("c/d", "far off"), ("e", "one"))]
+    assert {r["path"]: b"".join(FolderAdapter.read(adapter, r["staged"])) for r in staged.collect()} == {"a": b"far off", "b": b"far off", "c/d": b"far off", "e": b"one"}
+    assert (tmp_path / "s.read").read_text().split() == [staged_name(stage, "a")] * 2
+
+
+def test_whole_files_are_rows_of_their_own(spark, tmp_path):
+    register_folders(spark)
+    rows = spark.createDataFrame([("a", bytearray(b"1")), ("b/c", bytearray(b"")), ("d", None)], "path string, content binary")
+    write_files(rows, "folder", str(tmp_path))
+    assert found(FolderAdapter(str(tmp_path))) == {"a": "1", "b/": None, "b/c": "", "d": ""}
+    with pytest.raises(Exception, match="1 paths were written"):
+        write_files(spark.createDataFrame([("a", bytearray(b"2")), ("a", bytearray(b"3"))], rows.schema).coalesce(1), "folder", str(tmp_path))
+    assert found(FolderAdapter(str(tmp_path)))["a"] == "1" and FolderAdapter(str(tmp_path)).list(".vfs/stage") == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_texts_move_once_at_most(spark):
+    """What the folder's query shuffles, its entries included, is less than twice the texts, also where nothing is broadcast."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        time.sleep(1)  # the status follows the tasks
+        return sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+
+    texts_ = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert queries.QUERIES["applied_folder"](spark, SF).filter("hash is not null").count() == 939
+        moved = shuffled() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < moved < 2 * texts_, (moved, texts_)

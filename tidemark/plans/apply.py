@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import entry_rows
 from ..schema import CONTROL_DIR
-from ..sources.adapter import Adapter
+from ..sources.adapter import Adapter, tasks
 from .scratch import keep, run
 
 STAGE = f"{CONTROL_DIR}/stage"
@@ -28,7 +28,8 @@ class WrongContent(ValueError):
 
 
 def staged_name(stage: str, path: str) -> str:
-    return f"{stage}/{hashlib.sha256(path.encode()).hexdigest()}"
+    name = hashlib.sha256(path.encode()).hexdigest()
+    return f"{stage}/{name[:2]}/{name}"  # tasks that share a directory wait for each other
 
 
 def _staged(adapter: Adapter, stage: str):
@@ -53,7 +54,7 @@ def _staged(adapter: Adapter, stage: str):
                     if path is not None:
                         out.append(finish(path, wanted, temp, sink, sha, size))
                     # a name of its own, as another run of this task may write the same file right now
-                    path, wanted, temp, sha, size = p, h, f"{stage}/part-{uuid.uuid4().hex}", hashlib.sha256(), 0
+                    path, wanted, temp, sha, size = p, h, f"{staged_name(stage, p)}.{uuid.uuid4().hex}", hashlib.sha256(), 0
                     sink = adapter.create(temp)
                 for data in adapter.read(source) if source is not None else (content or b"",):
                     sink.write(data)
@@ -103,19 +104,28 @@ def stage_writes(adapter: Adapter, stage: str, wanted: DataFrame, current: DataF
     """``path, staged, hash, size`` of all files that ``wanted`` (path, hash) asks for, each checked while it was written.
 
     What the store holds under another path, or the same, is copied from there; the rest comes from ``contents`` (hash,
-    content, and start where a content is in parts). A content that neither has, or that does not have its hash, is an error.
+    content, and start where a content is in parts), for one path a content, from where other paths copy it. A content that
+    neither has, or that does not have its hash, is an error.
     """
     live = entry_rows(current).filter("not deleted and kind = 'file' and hash is not null and held is null")
     mine = live.groupBy("hash").agg(F.min("path").alias("source"))
-    x = wanted.join(mine, "hash", "left")
-    parts = contents if "start" in contents.columns else contents.withColumn("start", F.lit(0).cast("bigint"))
-    # only what is asked for is sorted by hash and place
-    asked = x.filter("source is null").select("hash").distinct()
-    one = parts.select("hash", F.col("start").cast("bigint").alias("start"), F.col("content").cast("binary").alias("content")).join(asked, "hash", "left_semi").dropDuplicates(["hash", "start"])
-    local = x.filter("source is not null").select("path", "hash", F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("binary").alias("content"), "source")
-    far = x.filter("source is null").drop("source").join(one, "hash").select("path", "hash", "start", "content", F.lit(None).cast("string").alias("source"))
-    dealt = local.unionByName(far).repartition("path").sortWithinPartitions("path", "start")
-    staged = keep(dealt.mapInArrow(_staged(adapter, stage), "path string, staged string, hash string, size bigint"), "staged")
+    x = keep(wanted.join(mine, "hash", "left"), "wanted")
+    asked = x.filter("source is null").groupBy("hash").agg(F.min("path").alias("path"))
+    start = F.col("start") if "start" in contents.columns else F.lit(0)
+    parts = contents.select("hash", start.cast("bigint").alias("start"), F.col("content").cast("binary").alias("content"))
+    if "start" in contents.columns:
+        far = parts.join(asked.select("hash"), "hash", "left_semi").dropDuplicates(["hash", "start"]).join(asked, "hash").repartition("path")
+    else:
+        # contents move once, by hash; equal ones meet before
+        far = parts.dropDuplicates(["hash"]).join(asked.select("hash"), "hash", "left_semi").join(asked, "hash")
+    none = F.lit(None)
+    far = far.sortWithinPartitions("path", "start").select("path", "hash", "start", "content", none.cast("string").alias("source"))
+    types = "path string, staged string, hash string, size bigint"
+    first = keep(far.mapInArrow(_staged(adapter, stage), types), "staged")
+    here = x.join(first.select("hash", F.col("path").alias("at"), "staged"), "hash", "left").filter("at is null or at <> path").withColumn("source", F.coalesce("source", "staged")).filter("source is not null")
+    # rows without content do not tell how long copying takes
+    dealt = here.repartition(tasks(wanted.sparkSession), "path").select("path", "hash", F.lit(0).cast("bigint").alias("start"), none.cast("binary").alias("content"), "source")
+    staged = first.unionByName(keep(dealt.mapInArrow(_staged(adapter, stage), types), "copied"))
     missing = wanted.join(staged.select("path"), "path", "left_anti").select("path").limit(3).collect()
     if missing:
         raise WrongContent(f"no content for {[r['path'] for r in missing]}")

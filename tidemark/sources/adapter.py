@@ -123,13 +123,20 @@ class FolderAdapter(Adapter):
 
     def create(self, path: str) -> BinaryIO:
         system, at = self._at(path)
-        system.create_dir(at.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(at, compression=None)
+        return self._above(system, at, lambda: system.open_output_stream(at, compression=None))
 
     def rename(self, path: str, to: str) -> None:
         (system, old), (_, new) = self._at(path), self._at(to)
-        system.create_dir(new.rpartition("/")[0], recursive=True)
-        system.move(old, new)
+        self._above(system, new, lambda: system.move(old, new))
+
+    @staticmethod
+    def _above(system: fs.FileSystem, at: str, step: Callable):
+        """A step that may need the directories above a path, which are mostly there."""
+        try:
+            return step()
+        except OSError:
+            system.create_dir(at.rpartition("/")[0], recursive=True)
+            return step()
 
     def delete(self, path: str) -> None:
         system, at = self._at(path)
@@ -255,26 +262,26 @@ class Staged(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Rows ``path, content`` (and others): those of one path that follow each other in a task are its parts, in order."""
+    """Rows ``path, content`` (and others): those of one path that follow each other in a task are its parts, in order, unless each row is a whole file."""
 
-    def __init__(self, adapter: Adapter, columns: list[str]) -> None:
+    def __init__(self, adapter: Adapter, columns: list[str], whole: bool = False) -> None:
         missing = {"path", "content"} - set(columns)
         if missing:
             raise ValueError(f"columns that are missing: {sorted(missing)}")
-        self.adapter, self.stage = adapter, f"{CONTROL_DIR}/stage/{uuid.uuid4().hex}"
+        self.adapter, self.stage, self.whole = adapter, f"{CONTROL_DIR}/stage/{uuid.uuid4().hex}", whole
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         files: list[tuple[str, str]] = []
         path, sink, task = None, None, uuid.uuid4().hex
         try:
             for to, content in (row for b in batches for row in zip(b.column("path").to_pylist(), b.column("content"), strict=True)):
-                if sink is None or to != path:
+                if sink is None or to != path or self.whole:
                     if sink is not None:
                         sink.close()
                     path = to
                     if not path or _in(path) or path.startswith("/") or ".." in path.split("/"):
                         raise ValueError(f"not a path to write: {path!r}")
-                    files.append((f"{self.stage}/{task}-{len(files)}", path))
+                    files.append((f"{self.stage}/{task}/{len(files)}", path))  # tasks that share a directory wait for each other
                     sink = self.adapter.create(files[-1][0])
                 if content.is_valid:
                     sink.write(content.as_buffer())
@@ -288,7 +295,7 @@ class _Writer(DataSourceArrowWriter):
         twice = len(files) - len({to for _, to in files})
         if twice:
             self.abort(messages)
-            raise ValueError(f"{twice} paths were written by two tasks; deal rows out by path")
+            raise ValueError(f"{twice} paths were written by two tasks, or two rows of whole files; deal rows out by path")
         for staged, to in files:
             self.adapter.rename(staged, to)
         self.adapter.delete(self.stage)
@@ -322,7 +329,7 @@ def register(spark: SparkSession, name: str, make: Callable[[dict[str, str]], Ad
         def writer(self, schema, overwrite: bool) -> DataSourceWriter:
             if overwrite:
                 raise ValueError("files are put in place one by one: use mode('append')")
-            return _Writer(make(dict(self.options)), schema.fieldNames())
+            return _Writer(make(dict(self.options)), schema.fieldNames(), self.options.get("whole") == "true")
 
     spark.dataSource.register(Source)
 
@@ -338,7 +345,13 @@ def tasks(spark: SparkSession) -> int:
 
 
 def write_files(parts: DataFrame, name: str, path: str | None = None, **options: str) -> None:
-    """Files from rows ``path, start, content``: parts of one file go to one task, in order of start, and are streamed there."""
+    """Files from rows ``path, start, content``: parts of one file go to one task, in order of start, and are streamed there.
+
+    Without ``start`` each row is a whole file, and is written where it is.
+    """
+    if "start" not in parts.columns:
+        parts.select("path", "content").write.format(name).options(**options, whole="true").mode("append").save(path)
+        return
     dealt = parts.select("path", "start", "content").repartition("path").sortWithinPartitions("path", "start")
     dealt.write.format(name).options(**options).mode("append").save(path)
 
