@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import os
+import pickle
 import random
 import sys
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidemark.sources.adapter import BLOCK, Adapter, Entry, FolderAdapter, _Writer, file_digests, range_digests, register, register_folders, subtrees, tree_digests, walk_store, write_files
+from tidemark.sources.adapter import BLOCK, Adapter, Entry, FolderAdapter, _Writer, file_digests, range_digests, register, register_folders, repeated, subtrees, tree_digests, walk_store, write_files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PARTS = "path string, start long, content binary"
@@ -161,3 +162,14 @@ def test_parts_are_written_as_they_come(tmp_path):
     writer = _Writer(FolderAdapter(str(tmp_path)), ["path", "start", "content"])
     writer.commit([writer.write(iter(batches))])
     assert {p: (tmp_path / p).read_bytes() for p in ("a", "b/c", "d")} == {"a": b"12", "b/c": b"", "d": b"x" * 70_000}
+
+
+def test_what_a_task_tells_does_not_grow(tmp_path):
+    """Where its files belong stands in the stage, not in the message to the driver."""
+    names = [f"d{i % 7}/line\n{i} ü" for i in range(2000)]
+    writer = _Writer(FolderAdapter(str(tmp_path)), ["path", "content"], whole=True)
+    said = [writer.write(iter([pa.RecordBatch.from_pydict({"path": part, "content": pa.array([b"x"] * len(part), pa.binary())})])) for part in (names[:5], names[5:], [])]
+    assert len({len(pickle.dumps(m)) for m in said[:2]}) == 1 and len(pickle.dumps(said[1])) < 300
+    writer.commit([*said, None])
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("line*")) == sorted(names) and FolderAdapter(str(tmp_path)).list(".vfs/stage") == []
+    assert repeated(lambda: iter(names)) == 0 and repeated(lambda: iter(names + names[:3] + names[:1])) == 4 and repeated(lambda: iter(())) == 0

@@ -8,12 +8,16 @@ wrote takes its place once all of them are done, or goes without a trace.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from abc import ABC, abstractmethod
+from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -258,7 +262,16 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """A task's directory in the stage, with its files by number and beside it a list of where they belong; null where it wrote none."""
+
+    task: str | None
+
+
+def repeated(paths: Callable[[], Iterator[str]]) -> int:
+    """How many of the paths, which can be gone through again, were there before; held are 8 bytes a path."""
+    hashes, n = np.unique(np.frombuffer(array("q", map(hash, paths())), dtype=np.int64), return_counts=True)
+    several = set(hashes[n > 1].tolist())
+    return sum(n - 1 for n in Counter(p for p in paths() if hash(p) in several).values()) if several else 0
 
 
 class _Writer(DataSourceArrowWriter):
@@ -271,8 +284,7 @@ class _Writer(DataSourceArrowWriter):
         self.adapter, self.stage, self.whole = adapter, f"{CONTROL_DIR}/stage/{uuid.uuid4().hex}", whole
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
-        files: list[tuple[str, str]] = []
-        path, sink, task = None, None, uuid.uuid4().hex
+        path, sink, listed, n, task = None, None, None, 0, uuid.uuid4().hex
         try:
             for to, content in (row for b in batches for row in zip(b.column("path").to_pylist(), b.column("content"), strict=True)):
                 if sink is None or to != path or self.whole:
@@ -281,23 +293,36 @@ class _Writer(DataSourceArrowWriter):
                     path = to
                     if not path or _in(path) or path.startswith("/") or ".." in path.split("/"):
                         raise ValueError(f"not a path to write: {path!r}")
-                    files.append((f"{self.stage}/{task}/{len(files)}", path))  # tasks that share a directory wait for each other
-                    sink = self.adapter.create(files[-1][0])
+                    if listed is None:
+                        listed = self.adapter.create(f"{self.stage}/{task}.paths")
+                    listed.write(json.dumps(path).encode() + b"\n")
+                    sink = self.adapter.create(f"{self.stage}/{task}/{n}")  # tasks that share a directory wait for each other
+                    n += 1
                 if content.is_valid:
                     sink.write(content.as_buffer())
         finally:
-            if sink is not None:
-                sink.close()
-        return Staged(files)
+            for f in (sink, listed):
+                if f is not None:
+                    f.close()
+        return Staged(task if n else None)
+
+    def _paths(self, task: str) -> Iterator[str]:
+        """Where a task's files belong, in order."""
+        rest = b""
+        for data in self.adapter.read(f"{self.stage}/{task}.paths"):
+            *lines, rest = (rest + data).split(b"\n")
+            yield from map(json.loads, lines)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        files = [f for m in messages if m is not None for f in m.files]
-        twice = len(files) - len({to for _, to in files})
+        # lists of paths are read from the stage as they are needed: the driver holds no more of them than a block
+        written = [m.task for m in messages if m is not None and m.task is not None]
+        twice = repeated(lambda: (p for t in written for p in self._paths(t)))
         if twice:
             self.abort(messages)
             raise ValueError(f"{twice} paths were written by two tasks, or two rows of whole files; deal rows out by path")
-        for staged, to in files:
-            self.adapter.rename(staged, to)
+        for task in written:
+            for i, to in enumerate(self._paths(task)):
+                self.adapter.rename(f"{self.stage}/{task}/{i}", to)
         self.adapter.delete(self.stage)
 
     def abort(self, messages: list[Staged | None]) -> None:
